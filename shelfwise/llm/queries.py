@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from shelfwise.llm.mixing import OP9_SQL, op9_source_mix
+from shelfwise.llm.near_dedup import op3_near_dedup
 from shelfwise.llm.quality_rules import op8_quality_rules
 from shelfwise.llm.secret_scan import op4_secret_scan
 
-QUERIES = {f.__name__: f for f in (op4_secret_scan, op8_quality_rules, op9_source_mix)}
+QUERIES = {f.__name__: f for f in (op3_near_dedup, op4_secret_scan, op8_quality_rules, op9_source_mix)}
 
 ORACLE_SQL: dict[str, str] = {"op9_source_mix": OP9_SQL}
