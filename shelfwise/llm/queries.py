@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from shelfwise.llm.katz import op7_lm_score
 from shelfwise.llm.mixing import OP9_SQL, op9_source_mix
 from shelfwise.llm.near_dedup import op3_near_dedup
 from shelfwise.llm.packing import op6_best_fit_packing
@@ -12,7 +13,7 @@ from shelfwise.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_near_dedup, op4_secret_scan, op5_toxicity, op6_best_fit_packing, op8_quality_rules, op9_source_mix, op10_warc)
+    for f in (op3_near_dedup, op4_secret_scan, op5_toxicity, op6_best_fit_packing, op7_lm_score, op8_quality_rules, op9_source_mix, op10_warc)
 }
 
 ORACLE_SQL: dict[str, str] = {"op9_source_mix": OP9_SQL, "op10_warc": OP10_SQL}
