@@ -17,21 +17,43 @@ _ODD_SPACE = re.compile(r"\s |\s\Z| \s|\A\s")
 
 
 class TextIds:
-    def __init__(self, path: str, lead: bool, most: int = 300_000):
+    def __init__(self, path: str, lead: bool, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.lead, self.most = lead, most
+        # Two generations: once the new one holds ``most`` words the old one goes, so words in use stay
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        # An added token always parts what stands before and after it, so words around it are encoded each for itself
+        self.mark_id, mark = next(iter(self.tokenizer.get_added_tokens_decoder().items()))
+        self.mark = mark.content
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _words(self, new: list[str], run: int = 2000) -> list[bytes]:
+        """Ids of single words, many to a call: far cheaper than a call, or a result object, for each."""
+        whole = [i for i, w in enumerate(new) if self.mark in w]
+        if whole:
+            plain = self._words([w for w in new if self.mark not in w], run)
+            odd = dict(zip(whole, self._raw([new[i] for i in whole]), strict=True))
+            rest = iter(plain)
+            return [odd[i] if i in odd else next(rest) for i in range(len(new))]
+        out: list[bytes] = []
+        for at in range(0, len(new), run):
+            part = new[at : at + run]
+            ids = np.array(self.tokenizer.encode(self.mark.join(part), add_special_tokens=False).ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.mark_id).tolist()
+            raw = ids.tobytes()
+            out += [raw[4 * a : 4 * z] for a, z in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True)]
+        return out
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text; none for null."""
         if len(self.known) > self.most:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         known, parts, whole = self.known, [], {}
         for i, text in enumerate(texts):
             if not text:
@@ -45,9 +67,12 @@ class TextIds:
                 p = text.split(" ")
                 p[0] = "\0" + p[0]
                 parts.append(p)
-        new = list({p for ps in parts for p in ps if p not in known})
+        missing = {p for ps in parts for p in ps if p not in known}
+        older = self.older
+        known.update({p: older[p] for p in missing if p in older})
+        new = [p for p in missing if p not in older]
         spelt = [p[1:] if p[0] == "\0" else " " + p for p in new] if self.lead else new
-        known.update(zip(new, self._raw(spelt), strict=True))
+        known.update(zip(new, self._words(spelt), strict=True))
         out = [b"".join([known[p] for p in ps]) for ps in parts]
         for i, ids in zip(whole, self._raw(list(whole.values())), strict=True):
             out[i] = ids
