@@ -153,16 +153,16 @@ def read_media(lists: DataFrame, chunks: DataFrame) -> DataFrame:
     """payload, payload_bytes, tail_crc32, media_bytes, media_sha256, feature; one row a distinct payload."""
     n = partitions_for(lists.sparkSession)
     distinct = lists.groupBy("payload").agg(F.first("digests").alias("digests"), F.first("sizes").alias("sizes"))
-    entries = distinct.select("payload", F.posexplode(F.arrays_zip("digests", "sizes")).alias("no", "entry")).select(
-        "payload", "no", F.col("entry.digests").alias("digest"), F.col("entry.sizes").alias("size")
-    )
-    there = entries.join(chunks, "digest", "left")  # a chunk that is missing must fail, not vanish
-    return (
-        there.repartition(n, "payload")
-        .sortWithinPartitions("payload", "no")
-        .select("payload", "size", "digest", "data")
-        .mapInArrow(_rebuild, "payload binary, payload_bytes long, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    entries = distinct.select("payload", F.size("sizes").alias("parts"), F.posexplode(F.arrays_zip("digests", "sizes")).alias("no", "entry")).select(
+        "payload", "parts", "no", F.col("entry.digests").alias("digest"), F.col("entry.sizes").alias("size")
     )
+    schema = "payload binary, payload_bytes long, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    # A chunk that is missing must fail, not vanish: left joins. A payload of one chunk is whole where it is joined; only
+    # those of several move once more, to bring their chunks together
+    alone = entries.where("parts = 1").join(chunks, "digest", "left")
+    several = entries.where("parts > 1").join(chunks, "digest", "left").repartition(n, "payload").sortWithinPartitions("payload", "no")
+    columns = ["payload", "size", "digest", "data"]
+    return alone.select(*columns).mapInArrow(_rebuild, schema).unionByName(several.select(*columns).mapInArrow(_rebuild, schema))
 
 
 def op2_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
