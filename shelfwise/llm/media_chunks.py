@@ -33,7 +33,7 @@ from shelfwise.llm.common import partitions_for, read, scratch, settle, staged,
 
 UNIT, TAIL = 64, 64
 BITS, SHORTEST, LONGEST = 12, 512, 16_384
-LEVEL = 6
+LEVEL = 9
 _GEAR = (stir(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 
 
