@@ -78,7 +78,9 @@ def page_of(df: DataFrame, page: int, order: list[Column], limit: int = 50, cap:
 
 def after(df: DataFrame, last: tuple, columns: list[str], limit: int = 50) -> DataFrame:
     """The rows that follow a known last row, by keyset: no offset to skip."""
-    beyond = F.struct(*columns) > F.struct(*(F.lit(v) for v in last))
+    beyond = F.lit(False)
+    for c, v in reversed(list(zip(columns, last, strict=True))):
+        beyond = (F.col(c) > F.lit(v)) | ((F.col(c) == F.lit(v)) & beyond)
     return df.where(beyond).orderBy(*columns).limit(limit)
 
 

@@ -45,11 +45,16 @@ def read_latest(spark, table_root: str) -> DataFrame:
     return spark.read.parquet(pointer.orderBy(F.desc("batch")).first()["path"])
 
 
+def _timed(stream: DataFrame) -> DataFrame:
+    """Watermarks need a time with a zone."""
+    return stream.withColumn("scraped_at", F.col("scraped_at").cast("timestamp"))
+
+
 def stream_run_stats(stream: DataFrame, delay: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Counters of each run in tumbling windows; late rows within ``delay`` still count."""
     a = F.col("availability")
     return (
-        stream.withWatermark("scraped_at", delay)
+        _timed(stream).withWatermark("scraped_at", delay)
         .groupBy(F.window("scraped_at", width), "run_id")
         .agg(F.count(F.lit(1)).alias("attempted"), F.count_if(a != "error").alias("succeeded"), F.count("raw_price").alias("prices_found"))
         .select(F.col("window.start").alias("window_start"), "run_id", "attempted", "succeeded", "prices_found")
@@ -58,4 +63,4 @@ def stream_run_stats(stream: DataFrame, delay: str = "10 minutes", width: str =
 
 def dedupe_stream(stream: DataFrame, delay: str = "10 minutes", keys: tuple[str, ...] = ("sku_id", "competitor_id", "scraped_at")) -> DataFrame:
     """Each observation once, however often it is delivered within ``delay``."""
-    return stream.withWatermark("scraped_at", delay).dropDuplicatesWithinWatermark(list(keys))
+    return _timed(stream).withWatermark("scraped_at", delay).dropDuplicatesWithinWatermark(list(keys))
