@@ -1,12 +1,12 @@
 """An adaptive context-mixing range coder for token ids, run over many blocks at once.
 
 A block of up to ``BLOCK`` ids starts from nothing and stands alone. Within it an id is a slot, numbered by first
-appearance. Three models are mixed into one table of frequencies: order 0 gives each slot four times its count, and the
-slots that order 1 (the last id) and order 2 (the last two) predict get extra weight in proportion to the odds, learnt in
-the block, that a prediction of its confidence comes true. An id not met before is an escape, whose share follows the
-number of distinct ids, and then 16 plain bits. The interval so found drives a range coder with 48-bit state that puts
-out 16-bit words; carries are settled when the block ends. Coder and decoder handle the t-th id of all blocks of a
-segment in one step of numpy, so the work an id is a few vector operations.
+appearance. Three models share one table of frequencies: the slots that order 1 (the last id) and order 2 (the last two)
+predict get weight in proportion to the odds, learnt in the block, that a prediction of its confidence comes true; order
+0 gives every slot four times its count; an id not met before is an escape, whose share follows the number of distinct
+ids, and then 16 plain bits. The interval so found drives a range coder with 48-bit state that puts out 16-bit words;
+carries are settled when the block ends. Coder and decoder handle the t-th id of all blocks of a segment in one step of
+numpy, and order 0 keeps its counts in a binary tree, so the work an id is a few dozen vector operations.
 """
 
 from __future__ import annotations
@@ -17,91 +17,94 @@ import zlib
 import numpy as np
 
 BLOCK = 1024
-SIDE = 32  # BLOCK slots as SIDE groups of SIDE
+DEPTH = 10  # 2^DEPTH slots
 CONF = 4
 WEIGHT = 4
 HASHED = 2048
 _TOP = np.uint64(1 << 48)
 _LOW32 = np.uint64(0xFFFFFFFF)
 _S16, _S32 = np.uint64(16), np.uint64(32)
-_PLACES = np.arange(SIDE, dtype=np.int32)
+_SLOT = np.arange(BLOCK)[:, None]
+_LEVEL = np.arange(DEPTH)
+#: For each slot the nodes above its leaf (the tree's root is node 1), and those left of its path; node 0 stays empty.
+_PATH = np.concatenate([(BLOCK + _SLOT) >> _LEVEL], axis=1).astype(np.int32)
+_LEFT = np.where(_PATH & 1, _PATH - 1, 0).astype(np.int32)
 
 
 class _Mix:
     """The models of n blocks in step."""
 
     def __init__(self, n: int):
-        self.n, self.row = n, np.arange(n)
-        self.count = np.zeros((n * SIDE, SIDE), np.int32)
-        self.group = np.zeros((n, SIDE), np.int32)
+        self.n, self.row = n, np.arange(n, dtype=np.int32)
+        self.tree = np.zeros(n * 2 * BLOCK, np.int16)
+        self.root = self.row * np.int32(2 * BLOCK)
         self.seen = 0
-        self.kinds = np.zeros(n, np.int64)
-        self.last = np.zeros(n, np.int64)
-        self.context = [np.zeros(n, np.int64), np.zeros(n, np.int64)]
+        self.kinds = np.zeros(n, np.int32)
+        self.last = np.zeros(n, np.int32)
+        self.context = [np.zeros(n, np.int32), np.zeros(n, np.int32)]
         self.guess = [np.full(n * BLOCK, -1, np.int16), np.full(n * HASHED, -1, np.int16)]
         self.sure = [np.zeros(n * BLOCK, np.int8), np.zeros(n * HASHED, np.int8)]
         self.won = [np.ones(n * CONF, np.int32), np.ones(n * CONF, np.int32)]
         self.lost = [np.full(n * CONF, 2, np.int32), np.full(n * CONF, 2, np.int32)]
-        self.base = [self.row * BLOCK, self.row * HASHED]
+        self.base = [self.row * np.int32(BLOCK), self.row * np.int32(HASHED)]
+        self.conf_base = self.row * np.int32(CONF)
 
-    def predict(self):
+    def predict(self) -> None:
         """What orders 1 and 2 predict and the weight of each; the total and the escape's share."""
-        plain = WEIGHT * self.seen
-        self.escape = WEIGHT * self.kinds + 1
-        self.at, self.said, self.conf, self.weight = [], [], [], []
+        plain = np.int32(WEIGHT * self.seen)
+        self.at, self.said, self.conf, weight = [], [], [], []
         for o in (0, 1):
             at = self.base[o] + self.context[o]
-            said = self.guess[o][at].astype(np.int64)
-            conf = self.row * CONF + self.sure[o][at]
-            odds = (plain * self.won[o][conf].astype(np.int64)) // self.lost[o][conf]
+            said = self.guess[o][at]
+            conf = self.conf_base + self.sure[o][at]
+            odds = plain * self.won[o][conf] // self.lost[o][conf]
             self.at.append(at), self.said.append(said), self.conf.append(conf)
-            self.weight.append(np.where(said >= 0, np.minimum(odds, 1 << 16), 0))
-        self.known = plain + self.weight[0] + self.weight[1]
-        self.total = self.known + self.escape
+            weight.append(np.clip(odds, 1, 1 << 16) * (said >= 0))
+        # Where both say the same, one interval takes both weights
+        same = self.said[0] == self.said[1]
+        self.w1 = weight[0] + weight[1] * same
+        self.front = self.w1 + weight[1] * ~same
+        self.known = self.front + plain
+        self.total = (self.known + WEIGHT * self.kinds + 1).astype(np.uint64)
 
     def span(self, slot: np.ndarray):
         """Start and width of the slots' parts of the total."""
-        fresh = slot == self.kinds
-        g, j = slot >> 5, slot & 31
-        own = self.row * SIDE + g
-        before = (self.group * (_PLACES < g[:, None])).sum(axis=1) + (self.count[own] * (_PLACES < j[:, None])).sum(axis=1)
-        start, width = WEIGHT * before.astype(np.int64), WEIGHT * self.count[own, j].astype(np.int64)
-        for said, weight in zip(self.said, self.weight, strict=True):
-            start += weight * (said < slot)
-            width += weight * (said == slot)
-        return np.where(fresh, self.known, start), np.where(fresh, self.escape, width)
-
-    def find(self, value: np.ndarray) -> np.ndarray:
-        """The slots whose parts hold these values."""
-        fresh = value >= self.known
-        value = np.where(fresh, 0, value)
-        sums = WEIGHT * self.group.astype(np.int64)
-        for said, weight in zip(self.said, self.weight, strict=True):
-            sums[self.row, np.maximum(said, 0) >> 5] += weight
-        upto = np.cumsum(sums, axis=1)
-        g = np.minimum((upto <= value[:, None]).sum(axis=1), SIDE - 1)
-        value = value - (upto[self.row, g] - sums[self.row, g])
-        part = WEIGHT * self.count[self.row * SIDE + g].astype(np.int64)
-        for said, weight in zip(self.said, self.weight, strict=True):
-            here = np.flatnonzero((said >> 5) == g)
-            part[here, said[here] & 31] += weight[here]
-        j = np.minimum((np.cumsum(part, axis=1) <= value[:, None]).sum(axis=1), SIDE - 1)
-        return np.where(fresh, self.kinds, g * SIDE + j)
+        start = self.front + WEIGHT * self.tree[_LEFT[slot] + self.root[:, None]].sum(axis=1, dtype=np.int32)
+        width = WEIGHT * self.tree[self.root + BLOCK + slot].astype(np.int32)
+        return self._choose(slot, start, width)
+
+    def _choose(self, slot, start, width):
+        one, two, fresh = slot == self.said[0], slot == self.said[1], slot == self.kinds
+        start = np.where(one, 0, np.where(two, self.w1, np.where(fresh, self.known, start)))
+        width = np.where(one, self.w1, np.where(two, self.front - self.w1, np.where(fresh, WEIGHT * self.kinds + 1, width)))
+        return start, width
+
+    def find(self, value: np.ndarray):
+        """The slots whose parts hold these values, with start and width."""
+        rest = np.clip((value - self.front) // WEIGHT, 0, max(self.seen - 1, 0)).astype(np.int32)
+        sought, node = rest.copy(), np.ones(self.n, np.int32)
+        for _ in range(DEPTH):
+            node <<= 1
+            left = self.tree[self.root + node]
+            right = rest >= left
+            rest -= left * right
+            node += right
+        slot = node - BLOCK
+        start = self.front + WEIGHT * (sought - rest)
+        width = WEIGHT * self.tree[self.root + node].astype(np.int32)
+        slot = np.where(value < self.w1, self.said[0], np.where(value < self.front, self.said[1], np.where(value >= self.known, self.kinds, slot)))
+        return (slot, *self._choose(slot, start, width))
 
     def learn(self, slot: np.ndarray) -> None:
-        g = slot >> 5
-        self.count[self.row * SIDE + g, slot & 31] += 1
-        self.group[self.row, g] += 1
+        self.tree[_PATH[slot] + self.root[:, None]] += 1
         self.seen += 1
         for o in (0, 1):
             at, said, conf = self.at[o], self.said[o], self.conf[o]
-            there = said >= 0
             right = said == slot
             self.won[o][conf] += right
-            self.lost[o][conf] += there & ~right
+            self.lost[o][conf] += (said >= 0) & ~right
             sure = self.sure[o][at]
-            replace = ~right & (sure == 0)
-            self.guess[o][at] = np.where(replace, slot, said)
+            self.guess[o][at] = np.where(right | (sure > 0), said, slot)
             self.sure[o][at] = np.where(right, np.minimum(sure + 1, CONF - 1), np.maximum(sure - 1, 0))
         self.kinds += slot == self.kinds
         self.context[1] = (self.last * 31 + slot * 769) & (HASHED - 1)
@@ -117,7 +120,7 @@ def _slots(ids: np.ndarray) -> np.ndarray:
     rank = np.empty(len(first), np.int64)
     rank[np.argsort(first)] = np.arange(len(first))
     flat = rank[back].reshape(n, -1)
-    return flat - flat[:, :1]
+    return (flat - flat[:, :1]).astype(np.int32)
 
 
 def encode(ids: np.ndarray) -> bytes:
@@ -145,7 +148,7 @@ def encode(ids: np.ndarray) -> bytes:
         slot = slots[t]
         mix.predict()
         start, width = mix.span(slot)
-        unit = wide // mix.total.astype(np.uint64)
+        unit = wide // mix.total
         low += unit * start.astype(np.uint64)
         wide[:] = unit * width.astype(np.uint64)
         settle(np.flatnonzero(wide <= _LOW32))
@@ -195,10 +198,9 @@ def decode(data: bytes) -> np.ndarray:
 
     for t in range(min(BLOCK, total)):
         mix.predict()
-        unit = wide // mix.total.astype(np.uint64)
-        value = np.minimum((code // unit).astype(np.int64), mix.total - 1)
-        slot = mix.find(value)
-        start, width = mix.span(slot)
+        unit = wide // mix.total
+        value = np.minimum(code // unit, mix.total - np.uint64(1)).astype(np.int32)
+        slot, start, width = mix.find(value)
         code -= unit * start.astype(np.uint64)
         wide[:] = unit * width.astype(np.uint64)
         settle(np.flatnonzero(wide <= _LOW32))
