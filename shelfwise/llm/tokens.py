@@ -9,9 +9,29 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
+#: A Latin-1 word and what stands after it, without apostrophes: the tokenizers' patterns cut it between the two and
+#: nowhere else, so their BPE model can be asked directly, which skips most of the cost of a call.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE spells bytes as letters: those that print stand for themselves, the others follow from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
+
+
+def _spell(text: str) -> str:
+    return text if text.isascii() and text.isalnum() else text.encode().decode("latin-1").translate(_LETTERS)
+
+
 #: A space beside other white space, or at either end.
 _ODD_SPACE = re.compile(r"\s |\s\Z| \s|\A\s")
 
@@ -29,6 +49,8 @@ class TextIds:
         # An added token always parts what stands before and after it, so words around it are encoded each for itself
         self.mark_id, mark = next(iter(self.tokenizer.get_added_tokens_decoder().items()))
         self.mark = mark.content
+        self.model, self.tails = self.tokenizer.model, {"": b""}
+        self.line_end = self._piece("\n") if lead else b""
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -50,6 +72,46 @@ class TextIds:
             out += [raw[4 * a : 4 * z] for a, z in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True)]
         return out
 
+    def _piece(self, text: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(_spell(text))]).tobytes()
+
+    def _new(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of parts that no cache has."""
+        found, odd = {}, []
+
+        def simple(key: str, text: str) -> bytes | None:
+            """Ids of a word with its tail; ``key`` is what its bare word is known by."""
+            cut = _SIMPLE.fullmatch(text)
+            if not cut:
+                return None
+            stem, tail = cut.groups()
+            key += stem
+            ids = found.get(key) or self.known.get(key) or self.older.get(key)
+            if ids is None:
+                ids = found[key] = self._piece(stem.lower() if not self.lead else stem if key[0] == "\0" else " " + stem)
+            if tail and tail not in self.tails:
+                if len(self.tails) > 10_000:
+                    self.tails = {"": b""}
+                self.tails[tail] = self._piece(tail)
+            return ids + self.tails[tail]
+
+        for p in parts:
+            if p[:1] == "\0":
+                first, *lines = p[1:].split("\n")
+                runs = [simple("\0", first)]
+            else:
+                first, *lines = p.split("\n")
+                runs = [simple("", first)]
+            # A single line end between two words is a piece of its own, and no space leads the word after it
+            runs += [simple("\0", x) for x in lines]
+            if None in runs:
+                odd.append(p)
+            else:
+                found[p] = self.line_end.join(runs)
+        spelt = [p[1:] if p[:1] == "\0" else " " + p for p in odd] if self.lead else odd
+        found.update(zip(odd, self._words(spelt), strict=True))
+        return found
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text; none for null."""
         if len(self.known) > self.most:
@@ -59,7 +121,7 @@ class TextIds:
             if not text:
                 parts.append([])
             elif not self.lead:
-                parts.append([p for p in text.replace("\n", " ").split(" ") if p])
+                parts.append(text.replace("\n", " ").split(" "))
             elif _ODD_SPACE.search(text):
                 whole[i] = text
                 parts.append([])
@@ -67,13 +129,11 @@ class TextIds:
                 p = text.split(" ")
                 p[0] = "\0" + p[0]
                 parts.append(p)
-        missing = {p for ps in parts for p in ps if p not in known}
+        missing = set().union(*parts).difference(known)
         older = self.older
         known.update({p: older[p] for p in missing if p in older})
-        new = [p for p in missing if p not in older]
-        spelt = [p[1:] if p[0] == "\0" else " " + p for p in new] if self.lead else new
-        known.update(zip(new, self._words(spelt), strict=True))
-        out = [b"".join([known[p] for p in ps]) for ps in parts]
+        known.update(self._new([p for p in missing if p not in older]))
+        out = [b"".join(map(known.__getitem__, ps)) for ps in parts]
         for i, ids in zip(whole, self._raw(list(whole.values())), strict=True):
             out[i] = ids
         return out
