@@ -30,7 +30,7 @@ def price_board(latest: DataFrame) -> DataFrame:
 def top_candidates(scored: DataFrame, n: int = 20) -> DataFrame:
     """The n best SKUs of each competitor product; equal scores by sku_id."""
     w = Window.partitionBy("competitor_id", "url").orderBy(F.desc("score"), "sku_id")
-    return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+    return scored.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= n)
 
 
 def best_variant(scored: DataFrame, keys: list[str], margin: int = 10) -> DataFrame:

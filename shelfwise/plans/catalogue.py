@@ -268,13 +268,13 @@ def agg10_sku_progress(m):
     return A.sku_progress(m.match, "2024-Q1")
 
 
-def progress(m):
-    return m.sku.select(F.concat(F.lit("2024-Q"), (F.crc32(F.col("sku_id").cast("binary")) % 4 + 1).cast("string")).alias("batch_id"), "sku_id")
-
-
-@query()
+@query("""
+SELECT batch_id, count(*) AS done, CAST(floor(count(*) / 2634 * 100 + 0.5) AS BIGINT) AS pct, greatest(0, 2634 - count(*)) AS remaining,
+       CAST(ceil(greatest(0, 2634 - count(*)) / 570) AS BIGINT) AS days_left
+FROM (SELECT concat('2024-Q', p_partkey % 4 + 1) AS batch_id FROM sku) GROUP BY batch_id
+""")
 def agg11_batch_progress(m):
-    return A.batch_progress(progress(m))
+    return A.batch_progress(m.part.select(F.concat(F.lit("2024-Q"), (F.col("p_partkey") % 4 + 1).cast("string")).alias("batch_id"), "sku_id"))
 
 
 @query("""
@@ -430,7 +430,7 @@ def win8_last_complete_run(m):
 
 DECISIONS = """, decision AS (
   SELECT competitor_id, concat('https://shop.example/p/', ascii(substr(sku_id, 5, 1)) % 5) AS url, CAST(row_number() OVER (PARTITION BY competitor_id, ascii(substr(sku_id, 5, 1)) % 5 ORDER BY confidence DESC, sku_id) AS INT) AS decision_idx,
-         sku_id, confidence, CAST(ascii(substr(sku_id, 5, 1)) % 5 AS BIGINT) AS harvest_idx FROM match WHERE competitor_id % 3 = 0)
+         sku_id, confidence, CAST(ascii(substr(sku_id, 5, 1)) % 5 AS BIGINT) AS harvest_idx FROM match)
 """
 
 
@@ -438,7 +438,7 @@ def decisions(m):
     from pyspark.sql import Window
 
     no = F.ascii(F.substring("sku_id", 5, 1)) % 5
-    df = m.match.where("competitor_id % 3 = 0").select("competitor_id", F.concat(F.lit("https://shop.example/p/"), no.cast("string")).alias("url"), "sku_id", "confidence", no.cast("long").alias("harvest_idx"))
+    df = m.match.select("competitor_id", F.concat(F.lit("https://shop.example/p/"), no.cast("string")).alias("url"), "sku_id", "confidence", no.cast("long").alias("harvest_idx"))
     return df.withColumn("decision_idx", F.row_number().over(Window.partitionBy("competitor_id", "url").orderBy(F.desc("confidence"), "sku_id")))
 
 
@@ -555,30 +555,68 @@ def _term(key):
 
 
 def titled(m) -> tuple[DataFrame, DataFrame]:
-    """SKUs and product profiles whose titles carry a product word and a size."""
+    """SKUs whose titles carry a product word, and as competitor products the newest priced observation of each."""
     skus = m.part.select("sku_id", F.concat("short_title", F.lit(" "), _term(F.col("p_partkey"))).alias("short_title"), "price_ex_vat", "unit_qty")
-    o = m.observation.withColumn("k", F.col("run_id") * 7 + F.col("seq"))
-    pages = o.where("raw_price is not null").groupBy("competitor_id", F.concat(F.lit("https://shop.example/p/"), "run_id", F.lit("-"), "seq").alias("url")).agg(
-        F.max(F.concat("comp_title", F.lit(" "), _term(F.col("k")))).alias("profile"), F.max("raw_price").alias("price")
-    )
-    return pages.withColumn("sku_codes", F.array().cast("array<string>")), skus
+    newest = latest_per_pair(m.observation.where("raw_price is not null"), ["sku_id"], tie=("run_id", "seq", "competitor_id"))
+    url = F.concat(F.lit("https://shop.example/p/"), "run_id", F.lit("-"), "seq", F.lit("-"), "sku_id")
+    profile = F.concat("comp_title", F.lit(" "), _term(F.col("run_id") * 7 + F.col("seq")))
+    return newest.select("competitor_id", url.alias("url"), profile.alias("profile"), F.col("raw_price").alias("price"), F.array().cast("array<string>").alias("sku_codes")), skus
+
+
+def _groups_sql(text: str) -> str:
+    """The synonym groups of a text as a list; a term that is also in a later group counts there alone."""
+    last = {term: i for i, terms in enumerate(GROUPS) for term in terms}
+    tests = [f"CASE WHEN regexp_matches({text}, '{'|'.join(t for t, g in last.items() if g == i)}') THEN {i} END" for i in range(len(GROUPS))]
+    return "list_filter([" + ", ".join(tests) + "], lambda x: x IS NOT NULL)"
 
 
+_SIZES_SQL = r"list_distinct(list_transform(regexp_extract_all({0}, '\b(?:a0|a1|a2|a3|a4|a5|a6|a7|dl|1/3\s*a4|half\s*a4|\d+\s*x\s*\d+\s*(?:mm|cm)?)\b', 0, 'i'), lambda z: replace(upper(z), ' ', '')))"
 _TERM_LIST = "[" + ", ".join(f"'{t}'" for t in TERMS) + "]"
 
+TITLED = f""", own AS (
+  SELECT *, {_groups_sql("lower(title)")} AS g, {_SIZES_SQL.format("title")} AS z
+  FROM (SELECT sku_id, price_ex_vat, unit_qty, concat(short_title, ' ', {_TERM_LIST}[1 + p_partkey % {len(TERMS)}]) AS title FROM sku)),
+product AS (
+  SELECT *, {_groups_sql("lower(profile)")} AS g, {_SIZES_SQL.format("profile")} AS z
+  FROM (SELECT competitor_id, concat('https://shop.example/p/', run_id, '-', seq, '-', sku_id) AS url, raw_price AS price,
+               concat(comp_title, ' ', {_TERM_LIST}[1 + (run_id * 7 + seq) % {len(TERMS)}]) AS profile
+        FROM (SELECT *, row_number() OVER (PARTITION BY sku_id ORDER BY scraped_at DESC, run_id DESC, seq DESC, competitor_id DESC) AS rn FROM observation WHERE raw_price IS NOT NULL)
+        WHERE rn = 1))
+"""
 
-@query()
+
+def _points_sql(ratio: str) -> str:
+    return f"CASE WHEN {ratio} BETWEEN 0.7 AND 1.3 THEN 20 WHEN {ratio} BETWEEN 0.5 AND 2.0 THEN 10 WHEN {ratio} BETWEEN 0.3 AND 3.0 THEN 5 ELSE 0 END"
+
+
+_NEAR = [_points_sql(f"(price{vat} / price_ex_vat)") for vat in ("", " / 1.2")]
+_PACKED = [_points_sql(f"(price{vat} / unit_qty / price_ex_vat)") for vat in ("", " / 1.2")]
+
+
+@query(TITLED + f"""
+SELECT competitor_id, url, sku_id, CAST(score AS INT) AS score, place FROM (
+  SELECT *, row_number() OVER (PARTITION BY competitor_id, url ORDER BY score DESC, sku_id) AS place FROM (
+    SELECT p.competitor_id, url, o.sku_id, greatest(0, least(100, least(50, 25 * len(list_intersect(p.g, o.g)))
+             + CASE WHEN len(o.z) = 0 THEN 0 WHEN len(list_intersect(p.z, o.z)) > 0 THEN 30 WHEN len(p.z) > 0 THEN -20 ELSE 0 END))
+           + greatest({_NEAR[0]}, {_NEAR[1]}, CASE WHEN unit_qty > 1 THEN greatest({_PACKED[0]}, {_PACKED[1]}) ELSE 0 END) AS score
+    FROM product p CROSS JOIN own o) x
+  WHERE score >= 25 AND NOT EXISTS (SELECT 1 FROM match m WHERE m.match_status = 'matched' AND m.sku_id = x.sku_id AND m.competitor_id = x.competitor_id))
+WHERE place <= 20
+""")
 def cmp2_match_candidates(m):
     pages, skus = titled(m)
-    some = pages.where(F.col("competitor_id") % 50 == 0)  # the shops of one buyer's list
-    return M.match_candidates(some, skus, m.match)
+    return M.match_candidates(pages, skus, m.match)
 
 
-@query()
+@query(TITLED + """
+SELECT sku_id, array_to_string(list_sort(g), ',') AS groups, array_to_string(list_sort(z), ',') AS sizes,
+       CAST(least(50, 25 * len(g)) + CASE WHEN len(z) > 0 THEN 30 ELSE 0 END AS INT) AS own_score FROM own
+""")
 def sc21_keyword_score(m):
-    pages, skus = titled(m)
-    own = skus.select(F.col("sku_id"), synonym_groups(F.col("short_title")).alias("g"), T.size_tokens(F.col("short_title")).alias("z"))
-    return own.select("sku_id", F.array_sort("g").alias("groups"), F.array_sort("z").alias("sizes"), keyword_score(F.col("g"), F.col("z"), F.col("g"), F.col("z")).alias("own_score"))
+    _, skus = titled(m)
+    own = skus.select("sku_id", synonym_groups(F.col("short_title")).alias("g"), T.size_tokens(F.col("short_title")).alias("z"))
+    score = keyword_score(F.col("g"), F.col("z"), F.col("g"), F.col("z"))
+    return own.select("sku_id", F.array_join(F.array_sort("g").cast("array<string>"), ",").alias("groups"), F.array_join(F.array_sort("z"), ",").alias("sizes"), score.alias("own_score"))
 
 
 @query()
@@ -655,8 +693,9 @@ def ex5_configurable_variants(m):
 
 
 def variant_matches(m) -> DataFrame:
-    """Each SKU at the first competitors points to its brand's page."""
-    return m.match.join(m.part.select("sku_id", "cat_l4"), "sku_id").withColumn("competitor_url", F.concat(F.lit("https://shop.example/"), F.replace("cat_l4", F.lit("#"), F.lit("-")))).where("competitor_id % 25 = 0")
+    """Each SKU at its first competitor points to its brand's page."""
+    first = m.match.groupBy("sku_id").agg(F.min("competitor_id").alias("competitor_id"))
+    return first.join(m.part.select("sku_id", "cat_l4"), "sku_id").withColumn("competitor_url", F.concat(F.lit("https://shop.example/"), F.replace("cat_l4", F.lit("#"), F.lit("-"))))
 
 
 @query()
