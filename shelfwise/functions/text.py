@@ -89,9 +89,14 @@ def _number(text: Column, pattern: str) -> Column:
 
 
 def _first_in_range(text: Column, patterns: list[str]) -> Column:
-    """The first pattern whose first hit is a number from 2 to 500."""
-    hits = (_number(text, f"(?i){p}") for p in patterns)
-    return F.coalesce(*(F.when(n.between(2, 500), n) for n in hits))
+    """The first pattern whose first hit is a number from 2 to 500. The text and each hit are bound by lambdas, so that
+    each is worked out once a row however often it is named."""
+
+    def first(t: Column) -> Column:
+        hits = F.array(*(_number(t, f"(?i){p}") for p in patterns))
+        return F.get(F.filter(hits, lambda n: n.between(2, 500)), 0)
+
+    return F.get(F.transform(F.array(text), first), 0)
 
 
 def pack_qty(title: Column) -> Column:
