@@ -19,6 +19,12 @@ class Mapped:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread(self, df: DataFrame) -> DataFrame:
+        """Few row groups would leave most cores idle in the row-wise work that follows; where there are fewer scan
+        tasks than cores (small files alone) the rows are dealt out once."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
     @cached_property
     def part(self) -> DataFrame:
         key, size = F.col("p_partkey"), F.col("p_size")
@@ -61,6 +67,7 @@ class Mapped:
     def observation(self) -> DataFrame:
         """One row a price observation, before enrichment."""
         line = self.raw("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+        line = self.spread(line)
         own = self.part.select("p_partkey", "sku_id", "price_ex_vat", "p_name", "p_size")
         q, n = F.col("l_quantity"), F.col("l_linenumber")
         raw = F.floor(F.col("price_ex_vat") * (F.lit(0.8) + 4 * F.col("l_discount")) * (F.lit(1) + F.col("l_tax") / 10) * 100) / 100
