@@ -6,16 +6,18 @@
 3. Nodes of up to ``SMALL`` classes are compared exhaustively. In a larger node every class is compared with a few
    leaders of the node, paired with those most like it, and then branches: the node's own hash chooses positions, about ``BRANCH`` on average, and each
    token found there names a child. What two sets share they share in the children too, so similar classes stay
-   together while unlike ones part. At the last level only the leaders are compared: what has stayed in a large node
-   for so long shares nearly all tokens with them.
+   together while unlike ones part. This finds groups of near copies cheaply, but not every link (step 5).
 4. Comparing first estimates the similarity from the minwise tokens and drops pairs so far below the limit that a true
    link would be a one-in-a-million event. Links are then confirmed on the full sets. Of the candidate pairs each class
    first confirms its best; pairs that still lie between different components are confirmed in a second pass, so every
    candidate pair is either confirmed or lies inside one component.
-5. Components come from alternating large-star and small-star steps on tables of links.
+5. Then each large first node is compared exhaustively but for pairs that lie in one component already: classes outside
+   the node's largest component are compared with all of its classes, in a grid of salted blocks. A group of near copies
+   is one component by then and costs nothing more; a group of unlike texts that share much costs the square of its size.
+6. Components come from alternating large-star and small-star steps on tables of links.
 
-With the 12 first positions a link of similarity 0.8 between nodes that are never large is missed with probability
-0.2^12 (4e-9). tests/llm holds the result against brute force.
+With the 12 first positions a link of similarity 0.8 is missed with probability 0.2^12 (4e-9), in nodes of every size.
+tests/llm holds the result against brute force.
 
 Defined cases: null or empty text has an empty set, is linked with nothing and is its own component; a null doc_id
 never wins the smallest id, and a class that has no other is linked by equal sets alone (its component_id is null); repeated rows are all returned, and of rows
@@ -42,6 +44,8 @@ LEADERS = 24
 NEAREST = 2
 BRANCH = 1.25
 LEVELS = 3
+#: Classes of a large node that one side of a block has, about.
+BLOCK = 512
 #: Of WIDTH positions, how many may differ from what the limit lets expect before a pair is dropped (5 deviations).
 SIGMAS = 5.0
 
@@ -143,11 +147,71 @@ def _branch(level: int):
     return run
 
 
-def candidate_pairs(classes: DataFrame, limit: float) -> DataFrame:
-    """``classes`` has id, tokens, roots. Staged pairs (a, z, equal) with a < z; no pair twice."""
+def _compare_blocks(limit: float):
+    """Blocks (node, rows of is_left, is_minor, id, root, tokens, roots): left against right. A pair is given in the first
+    node that it shares, once."""
+    least = _least_equal(limit)
+
+    def run(batches):
+        for b in batches:
+            left, right, equal = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for node, rows in zip(b.column("node").to_pylist(), b.column("rows"), strict=True):
+                rows = rows.values
+                get = lambda name: rows.field(name)  # noqa: E731,B023
+                ids, roots = get("id").to_numpy(), get("root").to_numpy()
+                is_left, is_minor = (get(c).to_numpy(zero_copy_only=False) for c in ("is_left", "is_minor"))
+                tokens = np.frombuffer(b"".join(get("tokens").to_pylist()), np.uint8).reshape(len(ids), WIDTH)
+                nodes = get("roots").flatten().to_numpy().reshape(len(ids), ROOTS)
+                x, y = np.nonzero(is_left)[0], np.nonzero(~is_left)[0]
+                if not len(x) or not len(y):
+                    continue
+                same = np.zeros((len(x), len(y)), np.uint8)
+                tx, ty = np.ascontiguousarray(tokens[x].T), np.ascontiguousarray(tokens[y].T)
+                for k in range(WIDTH):
+                    same += (tx[k][:, None] == ty[k][None, :]).view(np.uint8)
+                i, j = np.nonzero(same >= least)
+                e, i, j = same[i, j].astype(np.int64), x[i], y[j]
+                # Two classes outside the largest component meet on either side
+                fit = (roots[i] != roots[j]) & (~is_minor[j] | (ids[i] < ids[j]))
+                e, i, j = e[fit], i[fit], j[fit]
+                shared = nodes[i] == nodes[j]
+                first = nodes[i, shared.argmax(axis=1)] == node
+                e, i, j = e[first], ids[i[first]], ids[j[first]]
+                left.append(np.minimum(i, j)), right.append(np.maximum(i, j)), equal.append(e)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (left, right, equal)], names=["a", "z", "equal"])
+
+    return run
+
+
+def pairs_apart(large: DataFrame, classes: DataFrame, rooted: DataFrame, limit: float) -> DataFrame:
+    """All pairs (a, z, equal) of the large first nodes (node, id) that may be linked and lie in different components;
+    ``rooted`` has node, root."""
+    of = classes.select("id", "tokens", "roots").join(rooted.select(F.col("node").alias("rooted_id"), "root"), F.col("id") == F.col("rooted_id"), "left")
+    rows = large.select("node", "id").join(of.select("id", "tokens", "roots", F.coalesce("root", "id").alias("root")), "id")
+    counted = rows.groupBy(F.col("node").alias("at"), "root").agg(F.count(F.lit(1)).alias("c"))
+    tops = (
+        counted.groupBy("at")
+        .agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("n"))
+        .where("top.c < n")
+        .select("at", F.col("top.root").alias("top_root"), *(F.ceil(c / F.lit(BLOCK)).cast("long").alias(x) for c, x in ((F.col("n") - F.col("top.c"), "rows_of"), (F.col("n"), "columns_of"))))
+    )
+    rows = staged(rows.join(tops, F.col("node") == F.col("at")).drop("at").withColumn("is_minor", F.col("root") != F.col("top_root")), "op3-apart")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    salt = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n))
+    what = F.struct("is_left", "is_minor", "id", "root", "tokens", "roots")
+    left = rows.where("is_minor").withColumns({"is_left": F.lit(True), "x": salt(1, "rows_of")}).withColumn("y", every("columns_of"))
+    right = rows.withColumns({"is_left": F.lit(False), "y": salt(2, "columns_of")}).withColumn("x", every("rows_of"))
+    sides = [df.select("node", "x", "y", what.alias("row")) for df in (left, right)]
+    blocks = sides[0].unionByName(sides[1]).groupBy("node", "x", "y").agg(F.collect_list("row").alias("rows"))
+    return blocks.select("node", "rows").mapInArrow(_compare_blocks(limit), "a long, z long, equal long")
+
+
+def candidate_pairs(classes: DataFrame, limit: float) -> tuple[DataFrame, DataFrame | None]:
+    """``classes`` has id, tokens, roots. Staged pairs (a, z, equal) with a < z; no pair twice. And the rows (node, id) of
+    the large first nodes, of which these are not all pairs."""
     tokens = classes.select("id", "tokens")
     rows = classes.select(F.explode("roots").alias("node"), "id")
-    parts = []
+    parts, first_large = [], None
     for level in range(LEVELS + 1):
         # Nodes of one class end here; most do
         sizes = rows.groupBy(F.col("node").alias("sized_node")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -162,6 +226,8 @@ def candidate_pairs(classes: DataFrame, limit: float) -> DataFrame:
         large = shared.where(F.col("n") > SMALL)
         if large.isEmpty():
             break
+        if level == 0:
+            first_large = large.select("node", "id")
         # A leader is the class with the smallest hash in one of LEADERS slices of its node
         leaders = (
             large.groupBy(F.col("node").alias("lead_node"), F.pmod(F.xxhash64("id", F.lit(level)), F.lit(LEADERS)).alias("slice"))
@@ -176,7 +242,7 @@ def candidate_pairs(classes: DataFrame, limit: float) -> DataFrame:
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    return staged(found.groupBy("a", "z").agg(F.max("equal").alias("equal")), "op3-candidates")
+    return staged(found.groupBy("a", "z").agg(F.max("equal").alias("equal")), "op3-candidates"), first_large
 
 
 def _confirm(n: int, percent: int):
@@ -245,13 +311,17 @@ def near_duplicates(docs: DataFrame, n: int, percent: int = 80) -> DataFrame:
         F.min("tokens").alias("tokens"), F.min("roots").alias("roots"),
     )
     classes = staged(by_set, "op3-classes")
-    pairs = candidate_pairs(classes.select("id", "tokens", "roots"), percent / 100)
-    # Texts of the classes that have a candidate, one each
-    wanted = pairs.select(F.explode(F.array("a", "z")).alias("id")).distinct()
-    texts = staged(
-        slim.where("doc_id is not null").join(wanted.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.max("text").alias("text")),
-        "op3-texts",
-    )
+    pairs, large = candidate_pairs(classes.select("id", "tokens", "roots"), percent / 100)
+
+    def texts_of(pairs: DataFrame, name: str) -> DataFrame:
+        # Texts of the classes that have a candidate, one each
+        wanted = pairs.select(F.explode(F.array("a", "z")).alias("id")).distinct()
+        return staged(
+            slim.where("doc_id is not null").join(wanted.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.max("text").alias("text")),
+            name,
+        )
+
+    texts = texts_of(pairs, "op3-texts")
     best = pairs.groupBy(F.col("z").alias("best_z")).agg(F.max(F.struct("equal", F.col("a"))).alias("b")).select(F.col("b.a").alias("a"), F.col("best_z").alias("z"))
     first = staged(confirmed(best, texts, n, percent), "op3-first")
     rooted = components(first, "op3-c1")
@@ -261,6 +331,11 @@ def near_duplicates(docs: DataFrame, n: int, percent: int = 80) -> DataFrame:
     links = first.unionByName(second)
     if not second.isEmpty():
         rooted = components(links, "op3-c2")
+    if large is not None:
+        rest = staged(pairs_apart(large, classes, rooted, percent / 100).join(pairs, ["a", "z"], "left_anti"), "op3-rest")
+        third = staged(confirmed(rest, texts_of(rest, "op3-texts3"), n, percent), "op3-third")
+        if not third.isEmpty():
+            rooted = components(links.unionByName(third), "op3-c3")
     tagged = classes.select("set_key", "id", "least_id").join(rooted, F.col("id") == F.col("node"), "left").select("set_key", "least_id", F.coalesce("root", "id").alias("root"))
     least = tagged.groupBy(F.col("root").alias("r")).agg(F.min("least_id").alias("component_id"))
     named = tagged.join(least, F.col("root") == F.col("r")).select(F.col("set_key").alias("k"), "component_id")

@@ -43,6 +43,18 @@ def test_a_large_group_of_near_copies_is_one_component(spark):
     assert got == brute(pairs) and {r[2] for r in got} == {0}
 
 
+def test_links_inside_a_group_that_shares_boilerplate(spark):
+    # 700 texts of similarity 0.74 to each other, and 100 pairs of 0.82 among them
+    common = [f"c{i}" for i in range(37)]
+    own = lambda k, n: [f"t{k}x{i}" for i in range(n)]
+    texts = [common + own(k, 6) for k in range(700)]
+    for k in range(200):
+        texts[k] = common + own(f"p{k // 2}", 2) + own(k, 4)
+    pairs = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    got = sorted(map(tuple, D.near_duplicates(table(spark, pairs), 4).collect()), key=str)
+    assert got == brute(pairs) and sum(r[2] != r[0] for r in got) == 100
+
+
 def test_near_duplicates_of_nothing(spark):
     assert D.near_duplicates(empty(spark), 4).count() == 0
 
