@@ -30,6 +30,8 @@ SHARE, MOST = 1.5, 2
 BLOCK, SHARD, CELLS = 128, 65_536, 4096
 SEED, STEP = "mix-1", 1_000_003
 SMALL = 10_000
+#: Multiples of this, modulo 1, are spread evenly.
+GOLDEN = 0.6180339887498949
 
 
 def words_in(text: Column) -> Column:
@@ -169,18 +171,27 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document as often as the mix takes it, to the nearest whole copy (a half counts up)."""
+    """Pipeline stage: each document as often as the mix takes it, in whole copies. Along a cell's documents, longest
+    first, the copies so far are the running sum of taken / size plus the cell's offset, rounded down; so a cell's words
+    differ from those taken by less than its longest document, and offsets that are spread evenly over the cells let
+    these differences cancel."""
     settle(spark)
     columns = docs.columns
     slim = staged(docs.select("doc_id", "source", words_in(F.col("text")).alias("size")), "mix-sizes")
     targets = _within(source_targets(slim))
     quotas = _within(cell_quotas(dealt(slim, targets)))
     rows = dealt(docs.withColumn("size", words_in(F.col("text"))), targets)
-    copies = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")
+    longest = Window.partitionBy("source", "shard").orderBy(F.desc("size"), "deal_key", F.asc_nulls_last("doc_id"), "taken")
+    so_far = F.sum(F.col("taken") / F.col("size")).over(longest.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    offset = (F.lit(0.5) + F.col("shard") * GOLDEN) % 1
+    # Sums of fractions that make up a whole number may end just below it
+    upto = F.floor(F.col("so_far") + offset + 1e-9)
+    before = F.floor(F.col("so_far") - F.col("taken") / F.col("size") + offset + 1e-9)
     return (
         words_taken(rows, quotas)
         .where("size > 0")
-        .withColumn("copies", copies)
+        .withColumn("so_far", so_far)
+        .withColumn("copies", (upto - before).cast("int"))
         .where("copies > 0")
         .withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
         .select(*columns)

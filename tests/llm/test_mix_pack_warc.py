@@ -44,6 +44,19 @@ def test_mix_comes_near_its_targets(spark):
     assert abs(sum(target.values()) - 1.5 * sum(r.size for r in out)) < 1e-3
 
 
+def test_stage_emits_the_words_of_its_targets(spark):
+    # (documents, words of each) of a source; s2 is to keep a third of its words, in long documents
+    sizes = {"s0": (50, 2000), "s1": (400, 100), "s2": (60, 2000), "s3": (100, 1000), "s4": (400, 100)}
+    docs = [(i, s, n) for i, (s, n) in enumerate((s, n) for s, (k, n) in sizes.items() for _ in range(k))]
+    df = table(spark, [(i, "w " * n) for i, _, n in docs], source=lambda i: docs[i][1])
+    target = {r.mix_source: r.target for r in M.source_targets(df.select("source", M.words_in(df.text).alias("size"))).collect()}
+    assert target["s2"] < 0.5 * 120_000
+    emitted = Counter()
+    for r in M.mix_documents(spark, df, "").collect():
+        emitted[r.source] += len(r.text.split())
+    assert all(abs(emitted[s] - t) <= 0.02 * t + sizes[s][1] for s, t in target.items())
+
+
 def test_seats_are_those_of_the_highest_quotients(spark):
     rng = random.Random(3)
     cells = [(f"s{i}", 0, rng.randint(200, 9000)) for i in range(12)]
