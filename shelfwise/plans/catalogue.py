@@ -554,10 +554,11 @@ def _term(key):
     return F.element_at(F.array(*map(F.lit, TERMS)), (key % len(TERMS) + 1).cast("int"))
 
 
-def titled(m) -> tuple[DataFrame, DataFrame]:
-    """SKUs whose titles carry a product word, and as competitor products the newest priced observation of each."""
+def titled(m, keys=("sku_id",)) -> tuple[DataFrame, DataFrame]:
+    """SKUs whose titles carry a product word, and as competitor products the newest priced observation of each (or of
+    each of ``keys``)."""
     skus = m.part.select("sku_id", F.concat("short_title", F.lit(" "), _term(F.col("p_partkey"))).alias("short_title"), "price_ex_vat", "unit_qty")
-    newest = latest_per_pair(m.observation.where("raw_price is not null"), ["sku_id"], tie=("run_id", "seq", "competitor_id"))
+    newest = latest_per_pair(m.observation.where("raw_price is not null"), list(keys), tie=("run_id", "seq", "competitor_id"))
     url = F.concat(F.lit("https://shop.example/p/"), "run_id", F.lit("-"), "seq", F.lit("-"), "sku_id")
     profile = F.concat("comp_title", F.lit(" "), _term(F.col("run_id") * 7 + F.col("seq")))
     return newest.select("competitor_id", url.alias("url"), profile.alias("profile"), F.col("raw_price").alias("price"), F.array().cast("array<string>").alias("sku_codes")), skus
@@ -608,6 +609,13 @@ def cmp2_match_candidates(m):
     return M.match_candidates(pages, skus, m.match)
 
 
+@query()
+def cmp2_match_candidates_all(m):
+    """Every competitor's product of every SKU; the SQL above states one product a SKU, a cross join of all is too slow."""
+    pages, skus = titled(m, PAIR)
+    return M.match_candidates(pages, skus, m.match)
+
+
 @query(TITLED + """
 SELECT sku_id, array_to_string(list_sort(g), ',') AS groups, array_to_string(list_sort(z), ',') AS sizes,
        CAST(least(50, 25 * len(g)) + CASE WHEN len(z) > 0 THEN 30 ELSE 0 END AS INT) AS own_score FROM own

@@ -2,6 +2,7 @@
 
 import itertools
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from shelfwise.operators import merge as G
 from shelfwise.operators import variants as V
 from shelfwise.operators import windows as W
 from shelfwise.operators.snapshots import enrich_snapshots, latest_per_pair, price_alerts
+from shelfwise.plans import catalogue
 from shelfwise.plans.catalogue import titled
 from shelfwise.sources import io
 from shelfwise.sources.mapped import Mapped
@@ -30,6 +32,18 @@ def test_candidates_by_blocks_are_all_candidates(spark):
     assert got == {tuple(r) for r in every.collect()} and got
 
 
+def test_candidates_of_every_competitor_equal_sql(spark):
+    db = duckdb.connect()
+    for t in ("part", "supplier", "lineitem", "orders"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    one = "PARTITION BY sku_id ORDER BY"
+    text = catalogue.ORACLE_SQL["cmp2_match_candidates"]
+    assert text.count(one) == 1
+    want = db.sql(text.replace(one, "PARTITION BY sku_id, competitor_id ORDER BY")).fetchall()
+    got = catalogue.QUERIES["cmp2_match_candidates_all"](spark, SF).select("competitor_id", "url", "sku_id", "score", "place").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(got) > 20_000
+
+
 def test_a_low_bound_is_refused(spark):
     with pytest.raises(ValueError):
         M.scored_pairs(*titled(Mapped(spark, SF)), min_score=20)
