@@ -678,10 +678,19 @@ def ex4_page_facts(m):
     return X.page_facts(shop_pages(m))
 
 
-def configured_pages(m) -> DataFrame:
-    """A page a brand; its parts are the children of a configurable product."""
+#: Keys of the parts that may share a page, so that pages stay small and their number grows with part.
+FAMILY = 100
+
+
+def _page_url(mark: str) -> F.Column:
+    family = F.floor(F.col("p_partkey") / FAMILY).cast("string")
+    return F.concat(F.lit("https://shop.example/"), F.replace("cat_l4", F.lit("#"), F.lit("-")), F.lit(mark), family)
+
+
+def configured_pages(m, mark: str = "/") -> DataFrame:
+    """A page a brand and family of parts, the children of a configurable product."""
     child = F.struct(F.col("p_partkey").cast("string").alias("id"), "price_ex_vat", "short_title", (F.col("p_partkey") % 3 != 0).alias("ok"), (F.col("p_size") % 8).cast("string").alias("z"))
-    by = m.part.groupBy("cat_l4").agg(F.array_sort(F.collect_list(child)).alias("c"))
+    by = m.part.groupBy(_page_url(mark).alias("url")).agg(F.array_sort(F.collect_list(child)).alias("c"))
     join = lambda f: F.array_join(F.transform("c", f), ",")
     q = F.lit('"')
     prices = join(lambda c: F.concat(q, c["id"], F.lit('":{"basePrice":{"amount":'), F.format_string("%.2f", c["price_ex_vat"]), F.lit('},"finalPrice":{"amount":'), F.format_string("%.2f", c["price_ex_vat"] * 1.2), F.lit("}}")))
@@ -689,7 +698,7 @@ def configured_pages(m) -> DataFrame:
     sale = join(lambda c: F.concat(q, c["id"], F.lit('":'), c["ok"].cast("string")))
     options = ",".join(f'{{"id":"{i}","label":"A{i}"}}' for i in range(8))
     blob = F.concat(F.lit('{"attributes":{"9":{"code":"size","label":"Size","options":[' + options + ']}},"optionPrices":{'), prices, F.lit('},"index":{'), index, F.lit('},"is_saleable":{'), sale, F.lit("}}"))
-    return by.select(F.concat(F.lit("https://shop.example/"), F.replace("cat_l4", F.lit("#"), F.lit("-"))).alias("url"), F.concat(F.lit("<script>initConfigurableOptions('1', "), blob, F.lit(")</script>")).alias("html"))
+    return by.select("url", F.concat(F.lit("<script>initConfigurableOptions('1', "), blob, F.lit(")</script>")).alias("html"))
 
 
 @query("""
@@ -697,13 +706,12 @@ SELECT concat('https://shop.example/', replace(cat_l4, '#', '-')) AS parent_url,
        round_even(price_ex_vat * 100, 0) / 100 AS price_ex_vat, p_partkey % 3 <> 0 AS in_stock FROM sku
 """)
 def ex5_configurable_variants(m):
-    return X.configurable_variants(configured_pages(m)).select("parent_url", "variant_id", "variant_title", "price_ex_vat", "in_stock")
+    return X.configurable_variants(configured_pages(m, "?family=")).select("parent_url", "variant_id", "variant_title", "price_ex_vat", "in_stock")
 
 
 def variant_matches(m) -> DataFrame:
-    """Each SKU at its first competitor points to its brand's page."""
-    first = m.match.groupBy("sku_id").agg(F.min("competitor_id").alias("competitor_id"))
-    return first.join(m.part.select("sku_id", "cat_l4"), "sku_id").withColumn("competitor_url", F.concat(F.lit("https://shop.example/"), F.replace("cat_l4", F.lit("#"), F.lit("-"))))
+    """Each SKU points to its family's page, at every competitor."""
+    return m.match.select(*PAIR).join(m.part.select("sku_id", _page_url("/").alias("competitor_url")), "sku_id")
 
 
 @query()

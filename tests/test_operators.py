@@ -44,6 +44,17 @@ def test_candidates_of_every_competitor_equal_sql(spark):
     assert sorted(map(tuple, got)) == sorted(want) and len(got) > 20_000
 
 
+def test_variants_of_every_match(spark):
+    m = Mapped(spark, SF)
+    matches = catalogue.variant_matches(m)
+    assert sorted(map(tuple, matches.select("sku_id", "competitor_id").collect())) == sorted(map(tuple, m.match.select("sku_id", "competitor_id").collect()))
+    pages = catalogue.configured_pages(m)
+    brands = m.part.groupBy("cat_l4").count().count()
+    assert pages.count() > brands and X.configurable_variants(pages).count() == m.part.count()
+    best = catalogue.QUERIES["win5_best_variant"](spark, SF)
+    assert best.select("sku_id", "competitor_id").distinct().count() == m.match.count()
+
+
 def test_a_low_bound_is_refused(spark):
     with pytest.raises(ValueError):
         M.scored_pairs(*titled(Mapped(spark, SF)), min_score=20)
