@@ -770,6 +770,33 @@ def mrg3_search_merge(m):
     return G.merge_search_matches(base, changes).select(*PAIR, "confidence", "match_status")
 
 
+def whole(m) -> tuple[DataFrame, DataFrame]:
+    """All matches as the table; as changes all of them, ten points up, and as many of unknown keys."""
+    changes = m.match.withColumn("confidence", F.col("confidence") + 10)
+    return m.match, changes.unionByName(changes.withColumn("competitor_id", -1 - F.col("competitor_id")))
+
+
+def _whole_sql(name: str) -> str:
+    merged = ORACLE_SQL[name].rpartition("SELECT sku_id, competitor_id,")
+    rows = ", b AS (SELECT * FROM match), c AS (SELECT sku_id, competitor_id, confidence + 10 AS nc FROM match UNION ALL SELECT sku_id, -1 - competitor_id, confidence + 10 FROM match)\n"
+    return rows + merged[1] + merged[2]
+
+
+@query(_whole_sql("mrg4_sitemap_merge"))
+def mrg4_sitemap_merge_all(m):
+    return G.merge_sitemap_matches(*whole(m)).select(*PAIR, "confidence", "match_status")
+
+
+@query(_whole_sql("mrg2_scrape_merge"))
+def mrg2_scrape_merge_all(m):
+    return G.merge_scrape_matches(*whole(m)).select(*PAIR, "confidence", "match_status")
+
+
+@query(_whole_sql("mrg3_search_merge"))
+def mrg3_search_merge_all(m):
+    return G.merge_search_matches(*whole(m)).select(*PAIR, "confidence", "match_status")
+
+
 @query("""
 SELECT sku_id, competitor_id, CASE WHEN confidence % 3 = 0 THEN CASE WHEN confidence % 2 = 0 THEN 'matched' ELSE 'rejected' END ELSE match_status END AS match_status,
        confidence % 3 = 0 OR human_reviewed AS human_reviewed FROM match
