@@ -7,6 +7,7 @@ exactly those bytes, and since they are ASCII it never cuts inside a UTF-8 chara
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -27,9 +28,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a folder
+    of its own; on a cluster that folder would be seen by one machine alone, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or _fallback.get("dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = _fallback["dir"] = tempfile.mkdtemp(prefix="spark-")
     return found.rstrip("/")
 
@@ -39,12 +43,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Small Arrow batches, so that a worker's memory follows bytes rather than rows, and shuffle files that go as soon as the
+#: query that wrote them has ended.
+SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8388608",
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
+
+
 def settle(spark: SparkSession) -> None:
-    """Session settings the operators rely on: small Arrow batches, so that a worker's memory follows bytes rather
-    than rows, and shuffle files that go as soon as the query that wrote them has ended."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8388608")
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    """Gives the session the SETTINGS that it has no value of its own for; what a caller has set stays. They are not taken
+    back, since the DataFrame that an operator returns runs later."""
+    own = spark.conf.getAll
+    for key, value in SETTINGS.items():
+        if key not in own:
+            spark.conf.set(key, value)
 
 
 def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:

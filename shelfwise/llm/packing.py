@@ -6,8 +6,10 @@ the longest down; a segment tree over remaining capacities finds the tightest op
 equal remainder take their pieces as one run. Spark ranks the pieces within their length (dealt by a hash first, so that
 a length that many copies share is ranked by many tasks) and joins them with the runs.
 
-Defined cases: null or empty text is the end id alone; repeated rows are packed as separate documents; null doc_ids are
-packed too; an empty table gives an empty result. Only doc_id and text are read.
+Defined cases: null or empty text is the end id alone; a text of any length is cut into as many pieces as it needs;
+repeated rows are packed as separate documents, and rows that tie in every column take any order among themselves, which
+changes nothing in the result; null doc_ids are packed too; an empty table gives an empty result. Only doc_id and text
+are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -106,7 +108,7 @@ def _cut(path: str, capacity: int, end: int):
         ids_of = text_ids(path, lead=True)
         for b in batches:
             out = []
-            for doc, ids in zip(b.column("doc_id").to_pylist(), ids_of.encode(b.column("text").to_pylist()), strict=True):
+            for doc, ids in zip(b.column("doc_id").to_pylist(), ids_of.encode(b.column("text")), strict=True):
                 ids += tail
                 n = len(ids) // 4
                 first = n if n <= capacity else n % capacity or capacity
@@ -133,15 +135,16 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     offsets = staged(dealt.withColumn("ranks_before", F.coalesce(F.sum("n").over(before), F.lit(0))), "op6-ranks")
     counts = {r["of_length"]: r["n"] for r in offsets.groupBy("of_length").agg(F.sum("n").alias("n")).collect()}
     runs = spark.createDataFrame(plan(counts, capacity), "run_length long, rank_from long, rank_to long, sequence_from long, offset long")
+    # What a salt's pieces need of the plan travels by the key that they are ranked by, so nothing is broadcast
+    meets = (F.col("of_length") == F.col("run_length")) & (F.col("rank_from") < F.col("ranks_before") + F.col("n")) & (F.col("rank_to") > F.col("ranks_before"))
+    parts = offsets.join(runs, meets).select("of_length", "of_salt", "ranks_before", "rank_from", "rank_to", "sequence_from", "offset")
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = (
+    rank = F.col("ranks_before") + F.col("rank_in_salt") - 1
+    place = (F.col("length") == F.col("of_length")) & (F.col("salt") == F.col("of_salt")) & (rank >= F.col("rank_from")) & (rank < F.col("rank_to"))
+    return (
         salted.withColumn("rank_in_salt", F.row_number().over(within))
-        .join(F.broadcast(offsets), (F.col("length") == F.col("of_length")) & (F.col("salt") == F.col("of_salt")))
-        .withColumn("rank", F.col("ranks_before") + F.col("rank_in_salt") - 1)
-    )
-    place = (F.col("length") == F.col("run_length")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to"))
-    return ranked.join(F.broadcast(runs), place).select(
-        "doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence_from") + F.col("rank") - F.col("rank_from")).alias("sequence_id"), "offset"
+        .join(parts, place)
+        .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence_from") + rank - F.col("rank_from")).alias("sequence_id"), "offset")
     )
 
 

@@ -5,8 +5,10 @@ Documents are range-partitioned and sorted by doc_id; each partition is a shard.
 read alone and a damaged one is noticed. A segment is one record of a Parquet file, whose footer is the index: shard,
 segment, documents and ids of each.
 
-Defined cases: null or empty text is the end id alone; null doc_ids come first; repeated rows are separate documents,
-ordered among themselves by text; an empty table gives an empty result. Only doc_id and text are read.
+Defined cases: null or empty text is the end id alone; a very long text is a segment of its own; null doc_ids come first;
+rows that tie in doc_id are separate documents, ordered among themselves by a hash of the text, and many of them are still cut into
+shards, since the hash is part of the range key; an empty table gives an empty result. Only doc_id and text are read, so
+other columns may have any name.
 """
 
 from __future__ import annotations
@@ -59,7 +61,7 @@ def _write(path: str, end: int):
             )
 
         for b in batches:
-            for at, doc, ids in zip(b.column("shard").to_pylist(), b.column("doc_id").to_pylist(), ids_of.encode(b.column("text").to_pylist()), strict=True):
+            for at, doc, ids in zip(b.column("shard").to_pylist(), b.column("doc_id").to_pylist(), ids_of.encode(b.column("text")), strict=True):
                 shard = at
                 docs.append(doc), runs.append(ids + tail)
                 held += len(runs[-1]) // 4
@@ -76,8 +78,10 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer_path: str, end: int = END)
     """Writes the shards below ``uri``; text is tokenised where it is written."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     (
-        slim.repartitionByRange(partitions_for(docs.sparkSession), F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+        slim.withColumn("tie", F.xxhash64("text"))
+        .repartitionByRange(partitions_for(docs.sparkSession), F.col("doc_id").asc_nulls_first(), "tie")
+        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "text")
+        .drop("tie")
         .withColumn("shard", F.spark_partition_id())
         .mapInArrow(_write(tokenizer_path, end), "shard int, segment long, n_docs long, n_tokens long, data binary")
         .write.option("compression", "uncompressed")

@@ -1,5 +1,6 @@
 import hashlib
 import zlib
+from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -18,6 +19,10 @@ from tests.llm.helpers import empty, rows, table
 WORD, BYTE = (public_tokenizers.path(f) for f in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 
 
+_plain = lru_cache(Tokenizer.from_file)
+_cached = lru_cache(TextIds)
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.integers(0, 65535), max_size=2600), st.integers(1, 40))
 def test_coder_gives_back_any_ids(ids, repeat):
@@ -37,25 +42,40 @@ def test_coder_on_regular_runs_is_small_and_damage_is_noticed():
 
 @pytest.mark.parametrize("path, lead", [(WORD, False), (BYTE, True)])
 def test_cached_ids_are_the_tokenizer_s(path, lead):
-    texts = ["a  b", " a", "a ", "x<|endoftext|>y <|endoftext|>", "a\n\nb  c\t d", "don't 123 4", "ΑΣ. İstanbul é́", "a\x1cb \x1c", "日本語 テ", "", None, "tab\tx\r\nz"]
+    texts = ["a  b", " a", "a ", "x<|endoftext|>y <|endoftext|>", "a\n\nb  c\t d", "don't 123 4", "ΑΣ. İstanbul é́", "a\x1cb \x1c", "日本語 テ", "", None, "tab\tx\r\nz", "a \0b", "\0a \0", "x\ny|\n>", "\n a\nb\n\nc", "x" * 300_000, "y " * 100_000]
     texts += [t for _, t in rows()]
     plain = Tokenizer.from_file(path)
     want = [np.array(plain.encode(t or "", add_special_tokens=False).ids, np.uint32).tobytes() for t in texts]
-    ids = TextIds(path, lead, most=50)
+    ids = TextIds(path, lead, most=5000)
     assert [ids.encode([t])[0] for t in texts] == want and ids.encode(texts) == want
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*"ab \0\n\tZé'1.,-\x1c\u3000日\u2028", "  ", " The", "\nthe", "don't", "<|endoftext|>", " \0b", "\r\n"]), max_size=14), max_size=20))
+@pytest.mark.parametrize("path, lead", [(WORD, False), (BYTE, True)])
+def test_ids_of_any_characters(path, lead, parts):
+    texts = ["".join(p) for p in parts]
+    plain = _plain(path)
+    assert _cached(path, lead).encode(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, np.uint32).tobytes() for t in texts]
+
+
+def _coded(plain, text):
+    ids = np.array(plain.encode(text or "", add_special_tokens=False).ids + [1], "<u4")
+    return len(ids), zlib.crc32(ids.tobytes())
+
+
 def test_token_files(spark, tmp_path):
     docs, plain = table(spark, rows()), Tokenizer.from_file(WORD)
     K.write_tokens(docs, str(tmp_path / "t"), WORD)
     got = sorted(map(tuple, K.read_tokens(spark, str(tmp_path / "t")).collect()), key=lambda r: r[1])
-    order = sorted(rows(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
-    want, start = [], 0
-    for i, text in order:
-        ids = np.array(plain.encode(text or "", add_special_tokens=False).ids + [1], "<u4")
-        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
-        start += len(ids)
-    assert got == want
+    assert [r[0] for r in got] == sorted((i for i, _ in rows()), key=lambda i: (i is not None, i or 0))
+    want, start, left = [], 0, list(rows())
+    for r in got:  # rows that tie in doc_id take any order
+        i, text = next(x for x in left if x[0] == r[0] and r[2:] == _coded(plain, x[1]))
+        left.remove((i, text))
+        want.append((i, start, *r[2:]))
+        start += r[2]
+    assert got == want and not left
 
 
 def test_token_files_of_nothing(spark, tmp_path):
