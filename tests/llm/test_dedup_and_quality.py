@@ -79,6 +79,45 @@ def test_counts():
     assert Q.counts(None)[:5] == Q.counts("")[:5] == [0] * 5
 
 
+def test_path_lengths_are_those_of_one_walk_a_row():
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(500, 10)).round(1)  # ties in every column
+    forest = Q.fit(x, np.linspace(0, 1, 10), trees=20)
+
+    def depth(t, row):
+        at, steps = 0, 0
+        while forest.column[t][at] >= 0:
+            at = int(forest.left[t][at]) + bool(row[forest.column[t][at]] >= forest.cut[t][at])
+            steps += 1
+        return steps, at
+
+    want = []
+    for row in x:
+        total = 0.0
+        for t in range(20):
+            steps, leaf = depth(t, row)
+            assert forest.depth[t][leaf] >= steps  # the leaf adds the usual depth of what it still holds
+            total += forest.depth[t][leaf]
+        want.append(2 ** (-total / 20 / Q._usual_depth(Q.SAMPLE)))
+    assert np.allclose(forest.score(x), want)
+    for t in range(20):  # the sampled rows reach every leaf, and a leaf at the limit holds what its depth says
+        leaves = {leaf: steps for steps, leaf in (depth(t, r) for r in x)}
+        assert all(abs(forest.depth[t][leaf] - steps) < 12 for leaf, steps in leaves.items())
+    assert not (forest.column == 0).any()  # a weight of 0 is never split on
+    lone = np.vstack([x, np.full((1, 10), 40.0)])
+    scores = Q.fit(lone, np.ones(10)).score(lone)
+    assert scores[-1] > scores[:-1].max()
+
+
+def test_threshold_is_measured_on_rows_apart(spark):
+    data = labelled(600)
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in data], "doc_id long, quality int, toxic int")
+    got = Q.train(Q.statistics(table(spark, [(i, t) for i, t, _ in data])), labels).measured
+    assert got["junk_caught"] >= 0.7 * got["junk"] > 0 and got["clean"] > 50 and got["clean_lost"] <= 2
+    telling = Q.telling(np.array([[0.0, 1], [1, 0], [2, 1], [3, 0]]), np.array([True, True, False, False]))
+    assert telling.tolist() == [1, 0]
+
+
 def labelled(n=300):
     rng = np.random.default_rng(5)
     out = []
