@@ -16,12 +16,16 @@
    is one component by then and costs nothing more; a group of unlike texts that share much costs the square of its size.
 6. Components come from alternating large-star and small-star steps on tables of links.
 
-With the 12 first positions a link of similarity 0.8 is missed with probability 0.2^12 (4e-9), in nodes of every size.
-tests/llm holds the result against brute force.
-
-Defined cases: null or empty text has an empty set, is linked with nothing and is its own component; a null doc_id
-never wins the smallest id, and a class that has no other is linked by equal sets alone (its component_id is null); repeated rows are all returned, and of rows
-with the smallest doc_id all count as kept; an empty table gives an empty result. Only doc_id and text are read.
+With the 12 first positions a link of similarity 0.8 is missed with probability 0.2^12 (4e-9), in nodes of every size:
+leaders and branching only gather near copies, so that step 5 has little left. tests/llm holds the result against brute
+force.
+
+Defined cases: null or empty text has an empty set, is linked with nothing and is its own component. A class is known by
+its set and never by a doc_id: documents with null doc_id pass on links like any other, and rows that share a doc_id but
+not a text are classes of their own. A null doc_id never wins the smallest id; a component without any other has a null
+component_id. Repeated rows are all returned, and of rows that tie in the smallest doc_id all count as kept. A very long
+text is taken whole. An empty table gives an empty result. Only doc_id and text are read, so other columns may have any
+name.
 """
 
 from __future__ import annotations
@@ -30,10 +34,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import read, settle, shingles, staged, stir
+from shelfwise.llm.common import WORD, read, settle, shingles, spare_name, staged, stir
 
 WIDTH = 128
 ROOTS = 12
@@ -48,6 +52,8 @@ LEVELS = 3
 BLOCK = 512
 #: Of WIDTH positions, how many may differ from what the limit lets expect before a pair is dropped (5 deviations).
 SIGMAS = 5.0
+#: Rows of a large node that are compared with its leaders in one group.
+LED = 2048
 
 _A = stir(np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _B = stir(np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
@@ -63,7 +69,7 @@ def minwise(shingle_hashes: np.ndarray) -> np.ndarray:
 
 
 def _sign(n: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("tokens", pa.binary()), ("roots", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("tokens", pa.binary()), ("roots", pa.list_(pa.int64()))])
     tree = stir(np.arange(1, ROOTS + 1, dtype=np.uint64))
 
     def run(batches):
@@ -79,9 +85,9 @@ def _sign(n: int):
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                 tokens.append((stir(low) >> np.uint64(56)).astype(np.uint8).tobytes())
                 roots.append(stir(low[:ROOTS] ^ tree).view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(tokens, pa.binary()), pa.array(roots, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(tokens, pa.binary()), pa.array(roots, pa.list_(pa.int64()))], schema=schema)
 
-    return run, "doc_id long, n_shingles long, set_key binary, tokens binary, roots array<long>"
+    return run, "doc_id long, text_key binary, n_shingles long, set_key binary, tokens binary, roots array<long>"
 
 
 def _least_equal(limit: float) -> int:
@@ -228,14 +234,18 @@ def candidate_pairs(classes: DataFrame, limit: float) -> tuple[DataFrame, DataFr
             break
         if level == 0:
             first_large = large.select("node", "id")
-        # A leader is the class with the smallest hash in one of LEADERS slices of its node
+        # A leader is the class with the smallest hash in one of LEADERS slices of its node. A large node's rows meet them in
+        # groups of about LED rows
+        groups = F.ceil(F.col("n") / F.lit(LED)).cast("long")
         leaders = (
             large.groupBy(F.col("node").alias("lead_node"), F.pmod(F.xxhash64("id", F.lit(level)), F.lit(LEADERS)).alias("slice"))
-            .agg(F.min(F.struct(F.xxhash64("id", "node").alias("h"), "id", "tokens")).alias("l"))
+            .agg(F.min(F.struct(F.xxhash64("id", "node").alias("h"), "id", "tokens")).alias("l"), F.max(groups).alias("groups"))
             .groupBy("lead_node")
-            .agg(F.collect_list("l.id").alias("lead_ids"), F.collect_list("l.tokens").alias("lead_tokens"))
+            .agg(F.collect_list("l.id").alias("lead_ids"), F.collect_list("l.tokens").alias("lead_tokens"), F.max("groups").alias("groups"))
+            .withColumn("lead_group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
         )
-        led = large.join(leaders, F.col("node") == F.col("lead_node")).select("id", "tokens", "lead_ids", "lead_tokens")
+        group = F.pmod(F.xxhash64("id", F.lit("group")), groups)
+        led = large.withColumn("in_group", group).join(leaders, (F.col("node") == F.col("lead_node")) & (F.col("in_group") == F.col("lead_group"))).select("id", "tokens", "lead_ids", "lead_tokens")
         parts.append(led.mapInArrow(_compare_leaders(limit), "a long, z long, equal long"))
         if level < LEVELS:
             rows = large.select("node", "id", "tokens").mapInArrow(_branch(level), "node long, id long")
@@ -277,13 +287,14 @@ def components(links: DataFrame, name: str, rounds: int = 30) -> DataFrame:
     for i in range(rounds):
         # Large star: every neighbour above a node moves to the node's smallest neighbour
         both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        least = both.groupBy(F.col("x").alias("c")).agg(F.min("y").alias("y_min")).select("c", F.least("c", "y_min").alias("m"))
-        large = both.where("y > x").join(least, F.col("x") == F.col("c")).select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+        # What is joined with is staged first: a hub's edges then lie in a plain shuffle, which adaptive execution can split
+        least = staged(both.groupBy(F.col("x").alias("c")).agg(F.min("y").alias("y_min")).select("c", F.least("c", "y_min").alias("m")), f"{name}-least{i}")
+        large = both.where("y > x").hint("merge").join(least, F.col("x") == F.col("c")).select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
         large = staged(large, f"{name}-large{i}")
         # Small star: a node and its smaller neighbours move to the smallest of them
-        low = large.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))
+        low = staged(large.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")), f"{name}-low{i}")
         small = (
-            large.join(low, F.col("u") == F.col("c"))
+            large.hint("merge").join(low, F.col("u") == F.col("c"))
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .where("u <> v")
             .unionByName(low.select(F.col("c").alias("u"), F.col("m").alias("v")))
@@ -300,26 +311,29 @@ def components(links: DataFrame, name: str, rounds: int = 30) -> DataFrame:
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, n: int, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def text_key(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+
+
+def grouped(docs: DataFrame, n: int, percent: int = 80) -> DataFrame:
+    """doc_id, text_key (MD5 of the text), n_shingles, root: one row for each row of docs. Rows of one component have one
+    root; it is null where the set is empty."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", text_key(F.col("text")))
     run, schema = _sign(n)
     signed = staged(slim.mapInArrow(run, schema), "op3-signed")
-    # A class is known by its smallest doc_id; a negative hash stands in where all are null
     by_set = signed.where("set_key is not null").groupBy("set_key").agg(
-        F.coalesce(F.min("doc_id"), -F.abs(F.xxhash64("set_key"))).alias("id"), F.min("doc_id").alias("least_id"),
-        F.min("tokens").alias("tokens"), F.min("roots").alias("roots"),
-    )
-    classes = staged(by_set, "op3-classes")
+        F.min(F.struct("doc_id", "text_key")).alias("one"), F.min("tokens").alias("tokens"), F.min("roots").alias("roots")
+    )
+    # Ids are fixed once they are written
+    classes = staged(by_set.withColumn("id", F.monotonically_increasing_id()), "op3-classes")
     pairs, large = candidate_pairs(classes.select("id", "tokens", "roots"), percent / 100)
 
     def texts_of(pairs: DataFrame, name: str) -> DataFrame:
-        # Texts of the classes that have a candidate, one each
+        # Texts of the classes that have a candidate, one each: the class's first row
         wanted = pairs.select(F.explode(F.array("a", "z")).alias("id")).distinct()
-        return staged(
-            slim.where("doc_id is not null").join(wanted.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.max("text").alias("text")),
-            name,
-        )
+        rows = classes.select("id", F.col("one.doc_id").alias("one_id"), F.col("one.text_key").alias("one_key")).join(wanted, "id")
+        same = F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("text_key") == F.col("one_key"))
+        return staged(slim.join(rows.hint("merge"), same).groupBy("doc_id", "text_key", "id").agg(F.first("text").alias("text")).select("id", "text"), name)
 
     texts = texts_of(pairs, "op3-texts")
     best = pairs.groupBy(F.col("z").alias("best_z")).agg(F.max(F.struct("equal", F.col("a"))).alias("b")).select(F.col("b.a").alias("a"), F.col("best_z").alias("z"))
@@ -336,11 +350,17 @@ def near_duplicates(docs: DataFrame, n: int, percent: int = 80) -> DataFrame:
         third = staged(confirmed(rest, texts_of(rest, "op3-texts3"), n, percent), "op3-third")
         if not third.isEmpty():
             rooted = components(links.unionByName(third), "op3-c3")
-    tagged = classes.select("set_key", "id", "least_id").join(rooted, F.col("id") == F.col("node"), "left").select("set_key", "least_id", F.coalesce("root", "id").alias("root"))
-    least = tagged.groupBy(F.col("root").alias("r")).agg(F.min("least_id").alias("component_id"))
-    named = tagged.join(least, F.col("root") == F.col("r")).select(F.col("set_key").alias("k"), "component_id")
-    out = signed.select("doc_id", "n_shingles", "set_key").join(named, F.col("set_key") == F.col("k"), "left")
-    component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    named = classes.select(F.col("set_key").alias("k"), "id").join(rooted, F.col("id") == F.col("node"), "left").select("k", F.coalesce("root", "id").alias("root"))
+    named = staged(named, "op3-named")
+    return signed.select("doc_id", "text_key", "n_shingles", "set_key").hint("merge").join(named, F.col("set_key") == F.col("k"), "left").select("doc_id", "text_key", "n_shingles", "root")
+
+
+def near_duplicates(docs: DataFrame, n: int, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
+    rows = staged(grouped(docs, n, percent), "op3-rows")
+    least = staged(rows.where("root is not null").groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("component_id")), "op3-least")
+    out = rows.hint("merge").join(least, F.col("root") == F.col("r"), "left")
+    component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -350,9 +370,19 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, on five-word shingles: one document of each group stays, the one with the smallest doc_id (of
-    repeated rows with that id, the first by text); documents with null doc_id stay."""
+    """Pipeline stage, on five-word shingles: one document of each group stays, the one with the smallest doc_id (null
+    last); of rows that tie in it, the one with the smallest MD5 of its text, then the smallest other columns. Unlike texts
+    under one doc_id are groups of their own, and documents without words all stay."""
     settle(spark)
-    kept = near_duplicates(docs, 5).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    rows = grouped(docs, 5)
+    first = rows.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("w"))
+    winners = staged(first.select(F.col("w.doc_id").alias("won_id"), F.col("w.text_key").alias("won_key")), "dedup-winners")
+    key, place = spare_name(docs, "text_key"), spare_name(docs, "place")
+    keyed = docs.withColumn(key, text_key(F.col("text")))
+    mine = F.col("doc_id").cast("long").eqNullSafe(F.col("won_id")) & (F.col(key) == F.col("won_key"))
+    # Only rows that are equal in doc_id and text are left to choose from
+    others = [F.col(f"`{c}`").cast("string") for c in docs.columns if c not in ("doc_id", "text")]
+    again = Window.partitionBy("won_id", "won_key").orderBy(*others, F.lit(0))
+    kept = keyed.hint("merge").join(winners, mine).withColumn(place, F.row_number().over(again)).where(F.col(place) == 1)
+    wordless = docs.where(~F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False)))
+    return kept.select(*docs.columns).unionByName(wordless)

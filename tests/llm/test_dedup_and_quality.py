@@ -55,6 +55,21 @@ def test_links_inside_a_group_that_shares_boilerplate(spark):
     assert got == brute(pairs) and sum(r[2] != r[0] for r in got) == 100
 
 
+def test_links_pass_through_null_ids_and_repeated_ids(spark):
+    rng = np.random.default_rng(3)
+    a = [f"n{k}" for k in range(60)]
+    b, c = a[:30] + ["b"] + a[31:], a[:8] + ["c"] + a[9:30] + ["b"] + a[31:]
+    c = c[:]
+    far = [f"f{k}" for k in rng.integers(0, 999, 60)]
+    pairs = [(10, " ".join(a)), (None, " ".join(b)), (12, " ".join(c)), (1, " ".join(far)), (1, " ".join(far[::-1])), (3, " ".join([*far, "y"])), (None, "x y"), (None, "x y")]
+    got = sorted(map(tuple, D.near_duplicates(table(spark, pairs), 4).collect()), key=str)
+    assert got == brute(pairs) and {r[2] for r in got if r[0] in (10, 12)} == {10}
+    assert {r[2] for r in got if r[0] == 3} == {1}
+    kept = [(r.doc_id, r.text) for r in D.drop_near_duplicates(spark, table(spark, pairs), "").collect()]
+    # Both unlike texts of doc_id 1 stay
+    assert sorted(kept, key=str) == sorted([pairs[0], pairs[3], pairs[4], pairs[6], *([pairs[2]] if len(brute(pairs, 5)) and (12, 57, 12, True) in brute(pairs, 5) else [])], key=str)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert D.near_duplicates(empty(spark), 4).count() == 0
 
