@@ -1,5 +1,7 @@
+import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -119,11 +121,73 @@ def secret_rows():
 
 
 def test_secrets(spark):
-    found = S.verdicts(S.findings(table(spark, secret_rows()))).collect()
+    docs = table(spark, secret_rows())
+    found = S.verdicts(docs, S.findings(docs)).collect()
     kind = lambda v: len(v) == 40 or len(v) == 18 or v.startswith("AKIA")
     assert sum(kind(r.value) for r in found) == 80 * 3 + 3
     wrong = [r for r in found if bool(r.is_secret) != kind(r.value) and len(r.value) < 1000]
     assert len(wrong) <= 0.02 * len(found)
+    apart = [r for r in found if r.fold == 0 and r.label is not None]  # no part in training
+    assert len(apart) > 30 and sum(r.is_secret == (r.label == 1) for r in apart) >= 0.98 * len(apart)
+
+
+FORMS = [
+    ('password=correcthorsebatterystaple', "correcthorsebatterystaple"), ('password="P@ss!w0rd$2024#xyz"', "P@ss!w0rd$2024#xyz"), ("password: hunter2x9.", "hunter2x9"),
+    ('{"pwd": "Xy7k9Qab"}', "Xy7k9Qab"), ("Authorization: Bearer abc.def-123", "abc.def-123"), ("passphrase = 'two words and more'", "two words and more"),
+    ("-----BEGIN RSA PRIVATE KEY-----\nMIIEow\nIBAAK=\n-----END RSA PRIVATE KEY-----", None), ("my_token=ab12cd34ef56###", "ab12cd34ef56"), ("see Zk9fQ2mLx7Rt4, so", "Zk9fQ2mLx7Rt4"),
+    ("none here", ""),
+]
+
+
+def test_forms_of_candidates(spark):
+    texts = [(i, f"some words {t} and others") for i, (t, _) in enumerate(FORMS)]
+    got = {}
+    for r in S.findings(table(spark, texts)).collect():
+        got.setdefault(r.doc_id, []).append(r.value)
+    for i, (t, v) in enumerate(FORMS):
+        assert got.get(i, [""]) == [t if v is None else v], t
+
+
+def test_features_equal_plain_ones(spark):
+    docs = table(spark, secret_rows())
+    found = S.findings(docs)
+    got = {r.value: r for r in S.verdicts(docs, found).collect()}
+    texts = [t.lower() for _, t in secret_rows() if t]
+    often = Counter(w for t in texts for w in set(re.findall(r"(?<![^\W_])[^\W\d_]{3,16}(?![^\W_])", t)))
+    words = {w: n for w, n in often.items() if n >= 5}
+    two, one = Counter(), Counter()
+    for w, n in words.items():
+        for a, b in zip(w, w[1:], strict=False):
+            if a.isascii() and b.isascii():
+                two[a + b] += n
+                one[a] += n
+    for v, r in got.items():
+        if len(v) > 1000:
+            continue
+        low, n = v.lower(), len(v)
+        pairs = [low[i : i + 2] for i in range(n - 1) if re.fullmatch("[a-z]{2}", low[i : i + 2])]
+        usual = [math.log(two[p] / one[p[0]]) if two[p] else -9.0 for p in pairs] or [-9.0]
+        covered = {k for i in range(n) for j in range(i + 4, min(i + 12, n) + 1) if low[i:j] in words for k in range(i, j)}
+        kinds = sum((a.isdigit() and b.isalpha()) or (a.isalpha() and b.isdigit()) for a, b in zip(v, v[1:], strict=False))
+        want = [math.log(n), sum(c.isdigit() for c in v) / n, sum(c.isupper() for c in v) / n, kinds / n, len(set(v)) / n, sum(usual) / len(usual), len(covered) / n]
+        assert np.allclose([r.f_length, r.f_digits, r.f_upper, r.f_kind_changes, r.f_distinct, r.f_transitions, r.f_dictionary], want), v
+
+
+def test_labels_of_one_s_own(spark):
+    docs = table(spark, secret_rows())
+    found = S.findings(docs)
+    mails = [r.value for r in found.collect() if "@" in r.value]
+    given = [(hashlib.sha256(v.encode()).hexdigest(), 1) for v in mails[:60]] + [(hashlib.sha256(r.value.encode()).hexdigest(), 0) for r in found.collect() if "@" not in r.value]
+    out = S.verdicts(docs, found, spark.createDataFrame(given, "value_sha256 string, label int")).collect()
+    assert all(r.is_secret for r in out if r.value in mails) and sum(r.is_secret for r in out if r.value not in mails) <= 5
+
+
+def test_redaction_takes_longer_secrets_first(spark):
+    long = "ab12cd34ef56ab789900ffee1122"
+    rows_ = [(i, f'password="{long[:12]}aaaa" and token = "{long[:12]}aaaa{i:04d}bb22" end') for i in range(40)] + [(None, f'token = "{long}"'), (None, "x"), (7, f'token = "{long}"')]
+    docs = table(spark, rows_ + [r for r in secret_rows() if r[0] is not None and r[0] >= 100])
+    out = [r.text or "" for r in S.redact(spark, docs, "").collect()]
+    assert len(out) == docs.count() and sum('token = "[REDACTED]" end' in t for t in out) == 40 and not any("ab12cd34" in t for t in out)
 
 
 def test_redact(spark):
@@ -135,5 +199,5 @@ def test_redact(spark):
 
 
 def test_no_findings(spark):
-    assert S.verdicts(S.findings(empty(spark))).count() == 0
-    assert S.verdicts(S.findings(table(spark, [(1, None), (2, "plain words")]))).count() == 0
+    for docs in (empty(spark), table(spark, [(1, None), (2, "plain words")])):
+        assert S.verdicts(docs, S.findings(docs)).count() == 0
