@@ -1,51 +1,55 @@
-"""LM scoring: a Katz back-off bigram model with Good-Turing discounts, counted and looked up in partitioned tables.
-
-P(w | h) is discount(c(h,w)) * c(h,w) / c(h) for pairs seen in training, else weight(h) * P(w), and P(w) likewise falls
-back to the mass of unknown words. The back-off weight of a history is (1 - discounted mass of its followers) /
-(1 - their unigram mass), summed over all of its followers, so every distribution sums to one exactly. Counts up to
-``K`` get Good-Turing discounts (from smoothed counts of counts where the plain ones give none in (0, 1), as copied texts
-cause); counts above K lose half a count, so that no history is left without back-off mass. Each document starts after an end mark.
-
-How it runs, so that neither a frequent word nor the number of distinct pairs burdens one task:
-
-1. Documents are dealt to groups by hash. A group sends each of its distinct words and pairs once, with its own training
-   count, as sorted 64-bit hashes in one block a bucket of the hash range.
-2. A bucket adds up what the groups sent and answers each group, in the group's own order of keys, with total counts
-   (the count tables; staged). For each pair one group is named that speaks for it.
-3. Groups sum, over the pairs they speak for, discounted mass and unigram mass by history, and ask for the weights of the
-   histories that they must back off from; buckets add up and answer (the weight table; staged).
-4. Groups score their documents token by token.
-
-Every exchange is of blocks whose number of rows is bounded by groups x buckets, and each frequent word is one entry of
-a block a group. ``GROUP_BYTES`` bounds the text that one task holds.
-
-Defined cases: null or empty text is the end mark alone; a null doc_id is a training document (remainder unknown);
-repeated rows count as often as they are there; without training documents all scores are those of one unknown class
-(0); an empty table gives an empty result. Only doc_id and text are read.
+"""LM scoring: a Katz back-off model of n-grams (``ORDER``, trigrams) with Good-Turing discounts, counted and looked up in
+tables that are partitioned by hash.
+
+P(w | h) is discount(c(h,w)) * c(h,w) / c(h) for n-grams seen in training, else weight(h) * P(w | h without its first
+word), down to P(w), which falls back to the mass of unknown words; a history never seen has weight 1. The back-off weight
+of a history is (1 - discounted mass of its followers) / (1 - their mass in the order below), summed over all of its
+followers, so every distribution sums to one exactly. Counts up to ``K`` get Good-Turing discounts (from smoothed counts of
+counts where the plain ones give none in (0, 1), as copied texts cause); counts above K lose half a count, so that no
+history is left without back-off mass. Each document starts after end marks.
+
+How it runs, so that neither a frequent word nor the number of distinct n-grams burdens one task:
+
+1. Each task deals the rows it reads, as they come, to groups of about ``GROUP_BYTES`` of text. A group's words are hashed
+   once; its state (distinct word hashes, the tokens as numbers, ids and sizes of documents) is staged.
+2. A group sends each of its distinct n-grams once, with its own training count, as sorted 64-bit hashes in one block for
+   each bucket of the hash range that they touch. There are as many buckets as groups, so a bucket gets about what a group
+   sends. Blocks never outnumber the n-grams in them: what moves is linear in the input at any size.
+3. A bucket adds up. It keeps its part of the count table (keys and totals, staged), and answers each group in the group's
+   own order of keys. For each n-gram one group is named that speaks for it.
+4. Groups sum, over the n-grams they speak for, mass and mass below by history, and ask for the weights of the histories
+   that they must back off from; buckets add up and answer (staged).
+5. Groups evaluate the recursion for their distinct n-grams, order by order, and add up over tokens.
+
+Defined cases: null or empty text is the end mark alone; a very long text is a group of its own; a null doc_id is a
+training document (remainder unknown); repeated rows, and rows that tie, count as often as they are there; without
+training documents all scores are those of one unknown class (0); an empty table gives an empty result. Only doc_id and
+text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import hashes, lower_words, read, settle, staged, stir
 
+ORDER = 3
 K = 5
-GROUP_BYTES, LEAST_GROUPS = 24 << 20, 64
+GROUP_BYTES = 8 << 20
 END = np.uint64(0x5B1D9F3A7C6E2481)
-WORDS, PAIRS = 0, 1
 TOTALS = ["n_tokens", "n_types", *(f"n{c}" for c in range(1, K + 2))]
 
 _BLOCK = "kind int, bucket long, g long, keys binary, counts binary"
+_STATE = "g long, docs array<long>, held array<boolean>, sizes array<long>, words binary, stream binary"
 
 
 def _planes(x: np.ndarray) -> bytes:
     """Bytes by place value: the high ones are mostly zero and compress away."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
 
 def _from_planes(raw: bytes, dtype) -> np.ndarray:
@@ -61,29 +65,67 @@ def _unpack_keys(raw: bytes) -> np.ndarray:
     return np.cumsum(_from_planes(raw, np.uint64), dtype=np.uint64)
 
 
+def _mix(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return stir(stir(history) + np.uint64(0x9E3779B97F4A7C15) + word)
+
+
+def pads(order: int) -> list[np.ndarray]:
+    """Keys of the histories of 1, 2, ... end marks."""
+    out = [np.array([END])]
+    while len(out) < order:
+        out.append(_mix(out[-1], np.array([END])))
+    return out
+
+
+def _deal(group_bytes: int):
+    """Rows (doc_id, text, held_out) to the states of groups."""
+
+    def run(batches):
+        part, no, held, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
+
+        def flush():
+            runs = [np.append(hashes(lower_words(t)), END) for _, t, _ in texts]
+            words, stream = np.unique(np.concatenate(runs), return_inverse=True)
+            row = [part << 32 | no, [d for d, *_ in texts], [h for *_, h in texts], [len(r) for r in runs], _pack_keys(words), _planes(stream.astype(np.uint32))]
+            types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=["g", "docs", "held", "sizes", "words", "stream"])
+
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "held_out")), strict=True):
+                texts.append(row)
+                size += len(row[1] or "") + 1
+                if size >= group_bytes:
+                    yield flush()
+                    no, texts, size = no + 1, [], 0
+        if texts:
+            yield flush()
+
+    return run
+
+
 class Group:
-    """The tokens of a group's documents, in a fixed order, and its sorted distinct words and pairs."""
-
-    def __init__(self, table: pa.Table):
-        docs, texts, held = (table.column(c).to_pylist() for c in ("doc_id", "text", "held_out"))
-        order = sorted(range(len(docs)), key=lambda i: (docs[i] is None, docs[i] or 0, texts[i] or ""))
-        self.docs, self.held = [docs[i] for i in order], np.array([held[i] for i in order], bool)
-        runs = []
-        for i in order:
-            runs += [hashes(lower_words(texts[i])), np.array([END])]
-        stream = np.concatenate(runs) if runs else np.empty(0, np.uint64)
-        self.sizes = np.array([len(r) + 1 for r in runs[::2]], np.int64)
+    """A group's tokens and, for each order, its sorted distinct n-grams: ``keys``, training ``counts``, the number of each
+    token's n-gram (``at``), of its history one order below (``history``; -1: end marks alone) and of what is left of it
+    without the first word (``lower``)."""
+
+    def __init__(self, row: dict, order: int):
+        self.g, self.docs, self.held = row["g"], row["docs"], np.array(row["held"], bool)
+        self.sizes = np.array(row["sizes"], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
+        words, word = _unpack_keys(row["words"]), _from_planes(row["stream"], np.uint32).astype(np.int64)
         train = np.repeat(~self.held, self.sizes)
-        before = np.concatenate([[END], stream[:-1]]).astype(np.uint64) if len(stream) else stream
-        self.words, self.word = np.unique(stream, return_inverse=True)
-        self.word_counts = np.bincount(self.word[train], minlength=len(self.words)).astype(np.uint32)
-        # The mark before the first token and the mark that ends the document before are the same
-        self.history = np.searchsorted(self.words, before)
-        pair = stir(stir(before) + np.uint64(0x9E3779B97F4A7C15) + stream)
-        self.pairs, first, self.pair = np.unique(pair, return_index=True, return_inverse=True)
-        self.pair_word, self.pair_history = self.word[first], self.history[first]
-        self.pair_counts = np.bincount(self.pair[train], minlength=len(self.pairs)).astype(np.uint32)
+        stream = words[word]
+        self.keys, self.at, self.history, self.lower = [words], [word], [None], [None]
+        gram, pad = stream, pads(order)
+        for k in range(1, order):
+            before = np.concatenate([pad[k - 1], gram[:-1]])
+            before[self.starts] = pad[k - 1]
+            gram = _mix(before, stream)
+            keys, first, at = np.unique(gram, return_index=True, return_inverse=True)
+            history = np.where(np.isin(first, self.starts), -1, self.at[-1][first - 1])
+            self.lower.append(self.at[-1][first])
+            self.keys.append(keys), self.at.append(at), self.history.append(history)
+        self.counts = [np.bincount(at[train], minlength=len(keys)).astype(np.uint32) for at, keys in zip(self.at, self.keys, strict=True)]
 
 
 def _slices(keys: np.ndarray, buckets: int):
@@ -96,22 +138,27 @@ def _slices(keys: np.ndarray, buckets: int):
             yield int(at[a]), slice(a, z)
 
 
-def _send(buckets: int):
-    schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("g", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+def _blocks(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], names=["kind", "bucket", "g", "keys", "counts"])
 
-    def run(table: pa.Table) -> pa.Table:
-        group, g = Group(table), table.column("g")[0].as_py()
-        out = [(kind, b, g, _pack_keys(keys[s]), _planes(counts[s])) for kind, keys, counts in ((WORDS, group.words, group.word_counts), (PAIRS, group.pairs, group.pair_counts)) for b, s in _slices(keys, buckets)]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+def _send(buckets: int, order: int):
+    def run(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                group = Group(row, order)
+                yield _blocks([(k, at, group.g, _pack_keys(group.keys[k][s]), _planes(group.counts[k][s])) for k in range(order) for at, s in _slices(group.keys[k], buckets)])
 
     return run
 
 
-_COUNTED = "kind int, bucket long, g long, counts binary, speaks binary, " + ", ".join(f"{c} long" for c in TOTALS)
+_COUNTED = "kind int, bucket long, g long, keys binary, counts binary, speaks binary, " + ", ".join(f"{c} long" for c in TOTALS)
 
 
 def _count(table: pa.Table) -> pa.Table:
-    """All blocks of one bucket: total counts for each group's keys, and whether the group speaks for the key."""
+    """All blocks of one bucket: its part of the count table (g is null), and for each group the total counts of the group's
+    keys and whether it speaks for the key."""
     kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
     rows = sorted(zip(*(table.column(c).to_pylist() for c in ("g", "keys", "counts")), strict=True))
     keys = [_unpack_keys(k) for _, k, _ in rows]
@@ -121,12 +168,12 @@ def _count(table: pa.Table) -> pa.Table:
     speaks[first] = True
     seen = total[total > 0]
     stats = [int(seen.sum(dtype=np.int64)), len(seen), *(int((seen == c).sum()) for c in range(1, K + 2))]
-    out, at = [], 0
-    for i, ((g, *_), k) in enumerate(zip(rows, keys, strict=True)):
+    out, at = [[kind, bucket, None, _pack_keys(every[total > 0]), _planes(seen), None, *stats]], 0
+    for (g, *_), k in zip(rows, keys, strict=True):
         part = slice(at, at := at + len(k))
-        out.append([kind, bucket, g, _planes(total[back[part]]), np.packbits(speaks[part]).tobytes(), *(stats if not i else [0] * len(TOTALS))])
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()] + [pa.int64()] * len(TOTALS)
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["kind", "bucket", "g", "counts", "speaks", *TOTALS])
+        out.append([kind, bucket, g, None, _planes(total[back[part]]), np.packbits(speaks[part]).tobytes(), *[0] * len(TOTALS)])
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()] + [pa.int64()] * len(TOTALS)
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["kind", "bucket", "g", "keys", "counts", "speaks", *TOTALS])
 
 
 def _good_turing(n: np.ndarray) -> np.ndarray | None:
@@ -160,99 +207,115 @@ def discounted(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """What a group knows once its counts are back."""
-
-    def __init__(self, group: Group, answers: pa.Table, totals: dict):
-        self.group = group
-        rows = sorted(r for r in zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "counts", "speaks")), strict=True))
-        get = lambda kind: [_from_planes(c, np.uint32) for k, _, c, _ in rows if k == kind] or [np.empty(0, np.uint32)]
-        self.word_total, self.pair_total = np.concatenate(get(WORDS)), np.concatenate(get(PAIRS))
-        self.speaks = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8), count=len(c) // 4).astype(bool) for k, _, c, s in rows if k == PAIRS] or [np.empty(0, bool)])
-        self.d1, self.d2 = (discounts(totals[k]) for k in (WORDS, PAIRS))
-        self.n, self.v = totals[WORDS]["n_tokens"], totals[WORDS]["n_types"]
-        known = discounted(self.word_total, self.d1)
-        self.word_p = np.where(self.word_total > 0, known / max(self.n, 1), totals["unknown"])
-
-    def backed_off(self) -> np.ndarray:
-        """Which of the group's pairs were not seen in training though their history was."""
-        return (self.pair_total == 0) & (self.word_total[self.group.pair_history] > 0)
-
-
-def _sum_histories(totals: dict, buckets: int):
-    """Rows of kind WORDS: histories with mass and unigram mass. Rows of kind PAIRS: histories whose weight is asked."""
-    schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("g", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-
-    def run(key, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        group = Group(docs)
-        m, g = Model(group, answers, totals), key[0].as_py()
-        mine = np.flatnonzero(m.speaks & (m.pair_total > 0))
-        history, back = np.unique(group.pair_history[mine], return_inverse=True)
-        mass = np.bincount(back, discounted(m.pair_total[mine], m.d2), len(history))
-        beside = np.bincount(back, m.word_p[group.pair_word[mine]], len(history))
-        keys = group.words[history]
-        asked = group.words[np.unique(group.pair_history[m.backed_off()])]
-        out = [(WORDS, b, g, _pack_keys(keys[s]), mass[s].tobytes() + beside[s].tobytes()) for b, s in _slices(keys, buckets)]
-        out += [(PAIRS, b, g, _pack_keys(asked[s]), b"") for b, s in _slices(asked, buckets)]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 5, schema, strict=True)], schema=schema)
+    """What a group knows once its counts are back: for each order total counts, counts of histories, and the probability
+    of the n-grams seen in training."""
+
+    def __init__(self, group: Group, answers: list[tuple], totals: list[dict], unknown: float):
+        self.group, self.n, self.v = group, totals[0]["n_tokens"], totals[0]["n_types"]
+        self.total, self.speaks, self.of_history, self.seen = [], [], [], []
+        for k in range(len(group.keys)):
+            rows = sorted(r[1:] for r in answers if r[0] == k)
+            total = np.concatenate([_from_planes(c, np.uint32) for _, c, _ in rows])
+            self.total.append(total)
+            self.speaks.append(np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8), count=len(c) // 4).astype(bool) for _, c, s in rows]))
+            # One end mark a training document stands before its first token
+            of = np.full(len(total), self.n) if not k else np.where(group.history[k] < 0, totals[0]["n_docs"], self.total[k - 1][group.history[k]])
+            self.of_history.append(of)
+            left = discounted(total, discounts(totals[k])) / np.maximum(of, 1)
+            self.seen.append(np.where(total > 0, left, 0.0 if k else unknown))
+
+    def backed_off(self, k: int) -> np.ndarray:
+        """Which n-grams of an order were not seen in training though their history was."""
+        return (self.total[k] == 0) & (self.of_history[k] > 0)
+
+    def history_keys(self, k: int, numbers: np.ndarray) -> np.ndarray:
+        """Keys of histories by their numbers; -1 is the end marks'."""
+        return np.where(numbers < 0, pads(k)[k - 1], self.group.keys[k - 1][numbers])
+
+
+def _by_key(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    order = np.argsort(keys)
+    return tuple(x[order] for x in (keys, *values))
+
+
+def _model(state: pa.Table, answers: pa.Table, totals: list[dict], unknown: float) -> Model:
+    rows = list(zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "counts", "speaks")), strict=True))
+    return Model(Group(state.to_pylist()[0], len(totals)), [r for r in rows if r[2] is not None], totals, unknown)
+
+
+def _sum_histories(totals: list[dict], unknown: float, buckets: int):
+    """For each order above the first, kind is 2 * order where histories come with mass and mass below, and 2 * order + 1
+    where the weights of histories are asked for."""
+
+    def run(state: pa.Table, answers: pa.Table) -> pa.Table:
+        m = _model(state, answers, totals, unknown)
+        out = []
+        for k in range(1, len(totals)):
+            mine = np.flatnonzero(m.speaks[k] & (m.total[k] > 0))
+            history, back = np.unique(m.group.history[k][mine], return_inverse=True)
+            mass = np.bincount(back, m.seen[k][mine], len(history))
+            below = np.bincount(back, m.seen[k - 1][m.group.lower[k][mine]], len(history))
+            keys, mass, below = _by_key(m.history_keys(k, history), mass, below)
+            asked = np.sort(m.history_keys(k, np.unique(m.group.history[k][m.backed_off(k)])))
+            out += [(2 * k, b, m.group.g, _pack_keys(keys[s]), _planes(mass[s]) + _planes(below[s])) for b, s in _slices(keys, buckets)]
+            out += [(2 * k + 1, b, m.group.g, _pack_keys(asked[s]), b"") for b, s in _slices(asked, buckets)]
+        return pa.Table.from_batches([_blocks(out)])
 
     return run
 
 
 def _answer_histories(table: pa.Table) -> pa.Table:
-    """All blocks of one bucket: for each group the summed mass and unigram mass of the histories it asked for."""
-    bucket = table.column("bucket")[0].as_py()
+    """All blocks of one order and bucket: for each group the weights of the histories it asked for."""
+    order, bucket = table.column("kind")[0].as_py() // 2, table.column("bucket")[0].as_py()
     rows = sorted(zip(*(table.column(c).to_pylist() for c in ("kind", "g", "keys", "counts")), strict=True))
-    sums = [(_unpack_keys(k), np.frombuffer(c).reshape(2, -1)) for kind, _, k, c in rows if kind == WORDS]
-    keys = np.concatenate([k for k, _ in sums] or [np.empty(0, np.uint64)])
-    every, back = np.unique(keys, return_inverse=True)
-    both = [np.bincount(back, np.concatenate([s[i] for _, s in sums]), len(every)) if sums else np.empty(0) for i in (0, 1)]
+    told = [(_unpack_keys(k), c) for kind, _, k, c in rows if kind % 2 == 0]
+    every, back = np.unique(np.concatenate([k for k, _ in told] or [np.empty(0, np.uint64)]), return_inverse=True)
+    sums = [np.zeros(len(every))] * 2
+    if told:
+        sums = [np.bincount(back, np.concatenate([_from_planes(c[i * len(c) // 2 : (i + 1) * len(c) // 2], np.float64) for _, c in told]), len(every)) for i in (0, 1)]
+    weight = (1 - sums[0]) / np.maximum(1 - sums[1], 1e-12)
     out = []
     for kind, g, k, _ in rows:
-        if kind == PAIRS:
-            asked = _unpack_keys(k)
-            at = np.searchsorted(every, asked)
-            there = at < len(every)
-            there[there] = every[at[there]] == asked[there]
-            found = [np.where(there, b[np.minimum(at, max(len(every) - 1, 0))] if len(every) else 0.0, 0.0) for b in both]
-            out.append((bucket, g, found[0].tobytes(), found[1].tobytes()))
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "g", "mass", "beside"])
-
-
-def _score(totals: dict):
-    def run(key, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return docs_schema.empty_table()
-        group = Group(docs)
-        m = Model(group, answers.filter(pa.compute.is_valid(answers.column("counts"))), totals)
-        weights = answers.filter(pa.compute.is_valid(answers.column("mass")))
-        rows = sorted(zip(*(weights.column(c).to_pylist() for c in ("bucket", "mass", "beside")), strict=True))
-        mass, beside = (np.concatenate([np.frombuffer(r[i]) for r in rows] or [np.empty(0)]) for i in (1, 2))
-        off = m.backed_off()
-        asked = np.unique(group.pair_history[off])
-        seen = m.word_total[group.pair_history].astype(float)
-        weight = np.ones(len(group.words))
-        left = 1 - mass / np.maximum(m.word_total[asked], 1)
-        weight[asked] = left / np.maximum(1 - beside, 1e-12)
-        p = np.where(
-            m.pair_total > 0,
-            discounted(m.pair_total, m.d2) / np.maximum(seen, 1),
-            np.where(off, weight[group.pair_history], 1.0) * m.word_p[group.pair_word],
-        )
+        if kind % 2:
+            # A history that was seen in training has followers there, so it is in the table
+            out.append((order, bucket, g, _planes(weight[np.searchsorted(every, _unpack_keys(k))])))
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, types, strict=True)], names=["kind", "bucket", "g", "weights"])
+
+
+def _score(totals: list[dict], unknown: float):
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+    def run(state: pa.Table, answers: pa.Table) -> pa.Table:
+        m = _model(state, answers, totals, unknown)
+        rows = list(zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "weights")), strict=True))
+        p = m.seen[0]
+        for k in range(1, len(totals)):
+            off = m.backed_off(k)
+            numbers = np.unique(m.group.history[k][off])
+            # Answers come in the order of keys
+            order = np.argsort(m.history_keys(k, numbers))
+            found = np.concatenate([_from_planes(w, np.float64) for _, w in sorted(r[1:] for r in rows if r[0] == k and r[2] is not None)] or [np.empty(0)])
+            weight = np.empty(len(numbers))
+            weight[order] = found
+            of = np.ones(len(off))
+            of[off] = weight[np.searchsorted(numbers, m.group.history[k][off])]
+            p = np.where(m.total[k] > 0, m.seen[k], of * p[m.group.lower[k]])
+        group = m.group
         add = lambda x: np.add.reduceat(x, group.starts)
-        score = add(np.log10(np.maximum(p, 1e-300))[group.pair])
-        base = add(np.log10((m.word_total + 1.0) / (m.n + m.v + 1.0))[group.word])
-        known = add((m.word_total > 0).astype(np.int64)[group.word])
+        score = add(np.log10(np.maximum(p, 1e-300))[group.at[-1]])
+        base = add(np.log10((m.total[0] + 1.0) / (m.n + m.v + 1.0))[group.at[0]])
+        known = add((m.total[0] > 0).astype(np.int64)[group.at[0]])
         n = len(group.docs)
         return pa.Table.from_arrays(
             [pa.array(group.docs, pa.int64()), pa.array(group.held), pa.array(group.sizes), pa.array(known), pa.array(np.full(n, m.n, np.int64)), pa.array(base), pa.array(score)],
-            schema=docs_schema,
+            schema=schema,
         )
 
-    docs_schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     return run
 
 
-def scored(docs: DataFrame) -> DataFrame:
+def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
     slim = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -260,28 +323,27 @@ def scored(docs: DataFrame) -> DataFrame:
         F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False)).alias("held_out"),
     )
     size = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    groups = max(LEAST_GROUPS, -(-size // GROUP_BYTES))
-    buckets = 1 << (groups - 1).bit_length()
-    dealt = slim.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
-    by_g = dealt.groupBy("g")
-    counts = staged(by_g.applyInArrow(_send(buckets), _BLOCK).groupBy("kind", "bucket").applyInArrow(_count, _COUNTED), "op7-counts")
-    sums = {r["kind"]: r.asDict() for r in counts.groupBy("kind").agg(*(F.sum(c).alias(c) for c in TOTALS)).collect()}
-    totals = {k: {c: int(sums.get(k, {}).get(c) or 0) for c in TOTALS} for k in (WORDS, PAIRS)}
-    one = totals[WORDS]
+    buckets = 1 << (size // GROUP_BYTES).bit_length()
+    state = staged(slim.mapInArrow(_deal(GROUP_BYTES), _STATE), "op7-state")
+    counts = staged(state.mapInArrow(_send(buckets, order), _BLOCK).groupBy("kind", "bucket").applyInArrow(_count, _COUNTED), "op7-counts")
+    sums = {r["kind"]: r.asDict() for r in counts.where("g is null").groupBy("kind").agg(*(F.sum(c).alias(c) for c in TOTALS)).collect()}
+    totals = [{c: int(sums.get(k, {}).get(c) or 0) for c in TOTALS} for k in range(order)]
+    one = totals[0]
+    one["n_docs"] = int(state.select(F.explode("held").alias("h")).where("not h").count())
     # What the discounts leave to unknown words: counts up to K by their numbers, each type above gives half a count
     d = discounts(one)
     low = sum(one[f"n{c}"] for c in range(1, K + 1))
     taken = sum((1 - d[c]) * c * one[f"n{c}"] for c in range(1, K + 1)) + 0.5 * (one["n_types"] - low)
-    totals["unknown"] = taken / one["n_tokens"] if one["n_tokens"] else 1.0
-    answers = counts.select("kind", "bucket", "g", "counts", "speaks")
-    asked = by_g.cogroup(answers.groupBy("g")).applyInArrow(_sum_histories(totals, buckets), _BLOCK)
-    weights = staged(asked.groupBy("bucket").applyInArrow(_answer_histories, "bucket long, g long, mass binary, beside binary"), "op7-weights")
-    none = F.lit(None)
-    both = answers.select("kind", "bucket", "g", "counts", "speaks", none.cast("binary").alias("mass"), none.cast("binary").alias("beside")).unionByName(
-        weights.select(none.cast("int").alias("kind"), "bucket", "g", none.cast("binary").alias("counts"), none.cast("binary").alias("speaks"), "mass", "beside")
-    )
+    unknown = taken / one["n_tokens"] if one["n_tokens"] else 1.0
+    answers = counts.where("g is not null").select("kind", "bucket", "g", "counts", "speaks")
+    by_g = state.groupBy("g")
+    asked = by_g.cogroup(answers.groupBy("g")).applyInArrow(_sum_histories(totals, unknown, buckets), _BLOCK)
+    weights = asked.groupBy(F.floor(F.col("kind") / 2), "bucket").applyInArrow(_answer_histories, "kind int, bucket long, g long, weights binary")
+    weights = staged(weights, "op7-weights")
+    none = F.lit(None).cast("binary")
+    both = answers.withColumn("weights", none).unionByName(weights.select("kind", "bucket", "g", none.alias("counts"), none.alias("speaks"), "weights"))
     return by_g.cogroup(both.groupBy("g")).applyInArrow(
-        _score(totals), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        _score(totals, unknown), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
 
 

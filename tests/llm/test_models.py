@@ -3,7 +3,8 @@ import math
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -14,46 +15,60 @@ from shelfwise.llm import toxicity as X
 from tests.llm.helpers import empty, rows, table, words_of
 
 
-def brute_katz(pairs):
+def brute_katz(pairs, order):
     held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in pairs]
     tokens = [words_of(t) + [None] for _, t in pairs]
-    one, two = Counter(), Counter()
+    grams = [Counter() for _ in range(order)]  # by length less one; histories are padded with end marks
+    after = lambda t, i, k: tuple(([None] * k + t)[i : i + k + 1])
     for h, t in zip(held, tokens, strict=True):
         if not h:
-            one.update(t)
-            two.update(zip([None] + t[:-1], t, strict=True))
-    n, v = sum(one.values()), len(one)
+            for k in range(order):
+                grams[k].update(after(t, i, k) for i in range(len(t)))
+    n, v = sum(grams[0].values()), len(grams[0])
 
     def discount(counts):
         often = Counter(counts.values())
         d = L.discounts({f"n{k}": often[k] for k in range(1, L.K + 2)})
         return lambda c: d[c] * c if c <= L.K else c - 0.5
 
-    d1, d2 = discount(one), discount(two)
-    p1 = {w: d1(c) / n for w, c in one.items()}
-    unknown = 1 - sum(p1.values())
-    mass, beside = Counter(), Counter()
-    for (h, w), c in two.items():
-        mass[h] += d2(c)
-        beside[h] += p1[w]
-
-    def p(h, w):
-        if two[h, w]:
-            return d2(two[h, w]) / one[h]
-        return (1 - mass[h] / one[h]) / (1 - beside[h]) * p1.get(w, unknown) if one[h] else p1.get(w, unknown)
+    ds = [discount(g) for g in grams]
+    followers = defaultdict(set)
+    for k in range(1, order):
+        for g in grams[k]:
+            followers[g[:-1]].add(g[-1])
+    of = lambda h: sum(grams[len(h)][(*h, w)] for w in followers[h])
+    unknown = 1 - sum(ds[0](c) / n for c in grams[0].values())
+
+    @lru_cache(None)
+    def weight(h):
+        seen = [(*h, w) for w in followers[h]]
+        return (1 - sum(ds[len(h)](grams[len(h)][g]) for g in seen) / of(h)) / (1 - sum(p(g[1:]) for g in seen))
+
+    @lru_cache(None)
+    def p(g):
+        k = len(g) - 1
+        if grams[k][g]:
+            return ds[k](grams[k][g]) / (of(g[:-1]) if k else n)
+        if not k:
+            return unknown
+        return (weight(g[:-1]) if followers[g[:-1]] else 1) * p(g[1:])
 
     out = []
     for (i, _), h, t in zip(pairs, held, tokens, strict=True):
-        score = sum(math.log10(p(a, b)) for a, b in zip([None] + t[:-1], t, strict=True))
-        base = sum(math.log10((one[w] + 1) / (n + v + 1)) for w in t)
-        out.append((i, h, len(t), sum(one[w] > 0 for w in t), n, round(base, 6), round(score, 6)))
-    total = [sum(p(h, w) for w in one) + p(h, b"\0never") for h in list(mass)[:20]]
+        score = sum(math.log10(p(after(t, i, order - 1))) for i in range(len(t)))
+        base = sum(math.log10((grams[0][w,] + 1) / (n + v + 1)) for w in t)
+        out.append((i, h, len(t), sum(grams[0][w,] > 0 for w in t), n, round(base, 6), round(score, 6)))
+    some = [h for h in followers if len(h) == order - 1][:20]
+    total = [sum(p((*h, w)) for (w,) in grams[0]) + p((*h, b"\0never")) for h in some]
     return sorted(out, key=str), total
 
 
-def test_katz_equals_brute_force_and_sums_to_one(spark):
-    got = sorted(((*r[:5], round(r[5], 6), round(r[6], 6)) for r in map(tuple, L.scored(table(spark, rows())).collect())), key=str)
-    want, total = brute_katz(rows())
+@pytest.mark.parametrize("order, group", [(3, 8 << 20), (3, 600), (2, 600), (4, 2000)])
+def test_katz_equals_brute_force_and_sums_to_one(spark, monkeypatch, order, group):
+    monkeypatch.setattr(L, "GROUP_BYTES", group)
+    few = [r for r in rows() if len(r[1] or "") < 100_000]
+    got = sorted(((*r[:5], round(r[5], 6), round(r[6], 6)) for r in map(tuple, L.scored(table(spark, few), order).collect())), key=str)
+    want, total = brute_katz(few, order)
     assert got == want and np.allclose(total, 1)
 
 
