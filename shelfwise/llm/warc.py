@@ -1,24 +1,27 @@
 """WARC: a deterministic sharded writer and its reader.
 
-Records are ordered by page_id and dealt to shards of ``SPAN`` consecutive ids, so neither the number of partitions nor
-a rerun changes what a file holds. A task writes the records of its shards in order, each as its own gzip member,
-and begins a new file once the current one has ``ROLL`` compressed bytes. Headers and digests are made anew from the
-payload; there is no clock and no random number in them. A file gets its name only when it is whole (written under a
-temporary name and moved), and counts only when the manifest lists it, so a task that runs again does no harm. Of
-records with equal payloads of at least ``LEAST`` bytes the one with the largest page_id is a response; the others
-become revisit records without the payload.
+Records are sorted by (page_id, payload digest) and cut into shards, ranges of that key of about ``SHARD`` bytes of payload
+each. The cuts are taken from the keys with the lowest hashes, so they depend on the rows alone, not on how these are
+partitioned or sampled, and a rerun writes the same files. Each task writes its shard in order, every record as its own
+gzip member, and begins a new file once the current one has ``ROLL`` compressed bytes. Headers and digests are made anew
+from the payload; there is no clock and no random number in them. A file gets its name only when it is whole (written
+under a temporary name and moved), and counts only when the manifest lists it, so a task that runs again does no harm. Of
+records with equal payloads of at least ``LEAST`` bytes the one with the largest page_id is a response; the others become
+revisit records without the payload.
 
 Files lie in the folder that spark.checkpoint.dir names, and are opened by pyarrow.fs, which reaches local or mounted
 folders and the usual object stores.
 
-Defined cases: null html is an empty payload; a null page_id sorts first, in a shard of its own, and revisits a response
-that has an id; if none has one, records stay responses, as do repeated rows of the largest page_id; a null url is left
-out of the headers; an empty table gives no files and an empty result. Only page_id, url and html are read.
+Defined cases: null html is an empty payload, a very long one is one record; null page_ids sort first, by digest, and
+revisit a response that has an id; if none has one, records stay responses, as do repeated rows of the largest page_id;
+rows that tie in page_id and digest stand together, in the order of their url; a null url is left out of the headers; an
+empty table gives no files and an empty result. Only page_id, url and html are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import uuid
 import zlib
@@ -28,11 +31,14 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import partitions_for, read, scratch, settle
+from pyspark.sql.types import LongType
 
-SPAN, ROLL, LEAST = 512, 64 << 20, 1000
+from shelfwise.llm.common import partitions_for, read, scratch, settle, staged
+
+SHARD, ROLL, LEAST = 64 << 20, 64 << 20, 1000
+#: For very large inputs shards grow, so that there are no more of them; a cut is drawn from so many keys a shard.
+MOST_SHARDS, KEYS = 10_000, 50
 DATE = "2024-01-01T00:00:00Z"
-NULL_SHARD = -(2**62)
 
 
 def _record_id(page, digest_hex: str) -> str:
@@ -113,8 +119,7 @@ def _write(uri: str, roll: int):
                         done.append(open_file.close())
                     no = no + 1 if at == shard else 0
                     shard = at
-                    label = "null" if at == NULL_SHARD else f"{at + 2**62:020d}"
-                    open_file = _File(store, folder, f"pages-{label}-{no:05d}.warc.gz")
+                    open_file = _File(store, folder, f"pages-{at:05d}-{no:05d}.warc.gz")
                 to = revisit[2] if revisit and revisit[:2] == (page, digest) else None
                 open_file.add(record(page, url, (html or "").encode(), to))
         if open_file:
@@ -124,7 +129,25 @@ def _write(uri: str, roll: int):
     return run
 
 
-def write_warc(pages: DataFrame, uri: str, span: int = SPAN, roll: int = ROLL, least: int = LEAST) -> DataFrame:
+def cuts(rows: DataFrame, shard: int) -> list[tuple[bool, int, int]]:
+    """Keys (page_id is not null, page_id, head of the digest) at which shards begin, but for the first; ``rows`` has page_id,
+    head and size. The keys they are drawn from are a bounded number: those with the lowest hashes."""
+    size = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    shards = min(MOST_SHARDS, -(-size // shard))
+    if shards < 2:
+        return []
+    lowest = rows.select("page_id", "head", "size").orderBy(F.xxhash64("page_id", "head"), "page_id", "head", "size").limit(KEYS * shards).collect()
+    # Every key stands for as many bytes as its payload
+    keys = sorted((r.page_id is not None, r.page_id or 0, r.head, r.size) for r in lowest)
+    total, held, found = sum(k[3] + 1 for k in keys), 0, []
+    for k in keys:
+        if held >= total * (len(found) + 1) / shards:
+            found.append(k[:3])
+        held += k[3] + 1
+    return sorted(set(found))
+
+
+def write_warc(pages: DataFrame, uri: str, shard: int = SHARD, roll: int = ROLL, least: int = LEAST) -> DataFrame:
     """Writes the archives below ``uri`` and returns the manifest: file, records, bytes, sha1."""
     spark = pages.sparkSession
     store, folder = fs.FileSystem.from_uri(uri)
@@ -132,22 +155,30 @@ def write_warc(pages: DataFrame, uri: str, span: int = SPAN, roll: int = ROLL, l
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
     ).withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    sums = rows.where(F.octet_length("html") >= least).select("page_id", "digest")
-    last = sums.groupBy(F.col("digest").alias("d")).agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    sums = staged(rows.select("page_id", "digest", F.octet_length("html").cast("long").alias("size"), F.conv(F.left("digest", F.lit(15)), 16, 10).cast("long").alias("head")), "warc-sums")
+    bounds = cuts(sums, shard)
+    shared = spark.sparkContext.broadcast(bounds)
+
+    @F.arrow_udf(LongType())
+    def shard_of(page: pa.Array, head: pa.Array) -> pa.Array:
+        return pa.array([bisect.bisect_right(shared.value, (p is not None, p or 0, h)) for p, h in zip(page.to_pylist(), head.to_pylist(), strict=True)], pa.int64())
+
+    large = sums.where(F.col("size") >= least)
+    last = large.groupBy(F.col("digest").alias("d")).agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
     others = (
-        sums.join(last, F.col("digest") == F.col("d"))
+        large.hint("merge").join(staged(last, "warc-last"), F.col("digest") == F.col("d"))
         .where("refers_to is not null and not (page_id <=> refers_to)")
         .select("page_id", "digest", "refers_to")
         .distinct()
     )
-    shard = F.coalesce(F.floor(F.col("page_id") / F.lit(span)).cast("long"), F.lit(NULL_SHARD))
     none = F.lit(None).cast("string")
     lines = rows.select("page_id", "digest", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("refers_to")).unionByName(
         others.select("page_id", "digest", F.lit(0).alias("kind"), none.alias("url"), none.alias("html"), "refers_to")
     )
+    head = F.conv(F.left("digest", F.lit(15)), 16, 10).cast("long")
     manifest = (
-        lines.withColumn("shard", shard)
-        .repartition(partitions_for(spark), "shard")
+        lines.withColumn("shard", shard_of("page_id", head))
+        .repartitionById(len(bounds) + 1, F.col("shard").cast("int"))
         .sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
         .mapInArrow(_write(f"{uri}/data", roll), "file string, records long, bytes long, sha1 string")
     )

@@ -137,10 +137,10 @@ PAGES = [(3, "http://a/x y\r\n", "p" * 2000), (9, None, "p" * 2000), (None, "u",
 def test_warc(spark, tmp_path, pages, roll):
     df = spark.createDataFrame([(*p, 1, "x") for p in pages], "page_id long, url string, html string, shard int, digest string")
     df.coalesce(1).write.parquet(str(tmp_path / "pages"))
-    manifest = W.write_warc(df, str(tmp_path / "w"), span=4, roll=roll)
+    manifest = W.write_warc(df, str(tmp_path / "w"), shard=3000, roll=roll)
     got = sorted(map(str, map(tuple, W.read_warc(manifest, str(tmp_path / "w")).collect())))
     assert got == sql("op10_warc", pages=f"{tmp_path}/pages/*.parquet")
-    again = W.write_warc(df.repartition(3), str(tmp_path / "v"), span=4, roll=roll)
+    again = W.write_warc(df.repartition(3), str(tmp_path / "v"), shard=3000, roll=roll)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, manifest.collect()))
     names = {r.file for r in manifest.collect()}
     assert names == {p.name for p in (tmp_path / "w" / "data").iterdir() if not p.name.endswith(".crc")}
@@ -148,6 +148,22 @@ def test_warc(spark, tmp_path, pages, roll):
         assert hashlib.sha1((tmp_path / "w" / "data" / r.file).read_bytes()).hexdigest() == r.sha1
 
 
+def test_warc_files_follow_bytes_not_ids(spark, tmp_path):
+    rng = random.Random(2)
+    pages = [(i * 10**12, f"http://h/{i}", f"page {i} " + "".join(chr(97 + rng.randrange(26)) for _ in range(300))) for i in range(400)]
+    df = spark.createDataFrame([*pages, (7, "u", "y" * 3_000_000), *[(None, "u", f"null {i}" * 60) for i in range(200)]], "page_id long, url string, html string")
+    assert W.write_warc(df, str(tmp_path / "one")).count() == 1
+    manifest = W.write_warc(df.repartition(7), str(tmp_path / "some"), shard=1 << 40, roll=30_000)
+    sizes = [r.bytes for r in sorted(manifest.collect(), key=lambda r: r.file)]
+    assert len(sizes) > 3 and all(30_000 <= n < 40_000 for n in sizes[:-1])
+    several = W.write_warc(df, str(tmp_path / "several"), shard=20_000)
+    assert several.count() > 5
+    # Null page_ids are cut by digest, and files follow each other in the order of the key
+    got = W.read_warc(several, str(tmp_path / "several"))
+    assert got.count() == 601 and got.where("payload_bytes = 3000000").count() == 1
+    assert several.where("records > 0").agg({"records": "sum"}).first()[0] == 601
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, n = docs.columns, {}
