@@ -1,24 +1,21 @@
 """Near-duplicates by a chosen-path set similarity join over minwise tokens.
 
 1. A document's set is its distinct n-word shingles. Documents with equal sets form a class; classes are what is joined.
-2. A class is summarised by ``WIDTH`` minwise tokens. Each of several independent trees hangs a class under the nodes
-   that its tokens at a few positions name; two classes of similarity s share such a node with probability s.
-3. Nodes of up to ``SMALL`` classes are compared exhaustively. In a larger node every class is compared with a few
-   leaders of the node, paired with those most like it, and then branches: the node's own hash chooses positions, about ``BRANCH`` on average, and each
-   token found there names a child. What two sets share they share in the children too, so similar classes stay
-   together while unlike ones part. This finds groups of near copies cheaply, but not every link (step 5).
-4. Comparing first estimates the similarity from the minwise tokens and drops pairs so far below the limit that a true
-   link would be a one-in-a-million event. Links are then confirmed on the full sets. Of the candidate pairs each class
-   first confirms its best; pairs that still lie between different components are confirmed in a second pass, so every
-   candidate pair is either confirmed or lies inside one component.
-5. Then each large first node is compared exhaustively but for pairs that lie in one component already: classes outside
-   the node's largest component are compared with all of its classes, in a grid of salted blocks. A group of near copies
-   is one component by then and costs nothing more; a group of unlike texts that share much costs the square of its size.
-6. Components come from alternating large-star and small-star steps on tables of links.
-
-With the 12 first positions a link of similarity 0.8 is missed with probability 0.2^12 (4e-9), in nodes of every size:
-leaders and branching only gather near copies, so that step 5 has little left. tests/llm holds the result against brute
-force.
+2. A class is summarised by ``WIDTH`` minwise tokens. Each of ``ROOTS`` independent trees hangs a class under the node that
+   its token at one position names; two classes of similarity s share such a node with probability s.
+3. Nodes of up to ``SMALL`` classes are compared exhaustively. In larger ones every class is compared with a few leaders of
+   the node and paired with those most like it: that gathers groups of near copies at linear cost. Comparing estimates the
+   similarity from the tokens and drops pairs so far below the limit that a true link would be a one-in-a-million event;
+   links are then confirmed on the full sets, each class's best pair first, then pairs that still lie between components.
+4. Every node above SMALL is then searched for what lies between components. A node of more than ``LARGE`` classes branches:
+   its own hash chooses ``BRANCH`` positions, and each token found there names a child. What two sets share they share in
+   the children too, so similar classes stay together while unlike ones part. Nodes of up to LARGE classes, and those that
+   branching no longer makes smaller, are compared exhaustively: classes outside the node's largest component with all of
+   its classes, in a grid of salted blocks. A group of near copies is one component by then and costs nothing more.
+5. Components come from alternating large-star and small-star steps on tables of links.
+
+A link of similarity 0.8 is missed by all trees with probability 0.2^12 (4e-9), and by all children of a node that branches
+with 0.2^8 (3e-6); what step 3 does not find of it, step 4 does. tests/llm holds the result against brute force.
 
 Defined cases: null or empty text has an empty set, is linked with nothing and is its own component. A class is known by
 its set and never by a doc_id: documents with null doc_id pass on links like any other, and rows that share a doc_id but
@@ -43,13 +40,14 @@ WIDTH = 128
 ROOTS = 12
 SMALL = 24
 LEADERS = 24
-#: Leaders of a node that a class is paired with: the most similar ones. Leaders are classes of the node too, so what two
-#: classes have in common with each other they have through them.
-NEAREST = 2
-BRANCH = 1.25
-LEVELS = 3
+#: Leaders of a node that a class is paired with: the most similar ones.
+NEAREST = 3
+#: Larger nodes branch into children by so many positions, as long as children have less than SHRINK of their parent's
+#: classes: otherwise comparing the children (the square of each, BRANCH times) costs more than comparing the parent.
+LARGE = 8192
+BRANCH, SHRINK = 8, 0.35
 #: Classes of a large node that one side of a block has, about.
-BLOCK = 512
+BLOCK = 2048
 #: Of WIDTH positions, how many may differ from what the limit lets expect before a pair is dropped (5 deviations).
 SIGMAS = 5.0
 #: Rows of a large node that are compared with its leaders in one group.
@@ -135,65 +133,59 @@ def _compare_leaders(limit: float):
     return run
 
 
-def _branch(level: int):
-    """Rows (node, id, tokens) of large nodes to the rows of their children."""
-    share = np.uint64(int(BRANCH / WIDTH * 2**64))
-    places = stir(np.arange(1, WIDTH + 1, dtype=np.uint64) + np.uint64(1000 * (level + 1)))
+def _branch(branch: int):
+    """Rows (node, id, n, tokens) of large nodes to the rows of their children, with the size of the parent."""
+    places = stir(np.arange(1, WIDTH + 1, dtype=np.uint64))
 
     def run(batches):
         for b in batches:
             node = b.column("node").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             m = np.frombuffer(b"".join(b.column("tokens").to_pylist()), np.uint8).reshape(len(node), WIDTH)
             draw = stir(node[:, None] ^ places)
-            row, place = np.nonzero(draw < share)
-            child = stir(draw[row, place] + m[row, place].astype(np.uint64)).view(np.int64)
-            ids = b.column("id").take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(child), ids], names=["node", "id"])
+            place = np.argpartition(draw, branch, axis=1)[:, :branch]
+            row = np.repeat(np.arange(len(node)), branch)
+            child = stir(draw[row, place.ravel()] + m[row, place.ravel()].astype(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(child), *(b.column(c).take(pa.array(row)) for c in ("id", "n"))], names=["node", "id", "parent"])
 
     return run
 
 
 def _compare_blocks(limit: float):
-    """Blocks (node, rows of is_left, is_minor, id, root, tokens, roots): left against right. A pair is given in the first
-    node that it shares, once."""
+    """Blocks (rows of is_left, is_minor, id, root, tokens): pairs of left and right in different components. One bit of
+    each token rules most pairs out before whole tokens are compared."""
     least = _least_equal(limit)
+    p = limit + (1 - limit) / 2
+    apart = WIDTH - int(WIDTH * p - SIGMAS * np.sqrt(WIDTH * p * (1 - p)))
 
     def run(batches):
         for b in batches:
             left, right, equal = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for node, rows in zip(b.column("node").to_pylist(), b.column("rows"), strict=True):
+            for rows in b.column("rows"):
                 rows = rows.values
                 get = lambda name: rows.field(name)  # noqa: E731,B023
                 ids, roots = get("id").to_numpy(), get("root").to_numpy()
                 is_left, is_minor = (get(c).to_numpy(zero_copy_only=False) for c in ("is_left", "is_minor"))
                 tokens = np.frombuffer(b"".join(get("tokens").to_pylist()), np.uint8).reshape(len(ids), WIDTH)
-                nodes = get("roots").flatten().to_numpy().reshape(len(ids), ROOTS)
+                bits = np.packbits(tokens & 1, axis=1).view(np.uint64)
                 x, y = np.nonzero(is_left)[0], np.nonzero(~is_left)[0]
-                if not len(x) or not len(y):
-                    continue
-                same = np.zeros((len(x), len(y)), np.uint8)
-                tx, ty = np.ascontiguousarray(tokens[x].T), np.ascontiguousarray(tokens[y].T)
-                for k in range(WIDTH):
-                    same += (tx[k][:, None] == ty[k][None, :]).view(np.uint8)
-                i, j = np.nonzero(same >= least)
-                e, i, j = same[i, j].astype(np.int64), x[i], y[j]
-                # Two classes outside the largest component meet on either side
-                fit = (roots[i] != roots[j]) & (~is_minor[j] | (ids[i] < ids[j]))
-                e, i, j = e[fit], i[fit], j[fit]
-                shared = nodes[i] == nodes[j]
-                first = nodes[i, shared.argmax(axis=1)] == node
-                e, i, j = e[first], ids[i[first]], ids[j[first]]
-                left.append(np.minimum(i, j)), right.append(np.maximum(i, j)), equal.append(e)
+                for at in range(0, len(x), 256):
+                    part = x[at : at + 256]
+                    far = sum(np.bitwise_count(bits[part, k][:, None] ^ bits[y, k][None, :]) for k in range(bits.shape[1]))
+                    i, j = np.nonzero(far <= apart)
+                    i, j = part[i], y[j]
+                    # Two classes outside the largest component meet on either side
+                    fit = (roots[i] != roots[j]) & (~is_minor[j] | (ids[i] < ids[j]))
+                    i, j = i[fit], j[fit]
+                    e = np.concatenate([(tokens[i[k : k + 4096]] == tokens[j[k : k + 4096]]).sum(axis=1) for k in range(0, len(i), 4096)] or [np.empty(0, np.int64)])
+                    i, j, e = ids[i[e >= least]], ids[j[e >= least]], e[e >= least]
+                    left.append(np.minimum(i, j)), right.append(np.maximum(i, j)), equal.append(e)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (left, right, equal)], names=["a", "z", "equal"])
 
     return run
 
 
-def pairs_apart(large: DataFrame, classes: DataFrame, rooted: DataFrame, limit: float) -> DataFrame:
-    """All pairs (a, z, equal) of the large first nodes (node, id) that may be linked and lie in different components;
-    ``rooted`` has node, root."""
-    of = classes.select("id", "tokens", "roots").join(rooted.select(F.col("node").alias("rooted_id"), "root"), F.col("id") == F.col("rooted_id"), "left")
-    rows = large.select("node", "id").join(of.select("id", "tokens", "roots", F.coalesce("root", "id").alias("root")), "id")
+def in_blocks(rows: DataFrame, limit: float) -> DataFrame:
+    """Pairs (a, z, equal) between components of the nodes of ``rows`` (node, id, root, tokens)."""
     counted = rows.groupBy(F.col("node").alias("at"), "root").agg(F.count(F.lit(1)).alias("c"))
     tops = (
         counted.groupBy("at")
@@ -201,44 +193,63 @@ def pairs_apart(large: DataFrame, classes: DataFrame, rooted: DataFrame, limit:
         .where("top.c < n")
         .select("at", F.col("top.root").alias("top_root"), *(F.ceil(c / F.lit(BLOCK)).cast("long").alias(x) for c, x in ((F.col("n") - F.col("top.c"), "rows_of"), (F.col("n"), "columns_of"))))
     )
-    rows = staged(rows.join(tops, F.col("node") == F.col("at")).drop("at").withColumn("is_minor", F.col("root") != F.col("top_root")), "op3-apart")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     salt = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n))
-    what = F.struct("is_left", "is_minor", "id", "root", "tokens", "roots")
+    what = F.struct("is_left", "is_minor", "id", "root", "tokens")
+    rows = staged(rows.hint("merge").join(staged(tops, "op3-tops"), F.col("node") == F.col("at")).drop("at").withColumn("is_minor", F.col("root") != F.col("top_root")), "op3-apart")
     left = rows.where("is_minor").withColumns({"is_left": F.lit(True), "x": salt(1, "rows_of")}).withColumn("y", every("columns_of"))
     right = rows.withColumns({"is_left": F.lit(False), "y": salt(2, "columns_of")}).withColumn("x", every("rows_of"))
     sides = [df.select("node", "x", "y", what.alias("row")) for df in (left, right)]
     blocks = sides[0].unionByName(sides[1]).groupBy("node", "x", "y").agg(F.collect_list("row").alias("rows"))
-    return blocks.select("node", "rows").mapInArrow(_compare_blocks(limit), "a long, z long, equal long")
+    return blocks.select("rows").mapInArrow(_compare_blocks(limit), "a long, z long, equal long")
+
+
+def pairs_apart(large: DataFrame, classes: DataFrame, rooted: DataFrame, limit: float) -> DataFrame:
+    """All pairs (a, z, equal) of the large nodes (node, id, n) that may be linked and lie in different components;
+    ``rooted`` has node, root."""
+    of = classes.select("id", "tokens").join(rooted.select(F.col("node").alias("rooted_id"), "root"), F.col("id") == F.col("rooted_id"), "left")
+    of = staged(of.select("id", "tokens", F.coalesce("root", "id").alias("root")), "op3-rooted")
+    rows, parts, level = large.join(of, "id").withColumn("parent", F.lit(None).cast("long")), [], 0
+    while True:
+        ends = (F.col("n") <= LARGE) | F.coalesce(F.col("n") > SHRINK * F.col("parent"), F.lit(False))
+        parts.append(in_blocks(rows.where(ends), limit))
+        rows = rows.where(~ends)
+        if large.where(F.col("n") > LARGE).isEmpty() if not level else rows.isEmpty():
+            break
+        # Children of one class alone say nothing
+        children = staged(rows.select("node", "id", "n", "tokens").mapInArrow(_branch(BRANCH), "node long, id long, parent long"), f"op3-branch{level}")
+        sizes = children.groupBy(F.col("node").alias("sized_node")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        rows = staged(children.join(staged(sizes, "op3-sizes"), F.col("node") == F.col("sized_node")).drop("sized_node").join(of, "id"), f"op3-children{level}")
+        level += 1
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    return found.groupBy("a", "z").agg(F.max("equal").alias("equal"))
 
 
 def candidate_pairs(classes: DataFrame, limit: float) -> tuple[DataFrame, DataFrame | None]:
-    """``classes`` has id, tokens, roots. Staged pairs (a, z, equal) with a < z; no pair twice. And the rows (node, id) of
-    the large first nodes, of which these are not all pairs."""
+    """``classes`` has id, tokens, roots. Staged pairs (a, z, equal) with a < z; no pair twice. And the rows (node, id, n) of
+    the large nodes, of which these are not all pairs."""
     tokens = classes.select("id", "tokens")
     rows = classes.select(F.explode("roots").alias("node"), "id")
-    parts, first_large = [], None
-    for level in range(LEVELS + 1):
-        # Nodes of one class end here; most do
-        sizes = rows.groupBy(F.col("node").alias("sized_node")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        shared = staged(rows.join(sizes, F.col("node") == F.col("sized_node")).drop("sized_node").join(tokens, "id"), f"op3-level{level}")
-        small = (
-            shared.where(F.col("n") <= SMALL)
-            .groupBy("node")
-            .agg(F.collect_list(F.struct("id", "tokens")).alias("rows"))
-            .select(F.col("rows.id").alias("ids"), F.col("rows.tokens").alias("tokens"))
-        )
-        parts.append(small.mapInArrow(_compare_nodes(limit), "a long, z long, equal long"))
-        large = shared.where(F.col("n") > SMALL)
-        if large.isEmpty():
-            break
-        if level == 0:
-            first_large = large.select("node", "id")
+    # Nodes of one class end here; most do
+    sizes = rows.groupBy(F.col("node").alias("sized_node")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = staged(rows.hint("merge").join(staged(sizes, "op3-sizes"), F.col("node") == F.col("sized_node")).drop("sized_node").join(tokens, "id"), "op3-roots")
+    small = (
+        shared.where(F.col("n") <= SMALL)
+        .groupBy("node")
+        .agg(F.collect_list(F.struct("id", "tokens")).alias("rows"))
+        .select(F.col("rows.id").alias("ids"), F.col("rows.tokens").alias("tokens"))
+    )
+    found = small.mapInArrow(_compare_nodes(limit), "a long, z long, equal long")
+    large = shared.where(F.col("n") > SMALL)
+    some = not large.isEmpty()
+    if some:
         # A leader is the class with the smallest hash in one of LEADERS slices of its node. A large node's rows meet them in
         # groups of about LED rows
         groups = F.ceil(F.col("n") / F.lit(LED)).cast("long")
         leaders = (
-            large.groupBy(F.col("node").alias("lead_node"), F.pmod(F.xxhash64("id", F.lit(level)), F.lit(LEADERS)).alias("slice"))
+            large.groupBy(F.col("node").alias("lead_node"), F.pmod(F.xxhash64("id"), F.lit(LEADERS)).alias("slice"))
             .agg(F.min(F.struct(F.xxhash64("id", "node").alias("h"), "id", "tokens")).alias("l"), F.max(groups).alias("groups"))
             .groupBy("lead_node")
             .agg(F.collect_list("l.id").alias("lead_ids"), F.collect_list("l.tokens").alias("lead_tokens"), F.max("groups").alias("groups"))
@@ -246,13 +257,9 @@ def candidate_pairs(classes: DataFrame, limit: float) -> tuple[DataFrame, DataFr
         )
         group = F.pmod(F.xxhash64("id", F.lit("group")), groups)
         led = large.withColumn("in_group", group).join(leaders, (F.col("node") == F.col("lead_node")) & (F.col("in_group") == F.col("lead_group"))).select("id", "tokens", "lead_ids", "lead_tokens")
-        parts.append(led.mapInArrow(_compare_leaders(limit), "a long, z long, equal long"))
-        if level < LEVELS:
-            rows = large.select("node", "id", "tokens").mapInArrow(_branch(level), "node long, id long")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return staged(found.groupBy("a", "z").agg(F.max("equal").alias("equal")), "op3-candidates"), first_large
+        found = found.unionByName(led.mapInArrow(_compare_leaders(limit), "a long, z long, equal long"))
+    pairs = staged(found.groupBy("a", "z").agg(F.max("equal").alias("equal")), "op3-candidates")
+    return pairs, large.select("node", "id", "n") if some else None
 
 
 def _confirm(n: int, percent: int):
@@ -287,14 +294,13 @@ def components(links: DataFrame, name: str, rounds: int = 30) -> DataFrame:
     for i in range(rounds):
         # Large star: every neighbour above a node moves to the node's smallest neighbour
         both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        # What is joined with is staged first: a hub's edges then lie in a plain shuffle, which adaptive execution can split
-        least = staged(both.groupBy(F.col("x").alias("c")).agg(F.min("y").alias("y_min")).select("c", F.least("c", "y_min").alias("m")), f"{name}-least{i}")
-        large = both.where("y > x").hint("merge").join(least, F.col("x") == F.col("c")).select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy(F.col("x").alias("c")).agg(F.min("y").alias("y_min")).select("c", F.least("c", "y_min").alias("m"))
+        large = both.where("y > x").join(least, F.col("x") == F.col("c")).select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
         large = staged(large, f"{name}-large{i}")
         # Small star: a node and its smaller neighbours move to the smallest of them
-        low = staged(large.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")), f"{name}-low{i}")
+        low = large.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))
         small = (
-            large.hint("merge").join(low, F.col("u") == F.col("c"))
+            large.join(low, F.col("u") == F.col("c"))
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .where("u <> v")
             .unionByName(low.select(F.col("c").alias("u"), F.col("m").alias("v")))

@@ -43,7 +43,9 @@ def test_a_large_group_of_near_copies_is_one_component(spark):
     assert got == brute(pairs) and {r[2] for r in got} == {0}
 
 
-def test_links_inside_a_group_that_shares_boilerplate(spark):
+@pytest.mark.parametrize("large", [D.LARGE, 100])
+def test_links_inside_a_group_that_shares_boilerplate(spark, monkeypatch, large):
+    monkeypatch.setattr(D, "LARGE", large)  # the smaller one makes nodes branch
     # 700 texts of similarity 0.74 to each other, and 100 pairs of 0.82 among them
     common = [f"c{i}" for i in range(37)]
     own = lambda k, n: [f"t{k}x{i}" for i in range(n)]
