@@ -15,8 +15,9 @@ How it runs, so that neither a frequent word nor the number of distinct n-grams
 2. A group sends each of its distinct n-grams once, with its own training count, as sorted 64-bit hashes in one block for
    each bucket of the hash range that they touch. There are as many buckets as groups, so a bucket gets about what a group
    sends. Blocks never outnumber the n-grams in them: what moves is linear in the input at any size.
-3. A bucket adds up. It keeps its part of the count table (keys and totals, staged), and answers each group in the group's
-   own order of keys. For each n-gram one group is named that speaks for it.
+3. A bucket adds up, and answers each group in the group's own order of keys (staged); where ``tables`` names a folder, it
+   also writes its part of the count table: keys and totals, for ``look_up`` to read later. For each n-gram one group is
+   named that speaks for it.
 4. Groups sum, over the n-grams they speak for, mass and mass below by history, and ask for the weights of the histories
    that they must back off from; buckets add up and answer (staged).
 5. Groups evaluate the recursion for their distinct n-grams, order by order, and add up over tokens.
@@ -156,9 +157,13 @@ def _send(buckets: int, order: int):
 _COUNTED = "kind int, bucket long, g long, keys binary, counts binary, speaks binary, " + ", ".join(f"{c} long" for c in TOTALS)
 
 
-def _count(table: pa.Table) -> pa.Table:
-    """All blocks of one bucket: its part of the count table (g is null), and for each group the total counts of the group's
-    keys and whether it speaks for the key."""
+def _count(keep: bool):
+    """All blocks of one bucket: a row of its own (g is null) with counts of counts and, if they are to be kept, its keys and
+    totals; and for each group the total counts of the group's keys and whether it speaks for the key."""
+    return lambda table: _counted(table, keep)
+
+
+def _counted(table: pa.Table, keep: bool) -> pa.Table:
     kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
     rows = sorted(zip(*(table.column(c).to_pylist() for c in ("g", "keys", "counts")), strict=True))
     keys = [_unpack_keys(k) for _, k, _ in rows]
@@ -168,7 +173,7 @@ def _count(table: pa.Table) -> pa.Table:
     speaks[first] = True
     seen = total[total > 0]
     stats = [int(seen.sum(dtype=np.int64)), len(seen), *(int((seen == c).sum()) for c in range(1, K + 2))]
-    out, at = [[kind, bucket, None, _pack_keys(every[total > 0]), _planes(seen), None, *stats]], 0
+    out, at = [[kind, bucket, None, _pack_keys(every[total > 0]) if keep else None, _planes(seen) if keep else None, None, *stats]], 0
     for (g, *_), k in zip(rows, keys, strict=True):
         part = slice(at, at := at + len(k))
         out.append([kind, bucket, g, None, _planes(total[back[part]]), np.packbits(speaks[part]).tobytes(), *[0] * len(TOTALS)])
@@ -315,8 +320,35 @@ def _score(totals: list[dict], unknown: float):
     return run
 
 
-def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
+def look_up(tables: DataFrame, grams: DataFrame) -> DataFrame:
+    """gram, count for the n-grams (arrays of lower-case words, null for the end mark) of ``grams``, by the count tables that
+    ``scored`` wrote."""
+
+    def entries(batches):
+        for b in batches:
+            for kind, keys, counts in zip(*(b.column(c).to_pylist() for c in ("kind", "keys", "counts")), strict=True):
+                k = _unpack_keys(keys)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(_from_planes(counts, np.uint32).astype(np.int64))], names=["kind", "key", "count"])
+
+    def keyed(batches):
+        for b in batches:
+            found = []
+            for gram in b.column("gram").to_pylist():
+                hs = [np.array([END]) if w is None else hashes([w.encode()]) for w in gram]
+                key = hs[0]
+                for h in hs[1:]:
+                    key = _mix(key, h)
+                found.append((len(gram) - 1, int(key.view(np.int64)[0])))
+            yield pa.RecordBatch.from_arrays([b.column("gram"), *(pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [[], []], (pa.int32(), pa.int64()), strict=True))], names=["gram", "of_kind", "of_key"])
+
+    asked = grams.select("gram").mapInArrow(keyed, "gram array<string>, of_kind int, of_key long")
+    there = tables.mapInArrow(entries, "kind int, key long, count long")
+    return asked.join(there, (F.col("kind") == F.col("of_kind")) & (F.col("key") == F.col("of_key")), "left").select("gram", F.coalesce("count", F.lit(0)).alias("count"))
+
+
+def scored(docs: DataFrame, order: int = ORDER, tables: str | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs. The count tables are
+    written below ``tables`` if it is given, partitioned by order."""
     slim = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
@@ -325,7 +357,9 @@ def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
     size = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = 1 << (size // GROUP_BYTES).bit_length()
     state = staged(slim.mapInArrow(_deal(GROUP_BYTES), _STATE), "op7-state")
-    counts = staged(state.mapInArrow(_send(buckets, order), _BLOCK).groupBy("kind", "bucket").applyInArrow(_count, _COUNTED), "op7-counts")
+    counts = staged(state.mapInArrow(_send(buckets, order), _BLOCK).groupBy("kind", "bucket").applyInArrow(_count(tables is not None), _COUNTED), "op7-counts")
+    if tables is not None:
+        counts.where("g is null").select("kind", "bucket", "keys", "counts").write.partitionBy("kind").parquet(tables)
     sums = {r["kind"]: r.asDict() for r in counts.where("g is null").groupBy("kind").agg(*(F.sum(c).alias(c) for c in TOTALS)).collect()}
     totals = [{c: int(sums.get(k, {}).get(c) or 0) for c in TOTALS} for k in range(order)]
     one = totals[0]

@@ -72,6 +72,15 @@ def test_katz_equals_brute_force_and_sums_to_one(spark, monkeypatch, order, grou
     assert got == want and np.allclose(total, 1)
 
 
+def test_count_tables_can_be_looked_up(spark, tmp_path):
+    docs = table(spark, [(1, "a b a b c"), (3, "a b"), (None, "B a")])
+    L.scored(docs, 3, str(tmp_path / "counts")).count()
+    grams = [["a"], ["a", "b"], ["b", "a", "b"], [None], [None, "a"], ["c", None], ["x"], ["b", "c", "a"]]
+    df = spark.createDataFrame([(g,) for g in grams], "gram array<string>")
+    got = {tuple(r.gram): r["count"] for r in L.look_up(spark.read.parquet(str(tmp_path / "counts")), df).collect()}
+    assert [got[tuple(g)] for g in grams] == [4, 3, 1, 3, 2, 1, 0, 0]
+
+
 def test_katz_of_nothing(spark):
     assert L.scored(empty(spark)).count() == 0
 
