@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -89,19 +90,26 @@ def _number(text: Column, pattern: str) -> Column:
 
 
 def _first_in_range(text: Column, patterns: list[str]) -> Column:
-    """The first pattern whose first hit is a number from 2 to 500. The text and each hit are bound by lambdas, so that
-    each is worked out once a row however often it is named."""
+    """The first pattern whose first hit is a number from 2 to 500; ``text`` is in lower case. Work ends at the first hit,
+    a pattern is tried only where its word occurs, and text without a digit is left at once. Lambdas bind the text and each
+    hit, so that each is worked out once a row however often it is named."""
 
     def first(t: Column) -> Column:
-        hits = F.array(*(_number(t, f"(?i){p}") for p in patterns))
-        return F.get(F.filter(hits, lambda n: n.between(2, 500)), 0)
+        tries = []
+        for p in patterns:
+            word = re.search(r"pack|set|box|bag|per|qty|pk|x", p).group()
+            hit = F.get(F.filter(F.array(_number(t, f"(?i){p}")), lambda n: n.between(2, 500)), 0)
+            tries.append(F.when(F.contains(t, F.lit(word)), hit))
+        return F.coalesce(*tries)
 
-    return F.get(F.transform(F.array(text), first), 0)
+    return F.when(text.rlike("[0-9]"), F.get(F.transform(F.array(text), first), 0))
 
 
 def pack_qty(title: Column) -> Column:
     """Pack quantity in a title; numbers with a unit of measure are dimensions and do not count."""
-    return _first_in_range(F.regexp_replace(F.lower(title), MEASURE, "DIM"), PACK_PATTERNS)
+    low = F.lower(title)
+    # The unit is left out only where some number may have one
+    return _first_in_range(F.when(low.rlike(r"[0-9]\s*[cmfikg\"]"), F.regexp_replace(low, MEASURE, "DIM")).otherwise(low), PACK_PATTERNS)
 
 
 def pack_qty_legacy(title: Column) -> Column:

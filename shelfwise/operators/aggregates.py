@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.scalars import coalesce_falsy, tier
-from shelfwise.operators.filters import match_tab
+from shelfwise.operators.filters import active_alerts, match_tab, worst_differentials
+from shelfwise.operators.windows import worst_n
 
 
 def shown_diff() -> Column:
@@ -27,6 +28,26 @@ def dashboard_metrics(latest: DataFrame, matches: DataFrame) -> DataFrame:
     return counts.crossJoin(F.broadcast(queue))  # one row by one row
 
 
+def dashboard(latest: DataFrame, matches: DataFrame, runs: DataFrame, alerts: DataFrame) -> DataFrame:
+    """The desk's first screen as one table: section (metric, last_run, alert, worst), place in it, and sku_id,
+    competitor_id, amount; a metric's name, or the last run's status and id, stand in their places. ``alerts`` has
+    created_at, id and dismissed."""
+    none = lambda kind: F.lit(None).cast(kind)
+    metrics = dashboard_metrics(latest, matches)
+    named = F.posexplode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("n")) for c in metrics.columns))).alias("place", "m")
+    parts = [metrics.select(named).select(F.lit("metric").alias("section"), (F.col("place") + 1).cast("long").alias("place"), F.col("m.name").alias("sku_id"), none("long").alias("competitor_id"), F.col("m.n").alias("amount"))]
+    last = runs.orderBy(F.desc("started_at"), F.desc("id")).limit(1)
+    parts.append(last.select(F.lit("last_run").alias("section"), F.lit(1).cast("long").alias("place"), F.col("status").alias("sku_id"), F.col("id").cast("long").alias("competitor_id"), none("double").alias("amount")))
+    # The two lists are short by their nature: 50 and 10 rows
+    for section, rows, amount, order in (("alert", active_alerts(alerts), "diff_pct", [F.desc("created_at"), F.desc("id")]), ("worst", worst_n(worst_differentials(latest)), "diff_pct", [F.asc("diff_pct"), F.asc("sku_id"), F.asc("competitor_id")])):
+        place = F.row_number().over(Window.orderBy(*order)).cast("long")
+        parts.append(rows.select(F.lit(section).alias("section"), place.alias("place"), "sku_id", F.col("competitor_id").cast("long").alias("competitor_id"), F.col(amount).cast("double").alias("amount")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def competitor_stats(latest: DataFrame, red: float = 10, amb: float = 5, par: float = 2) -> DataFrame:
     """Tier counts of each competitor; no difference counts as parity."""
     t = tier(F.col("diff_pct_normalised"), red, amb, par)

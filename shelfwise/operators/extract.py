@@ -135,7 +135,7 @@ def shopify_js_price(docs: DataFrame) -> DataFrame:
 def site_prices(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """Prices by a pattern that a competitor's rule (competitor_id, pattern) gives."""
     by = rules.select(F.col("competitor_id").alias("rule_for"), "pattern")
-    amount = parse_price(F.regexp_extract("html", F.col("pattern"), F.lit(1)))
+    amount = parse_price(F.call_function("regexp_extract", F.col("html"), F.col("pattern"), F.lit(1)))
     return pages.join(by, F.col("competitor_id") == F.col("rule_for")).select("competitor_id", "url", amount.alias("price"))
 
 

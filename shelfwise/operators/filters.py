@@ -92,6 +92,14 @@ def usable_pages(profiles: DataFrame) -> DataFrame:
     return profiles.where(F.coalesce(F.length("html"), F.lit(0)) > 0).where(F.coalesce(F.col("profile"), F.lit("")) != "")
 
 
+def page_counts(profiles: DataFrame) -> DataFrame:
+    """Per competitor what ``usable_pages`` drops: harvested, no_html, no_profile."""
+    empty = F.coalesce(F.length("html"), F.lit(0)) == 0
+    return profiles.groupBy("competitor_id").agg(
+        F.count(F.lit(1)).alias("harvested"), F.count_if(empty).alias("no_html"), F.count_if(~empty & (F.coalesce(F.col("profile"), F.lit("")) == "")).alias("no_profile")
+    )
+
+
 def filter_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """URLs (competitor_id, url) that their competitor's rule lets pass. A rule has accept_all, allow_paths, min_depth,
     deny_paths and product_only; a competitor without a rule takes product URLs."""

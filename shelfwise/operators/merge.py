@@ -22,13 +22,10 @@ def merge_by_key(
     order: list[str] | None = None,
 ) -> DataFrame:
     """``columns`` (default: all that both have) are replaced where a key has a change, whatever the change's value, null
-    included; rows of base for which ``protect`` holds stay as they are; unknown keys are added if ``insert``."""
+    included; rows of base for which ``protect`` holds stay as they are; unknown keys are added if ``insert``. Of several
+    changes to a key the one with the highest ``order`` wins, and among equals the one with the highest values."""
     columns = columns or [c for c in changes.columns if c in base.columns and c not in keys]
-    packed = F.struct(*columns).alias("row")
-    if order:
-        change = changes.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("row"))
-    else:
-        change = changes.select(*keys, packed)
+    change = changes.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(*(order or []), *columns)).alias("row"))
     change = change.withColumn("changed", F.lit(True))
     locked = F.coalesce(protect, F.lit(False)) if protect is not None else F.lit(False)
     kept = base.withColumn("locked", locked).withColumn("there", F.lit(True))
@@ -62,9 +59,12 @@ def merge_sitemap_matches(matches: DataFrame, decisions: DataFrame) -> DataFrame
 
 
 def apply_run_results(matches: DataFrame, results: DataFrame) -> DataFrame:
-    """After a price run: an amended pair whose page answered is matched again; a variant's URL replaces the old one."""
-    answer = results.select(*PAIR, "availability", F.coalesce("configurable_url", "variation_url", "storefront_url").alias("variant_url_"))
-    df = matches.join(answer.dropDuplicates(PAIR), PAIR, "left")
+    """After a price run: an amended pair whose page answered is matched again; a variant's URL replaces the old one. Of
+    several answers to a pair the newest (scraped_at, where results have it) counts, among equals the highest values."""
+    answer = F.struct("availability", F.coalesce("configurable_url", "variation_url", "storefront_url").alias("variant_url_"))
+    at = [F.col("scraped_at")] if "scraped_at" in results.columns else []
+    newest = results.groupBy(*PAIR).agg(F.max_by(answer, F.struct(*at, answer)).alias("a")).select(*PAIR, "a.*")
+    df = matches.join(newest, PAIR, "left")
     promoted = (F.col("match_status") == "amended") & ~F.col("availability").isin("error", "unavailable")
     return df.withColumns(
         {"match_status": F.when(promoted, "matched").otherwise(F.col("match_status")), "competitor_url": F.coalesce("variant_url_", "competitor_url")}
@@ -92,9 +92,12 @@ def apply_corrections(matches: DataFrame, corrections: DataFrame) -> DataFrame:
 
 
 def patch_competitors(competitors: DataFrame, patches: DataFrame) -> DataFrame:
-    """Only the values that a patch gives are replaced."""
+    """Only the values that a patch gives are replaced. Of several patches that give a value the newest (patched_at, where
+    patches have it) counts, among equals the highest value."""
     names = [c for c in patches.columns if c in competitors.columns and c != "competitor_id"]
-    p = patches.select("competitor_id", *(F.col(c).alias(f"new_{c}") for c in names))
+    at = [F.col("patched_at")] if "patched_at" in patches.columns else []
+    newest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*at, F.col(c)))).alias(f"new_{c}") for c in names]
+    p = patches.groupBy("competitor_id").agg(*newest)
     df = competitors.join(p, "competitor_id", "left")
     return df.select(*(F.coalesce(f"new_{c}", c).alias(c) if c in names else F.col(c) for c in competitors.columns))
 

@@ -31,10 +31,13 @@ def enrich_snapshots(observations: DataFrame, skus: DataFrame, competitors: Data
         known = F.col("page_vat").isNotNull() & (F.col("page_vat") != "unknown")
         df = df.withColumn("competitor_vat", F.when(known, F.col("page_vat")).otherwise(F.col("competitor_vat")))
     titled = T.pack_qty_legacy if rule == "legacy" else T.pack_qty
-    df = S.once(
-        df,
-        comp_qty=F.coalesce(titled(F.col("comp_title")), F.lit(1)).cast("int"),
-        their_ex=S.normalise_price(F.col("raw_price"), F.col("competitor_vat")),
+    # Plain columns: a job that needs none of them reads none, and the optimiser keeps a costly one that is named more than
+    # once in a projection of its own
+    df = df.withColumns(
+        {
+            "comp_qty": F.coalesce(titled(F.col("comp_title")), F.lit(1)).cast("int"),
+            "their_ex": S.normalise_price(F.col("raw_price"), F.col("competitor_vat")),
+        }
     )
     our, theirs = F.col("our_price"), F.col("their_ex")
     per_unit = S.diff_pct(S.per_unit_price(our, F.col("our_qty")), S.per_unit_price(theirs, F.col("comp_qty")))
@@ -50,13 +53,14 @@ def enrich_snapshots(observations: DataFrame, skus: DataFrame, competitors: Data
         "run_id", "seq", "sku_id", "competitor_id", "scraped_at", "availability", "comp_title", "competitor_vat", "competitor_name",
         "short_title", "our_price", "our_unit_qty",
     ]
-    df = S.once(
-        df,
-        competitor_price=price,
-        competitor_unit_qty=F.when(priced, F.col("comp_qty")),
-        diff_pct=F.when(priced, raw),
-        diff_pct_normalised=F.when(priced, normalised),
-        pack_qty_flag=F.when(priced, flag),
+    df = df.withColumns(
+        {
+            "competitor_price": price,
+            "competitor_unit_qty": F.when(priced, F.col("comp_qty")),
+            "diff_pct": F.when(priced, raw),
+            "diff_pct_normalised": F.when(priced, normalised),
+            "pack_qty_flag": F.when(priced, flag),
+        }
     )
     return df.select(*kept, "competitor_price", "competitor_unit_qty", "diff_pct", "diff_pct_normalised", "pack_qty_flag")
 
@@ -67,8 +71,14 @@ def latest_per_pair(snapshots: DataFrame, keys: list[str] = PAIR, ts: str = "scr
     return snapshots.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(newest.alias("r")).select("r.*")
 
 
-def price_alerts(snapshots: DataFrame, crit: float = -10, warn: float = -5, strict: bool = False) -> DataFrame:
-    """Alerts from enriched snapshots. A normalised difference of zero falls back to the raw one unless ``strict``."""
+def latest_enriched(observations: DataFrame, skus: DataFrame, competitors: DataFrame, rule: str = "current") -> DataFrame:
+    """The newest observation of each pair, enriched: the price history is reduced before any title is looked at."""
+    return enrich_snapshots(latest_per_pair(observations), skus, competitors, rule)
+
+
+def price_alerts(snapshots: DataFrame, crit: float = -10, warn: float = -5, strict: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Alerts from enriched snapshots; ``keep`` names columns of theirs to carry along. A normalised difference of zero
+    falls back to the raw one unless ``strict``."""
     norm, raw = F.col("diff_pct_normalised"), F.col("diff_pct")
     diff = F.coalesce(norm, raw) if strict else S.coalesce_falsy(norm, raw)
     kind = F.when(F.col("availability") == "out_of_stock", "oos_competitor").when(diff <= crit, "critical").when(diff <= warn, "warning")
@@ -76,7 +86,7 @@ def price_alerts(snapshots: DataFrame, crit: float = -10, warn: float = -5, stri
     message = S.alert_message(F.col("alert_type"), F.col("competitor_name"), F.col("short_title"), F.col("alert_diff"), F.col("competitor_price"), F.col("our_price"))
     return df.select(
         "run_id", "seq", "sku_id", "competitor_id", "alert_type", message.alias("message"), F.col("alert_diff").alias("diff_pct"), "our_price",
-        F.col("competitor_price").alias("their_price"),
+        F.col("competitor_price").alias("their_price"), *keep,
     )
 
 

@@ -18,7 +18,7 @@ from shelfwise.operators import matching as M
 from shelfwise.operators import merge as G
 from shelfwise.operators import variants as V
 from shelfwise.operators import windows as W
-from shelfwise.operators.snapshots import PAIR, enrich_snapshots, latest_per_pair, price_alerts, price_changes
+from shelfwise.operators.snapshots import PAIR, enrich_snapshots, latest_enriched, latest_per_pair, price_alerts, price_changes
 from shelfwise.sources.mapped import SQL, Mapped
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,7 +42,7 @@ def enriched(m: Mapped) -> DataFrame:
 
 
 def latest(m: Mapped) -> DataFrame:
-    return latest_per_pair(enriched(m))
+    return latest_enriched(m.observation, m.sku, m.competitor)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,9 +142,14 @@ ALERTS = """, alert AS (
 """
 
 
-@query(ALERTS + "SELECT run_id, seq, sku_id, competitor_id, alert_type, d AS diff_pct, our_price, raw_price AS their_price FROM alert")
+@query(ALERTS + """
+SELECT run_id, seq, sku_id, competitor_id, alert_type, d AS diff_pct, our_price, raw_price AS their_price,
+       CASE WHEN alert_type = 'oos_competitor' THEN concat(competitor_name, ' is out of stock for ', short_title, ' — last known £', coalesce(CAST(raw_price AS VARCHAR), '?'))
+            ELSE concat(competitor_name, ' is ', printf('%.1f', round_even(abs(d) * 10, 0) / 10), '% cheaper — £', printf('%.2f', raw_price), ' vs your £', printf('%.2f', our_price)) END AS message
+FROM alert
+""")
 def cmp3_price_alerts(m):
-    return price_alerts(enriched(m)).drop("message")
+    return price_alerts(enriched(m))
 
 
 @query(ALERTS + "SELECT run_id, seq, sku_id, competitor_id, alert_type FROM alert WHERE alert_type IN ('oos_us', 'oos_competitor', 'unavailable')")
@@ -161,9 +166,8 @@ def jn12_alert_names(m):
 SELECT run_id, seq, sku_id, competitor_id, run_id * 10 + seq AS id FROM alert WHERE (run_id + seq) % 7 <> 0 ORDER BY scraped_at DESC, run_id * 10 + seq DESC LIMIT 50
 """)
 def flt5_active_alerts(m):
-    snaps = enriched(m)
-    at = snaps.select("run_id", "seq", *PAIR, F.col("scraped_at").alias("created_at"))
-    alerts = price_alerts(snaps).join(at, ["run_id", "seq", *PAIR]).withColumns({"id": F.col("run_id") * 10 + F.col("seq"), "dismissed": (F.col("run_id") + F.col("seq")) % 7 == 0})
+    alerts = price_alerts(enriched(m), keep=("scraped_at",)).withColumnRenamed("scraped_at", "created_at")
+    alerts = alerts.withColumns({"id": F.col("run_id") * 10 + F.col("seq"), "dismissed": (F.col("run_id") + F.col("seq")) % 7 == 0})
     return L.active_alerts(alerts).select("run_id", "seq", *PAIR, "id")
 
 
@@ -319,11 +323,18 @@ def jn2_match_queue(m):
     return J.match_queue(m.match, m.sku, m.competitor, latest(m)).select(*PAIR, "short_title", "competitor_name", "match_status", "last_price", "last_availability")
 
 
-@query(f"SELECT sku_id, competitor_id FROM match WHERE {TAB} = 'auto' AND contains(lower(competitor_url), '7')")
+@query("\nUNION ALL\n".join(f"""
+SELECT '{tab}' AS tab, m.sku_id, m.competitor_id FROM match m LEFT JOIN sku s USING (sku_id) LEFT JOIN competitor c ON c.competitor_id = m.competitor_id
+WHERE {TAB.replace("NOT human_reviewed", "NOT seen").replace("AND human_reviewed", "AND seen")} = '{tab}'
+  AND (contains(lower(m.sku_id), '{q}') OR contains(lower(s.short_title), '{q}') OR contains(lower(c.name), '{q}') OR contains(lower(competitor_url), '{q}'))""".replace("match m", "(SELECT *, confidence % 2 = 0 AS seen FROM match) m") for tab, q in (("auto", "77"), ("review", "bolt"), ("human", "pack of 1"), ("rejected", "000000012"), ("amended", "-5"))))
 def flt6_matches_tab(m):
-    queue = m.match.withColumns({"short_title": F.lit(None).cast("string"), "competitor_name": F.lit(None).cast("string")})
-    only_url = queue.withColumn("sku_key", F.col("sku_id")).withColumn("sku_id", F.lit(None).cast("string"))
-    return L.matches_tab(only_url, "auto", q="7").select(F.col("sku_key").alias("sku_id"), "competitor_id")
+    queue = m.match.withColumn("human_reviewed", F.col("confidence") % 2 == 0)
+    queue = queue.join(m.sku.select("sku_id", "short_title"), "sku_id", "left").join(m.competitor.select("competitor_id", F.col("name").alias("competitor_name")), "competitor_id", "left")
+    parts = [L.matches_tab(queue, tab, q).select(F.lit(tab).alias("tab"), *PAIR) for tab, q in (("auto", "77"), ("review", "BOLT"), ("human", "pack of 1"), ("rejected", "000000012"), ("amended", "-5"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 @query("""
@@ -382,10 +393,17 @@ def jn7_drop_confirmed(m):
     return J.drop_confirmed(latest(m).select(*PAIR), m.match)
 
 
-@query("SELECT l.sku_id, l.competitor_id, coalesce(nullif(s.unit_qty, 0), nullif(l.our_unit_qty, 0), 1) AS shown_qty FROM latest l LEFT JOIN sku s ON s.sku_id = l.sku_id")
+@query("""
+SELECT l.sku_id, l.competitor_id, coalesce(nullif(s.unit_qty, 0), nullif(l.our_unit_qty, 0), 1) AS shown_qty,
+       CASE s.p_partkey % 3 WHEN 0 THEN concat('https://img.example/', s.p_partkey, '.PNG') ELSE concat('https://shop.example/', l.competitor_id, '.svg') END AS image,
+       concat(l.sku_id, '.', CASE s.p_partkey % 3 WHEN 0 THEN 'png' ELSE 'jpg' END) AS path
+FROM latest l LEFT JOIN sku s ON s.sku_id = l.sku_id
+""")
 def jn8_sku_meta(m):
-    none = F.lit(None).cast("string")
-    return J.with_sku_meta(latest(m).withColumn("image_url", none), m.sku.withColumn("image_url", none)).select(*PAIR, "shown_qty")
+    key = F.col("p_partkey")
+    own = m.part.withColumn("image_url", F.when(key % 3 == 0, F.concat(F.lit("https://img.example/"), key.cast("string"), F.lit(".PNG"))).when(key % 3 == 1, ""))
+    rows = latest(m).withColumn("image_url", F.concat(F.lit("https://shop.example/"), F.col("competitor_id").cast("string"), F.lit(".svg")))
+    return J.with_sku_meta(rows, own).select(*PAIR, "shown_qty", "image", T.image_path(F.col("sku_id"), F.col("image")).alias("path"))
 
 
 RUNS = """, newest AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY competitor_id ORDER BY started_at DESC, id DESC) AS rn FROM run) WHERE rn = 1)
@@ -714,12 +732,24 @@ def variant_matches(m) -> DataFrame:
     return m.match.select(*PAIR).join(m.part.select("sku_id", _page_url("/").alias("competitor_url")), "sku_id")
 
 
-@query()
+#: Of a family's variants those of the SKU's own size fit; of these the first in stock, else the first.
+_FITTING = f""", fitting AS (
+  SELECT m.sku_id, m.competitor_id, concat('https://shop.example/', replace(s.cat_l4, '#', '-'), '/', s.p_partkey // {FAMILY}) AS page, s.p_size % 8 AS z,
+         CAST(v.p_partkey AS VARCHAR) AS variant_id, v.p_partkey % 3 <> 0 AS in_stock,
+         row_number() OVER (PARTITION BY m.sku_id, m.competitor_id ORDER BY v.p_partkey % 3 <> 0 DESC, CAST(v.p_partkey AS VARCHAR)) AS rn
+  FROM match m JOIN sku s USING (sku_id) JOIN sku v ON v.cat_l4 = s.cat_l4 AND v.p_partkey // {FAMILY} = s.p_partkey // {FAMILY} AND v.p_size % 8 = s.p_size % 8)
+"""
+
+
+@query(_FITTING + """
+SELECT sku_id, competitor_id, page AS previous_url, concat(page, '?super_attribute[9]=', z) AS competitor_url, 'amended' AS match_status, true AS awaiting_scrape, 50 AS score
+FROM fitting WHERE rn = 1
+""")
 def cmp5_repair_variants(m):
     return V.repair_variants(variant_matches(m), X.configurable_variants(configured_pages(m)), m.sku, "configurable")
 
 
-@query()
+@query(_FITTING + "SELECT sku_id, competitor_id, variant_id, 50 AS score, in_stock FROM fitting WHERE rn = 1")
 def win5_best_variant(m):
     pairs = V.variants_for_matches(variant_matches(m), X.configurable_variants(configured_pages(m)), m.sku, "configurable")
     return W.best_variant(V.score_variants(pairs, "configurable"), PAIR).select(*PAIR, "variant_id", "score", "in_stock")

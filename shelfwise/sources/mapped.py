@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: A setting of the session: partitions that the price history is dealt out to.
+SCAN = "spark.shelfwise.scanPartitions"
+
+
 @dataclass
 class Mapped:
     """Tables are made when first asked for; each scan reads only the columns that a job uses."""
@@ -20,10 +24,10 @@ class Mapped:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def spread(self, df: DataFrame) -> DataFrame:
-        """Few row groups would leave most cores idle in the row-wise work that follows; where there are fewer scan
-        tasks than cores (small files alone) the rows are dealt out once."""
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+        """A file of one row group is one scan task, however many cores there are. Where the session sets ``SCAN`` the rows
+        are dealt out to so many partitions; by default the scan stays as it is."""
+        n = self.spark.conf.get(SCAN, None)
+        return df.repartition(int(n)) if n else df
 
     @cached_property
     def part(self) -> DataFrame:
