@@ -11,7 +11,9 @@
    its own hash chooses ``BRANCH`` positions, and each token found there names a child. What two sets share they share in
    the children too, so similar classes stay together while unlike ones part. Nodes of up to LARGE classes, and those that
    branching no longer makes smaller, are compared exhaustively: classes outside the node's largest component with all of
-   its classes, in a grid of salted blocks. A group of near copies is one component by then and costs nothing more.
+   its classes, in a grid of salted blocks. A group of near copies is one component by then and costs nothing more. Who
+   stands in a likely pair comes again with its whole set, and the block confirms as many links as it takes to join what
+   is linked; so rows grow with blocks and classes, never with pairs.
 5. Components come from alternating large-star and small-star steps on tables of links.
 
 A link of similarity 0.8 is missed by all trees with probability 0.2^12 (4e-9), and by all children of a node that branches
@@ -47,7 +49,7 @@ NEAREST = 3
 LARGE = 8192
 BRANCH, SHRINK = 8, 0.35
 #: Classes of a large node that one side of a block has, about.
-BLOCK = 2048
+BLOCK = 1024
 #: Of WIDTH positions, how many may differ from what the limit lets expect before a pair is dropped (5 deviations).
 SIGMAS = 5.0
 #: Rows of a large node that are compared with its leaders in one group.
@@ -150,42 +152,83 @@ def _branch(branch: int):
     return run
 
 
-def _compare_blocks(limit: float):
-    """Blocks (rows of is_left, is_minor, id, root, tokens): pairs of left and right in different components. One bit of
-    each token rules most pairs out before whole tokens are compared."""
+def _likely(rows: pa.Table, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers (i, j) and equal tokens of the pairs of a block (is_left, is_minor, id, root, tokens) that may be linked:
+    left against right, in different components. One bit of each token rules most pairs out before whole tokens are
+    compared."""
     least = _least_equal(limit)
     p = limit + (1 - limit) / 2
     apart = WIDTH - int(WIDTH * p - SIGMAS * np.sqrt(WIDTH * p * (1 - p)))
+    ids, roots = (rows.column(c).to_numpy() for c in ("id", "root"))
+    is_left, is_minor = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("is_left", "is_minor"))
+    tokens = np.frombuffer(b"".join(rows.column("tokens").to_pylist()), np.uint8).reshape(len(ids), WIDTH)
+    bits = np.packbits(tokens & 1, axis=1).view(np.uint64)
+    x, y = np.nonzero(is_left)[0], np.nonzero(~is_left)[0]
+    found = [(np.empty(0, np.int64),) * 3]
+    for at in range(0, len(x), 256):
+        part = x[at : at + 256]
+        far = sum(np.bitwise_count(bits[part, k][:, None] ^ bits[y, k][None, :]) for k in range(bits.shape[1]))
+        i, j = np.nonzero(far <= apart)
+        i, j = part[i], y[j]
+        # Two classes outside the largest component meet on either side
+        fit = (roots[i] != roots[j]) & (~is_minor[j] | (ids[i] < ids[j]))
+        i, j = i[fit], j[fit]
+        e = np.concatenate([(tokens[i[k : k + 4096]] == tokens[j[k : k + 4096]]).sum(axis=1) for k in range(0, len(i), 4096)] or [np.empty(0, np.int64)])
+        found.append((i[e >= least], j[e >= least], e[e >= least]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _involved(limit: float):
+    """Rows of a block (node, x, y) that stand in a likely pair, and only in the first root that the pair shares."""
+    schema = pa.schema([("node", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("id", pa.int64()), ("is_left", pa.bool_()), ("is_minor", pa.bool_())])
+
+    def run(rows: pa.Table) -> pa.Table:
+        i, j, _ = _likely(rows, limit)
+        node = rows.column("node")[0].as_py()
+        nodes = np.array(rows.column("roots").to_pylist(), np.int64)
+        if (nodes == node).any():  # else a child, whose pairs are not ordered by roots
+            mine = nodes[i, (nodes[i] == nodes[j]).argmax(axis=1)] == node
+            i, j = i[mine], j[mine]
+        return rows.take(pa.array(np.unique(np.concatenate([i, j])))).select(schema.names).cast(schema)
 
-    def run(batches):
-        for b in batches:
-            left, right, equal = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for rows in b.column("rows"):
-                rows = rows.values
-                get = lambda name: rows.field(name)  # noqa: E731,B023
-                ids, roots = get("id").to_numpy(), get("root").to_numpy()
-                is_left, is_minor = (get(c).to_numpy(zero_copy_only=False) for c in ("is_left", "is_minor"))
-                tokens = np.frombuffer(b"".join(get("tokens").to_pylist()), np.uint8).reshape(len(ids), WIDTH)
-                bits = np.packbits(tokens & 1, axis=1).view(np.uint64)
-                x, y = np.nonzero(is_left)[0], np.nonzero(~is_left)[0]
-                for at in range(0, len(x), 256):
-                    part = x[at : at + 256]
-                    far = sum(np.bitwise_count(bits[part, k][:, None] ^ bits[y, k][None, :]) for k in range(bits.shape[1]))
-                    i, j = np.nonzero(far <= apart)
-                    i, j = part[i], y[j]
-                    # Two classes outside the largest component meet on either side
-                    fit = (roots[i] != roots[j]) & (~is_minor[j] | (ids[i] < ids[j]))
-                    i, j = i[fit], j[fit]
-                    e = np.concatenate([(tokens[i[k : k + 4096]] == tokens[j[k : k + 4096]]).sum(axis=1) for k in range(0, len(i), 4096)] or [np.empty(0, np.int64)])
-                    i, j, e = ids[i[e >= least]], ids[j[e >= least]], e[e >= least]
-                    left.append(np.minimum(i, j)), right.append(np.maximum(i, j)), equal.append(e)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (left, right, equal)], names=["a", "z", "equal"])
+    return run
+
+
+def _verify(limit: float, percent: int):
+    """Links (a, z) of a block's rows with their whole sets, likeliest first. A pair that the block's own links have already
+    brought together is not looked at again, so there are fewer links than rows."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        i, j, e = _likely(rows, limit)
+        ids, roots, sets = rows.column("id").to_pylist(), rows.column("root").to_pylist(), [np.frombuffer(x, np.uint64) for x in rows.column("items").to_pylist()]
+        up: dict[int, int] = {}
+
+        def top(r: int) -> int:
+            while r in up:
+                r = up[r]
+            return r
+
+        links = []
+        for k in np.argsort(-e, kind="stable").tolist():
+            p, q = int(i[k]), int(j[k])
+            a, z = top(roots[p]), top(roots[q])
+            if a == z:
+                continue
+            n, m = len(sets[p]), len(sets[q])
+            if 100 * min(n, m) < percent * max(n, m):
+                continue
+            both = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+            if 100 * both >= percent * (n + m - both):
+                up[max(a, z)] = min(a, z)
+                links.append((ids[p], ids[q]))
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in (zip(*links, strict=True) if links else ([], []))], names=["a", "z"])
 
     return run
 
 
-def in_blocks(rows: DataFrame, limit: float) -> DataFrame:
-    """Pairs (a, z, equal) between components of the nodes of ``rows`` (node, id, root, tokens)."""
+def involved_in_blocks(rows: DataFrame, limit: float) -> DataFrame:
+    """(node, x, y, id, is_left, is_minor): who stands in a likely pair between components, by block of the nodes of ``rows``
+    (node, id, root, tokens, roots)."""
     counted = rows.groupBy(F.col("node").alias("at"), "root").agg(F.count(F.lit(1)).alias("c"))
     tops = (
         counted.groupBy("at")
@@ -195,24 +238,31 @@ def in_blocks(rows: DataFrame, limit: float) -> DataFrame:
     )
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     salt = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n))
-    what = F.struct("is_left", "is_minor", "id", "root", "tokens")
     rows = staged(rows.hint("merge").join(staged(tops, "op3-tops"), F.col("node") == F.col("at")).drop("at").withColumn("is_minor", F.col("root") != F.col("top_root")), "op3-apart")
     left = rows.where("is_minor").withColumns({"is_left": F.lit(True), "x": salt(1, "rows_of")}).withColumn("y", every("columns_of"))
     right = rows.withColumns({"is_left": F.lit(False), "y": salt(2, "columns_of")}).withColumn("x", every("rows_of"))
-    sides = [df.select("node", "x", "y", what.alias("row")) for df in (left, right)]
-    blocks = sides[0].unionByName(sides[1]).groupBy("node", "x", "y").agg(F.collect_list("row").alias("rows"))
-    return blocks.select("rows").mapInArrow(_compare_blocks(limit), "a long, z long, equal long")
+    sides = [df.select("node", "x", "y", "is_left", "is_minor", "id", "root", "tokens", "roots") for df in (left, right)]
+    return sides[0].unionByName(sides[1]).groupBy("node", "x", "y").applyInArrow(_involved(limit), "node long, x long, y long, id long, is_left boolean, is_minor boolean")
+
+
+def _sets(n: int):
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([shingles(t, n).tobytes() for t in b.column("text").to_pylist()], pa.binary())], names=["id", "items"])
+
+    return run
 
 
-def pairs_apart(large: DataFrame, classes: DataFrame, rooted: DataFrame, limit: float) -> DataFrame:
-    """All pairs (a, z, equal) of the large nodes (node, id, n) that may be linked and lie in different components;
-    ``rooted`` has node, root."""
-    of = classes.select("id", "tokens").join(rooted.select(F.col("node").alias("rooted_id"), "root"), F.col("id") == F.col("rooted_id"), "left")
-    of = staged(of.select("id", "tokens", F.coalesce("root", "id").alias("root")), "op3-rooted")
+def links_apart(large: DataFrame, classes: DataFrame, rooted: DataFrame, texts_of, n: int, percent: int) -> DataFrame:
+    """Links (a, z) between different components in the large nodes (node, id, n), enough to join all components that are
+    linked there; ``rooted`` has node, root, and ``texts_of`` gives the texts of ids."""
+    limit = percent / 100
+    of = classes.select("id", "tokens", "roots").join(rooted.select(F.col("node").alias("rooted_id"), "root"), F.col("id") == F.col("rooted_id"), "left")
+    of = staged(of.select("id", "tokens", "roots", F.coalesce("root", "id").alias("root")), "op3-rooted")
     rows, parts, level = large.join(of, "id").withColumn("parent", F.lit(None).cast("long")), [], 0
     while True:
         ends = (F.col("n") <= LARGE) | F.coalesce(F.col("n") > SHRINK * F.col("parent"), F.lit(False))
-        parts.append(in_blocks(rows.where(ends), limit))
+        parts.append(involved_in_blocks(rows.where(ends), limit))
         rows = rows.where(~ends)
         if large.where(F.col("n") > LARGE).isEmpty() if not level else rows.isEmpty():
             break
@@ -224,7 +274,10 @@ def pairs_apart(large: DataFrame, classes: DataFrame, rooted: DataFrame, limit:
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    return found.groupBy("a", "z").agg(F.max("equal").alias("equal"))
+    found = staged(found, "op3-involved")
+    sets = staged(texts_of(found.select("id").distinct(), "op3-texts3").mapInArrow(_sets(n), "id long, items binary"), "op3-sets")
+    whole = found.join(of.select("id", "root", "tokens"), "id").hint("merge").join(sets, "id")
+    return whole.groupBy("node", "x", "y").applyInArrow(_verify(limit, percent), "a long, z long")
 
 
 def candidate_pairs(classes: DataFrame, limit: float) -> tuple[DataFrame, DataFrame | None]:
@@ -334,14 +387,13 @@ def grouped(docs: DataFrame, n: int, percent: int = 80) -> DataFrame:
     classes = staged(by_set.withColumn("id", F.monotonically_increasing_id()), "op3-classes")
     pairs, large = candidate_pairs(classes.select("id", "tokens", "roots"), percent / 100)
 
-    def texts_of(pairs: DataFrame, name: str) -> DataFrame:
-        # Texts of the classes that have a candidate, one each: the class's first row
-        wanted = pairs.select(F.explode(F.array("a", "z")).alias("id")).distinct()
+    def texts_of(wanted: DataFrame, name: str) -> DataFrame:
+        # Texts of classes, one each: the class's first row
         rows = classes.select("id", F.col("one.doc_id").alias("one_id"), F.col("one.text_key").alias("one_key")).join(wanted, "id")
         same = F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("text_key") == F.col("one_key"))
         return staged(slim.join(rows.hint("merge"), same).groupBy("doc_id", "text_key", "id").agg(F.first("text").alias("text")).select("id", "text"), name)
 
-    texts = texts_of(pairs, "op3-texts")
+    texts = texts_of(pairs.select(F.explode(F.array("a", "z")).alias("id")).distinct(), "op3-texts")
     best = pairs.groupBy(F.col("z").alias("best_z")).agg(F.max(F.struct("equal", F.col("a"))).alias("b")).select(F.col("b.a").alias("a"), F.col("best_z").alias("z"))
     first = staged(confirmed(best, texts, n, percent), "op3-first")
     rooted = components(first, "op3-c1")
@@ -352,8 +404,7 @@ def grouped(docs: DataFrame, n: int, percent: int = 80) -> DataFrame:
     if not second.isEmpty():
         rooted = components(links, "op3-c2")
     if large is not None:
-        rest = staged(pairs_apart(large, classes, rooted, percent / 100).join(pairs, ["a", "z"], "left_anti"), "op3-rest")
-        third = staged(confirmed(rest, texts_of(rest, "op3-texts3"), n, percent), "op3-third")
+        third = staged(links_apart(large, classes, rooted, texts_of, n, percent), "op3-third")
         if not third.isEmpty():
             rooted = components(links.unionByName(third), "op3-c3")
     named = classes.select(F.col("set_key").alias("k"), "id").join(rooted, F.col("id") == F.col("node"), "left").select("k", F.coalesce("root", "id").alias("root"))
