@@ -14,7 +14,8 @@ How it runs, so that neither a frequent word nor the number of distinct n-grams
    once; its state (distinct word hashes, the tokens as numbers, ids and sizes of documents) is staged.
 2. A group sends each of its distinct n-grams once, with its own training count, as sorted 64-bit hashes in one block for
    each bucket of the hash range that they touch. There are as many buckets as groups, so a bucket gets about what a group
-   sends. Blocks never outnumber the n-grams in them: what moves is linear in the input at any size.
+   sends. Blocks never outnumber the n-grams in them: what moves is linear in the input at any size. It moves in
+   ``PASSES`` turns.
 3. A bucket adds up, and answers each group in the group's own order of keys (staged); where ``tables`` names a folder, it
    also writes its part of the count table: keys and totals, for ``look_up`` to read later. For each n-gram one group is
    named that speaks for it.
@@ -40,7 +41,9 @@ from shelfwise.llm.common import hashes, lower_words, read, settle, staged, stir
 
 ORDER = 3
 K = 5
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 5 << 20
+#: Parts of the hash range that go through one after the other, so that less lies on disk at a time.
+PASSES = 2
 END = np.uint64(0x5B1D9F3A7C6E2481)
 TOTALS = ["n_tokens", "n_types", *(f"n{c}" for c in range(1, K + 2))]
 
@@ -129,14 +132,15 @@ class Group:
         self.counts = [np.bincount(at[train], minlength=len(keys)).astype(np.uint32) for at, keys in zip(self.at, self.keys, strict=True)]
 
 
-def _slices(keys: np.ndarray, buckets: int):
-    """(bucket, slice) for each bucket that sorted keys touch; buckets are equal parts of the hash range."""
+def _slices(keys: np.ndarray, buckets: int, turn: int):
+    """(bucket, slice) for each bucket of this turn that sorted keys touch; buckets are equal parts of the hash range."""
     bits = np.uint64(64 - (buckets.bit_length() - 1))
     at = (keys >> bits).astype(np.int64) if buckets > 1 else np.zeros(len(keys), np.int64)
     if len(at):
         edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
         for a, z in zip(edges, edges[1:], strict=False):
-            yield int(at[a]), slice(a, z)
+            if at[a] * PASSES // buckets == turn:
+                yield int(at[a]), slice(a, z)
 
 
 def _blocks(rows: list[tuple]) -> pa.RecordBatch:
@@ -144,12 +148,12 @@ def _blocks(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], names=["kind", "bucket", "g", "keys", "counts"])
 
 
-def _send(buckets: int, order: int):
+def _send(buckets: int, order: int, turn: int):
     def run(batches):
         for b in batches:
             for row in b.to_pylist():
                 group = Group(row, order)
-                yield _blocks([(k, at, group.g, _pack_keys(group.keys[k][s]), _planes(group.counts[k][s])) for k in range(order) for at, s in _slices(group.keys[k], buckets)])
+                yield _blocks([(k, at, group.g, _pack_keys(group.keys[k][s]), _planes(group.counts[k][s])) for k in range(order) for at, s in _slices(group.keys[k], buckets, turn)])
 
     return run
 
@@ -248,7 +252,7 @@ def _model(state: pa.Table, answers: pa.Table, totals: list[dict], unknown: floa
     return Model(Group(state.to_pylist()[0], len(totals)), [r for r in rows if r[2] is not None], totals, unknown)
 
 
-def _sum_histories(totals: list[dict], unknown: float, buckets: int):
+def _sum_histories(totals: list[dict], unknown: float, buckets: int, turn: int):
     """For each order above the first, kind is 2 * order where histories come with mass and mass below, and 2 * order + 1
     where the weights of histories are asked for."""
 
@@ -262,8 +266,8 @@ def _sum_histories(totals: list[dict], unknown: float, buckets: int):
             below = np.bincount(back, m.seen[k - 1][m.group.lower[k][mine]], len(history))
             keys, mass, below = _by_key(m.history_keys(k, history), mass, below)
             asked = np.sort(m.history_keys(k, np.unique(m.group.history[k][m.backed_off(k)])))
-            out += [(2 * k, b, m.group.g, _pack_keys(keys[s]), _planes(mass[s]) + _planes(below[s])) for b, s in _slices(keys, buckets)]
-            out += [(2 * k + 1, b, m.group.g, _pack_keys(asked[s]), b"") for b, s in _slices(asked, buckets)]
+            out += [(2 * k, b, m.group.g, _pack_keys(keys[s]), _planes(mass[s]) + _planes(below[s])) for b, s in _slices(keys, buckets, turn)]
+            out += [(2 * k + 1, b, m.group.g, _pack_keys(asked[s]), b"") for b, s in _slices(asked, buckets, turn)]
         return pa.Table.from_batches([_blocks(out)])
 
     return run
@@ -357,7 +361,16 @@ def scored(docs: DataFrame, order: int = ORDER, tables: str | None = None) -> Da
     size = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = 1 << (size // GROUP_BYTES).bit_length()
     state = staged(slim.mapInArrow(_deal(GROUP_BYTES), _STATE), "op7-state")
-    counts = staged(state.mapInArrow(_send(buckets, order), _BLOCK).groupBy("kind", "bucket").applyInArrow(_count(tables is not None), _COUNTED), "op7-counts")
+
+    def in_turns(step):
+        """The staged results of all turns."""
+        parts = [step(turn) for turn in range(min(PASSES, buckets))]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
+
+    counts = in_turns(lambda turn: staged(state.mapInArrow(_send(buckets, order, turn), _BLOCK).groupBy("kind", "bucket").applyInArrow(_count(tables is not None), _COUNTED), "op7-counts"))
     if tables is not None:
         counts.where("g is null").select("kind", "bucket", "keys", "counts").write.partitionBy("kind").parquet(tables)
     sums = {r["kind"]: r.asDict() for r in counts.where("g is null").groupBy("kind").agg(*(F.sum(c).alias(c) for c in TOTALS)).collect()}
@@ -371,9 +384,13 @@ def scored(docs: DataFrame, order: int = ORDER, tables: str | None = None) -> Da
     unknown = taken / one["n_tokens"] if one["n_tokens"] else 1.0
     answers = counts.where("g is not null").select("kind", "bucket", "g", "counts", "speaks")
     by_g = state.groupBy("g")
-    asked = by_g.cogroup(answers.groupBy("g")).applyInArrow(_sum_histories(totals, unknown, buckets), _BLOCK)
-    weights = asked.groupBy(F.floor(F.col("kind") / 2), "bucket").applyInArrow(_answer_histories, "kind int, bucket long, g long, weights binary")
-    weights = staged(weights, "op7-weights")
+    by_answers = answers.groupBy("g")
+
+    def weigh(turn: int) -> DataFrame:
+        asked = by_g.cogroup(by_answers).applyInArrow(_sum_histories(totals, unknown, buckets, turn), _BLOCK)
+        return staged(asked.groupBy(F.floor(F.col("kind") / 2), "bucket").applyInArrow(_answer_histories, "kind int, bucket long, g long, weights binary"), "op7-weights")
+
+    weights = in_turns(weigh)
     none = F.lit(None).cast("binary")
     both = answers.withColumn("weights", none).unionByName(weights.select("kind", "bucket", "g", none.alias("counts"), none.alias("speaks"), "weights"))
     return by_g.cogroup(both.groupBy("g")).applyInArrow(
