@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. The
 result of each is written as Parquet and read again for the next.
+
+Defined cases: documents whose text is null or empty fail the base rule and go in the first stage, whatever else they
+have; very long ones are taken whole by every stage. Documents with null doc_id are judged, grouped, searched and mixed
+like any other (null ids come last where order counts). Of repeated rows one is left after the second stage; rows that tie
+in doc_id but not in text are documents of their own throughout. An empty table gives an empty result. Columns beside
+doc_id, text and source ride along under any name.
 """
 
 from __future__ import annotations

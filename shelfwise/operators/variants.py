@@ -23,6 +23,7 @@ COLOURS = {
     "gold": ["gold", "brass"],
     "chrome": ["chrome", "stainless"],
 }
+# What names a size or a colour, and the forms of sizes.
 SIZE_AXES = "size|dimension|format|graphic|width|height|length|depth|notice_board"
 COLOUR_AXES = "colour|color|finish|stain|material"
 SIZE = r"(?i)\b(a[0-7]|[0-9]+\s*x\s*[0-9]+(?:\s*mm)?|[0-9]+(?:\.[0-9]+)?\s*mm|[0-9]+(?:\.[0-9]+)?\s*cm)\b"

@@ -75,10 +75,12 @@ def category_links(pages: DataFrame, rules: DataFrame) -> DataFrame:
     return first.join(stop, F.col("competitor_id") == F.col("c"), "left").where("stop is null or page_no < stop").select("competitor_id", "url")
 
 
-def append_snapshots(snapshots: DataFrame, path: str) -> None:
-    """Appends to the price history, one folder a day."""
+def append_snapshots(snapshots: DataFrame, path: str, per_file: int = 2_000_000) -> None:
+    """Appends to the price history, one folder a day. Rows are dealt out by ranges of day and pair, so a day with many rows
+    is written by many tasks, and a day with few by one."""
     dated = snapshots.withColumn("snapshot_date", F.to_date("scraped_at"))
-    dated.repartition("snapshot_date").write.mode("append").partitionBy("snapshot_date").parquet(path)
+    dealt = dated.repartitionByRange("snapshot_date", F.xxhash64("sku_id", "competitor_id"))
+    dealt.write.mode("append").option("maxRecordsPerFile", per_file).partitionBy("snapshot_date").parquet(path)
 
 
 def export_alerts_csv(alerts: DataFrame, tab: str, path: str) -> None:
@@ -97,10 +99,21 @@ def export_variant_report(changes: DataFrame, path: str) -> None:
     changes.select(*plain).write.option("header", True).csv(path)
 
 
-def read_table(spark: SparkSession, source: str, table: str | None = None, **options: str) -> DataFrame:
-    """A Parquet path, or with ``table`` a table of a JDBC source."""
-    return spark.read.jdbc(source, table, properties=options) if table else spark.read.parquet(source)
-
-
-def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).parquet(path)
+def read_table(spark: SparkSession, source: str, table: str | None = None, column: str | None = None, bounds: tuple | None = None, parts: int | None = None, **options: str) -> DataFrame:
+    """A Parquet path, or with ``table`` a table of a JDBC source. With ``column``, ``bounds`` and ``parts`` a JDBC table is
+    read in so many ranges at once; rows outside the bounds are in the first and last range."""
+    if not table:
+        return spark.read.parquet(source)
+    if column is None:
+        return spark.read.jdbc(source, table, properties=options)
+    lower, upper = bounds
+    return spark.read.jdbc(source, table, column=column, lowerBound=lower, upperBound=upper, numPartitions=parts, properties=options)
+
+
+def write_table(df: DataFrame, target: str, mode: str = "errorifexists", table: str | None = None, parts: int | None = None, **options: str) -> None:
+    """To a Parquet path, or with ``table`` to a table of a JDBC target over at most ``parts`` connections."""
+    if not table:
+        df.write.mode(mode).parquet(target)
+        return
+    rows = df.coalesce(parts) if parts else df
+    rows.write.jdbc(target, table, mode=mode, properties=options)

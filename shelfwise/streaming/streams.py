@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.operators.snapshots import enrich_snapshots, latest_per_pair, price_alerts
+from shelfwise.operators.snapshots import PAIR, enrich_snapshots, latest_per_pair, price_alerts
 
 
 def stream_alerts(stream: DataFrame, skus: DataFrame, competitors: DataFrame) -> DataFrame:
@@ -13,36 +13,82 @@ def stream_alerts(stream: DataFrame, skus: DataFrame, competitors: DataFrame) ->
     return price_alerts(enrich_snapshots(stream, skus, competitors))
 
 
-def maintain_latest(spark, table_root: str):
-    """A foreachBatch function that keeps the latest row of each pair below ``table_root``: each batch writes a new version
-    and then points ``current`` at it. Older rows never win, so order of arrival does not matter, and a batch that runs
-    again writes the same version."""
-    pointer = f"{table_root}/current"
+#: Parts of the table of latest rows; a batch rewrites those that it touches.
+BUCKETS = 64
+
+
+def _folder(spark, path: str):
+    """Hadoop's file system for a path, and the path."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _pointers(spark, table_root: str) -> list[int]:
+    """Batches whose pointer is whole, oldest first."""
+    fs, where = _folder(spark, f"{table_root}/pointers")
+    if not fs.exists(where):
+        return []
+    whole = [f.getPath() for f in fs.listStatus(where) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    return sorted(int(p.getName().split("=")[1]) for p in whole)
 
-    def current(before: int) -> str | None:
-        try:
-            rows = spark.read.schema("batch long, path string").json(pointer)
-            found = rows.where(F.col("batch") < before).orderBy(F.desc("batch")).limit(1).collect()
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            return None
-        return found[0]["path"] if found else None
+
+def _state(spark, table_root: str, batch: int) -> dict[int, int]:
+    """Version of each bucket after a batch: at most BUCKETS rows."""
+    return {r.bucket: r.version for r in spark.read.schema("bucket int, version long").parquet(f"{table_root}/pointers/batch={batch}").collect()}
+
+
+def maintain_latest(spark, table_root: str, buckets: int = BUCKETS, keep: int = 3):
+    """A foreachBatch function that keeps the latest row of each pair below ``table_root``. Pairs are dealt to buckets by
+    hash; a batch merges its rows with the buckets that they touch, writes those as a new version, and then a pointer that
+    names the version of every bucket. Older rows never win, so order of arrival does not matter; a batch that runs again
+    starts from the pointer before it and writes the same. Versions that none of the last ``keep`` pointers names go."""
+
+    def bucketed(df: DataFrame) -> DataFrame:
+        return df.withColumn("bucket", F.pmod(F.xxhash64(*PAIR), F.lit(buckets)).cast("int"))
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        newest = latest_per_pair(df)
-        path, old = f"{table_root}/version={batch_id}", current(batch_id)
-        if old:
-            newest = latest_per_pair(spark.read.schema(newest.schema).parquet(old).unionByName(newest))
-        newest.write.mode("overwrite").parquet(path)
-        spark.createDataFrame([(batch_id, path)], "batch long, path string").coalesce(1).write.mode("append").json(pointer)
+        columns = df.columns
+        newest = bucketed(latest_per_pair(df)).persist()
+        try:
+            touched = [r.bucket for r in newest.select("bucket").distinct().collect()]
+            if not touched:
+                return
+            before = [b for b in _pointers(spark, table_root) if b < batch_id]
+            state = _state(spark, table_root, before[-1]) if before else {}
+            old = [f"{table_root}/version={state[b]}/bucket={b}" for b in touched if b in state]
+            rows = newest
+            if old:
+                rows = bucketed(latest_per_pair(spark.read.schema(df.schema).parquet(*old).unionByName(newest.select(*columns))))
+            rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table_root}/version={batch_id}")
+        finally:
+            newest.unpersist()
+        state |= {b: batch_id for b in touched}
+        pointer = spark.createDataFrame(sorted(state.items()), "bucket int, version long").coalesce(1)
+        pointer.write.mode("overwrite").parquet(f"{table_root}/pointers/batch={batch_id}")
+        tidy(batch_id)
+
+    def tidy(batch_id: int) -> None:
+        known = [b for b in _pointers(spark, table_root) if b <= batch_id]
+        named = {f"version={v}/bucket={b}" for p in known[-keep:] for b, v in _state(spark, table_root, p).items()}
+        fs, root = _folder(spark, table_root)
+        for p in known[:-keep]:
+            fs.delete(_folder(spark, f"{table_root}/pointers/batch={p}")[1], True)
+        for version in fs.listStatus(root):
+            name = version.getPath().getName()
+            if name.startswith("version=") and int(name.split("=")[1]) <= batch_id:
+                parts = [f.getPath() for f in fs.listStatus(version.getPath()) if f.getPath().getName().startswith("bucket=")]
+                gone = [p for p in parts if f"{name}/{p.getName()}" not in named]
+                for p in gone:
+                    fs.delete(p, True)
+                if len(gone) == len(parts):
+                    fs.delete(version.getPath(), True)
 
     return batch
 
 
 def read_latest(spark, table_root: str) -> DataFrame:
-    pointer = spark.read.schema("batch long, path string").json(f"{table_root}/current")
-    return spark.read.parquet(pointer.orderBy(F.desc("batch")).first()["path"])
+    state = _state(spark, table_root, _pointers(spark, table_root)[-1])
+    return spark.read.parquet(*(f"{table_root}/version={v}/bucket={b}" for b, v in sorted(state.items())))
 
 
 def _timed(stream: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Properties and small cases that SQL cannot state."""
 
 import itertools
+from collections import Counter
 
 import duckdb
 import pytest
@@ -11,7 +12,7 @@ from shelfwise.operators import matching as M
 from shelfwise.operators import merge as G
 from shelfwise.operators import variants as V
 from shelfwise.operators import windows as W
-from shelfwise.operators.snapshots import enrich_snapshots, latest_per_pair, price_alerts
+from shelfwise.operators.snapshots import enrich_snapshots, latest_enriched, latest_per_pair, price_alerts
 from shelfwise.plans import catalogue
 from shelfwise.plans.catalogue import titled
 from shelfwise.sources import io
@@ -170,7 +171,78 @@ def test_streams_equal_batch(spark, tmp_path):
     assert spark.table("once_out").count() == o.select("sku_id", "competitor_id", "scraped_at").distinct().count()
     q = streams.stream_run_stats(read()).writeStream.outputMode("update").format("memory").queryName("run_stats_out").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c4")).start()
     q.awaitTermination(120)
-    assert spark.table("run_stats_out").count() > 0
+    got = {}
+    for r in spark.table("run_stats_out").collect():  # an update gives a window's counters anew
+        key = (r.window_start, r.run_id)
+        got[key] = max(got.get(key, (0, 0, 0)), (r.attempted, r.succeeded, r.prices_found))
+    want = Counter(), Counter(), Counter()
+    for r in o.collect():
+        key = (r.scraped_at.replace(minute=0, second=0, microsecond=0), r.run_id)
+        for c, hit in zip(want, (True, r.availability != "error", r.raw_price is not None), strict=True):
+            c[key] += hit
+    # Rows later than the watermark are dropped, so a window may have fewer, never more
+    assert got and all(all(n <= c[k] for n, c in zip(v, want, strict=True)) for k, v in got.items())
+    assert sum(v == tuple(c[k] for c in want) for k, v in got.items()) >= 0.5 * len(got)
+
+
+def test_latest_rewrites_only_touched_buckets_and_drops_old_versions(spark, tmp_path):
+    row = lambda k, at: (f"s{k}", 1, at, at, 0)
+    df = lambda *rows: spark.createDataFrame(rows, "sku_id string, competitor_id long, scraped_at long, run_id long, seq long")
+    root = str(tmp_path / "t")
+    keep = streams.maintain_latest(spark, root, buckets=4, keep=2)
+    keep(df(*(row(k, 1) for k in range(40))), 0)
+    first = {p.name for p in (tmp_path / "t" / "version=0").glob("bucket=*")}
+    for batch in range(1, 6):
+        keep(df(row(0, batch + 1), row(1, 0)), batch)
+    keep(df(row(0, 6), row(1, 0)), 5)  # a batch that runs again
+    keep(df(), 6)  # nothing arrived
+    got = {r.sku_id: r.scraped_at for r in streams.read_latest(spark, root).collect()}
+    assert got == {f"s{k}": 6 if k == 0 else 1 for k in range(40)}
+    left = {p.name for p in (tmp_path / "t" / "version=0").glob("bucket=*")}
+    assert len(first) == 4 and 1 <= 4 - len(left) <= 2  # what was not touched is where it was
+    assert not (tmp_path / "t" / "version=2").exists() and len(list((tmp_path / "t" / "pointers").glob("batch=*"))) == 2
+
+
+def test_several_changes_to_a_key_count_once(spark):
+    shops = spark.createDataFrame([(1, "inc", True), (2, "ex", True)], "competitor_id long, vat_status string, active boolean")
+    patches = spark.createDataFrame([(1, "ex", None, 1), (1, None, False, 2), (1, "unknown", None, 3)], "competitor_id long, vat_status string, active boolean, patched_at int")
+    out = G.patch_competitors(shops, patches)
+    assert sorted(map(tuple, out.collect())) == [(1, "unknown", False), (2, "ex", True)]
+    assert G.patch_competitors(shops, patches.drop("patched_at")).count() == 2
+    twice = spark.createDataFrame([(1, "ex", True), (1, "inc", False)], "competitor_id long, vat_status string, active boolean")
+    assert {r.vat_status for r in G.merge_by_key(shops, twice, ["competitor_id"]).where("competitor_id = 1").collect()} == {"inc"}
+
+
+def test_tables_by_jdbc(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    df = spark.range(100).selectExpr("id", "cast(id * 2 as int) as twice")
+    io.write_table(df, url, "overwrite", table="numbers", parts=2, driver="org.apache.derby.jdbc.EmbeddedDriver")
+    got = io.read_table(spark, url, "numbers", "id", (0, 99), 4, driver="org.apache.derby.jdbc.EmbeddedDriver")
+    assert got.rdd.getNumPartitions() == 4 and sorted(map(tuple, got.collect())) == [(i, 2 * i) for i in range(100)]
+    assert io.read_table(spark, url, "numbers", driver="org.apache.derby.jdbc.EmbeddedDriver").count() == 100
+    io.write_table(df, str(tmp_path / "p"))
+    assert io.read_table(spark, str(tmp_path / "p")).count() == 100
+
+
+def test_search_hits_and_variant_report(spark, tmp_path):
+    page = '<a href="https://shop.example/category/">Frames</a><a class="x" href="https://other.example/p/snap-frame-a3/x">Snap frame A3</a><a href="https://shop.example/p/snap-frame-a3/1"><b>Snap frame A3</b> black</a>'
+    pages = spark.createDataFrame([(1, "S-1", "shop.example", page), (1, "S-2", "shop.example", "<p>nothing</p>")], "competitor_id long, sku_id string, domain string, html string")
+    skus = spark.createDataFrame([("S-1", "Snap Frame A3", None), ("S-2", "Chair", None)], "sku_id string, short_title string, unit_qty int")
+    (hit,) = X.search_hits(pages, skus).collect()
+    assert (hit.sku_id, hit.url, hit.link_text) == ("S-1", "https://shop.example/p/snap-frame-a3/1", "Snap frame A3 black") and hit.confidence >= 30
+    changes = spark.createDataFrame([("S-1", {"Size": "A3"}, 50)], "sku_id string, labels map<string,string>, score int")
+    io.export_variant_report(changes, str(tmp_path / "report"))
+    assert spark.read.option("header", True).option("escape", "\\").csv(str(tmp_path / "report")).columns == ["sku_id", "labels", "score"]
+
+
+def test_plans_read_no_more_than_they_need(spark):
+    m = Mapped(spark, SF)
+    latest = latest_enriched(m.observation, m.sku, m.competitor)
+    plan = latest.select("sku_id", "competitor_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in plan and "Generate" not in plan
+    history = spark.createDataFrame([(1, 1, "SKU-1", 1, 1, 5.0, "in_stock", "x"), (2, 1, "SKU-1", 1, 2, 6.0, "in_stock", "y")], "run_id long, seq int, sku_id string, competitor_id long, scraped_at long, raw_price double, availability string, comp_title string")
+    (r,) = latest_enriched(history, m.sku, m.competitor.withColumn("competitor_id", F.lit(1).cast("long")).limit(1)).collect()
+    assert r.competitor_price == 6.0
 
 
 def test_keyset_pages_follow_each_other(spark):
