@@ -12,8 +12,9 @@ bytes. Three tables come of it:
 
 The media of a document is its chunk list: the bytes ``CDC1``, the number of chunks, and length and digest of each.
 
-Defined cases: null or empty text has the payload of 64 zero bytes; repeated rows and equal texts share one list and one
-set of chunks; a null doc_id stays null; an empty table gives an empty result. Only doc_id and text are read.
+Defined cases: null or empty text has the payload of 64 zero bytes; a very long text is a list of more chunks, of at most
+``LONGEST`` bytes each; repeated rows and equal texts (ties) share one list and one set of chunks; a null doc_id stays
+null; an empty table gives an empty result. Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -139,14 +140,15 @@ def _rebuild(batches):
         yield pack([whole()])
 
 
-def store_chunks(docs: DataFrame) -> DataFrame:
-    """Writes the table of distinct chunks (digest, data), bucketed by digest, and reads it."""
+def store_chunks(docs: DataFrame) -> tuple[DataFrame, str]:
+    """Writes the table of distinct chunks (digest, data), bucketed by digest; the table and its name in the catalogue,
+    which it keeps until it is dropped (its files stay in the shared folder)."""
     spark = docs.sparkSession
     name = f"chunks_{uuid.uuid4().hex}"
     n = partitions_for(spark)
     once = docs.select("text").mapInArrow(_store, "digest binary, data binary").groupBy("digest").agg(F.first("data").alias("data"))
     once.write.bucketBy(n, "digest").sortBy("digest").option("path", scratch(spark, name)).option("compression", "uncompressed").saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), name
 
 
 def read_media(lists: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -169,7 +171,9 @@ def op2_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     settle(spark)
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lists = staged(docs.mapInArrow(_list, "doc_id long, n_bytes long, payload binary, digests array<binary>, sizes array<int>"), "op2-lists")
-    media = staged(read_media(lists.select("payload", "digests", "sizes"), store_chunks(docs)), "op2-media")
+    chunks, name = store_chunks(docs)
+    media = staged(read_media(lists.select("payload", "digests", "sizes"), chunks), "op2-media")
+    spark.sql(f"DROP TABLE {name}")
     return (
         lists.select("doc_id", "n_bytes", F.col("payload").alias("of"))
         .join(media, F.col("of") == F.col("payload"))

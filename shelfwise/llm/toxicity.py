@@ -6,9 +6,10 @@ an insult beside the mention of a group, count for more than the two alone. Term
 ``COMMON`` of the training documents hold, or whose chi-square against the label is below ``TELLING``, get no weight. Training runs on at most ``MOST`` labelled documents (those
 with the lowest hash of doc_id; a documented bound), never on rows whose crc32 of doc_id leaves remainder 0 mod 5.
 
-Defined cases: null or empty text is scored by w0 alone; a null doc_id is no training row and counts as not held out;
-repeated rows get equal scores; without labels of both kinds every score is 0; an empty table gives an empty result.
-Only doc_id and text are read, so neither labels nor language or source can enter a score.
+Defined cases: null or empty text is scored by w0 alone; a very long text is scored whole; a null doc_id is no training
+row and counts as not held out; of rows that share a labelled doc_id one is learnt from, the one whose text has the lowest
+hash; repeated rows, and texts that tie, get equal scores; without labels of both kinds every score is 0; an empty table gives an empty result.
+Only doc_id and text are read, so other columns may have any name, and neither labels nor language or source can enter a score.
 """
 
 from __future__ import annotations
@@ -124,7 +125,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Machine | Non
     # The bound is found on ids alone; only the chosen rows' texts move
     chosen = label_rows(labels, "toxic").where(F.crc32(F.col("label_id").cast("string").cast("binary")) % 5 != 0)
     chosen = chosen.orderBy(F.xxhash64("label_id"), "label_id").limit(most)
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("label", "text")
+    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
+    rows = rows.groupBy("label_id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("one")).select("label", "one.text")
     sample = staged(rows.mapInArrow(_slots, "label int, slots array<int>"), "op5-sample")
     size = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     total, toxic = size[0], size[1]

@@ -173,3 +173,16 @@ def test_pipeline(spark):
         n[name] = docs.count()
     assert n["quality_rules"] < 200 and n["near_dedup"] <= n["quality_rules"] and n["secret_scan"] == n["near_dedup"]
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("make", [empty, lambda spark: table(spark, [(i, t) for i, t in rows()] + [(900, "alpha beta gamma delta " * 40), (900, "one two three four five six " * 30), (None, "null id with many words " * 30)] * 2)])
+def test_pipeline_on_awkward_rows(spark, make):
+    docs = make(spark)
+    columns, n = docs.columns, docs.count()
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == columns
+        kept = docs.collect()
+        assert all(r.text for r in kept)
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert bool(out) == bool(n and kept)
