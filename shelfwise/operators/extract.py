@@ -9,13 +9,9 @@ from shelfwise.functions.scalars import coalesce_falsy, rounded, upper_median
 from shelfwise.functions.text import detect_oos, detect_vat, fuzzy_confidence, is_category_url, parent_url, parse_price
 
 LD_SCRIPT = r"(?is)<script[^>]*application/ld.json[^>]*>(.*?)</script>"
-CODE_PATTERNS = [
-    r"sku[\"']?\s*[:=]\s*[\"']?([A-Z0-9\-]{3,20})",
-    r"product.?code[\"']?\s*[:=]\s*[\"']?([A-Z0-9\-]{3,20})",
-    r"model[\"']?\s*[:=]\s*[\"']?([A-Z0-9\-]{3,20})",
-    r"mpn[\"']?\s*[:=]\s*[\"']?([A-Z0-9\-]{3,20})",
-    r"item_number[\"']?\s*[:=]\s*[\"']?([A-Z0-9\-]{3,20})",
-]
+# Words that a product code follows.
+CODE_WORDS = ["sku", "product.?code", "model", "mpn", "item_number"]
+CODE_PATTERNS = [w + r"[\"']?\s*[:=]\s*[\"']?([A-Z0-9\-]{3,20})" for w in CODE_WORDS]
 
 
 def _text(json: Column, path: str) -> Column:

