@@ -645,7 +645,30 @@ def sc21_keyword_score(m):
     return own.select("sku_id", F.array_join(F.array_sort("g").cast("array<string>"), ",").alias("groups"), F.array_join(F.array_sort("z"), ",").alias("sizes"), score.alias("own_score"))
 
 
-@query()
+_STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
+_WORDS = r"list_filter(list_distinct(regexp_extract_all({0}, '\b[a-z0-9]{{2,}}\b')), lambda w: NOT list_contains(" + _STOP + ", w))"
+_DIMS = "list_distinct(regexp_extract_all({0}, '" + T.DIMENSION + "'))"
+
+
+@query(f"""
+, said AS (
+  SELECT run_id, seq, o.sku_id, competitor_id, unit_qty, lower(short_title) AS t, lower(comp_title) AS ct,
+         concat('https://shop.example/p/', regexp_replace(regexp_replace(lower(comp_title), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')) AS u
+  FROM observation o JOIN sku s USING (sku_id)),
+taken AS (
+  SELECT *, {_WORDS.format("t")} AS own, {_WORDS.format("ct")} AS theirs, {_DIMS.format("t")} AS dims, list_distinct(list_concat({_DIMS.format("ct")}, {_DIMS.format("u")})) AS other,
+         regexp_extract(ct, '\\b(x?\\s*\\d{{2,4}})\\b', 1) AS number,
+         list_slice(list_filter(regexp_extract_all(t, '\\b[a-z]{{4,}}\\b'), lambda w: NOT list_contains({_STOP}, w)), 1, 5) AS keys
+  FROM said)
+SELECT run_id, seq, sku_id, competitor_id, CAST(greatest(0, least(100,
+         CASE WHEN len(own) > 0 THEN floor(len(list_intersect(own, theirs)) / len(own) * 40) ELSE 0 END
+         + CASE WHEN len(dims) = 0 THEN 0 WHEN len(dims) = len(other) AND len(list_intersect(dims, other)) = len(dims) THEN 30
+                WHEN len(list_intersect(dims, other)) > 0 THEN 15 WHEN len(other) > 0 THEN -15 ELSE 0 END
+         + CASE WHEN unit_qty IS NULL OR unit_qty = 0 THEN 0 WHEN regexp_matches(ct, concat('\\b', unit_qty, '\\b')) OR regexp_matches(u, concat('\\b', unit_qty, '\\b')) THEN 20
+                WHEN number <> '' AND trim(regexp_replace(number, '^[x ]+|[x ]+$', '', 'g')) <> CAST(unit_qty AS VARCHAR) THEN -10 ELSE 0 END
+         + least(10, 2 * len(list_filter(keys, lambda w: contains(u, w)))))) AS INT) AS confidence
+FROM taken
+""")
 def sc11_fuzzy_confidence(m):
     o = m.observation.join(m.sku.select("sku_id", "short_title", "unit_qty"), "sku_id")
     url = F.concat(F.lit("https://shop.example/p/"), T.slugify(F.col("comp_title")))
