@@ -11,9 +11,10 @@
 4. A cell with n blocks and q seats takes each block q div n times, and q mod n of them once more; those are chosen by a
    seeded permutation of block numbers. A document takes the words of its part in each block.
 
-Defined cases: null text has size 0 and takes nothing; a null source is a source of its own, the last in order; sources
-or tables without words have target 0; repeated rows are separate rows; null doc_ids hash as the word null. Only doc_id,
-text and source are read. Shards hold about ``shard`` words; for very large inputs they grow, so that there are never
+Defined cases: null text has size 0 and takes nothing; a very long text is counted whole and spans many blocks; a null
+source is a source of its own, the last in order; sources or tables without words have target 0; repeated rows are
+separate rows, and rows that tie in doc_id and size are alike, so their order changes nothing; null doc_ids hash as the
+word null. Only doc_id, text and source are read, so other columns may have any name. Shards hold about ``shard`` words; for very large inputs they grow, so that there are never
 more than 4096 of them plus one a source, and what is broadcast (one row a source or a cell) is counted first: beyond
 10,000 rows it is joined by a shuffle.
 """

@@ -334,7 +334,7 @@ def _confirm(n: int, percent: int):
 
 def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, z) whose full sets are similar enough; ``texts`` has id, text."""
-    # The same join at every size: a broadcast that only small inputs allow would hide how the shuffles grow
+    # Texts are wide and pairs are many: neither side is one to broadcast, whatever their sizes are estimated at
     left = pairs.select("a", "z").hint("merge").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.hint("merge").join(texts.select(F.col("id").alias("z"), F.col("text").alias("text_z")), "z").select("a", "z", "text_a", "text_z")
     return both.mapInArrow(_confirm(n, percent), "a long, z long")
