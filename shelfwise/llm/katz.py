@@ -31,13 +31,15 @@ text are read, so other columns may have any name.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import hashes, lower_words, read, settle, staged, stir
+from shelfwise.llm.common import hashes, lower_words, partitions_for, read, scratch, settle, staged, stir
 
 ORDER = 3
 K = 5
@@ -358,9 +360,13 @@ def scored(docs: DataFrame, order: int = ORDER, tables: str | None = None) -> Da
         F.col("text").cast("string").alias("text"),
         F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False)).alias("held_out"),
     )
+    spark = docs.sparkSession
     size = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = 1 << (size // GROUP_BYTES).bit_length()
-    state = staged(slim.mapInArrow(_deal(GROUP_BYTES), _STATE), "op7-state")
+    # Bucketed by group, so that states stay where they are and only answers move to them
+    name = f"states_{uuid.uuid4().hex}"
+    slim.mapInArrow(_deal(GROUP_BYTES), _STATE).write.bucketBy(partitions_for(spark), "g").option("path", scratch(spark, name)).option("compression", "zstd").saveAsTable(name)
+    state = spark.table(name)
 
     def in_turns(step):
         """The staged results of all turns."""
@@ -393,9 +399,12 @@ def scored(docs: DataFrame, order: int = ORDER, tables: str | None = None) -> Da
     weights = in_turns(weigh)
     none = F.lit(None).cast("binary")
     both = answers.withColumn("weights", none).unionByName(weights.select("kind", "bucket", "g", none.alias("counts"), none.alias("speaks"), "weights"))
-    return by_g.cogroup(both.groupBy("g")).applyInArrow(
+    scores = by_g.cogroup(both.groupBy("g")).applyInArrow(
         _score(totals, unknown), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
+    scores = staged(scores, "op7-scores")
+    spark.sql(f"DROP TABLE {name}")
+    return scores
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
