@@ -41,6 +41,8 @@ REDACTED = "[REDACTED]"
 RARITY = 10_000
 #: Lengths of the parts of a value that are looked up in the dictionary.
 PARTS = (4, 12)
+#: Places of a value that are walked in one row.
+PIECE = 256
 SIDES = ["before", "before2", "after", "path_head", "path_tail"]
 FEATURES = [
     "f_length", "f_digits", "f_upper", "f_lower", "f_signs", "f_kind_changes", "f_case_changes", "f_distinct", "f_hex", "f_transitions",
@@ -63,8 +65,9 @@ def findings(docs: DataFrame, path_col: str = "source") -> DataFrame:
     at = cut.select("doc_id", "path", F.transform("between", lambda b: F.left(b, F.lit(80))).alias("between"), F.posexplode(sides).alias("no", "hit"))
     m = F.col("hit.m")
     bare = F.regexp_replace(F.regexp_replace(m, f"^{_LEAD}", ""), r"^(?:[A-Za-z_-]+[=:]+)(?=.)", "")
-    # Without quotes, signs that end a sentence or fill up a line are not of the value
-    unquoted = F.regexp_replace(bare, r"(?:[.,;:!?|)\]}]|([#*$%&<>!])\1+)+$", "")
+    # Without quotes, signs that end a sentence or fill up a line are not of the value. They are cut from the front of the
+    # reversed string, possessively: neither recursion nor a second look at a long run of signs
+    unquoted = F.reverse(F.regexp_replace(F.reverse(bare), r"^(?:[.,;:!?|)\]}]|([#*$%&<>!])\1++)++", ""))
     value = F.when(m.startswith("-----BEGIN "), m).when(bare.rlike("^[\"'`]"), F.expr("substring(bare, 2, length(bare) - 2)")).otherwise(unquoted)
     return (
         at.withColumn("bare", bare)
@@ -95,24 +98,28 @@ def transitions(words: DataFrame) -> DataFrame:
 
 
 def value_facts(found: DataFrame, words: DataFrame) -> DataFrame:
-    """of_value, f_transitions, f_dictionary for each distinct value."""
-    values = staged(found.select("value").distinct().withColumn("low", F.lower("value")), "op4-values")
-    places = F.sequence(F.lit(1), F.length("low") - 1)
-    pairs = values.select("value", F.explode(F.transform(places, lambda i: F.substr("low", i, F.lit(2)))).alias("pair")).where(F.col("pair").rlike("^[a-z]{2}$"))
+    """of_value, f_transitions, f_dictionary for each distinct value. Values are walked in pieces of ``PIECE`` places, each
+    with the characters that a part may reach beyond its end, so the work is in proportion to a value's length; rows of
+    pieces carry a digest in the value's place."""
+    least, most = PARTS
+    values = staged(found.select("value").distinct().withColumn("key", F.md5("value")), "op4-values")
+    piece = F.regexp_extract_all(F.lower("value"), F.lit(rf"(?s)(?=(.{{1,{PIECE + most}}})).{{1,{PIECE}}}"), 1)
+    pieces = values.select("key", F.posexplode(piece).alias("no", "low"))
+    places = F.sequence(F.lit(1), F.least(F.length("low"), F.lit(PIECE)))
+    pairs = pieces.select("key", F.explode(F.transform(places, lambda i: F.substr("low", i, F.lit(2)))).alias("pair")).where(F.col("pair").rlike("^[a-z]{2}$"))
     usual = transitions(words)
     walked = pairs.join(F.broadcast(usual.withColumnRenamed("pair", "known")), F.col("pair") == F.col("known"), "left")
-    walked = walked.groupBy("value").agg(F.avg(F.coalesce("logp", F.lit(-9.0))).alias("f_transitions"))
+    walked = walked.groupBy("key").agg(F.avg(F.coalesce("logp", F.lit(-9.0))).alias("f_transitions"))
     # All parts of the value's runs of letters; those that are words cover their places
-    least, most = PARTS
-    part = F.explode(F.transform(places, lambda i: F.struct(i.alias("at"), F.regexp_extract(F.substr("low", i, F.lit(most)), r"^\p{L}+", 0).alias("rest"))))
-    starts = values.select("value", part.alias("p")).where(F.length("p.rest") >= least)
-    parts = starts.select("value", F.col("p.at").alias("at"), F.explode(F.transform(F.sequence(F.lit(least), F.length("p.rest")), lambda k: F.left(F.col("p.rest"), k))).alias("part"))
+    part = F.explode(F.transform(places, lambda i: F.struct((F.col("no") * PIECE + i).alias("at"), F.regexp_extract(F.substr("low", i, F.lit(most)), r"^\p{L}+", 0).alias("rest"))))
+    starts = pieces.select("key", part.alias("p")).where(F.length("p.rest") >= least)
+    parts = starts.select("key", F.col("p.at").alias("at"), F.explode(F.transform(F.sequence(F.lit(least), F.length("p.rest")), lambda k: F.left(F.col("p.rest"), k))).alias("part"))
     known = words.where(F.length("word").between(least, most)).select(F.col("word").alias("known"))
-    hits = parts.join(known, F.col("part") == F.col("known")).select("value", F.explode(F.sequence("at", F.col("at") + F.length("part") - 1)).alias("place")).distinct()
-    covered = hits.groupBy("value").agg(F.count(F.lit(1)).alias("covered"))
+    hits = parts.join(known, F.col("part") == F.col("known")).select("key", F.explode(F.sequence("at", F.col("at") + F.length("part") - 1)).alias("place")).distinct()
+    covered = hits.groupBy("key").agg(F.count(F.lit(1)).alias("covered"))
     return (
-        values.join(walked, "value", "left")
-        .join(covered, "value", "left")
+        values.join(walked, "key", "left")
+        .join(covered, "key", "left")
         .select(F.col("value").alias("of_value"), F.coalesce("f_transitions", F.lit(-9.0)).alias("f_transitions"), (F.coalesce("covered", F.lit(0)) / F.length("value")).alias("f_dictionary"))
     )
 
@@ -160,7 +167,7 @@ def teacher() -> Column:
     mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.length("value") >= 16)
     placeholder = F.lower(value).rlike("example|sample|dummy|changeme|your|x{4,}|0{6,}|1234567")
     vendor = value.rlike("^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[0-9A-Za-z]{30,}$|^xox[abprs]-|^sk[-_][0-9A-Za-z_-]{16,}$|^AIza[0-9A-Za-z_-]{35}$|^eyJ[0-9A-Za-z_-]{10,}|^-----BEGIN ")
-    plain = value.rlike("^[^@]+@[^@]+[.][^@]+$|^[0-9.:/+-]+$|^(?:https?|ftp)://|^www[.]|^[a-z]+(?:[-_.][a-z0-9]{1,12})+$")
+    plain = value.rlike("^[^@]+@[^@]+[.][^@]+$|^[0-9.:/+-]+$|^(?:https?|ftp)://|^www[.]|^[a-z]+(?:[-_.][a-z0-9]{1,12}+)++$")
     return F.when(vendor, 1.0).when(keyed & mixed, 1.0).when(~keyed & (plain | placeholder), 0.0)
 
 

@@ -226,3 +226,17 @@ def test_redact(spark):
 def test_no_findings(spark):
     for docs in (empty(spark), table(spark, [(1, None), (2, "plain words")])):
         assert S.verdicts(docs, S.findings(docs)).count() == 0
+
+
+def test_long_runs_and_values(spark):
+    """A million equal signs, letters, digits or blanks, short runs in turn, and values of 200,000 characters."""
+    n = 1_000_000
+    texts = [f"see chapter 1{c * n} 27" for c in ".!#*-=_/ \ta7,"] + ["x" + ".#" * (n // 2), "x1" + "!!##" * (n // 4), "password=" + "a-b_" * 50_000 + "c"]
+    texts += ['token = "' + "qT9" * 50_000 + '"', "src=data:image/png;base64," + "iVBORw0KGgoAAAANSUhEUgAA" * 8_000, "secret " * 100_000, "-----BEGIN PRIVATE KEY-----" + "A" * n]
+    docs = table(spark, [*enumerate(texts), *(r for r in secret_rows() if r[0] is not None and r[0] >= 100)])
+    found = S.findings(docs).cache()
+    out = S.verdicts(docs, found)
+    assert out.count() == found.count() and S.redact(spark, docs, "").count() == docs.count()
+    longest = out.where("doc_id < 50").selectExpr("max(length(value)) n", "min(f_dictionary) d").first()
+    assert longest.n >= 190_000 and longest.d >= 0
+    found.unpersist()
