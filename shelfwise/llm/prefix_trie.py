@@ -142,6 +142,8 @@ def _sharded(work):
     def run(batches):
         held, turns, part = [], 0, None
         for b in batches:
+            if not b.num_rows:
+                continue
             parts = b.column("part").to_numpy() if "part" in b.schema.names else np.zeros(b.num_rows, np.int32)
             starts = np.flatnonzero(np.diff(parts, prepend=-1))
             for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(parts)], strict=True):

@@ -48,11 +48,11 @@ _CHUNK = 1 << 16
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def _slices(data: bytes):
-    """Parts of about SLICE bytes, cut at blanks."""
+def _slices(data: bytes, size: int = SLICE):
+    """Parts of about ``size`` bytes, cut at blanks."""
     at = 0
     while at < len(data):
-        found = _BLANK.search(data, at + SLICE) if len(data) - at > SLICE else None
+        found = _BLANK.search(data, at + size) if len(data) - at > size else None
         end = found.start() if found else len(data)
         yield data[at:end]
         at = end
@@ -108,7 +108,7 @@ def _binary(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(names), types, strict=True)], names=names)
 
 
-def _pack(width: int):
+def _pack(width: int, most: int):
     def pack(batches):
         """Rows (doc_id, text) in order to rows (block, windows, data)."""
         names, types = ["block", "windows", "data"], [pa.int64(), pa.int64(), pa.binary()]
@@ -125,7 +125,7 @@ def _pack(width: int):
         for b in batches:
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                if ids and held + len(data) > BLOCK:
+                if ids and held + len(data) > most:
                     yield whole()
                     block, ids, texts, held, windows = block + 1, [], [], 0, 0
                 ids.append(doc), texts.append(data)
@@ -174,8 +174,10 @@ def spread(answers: dict[int, np.ndarray], keys: np.ndarray, bits: int) -> np.nd
 
 def _buckets(keys: np.ndarray, bits: int):
     """(bucket, begin, end) of the runs of sorted keys that share their upper bits."""
+    if not len(keys):
+        return
     of = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-    starts = np.flatnonzero(np.diff(of, prepend=-1)) if len(of) else np.empty(0, np.int64)
+    starts = np.flatnonzero(np.diff(of, prepend=-1))
     for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
         yield int(of[a]), a, z
 
@@ -317,9 +319,10 @@ def _remove(width: int, bits: int):
     return remove
 
 
-def remove_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """doc_id, n_words, n_removed, spans (maximal runs of removed words, from 0, end not in), kept (what is left, words joined
-    by one space). A word goes if a window of ``width`` words covers it that starts earlier as well."""
+    by one space). A word goes if a window of ``width`` words covers it that starts earlier as well. ``block``: bytes of text
+    in a block."""
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -327,7 +330,7 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     # Equal rows are told apart by where they were read, so many of them are no single range
     order = [F.col("doc_id").asc_nulls_last(), F.col("mark"), F.col("place")]
     dealt = slim.withColumns({"mark": F.xxhash64("text"), "place": F.monotonically_increasing_id()}).repartitionByRange(tasks, *order).sortWithinPartitions(*order)
-    blocks = staged(dealt.select("doc_id", "text").mapInArrow(_pack(width), "block long, windows long, data binary"), "op11-blocks", codec="uncompressed")
+    blocks = staged(dealt.select("doc_id", "text").mapInArrow(_pack(width, block), "block long, windows long, data binary"), "op11-blocks", codec="uncompressed")
     windows = blocks.agg(F.sum("windows")).first()[0] or 0
     counters = partitions_for(spark, -(-windows * 8 // PER_TASK))
     bits = max(2 * counters, -(-windows // PER_BUCKET)).bit_length()
