@@ -572,11 +572,10 @@ def _term(key):
     return F.element_at(F.array(*map(F.lit, TERMS)), (key % len(TERMS) + 1).cast("int"))
 
 
-def titled(m, keys=("sku_id",)) -> tuple[DataFrame, DataFrame]:
-    """SKUs whose titles carry a product word, and as competitor products the newest priced observation of each (or of
-    each of ``keys``)."""
+def titled(m) -> tuple[DataFrame, DataFrame]:
+    """SKUs whose titles carry a product word, and as competitor products the newest priced observation of each pair."""
     skus = m.part.select("sku_id", F.concat("short_title", F.lit(" "), _term(F.col("p_partkey"))).alias("short_title"), "price_ex_vat", "unit_qty")
-    newest = latest_per_pair(m.observation.where("raw_price is not null"), list(keys), tie=("run_id", "seq", "competitor_id"))
+    newest = latest_per_pair(m.observation.where("raw_price is not null"), PAIR, tie=("run_id", "seq"))
     url = F.concat(F.lit("https://shop.example/p/"), "run_id", F.lit("-"), "seq", F.lit("-"), "sku_id")
     profile = F.concat("comp_title", F.lit(" "), _term(F.col("run_id") * 7 + F.col("seq")))
     return newest.select("competitor_id", url.alias("url"), profile.alias("profile"), F.col("raw_price").alias("price"), F.array().cast("array<string>").alias("sku_codes")), skus
@@ -599,7 +598,7 @@ product AS (
   SELECT *, {_groups_sql("lower(profile)")} AS g, {_SIZES_SQL.format("profile")} AS z
   FROM (SELECT competitor_id, concat('https://shop.example/p/', run_id, '-', seq, '-', sku_id) AS url, raw_price AS price,
                concat(comp_title, ' ', {_TERM_LIST}[1 + (run_id * 7 + seq) % {len(TERMS)}]) AS profile
-        FROM (SELECT *, row_number() OVER (PARTITION BY sku_id ORDER BY scraped_at DESC, run_id DESC, seq DESC, competitor_id DESC) AS rn FROM observation WHERE raw_price IS NOT NULL)
+        FROM (SELECT *, row_number() OVER (PARTITION BY sku_id, competitor_id ORDER BY scraped_at DESC, run_id DESC, seq DESC) AS rn FROM observation WHERE raw_price IS NOT NULL)
         WHERE rn = 1))
 """
 
@@ -613,27 +612,23 @@ _PACKED = [_points_sql(f"(price{vat} / unit_qty / price_ex_vat)") for vat in (""
 
 
 @query(TITLED + f"""
+, words AS (
+  SELECT p.g AS pg, p.z AS pz, o.g AS og, o.z AS oz, greatest(0, least(100, least(50, 25 * len(list_intersect(p.g, o.g)))
+           + CASE WHEN len(o.z) = 0 THEN 0 WHEN len(list_intersect(p.z, o.z)) > 0 THEN 30 WHEN len(p.z) > 0 THEN -20 ELSE 0 END)) AS w
+  FROM (SELECT DISTINCT g, z FROM product) p, (SELECT DISTINCT g, z FROM own) o)
 SELECT competitor_id, url, sku_id, CAST(score AS INT) AS score, place FROM (
   SELECT *, row_number() OVER (PARTITION BY competitor_id, url ORDER BY score DESC, sku_id) AS place FROM (
-    SELECT p.competitor_id, url, o.sku_id, greatest(0, least(100, least(50, 25 * len(list_intersect(p.g, o.g)))
-             + CASE WHEN len(o.z) = 0 THEN 0 WHEN len(list_intersect(p.z, o.z)) > 0 THEN 30 WHEN len(p.z) > 0 THEN -20 ELSE 0 END))
-           + greatest({_NEAR[0]}, {_NEAR[1]}, CASE WHEN unit_qty > 1 THEN greatest({_PACKED[0]}, {_PACKED[1]}) ELSE 0 END) AS score
-    FROM product p CROSS JOIN own o) x
+    SELECT p.competitor_id, url, o.sku_id, w + greatest({_NEAR[0]}, {_NEAR[1]}, CASE WHEN unit_qty > 1 THEN greatest({_PACKED[0]}, {_PACKED[1]}) ELSE 0 END) AS score
+    FROM product p JOIN words ON p.g = pg AND p.z = pz JOIN own o ON o.g = og AND o.z = oz WHERE w >= 5) x
   WHERE score >= 25 AND NOT EXISTS (SELECT 1 FROM match m WHERE m.match_status = 'matched' AND m.sku_id = x.sku_id AND m.competitor_id = x.competitor_id))
 WHERE place <= 20
 """)
 def cmp2_match_candidates(m):
+    """Every competitor's product of every SKU."""
     pages, skus = titled(m)
     return M.match_candidates(pages, skus, m.match)
 
 
-@query()
-def cmp2_match_candidates_all(m):
-    """Every competitor's product of every SKU; the SQL above states one product a SKU, a cross join of all is too slow."""
-    pages, skus = titled(m, PAIR)
-    return M.match_candidates(pages, skus, m.match)
-
-
 @query(TITLED + """
 SELECT sku_id, array_to_string(list_sort(g), ',') AS groups, array_to_string(list_sort(z), ',') AS sizes,
        CAST(least(50, 25 * len(g)) + CASE WHEN len(z) > 0 THEN 30 ELSE 0 END AS INT) AS own_score FROM own
@@ -780,73 +775,39 @@ def win5_best_variant(m):
 
 # ── merges ──
 
-HALF = "p % 2 = 0"
-
-
-def halves(m) -> tuple[DataFrame, DataFrame]:
-    """Matches of even confidence as the table; those of confidence 0 mod 3 as changes, ten points up."""
-    base = m.match.where("confidence % 2 = 0")
-    changes = m.match.where("confidence % 3 = 0").withColumn("confidence", F.col("confidence") + 10)
-    return base, changes
+def whole(m) -> tuple[DataFrame, DataFrame]:
+    """All matches as the table; as changes all of them, ten points up, and as many of unknown keys."""
+    changes = m.match.withColumn("confidence", F.col("confidence") + 10)
+    return m.match, changes.unionByName(changes.withColumn("competitor_id", -1 - F.col("competitor_id")))
 
 
 @query("""
-, b AS (SELECT * FROM match WHERE confidence % 2 = 0), c AS (SELECT *, confidence + 10 AS nc FROM match WHERE confidence % 3 = 0)
+, b AS (SELECT * FROM match), c AS (SELECT sku_id, competitor_id, confidence + 10 AS nc FROM match UNION ALL SELECT sku_id, -1 - competitor_id, confidence + 10 FROM match)
 SELECT sku_id, competitor_id, CASE WHEN b.match_status = 'matched' THEN b.confidence WHEN c.nc IS NOT NULL THEN c.nc ELSE b.confidence END AS confidence,
        CASE WHEN b.match_status = 'matched' THEN 'matched' WHEN c.nc IS NOT NULL THEN 'review' ELSE b.match_status END AS match_status
 FROM b FULL JOIN c USING (sku_id, competitor_id)
 """)
 def mrg4_sitemap_merge(m):
-    base, changes = halves(m)
-    return G.merge_sitemap_matches(base, changes).select(*PAIR, "confidence", "match_status")
+    return G.merge_sitemap_matches(*whole(m)).select(*PAIR, "confidence", "match_status")
 
 
 @query("""
-, b AS (SELECT * FROM match WHERE confidence % 2 = 0), c AS (SELECT *, confidence + 10 AS nc FROM match WHERE confidence % 3 = 0)
+, b AS (SELECT * FROM match), c AS (SELECT sku_id, competitor_id, confidence + 10 AS nc FROM match UNION ALL SELECT sku_id, -1 - competitor_id, confidence + 10 FROM match)
 SELECT sku_id, competitor_id, coalesce(c.nc, b.confidence) AS confidence,
        CASE WHEN c.nc >= 80 THEN 'matched' WHEN c.nc IS NOT NULL THEN 'review' ELSE b.match_status END AS match_status
 FROM b FULL JOIN c USING (sku_id, competitor_id)
 """)
 def mrg2_scrape_merge(m):
-    base, changes = halves(m)
-    return G.merge_scrape_matches(base, changes).select(*PAIR, "confidence", "match_status")
+    return G.merge_scrape_matches(*whole(m)).select(*PAIR, "confidence", "match_status")
 
 
 @query("""
-, b AS (SELECT * FROM match WHERE confidence % 2 = 0), c AS (SELECT *, confidence + 10 AS nc FROM match WHERE confidence % 3 = 0)
+, b AS (SELECT * FROM match), c AS (SELECT sku_id, competitor_id, confidence + 10 AS nc FROM match UNION ALL SELECT sku_id, -1 - competitor_id, confidence + 10 FROM match)
 SELECT sku_id, competitor_id, CASE WHEN b.match_status IN ('matched', 'review') THEN b.confidence WHEN c.nc IS NOT NULL THEN c.nc ELSE b.confidence END AS confidence,
        CASE WHEN b.match_status IN ('matched', 'review') THEN b.match_status WHEN c.nc IS NOT NULL THEN 'review' ELSE b.match_status END AS match_status
 FROM b FULL JOIN c USING (sku_id, competitor_id)
 """)
 def mrg3_search_merge(m):
-    base, changes = halves(m)
-    return G.merge_search_matches(base, changes).select(*PAIR, "confidence", "match_status")
-
-
-def whole(m) -> tuple[DataFrame, DataFrame]:
-    """All matches as the table; as changes all of them, ten points up, and as many of unknown keys."""
-    changes = m.match.withColumn("confidence", F.col("confidence") + 10)
-    return m.match, changes.unionByName(changes.withColumn("competitor_id", -1 - F.col("competitor_id")))
-
-
-def _whole_sql(name: str) -> str:
-    merged = ORACLE_SQL[name].rpartition("SELECT sku_id, competitor_id,")
-    rows = ", b AS (SELECT * FROM match), c AS (SELECT sku_id, competitor_id, confidence + 10 AS nc FROM match UNION ALL SELECT sku_id, -1 - competitor_id, confidence + 10 FROM match)\n"
-    return rows + merged[1] + merged[2]
-
-
-@query(_whole_sql("mrg4_sitemap_merge"))
-def mrg4_sitemap_merge_all(m):
-    return G.merge_sitemap_matches(*whole(m)).select(*PAIR, "confidence", "match_status")
-
-
-@query(_whole_sql("mrg2_scrape_merge"))
-def mrg2_scrape_merge_all(m):
-    return G.merge_scrape_matches(*whole(m)).select(*PAIR, "confidence", "match_status")
-
-
-@query(_whole_sql("mrg3_search_merge"))
-def mrg3_search_merge_all(m):
     return G.merge_search_matches(*whole(m)).select(*PAIR, "confidence", "match_status")
 
 

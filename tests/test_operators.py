@@ -1,13 +1,14 @@
 """Properties and small cases that SQL cannot state."""
 
 import itertools
+import random
 from collections import Counter
 
-import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.operators import extract as X
+from shelfwise.operators import joins as J
 from shelfwise.operators import matching as M
 from shelfwise.operators import merge as G
 from shelfwise.operators import variants as V
@@ -33,16 +34,43 @@ def test_candidates_by_blocks_are_all_candidates(spark):
     assert got == {tuple(r) for r in every.collect()} and got
 
 
-def test_candidates_of_every_competitor_equal_sql(spark):
-    db = duckdb.connect()
-    for t in ("part", "supplier", "lineitem", "orders"):
-        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    one = "PARTITION BY sku_id ORDER BY"
-    text = catalogue.ORACLE_SQL["cmp2_match_candidates"]
-    assert text.count(one) == 1
-    want = db.sql(text.replace(one, "PARTITION BY sku_id, competitor_id ORDER BY")).fetchall()
-    got = catalogue.QUERIES["cmp2_match_candidates_all"](spark, SF).select("competitor_id", "url", "sku_id", "score", "place").collect()
-    assert sorted(map(tuple, got)) == sorted(want) and len(got) > 20_000
+SIGNS = ["snap frame", "a board", "acrylic", "leaflet holder", "noticeboard", "sign holder acrylic", "magnetic snap frame"]
+
+
+def _shop(seed, products=160, skus=300):
+    """Products and SKUs of few words and many prices: near and far, none, zero, negative; packs, codes, confirmed pairs."""
+    rng = random.Random(seed)
+    price = lambda: rng.choice([None, 0.0, -5.0, float("nan"), 9.99, 9.99, *(round(10 ** rng.uniform(-1, 4), 2) for _ in range(14)), *(round(rng.uniform(8, 16), 2) for _ in range(20))])
+    name = lambda: f"{rng.choice(SIGNS)} {rng.choice(['', 'A4', 'A3', 'A4 A3', '60x40'])}"
+    own = [(f"S-{i}", name(), price(), rng.choice([None, 1, 2, 10])) for i in range(skus)]
+    theirs = [(i % 5, f"u{i}", name(), price(), rng.choice([None, [], [], [f"S-{rng.randint(0, skus + 20)}", f"S-{rng.randint(0, 40)}"]])) for i in range(products)]
+    done = [(f"S-{rng.randint(0, skus)}", rng.randint(0, 5), rng.choice(["matched", "matched", "review"])) for _ in range(200)] + [(f"S-{i}", 3, "matched") for i in range(0, skus, 2)]
+    return theirs, own, done
+
+
+@pytest.mark.parametrize("seed, n, spare", [(1, 20, 12), (2, 5, 0), (3, 3, 1)])
+def test_threshold_join_gives_the_best_of_all_pairs(spark, seed, n, spare):
+    theirs, own, done = _shop(seed)
+    pages = spark.createDataFrame(theirs, "competitor_id long, url string, profile string, price double, sku_codes array<string>")
+    skus = spark.createDataFrame(own, "sku_id string, short_title string, price_ex_vat double, unit_qty int")
+    matches = spark.createDataFrame(done, "sku_id string, competitor_id long, match_status string")
+    every = M.scored_pairs(pages, skus).cache()
+    for known in (None, matches):
+        want = M.top_candidates(J.drop_confirmed(every, known) if known is not None else every, n)
+        got = M.match_candidates(pages, skus, known, n=n, spare=spare)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+
+
+def test_price_bounds_hold(spark):
+    rng = random.Random(9)
+    odd = [None, 0.0, -1.0, float("inf"), float("nan")]
+    rows = [(rng.choice(odd) if rng.random() < 0.1 else 10 ** rng.uniform(-1, 3), rng.choice(odd) if rng.random() < 0.1 else 10 ** rng.uniform(-1, 3), rng.choice([None, 1, 2, 12])) for _ in range(4000)]
+    rows += [(10 * q, 10.0, None) for q in (0.7, 1.3, 1.56, 0.5, 2.0, 2.4, 0.3, 3.0, 3.6)]
+    df = spark.createDataFrame(rows, "c double, o double, q int")
+    pack = F.when(F.col("q") > 1, F.col("o") * F.col("q"))
+    (a, b), (c, d) = (M._bounds(M._band(F.col("c")), M._band(x)) for x in (F.col("o"), pack))
+    bounds = df.select(F.greatest(a, c).alias("low"), M.price_score(F.col("c"), F.col("o"), F.col("q")).alias("is"), F.greatest(b, d).alias("high"))
+    assert bounds.where("not (low <= is and is <= high)").count() == 0 and bounds.where("low = high").count() > 3000
 
 
 def test_variants_of_every_match(spark):
