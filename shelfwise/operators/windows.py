@@ -71,7 +71,7 @@ def worst_n(worst: DataFrame, n: int = 10) -> DataFrame:
 
 
 def page_of(df: DataFrame, page: int, order: list[Column], limit: int = 50, cap: int = 200) -> DataFrame:
-    """A page of a list in a total order. Deep pages sort what comes before; ``after`` below does not."""
+    """A page of a list in a total order. Deep pages sort what comes before; ``after`` below and ``ranks.Ranked`` do not."""
     limit = min(limit, cap)
     return df.orderBy(*order).offset((page - 1) * limit).limit(limit)
 
@@ -97,8 +97,9 @@ def review_by_confidence(matches: DataFrame, skus: DataFrame, competitors: DataF
     )
 
 
-def sort_by(df: DataFrame, column: str, descending: bool = False, kind: str = "text") -> DataFrame:
-    """Sorted as the tables of the desk are: text by lower case, no price last, no difference or date as zero."""
+def sort_by(df: DataFrame, column: str, descending: bool = False, kind: str = "text", ties: tuple[str, ...] = ("sku_id", "competitor_id", "id")) -> DataFrame:
+    """Sorted as the tables of the desk are: text by lower case, no price last, no difference or date as zero. Equal ones by
+    ``ties``, as far as df has them."""
     c = F.col(column)
     key = {
         "text": F.coalesce(F.lower(c), F.lit("")),
@@ -106,4 +107,4 @@ def sort_by(df: DataFrame, column: str, descending: bool = False, kind: str = "t
         "diff": F.coalesce(c, F.lit(0.0)) if kind == "diff" else c,
         "date": F.coalesce(F.unix_timestamp(c), F.lit(0)) if kind == "date" else c,
     }[kind]
-    return df.orderBy(key.desc() if descending else key.asc(), *(x for x in ("sku_id", "competitor_id") if x in df.columns))
+    return df.orderBy(key.desc() if descending else key.asc(), *(x for x in ties if x in df.columns))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from urllib.parse import urljoin
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.functions.text import feed_price, feed_unit_qty, url_slug
 from shelfwise.operators.filters import alerts_tab
+from shelfwise.operators.ranks import ranked_within
+from shelfwise.sources.staging import staged
 
 FEED_TAGS = ["id", "mpn", "title", "short_title", "link", "price", "availability", "google_product_category", "material", "color", "image_link"]
 
@@ -35,21 +37,25 @@ def split_valid_feed(feed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return feed.where(ok), feed.where(~ok)
 
 
-def sitemap_urls(sitemaps: DataFrame, cap: int | None = None, depth: int = 3) -> DataFrame:
+def sitemap_urls(sitemaps: DataFrame, cap: int | None = None) -> DataFrame:
     """sitemaps (competitor_id, sitemap_url, xml, is_root) to (competitor_id, url, harvest_idx). Index files lead to the
-    sitemaps that they name, to ``depth`` levels; duplicates stay; ``cap`` keeps the first URLs of each competitor."""
+    sitemaps that they name, level by level until none is left (a file that leads back to itself is not opened again);
+    duplicates stay; ``cap`` keeps the first URLs of each competitor."""
     locs = F.transform(F.regexp_extract_all(F.coalesce("xml", F.lit("")), F.lit(r"(?s)<(?:\w+:)?loc[^>]*>\s*(.*?)\s*</(?:\w+:)?loc>"), 1), lambda u: F.replace(u, F.lit("&amp;"), F.lit("&")))
-    all_maps = sitemaps.select("competitor_id", "sitemap_url", F.col("xml").rlike(r"<(?:\w+:)?sitemapindex").alias("is_index"), locs.alias("locs"))
-    level = all_maps.join(sitemaps.where("is_root").select("competitor_id", "sitemap_url"), ["competitor_id", "sitemap_url"], "left_semi")
-    level = level.withColumn("trail", F.array(F.col("sitemap_url")))
+    is_index = F.coalesce(F.col("xml").rlike(r"<(?:\w+:)?sitemapindex"), F.lit(False))
+    all_maps = staged(sitemaps.select("competitor_id", "sitemap_url", is_index.alias("is_index"), locs.alias("locs"), F.coalesce("is_root", F.lit(False)).alias("is_root")), "sitemaps")
+    roots = all_maps.where("is_root").select("competitor_id", "sitemap_url").distinct()
+    level = all_maps.drop("is_root").join(roots, ["competitor_id", "sitemap_url"], "left_semi").withColumn("trail", F.array(F.col("sitemap_url")))
     found = None
-    for _ in range(depth):
-        urls = level.where(~F.coalesce("is_index", F.lit(False))).select("competitor_id", "sitemap_url", F.posexplode("locs").alias("pos", "url"))
+    while True:
+        level = staged(level, "sitemap-level")
+        urls = level.where(~F.col("is_index")).select("competitor_id", "sitemap_url", F.posexplode("locs").alias("pos", "url"))
         found = urls if found is None else found.unionByName(urls)
         children = level.where("is_index").select("competitor_id", "trail", F.explode("locs").alias("sitemap_url")).where(~F.array_contains("trail", F.col("sitemap_url")))
-        level = children.join(all_maps, ["competitor_id", "sitemap_url"]).withColumn("trail", F.array_append("trail", F.col("sitemap_url")))
-    w = Window.partitionBy("competitor_id").orderBy("sitemap_url", "pos")
-    out = found.withColumn("harvest_idx", F.row_number().over(w).cast("long"))
+        if children.isEmpty():
+            break
+        level = children.join(all_maps.drop("is_root"), ["competitor_id", "sitemap_url"]).withColumn("trail", F.array_append("trail", F.col("sitemap_url")))
+    out = ranked_within(found, "competitor_id", [F.asc("sitemap_url"), F.asc("pos"), F.asc("url")], "harvest_idx")
     return (out.where(F.col("harvest_idx") <= cap) if cap else out).select("competitor_id", "url", "harvest_idx")
 
 
