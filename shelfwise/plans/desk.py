@@ -75,7 +75,7 @@ def srt5_sort_by(m):
     runs = m.run.withColumns(
         {"at": F.when(k % 7 != 0, F.col("started_at")), "p": F.when(k % 3 != 0, F.col("prices_found").cast("double")), "d": F.when(k % 3 != 0, (F.col("prices_found") - 10).cast("double")), "t": F.when(k % 9 != 0, F.upper("status"))}
     )
-    parts = [W.sort_by(runs, c, descending, kind).limit(40).select(F.lit(kind).alias("kind"), "id", "status") for kind, c, descending in (("date", "at", True), ("price", "p", False), ("diff", "d", True), ("text", "t", False))]
+    parts = [W.sort_by(runs, c, descending, kind, ("id",)).limit(40).select(F.lit(kind).alias("kind"), "id", "status") for kind, c, descending in (("date", "at", True), ("price", "p", False), ("diff", "d", True), ("text", "t", False))]
     return J.union_all(*parts)
 
 

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from shelfwise.plans import catalogue, desk  # noqa: F401
+from shelfwise.plans import catalogue, desk, kept  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
