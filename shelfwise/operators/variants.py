@@ -114,13 +114,26 @@ def score_variants(pairs: DataFrame, site: str) -> DataFrame:
     return pairs.withColumn("score", SCORES[site]())
 
 
-def variants_for_matches(matches: DataFrame, variants: DataFrame, skus: DataFrame, site: str, force: bool = False) -> DataFrame:
-    """Every variant of the page that a match points to. Variants are parsed once a page and joined by its URL."""
+def _pointing(matches: DataFrame, site: str, force: bool) -> DataFrame:
+    """Matches with the URL of their page; those that name a variant already only if ``force``."""
     df = matches.where("competitor_url is not null")
     if not force:
         df = df.where(~has_variant(F.col("competitor_url"), site))
-    df = df.withColumn("parent_url", parent_url(F.col("competitor_url")))
-    return df.join(variants, "parent_url").join(skus.select("sku_id", "short_title"), "sku_id")
+    return df.withColumn("parent_url", parent_url(F.col("competitor_url")))
+
+
+def variants_for_matches(matches: DataFrame, variants: DataFrame, skus: DataFrame, site: str, force: bool = False) -> DataFrame:
+    """Every variant of the page that a match points to. Variants are parsed once a page and joined by its URL."""
+    return _pointing(matches, site, force).join(variants, "parent_url").join(skus.select("sku_id", "short_title"), "sku_id")
+
+
+def best_for_matches(matches: DataFrame, variants: DataFrame, skus: DataFrame, site: str, force: bool = False) -> DataFrame:
+    """Each match with the best variant of its page. Scores depend on SKU and page alone, so a SKU and a page that many
+    competitors' matches share are scored once, and the choice is joined to all of them."""
+    df = _pointing(matches, site, force)
+    asked = df.select("sku_id", "parent_url").distinct()
+    scored = score_variants(asked.join(variants, "parent_url").join(skus.select("sku_id", "short_title"), "sku_id"), site)
+    return df.join(best_variant(scored, ["sku_id", "parent_url"]), ["sku_id", "parent_url"])
 
 
 def resolve_variant(matches: DataFrame, variants: DataFrame, skus: DataFrame, site: str) -> DataFrame:
@@ -148,7 +161,7 @@ def resolve_variant(matches: DataFrame, variants: DataFrame, skus: DataFrame, si
 def repair_variants(matches: DataFrame, variants: DataFrame, skus: DataFrame, site: str, min_score: int = 1, force: bool = False) -> DataFrame:
     """The changes to matches whose URL should name a variant: sku_id, competitor_id, previous_url, competitor_url,
     match_status, awaiting_scrape, score. Nothing is written; unchanged URLs are left out."""
-    best = best_variant(score_variants(variants_for_matches(matches, variants, skus, site, force), site), ["sku_id", "competitor_id"])
+    best = best_for_matches(matches, variants, skus, site, force)
     labels = F.col("options") if site == "configurable" else F.col("labels")
     new = variant_url(F.col("parent_url"), site, F.col("variant_id"), labels)
     return (

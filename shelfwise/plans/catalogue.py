@@ -769,8 +769,7 @@ def cmp5_repair_variants(m):
 
 @query(_FITTING + "SELECT sku_id, competitor_id, variant_id, 50 AS score, in_stock FROM fitting WHERE rn = 1")
 def win5_best_variant(m):
-    pairs = V.variants_for_matches(variant_matches(m), X.configurable_variants(configured_pages(m)), m.sku, "configurable")
-    return W.best_variant(V.score_variants(pairs, "configurable"), PAIR).select(*PAIR, "variant_id", "score", "in_stock")
+    return V.best_for_matches(variant_matches(m), X.configurable_variants(configured_pages(m)), m.sku, "configurable").select(*PAIR, "variant_id", "score", "in_stock")
 
 
 # ── merges ──

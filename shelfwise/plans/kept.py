@@ -116,7 +116,7 @@ def ex11_search_hits(m):
 def src5_appended_snapshots(m):
     path = new_path(m.spark, "history")
     for half in ("run_id % 2 = 0", "run_id % 2 = 1"):
-        io.append_snapshots(m.observation.where(half), path)
+        io.append_snapshots(m.observation.where(half), path, by="month")
     return m.spark.read.parquet(path).select("run_id", "seq", *PAIR, "snapshot_date", "raw_price")
 
 

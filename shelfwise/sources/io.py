@@ -81,12 +81,17 @@ def category_links(pages: DataFrame, rules: DataFrame) -> DataFrame:
     return first.join(stop, F.col("competitor_id") == F.col("c"), "left").where("stop is null or page_no < stop").select("competitor_id", "url")
 
 
-def append_snapshots(snapshots: DataFrame, path: str, per_file: int = 2_000_000) -> None:
-    """Appends to the price history, one folder a day. Rows are dealt out by ranges of day and pair, so a day with many rows
-    is written by many tasks, and a day with few by one."""
+def append_snapshots(snapshots: DataFrame, path: str, per_file: int = 2_000_000, by: str = "day") -> None:
+    """Appends to the price history, one folder a day (snapshot_date), or with ``by="month"`` a folder a month
+    (snapshot_month) where days are small. Rows are dealt out by ranges of day and pair, so a folder with many rows is written
+    by many tasks, and one with few by one."""
     dated = snapshots.withColumn("snapshot_date", F.to_date("scraped_at"))
-    dealt = dated.repartitionByRange("snapshot_date", F.xxhash64("sku_id", "competitor_id"))
-    dealt.write.mode("append").option("maxRecordsPerFile", per_file).partitionBy("snapshot_date").parquet(path)
+    folder = "snapshot_date"
+    if by == "month":
+        folder = "snapshot_month"
+        dated = dated.withColumn(folder, F.date_format("snapshot_date", "yyyy-MM"))
+    dealt = dated.repartitionByRange(folder, F.xxhash64("sku_id", "competitor_id"))
+    dealt.write.mode("append").option("maxRecordsPerFile", per_file).partitionBy(folder).parquet(path)
 
 
 def export_alerts_csv(alerts: DataFrame, tab: str, path: str) -> None:
