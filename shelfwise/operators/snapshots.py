@@ -76,6 +76,20 @@ def latest_enriched(observations: DataFrame, skus: DataFrame, competitors: DataF
     return enrich_snapshots(latest_per_pair(observations), skus, competitors, rule)
 
 
+def report_prices(latest: DataFrame, competitors: DataFrame) -> DataFrame:
+    """Prices as the desk shows them: sku_id, competitor_id, vat (the snapshot's, else the competitor's default, else unknown),
+    our_price_inc_vat, their_ex (unrounded, no VAT), and our_per_unit and their_per_unit where we sell packs; both are
+    divided by our quantity. A price of 0 counts as missing. ``competitors`` has competitor_id and default_vat."""
+    rows = latest.join(competitors.select("competitor_id", "default_vat"), "competitor_id")
+    vat = S.report_vat(F.col("competitor_vat"), F.col("default_vat"))
+    ours, raw = S.coalesce_falsy(F.col("our_price")), S.coalesce_falsy(F.col("competitor_price"))
+    pack = F.when(F.col("our_unit_qty") > 1, F.col("our_unit_qty"))
+    theirs = F.when(vat == "inc", raw / 1.2).otherwise(raw)
+    return rows.select(
+        *PAIR, vat.alias("vat"), S.rounded(F.col("our_price") * 1.2).alias("our_price_inc_vat"), theirs.alias("their_ex"), (ours / pack).alias("our_per_unit"), (theirs / pack).alias("their_per_unit")
+    )
+
+
 def price_alerts(snapshots: DataFrame, crit: float = -10, warn: float = -5, strict: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Alerts from enriched snapshots; ``keep`` names columns of theirs to carry along. A normalised difference of zero
     falls back to the raw one unless ``strict``."""

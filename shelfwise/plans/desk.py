@@ -14,8 +14,8 @@ from shelfwise.operators import joins as J
 from shelfwise.operators import merge as G
 from shelfwise.operators import variants as V
 from shelfwise.operators import windows as W
-from shelfwise.operators.snapshots import PAIR, enrich_snapshots, latest_enriched, price_alerts
-from shelfwise.plans.catalogue import ALERTS, DIFF, FAMILY, latest, query, shop_pages
+from shelfwise.operators.snapshots import PAIR, enrich_snapshots, latest_enriched, price_alerts, report_prices
+from shelfwise.plans.catalogue import ALERTS, DIFF, FAMILY, ORACLE_SQL, _page_url, configured_pages, latest, query, shop_pages
 
 
 # ── reports ──
@@ -117,14 +117,60 @@ def sc22_sc23_search_words(m):
 
 
 @query("""
-SELECT l.sku_id, l.competitor_id, coalesce(CASE WHEN l.seq % 2 = 0 THEN l.competitor_vat END, CASE WHEN l.competitor_id % 5 <> 0 THEN c.vat_status END, 'unknown') AS vat,
-       round_even(l.our_price * 1.2 * 100, 0) / 100 AS our_price_inc_vat
-FROM latest l JOIN competitor c USING (competitor_id)
+SELECT sku_id, competitor_id, vat, round_even(our_price * 1.2 * 100, 0) / 100 AS our_price_inc_vat, shown AS their_ex, nullif(our_price, 0) / pack AS our_per_unit, shown / pack AS their_per_unit
+FROM (SELECT *, CASE WHEN vat = 'inc' THEN nullif(raw_price, 0) / 1.2 ELSE nullif(raw_price, 0) END AS shown, CASE WHEN our_unit_qty > 1 THEN our_unit_qty END AS pack
+      FROM (SELECT l.*, coalesce(CASE WHEN l.seq % 2 = 0 THEN l.competitor_vat END, CASE WHEN l.competitor_id % 5 <> 0 THEN c.vat_status END, 'unknown') AS vat
+            FROM latest l JOIN competitor c USING (competitor_id)))
 """)
 def sc27_report_prices(m):
     shops = m.competitor.select("competitor_id", F.when(F.col("competitor_id") % 5 != 0, F.col("vat_status")).alias("default_vat"))
-    rows = latest(m).join(shops, "competitor_id")
-    return rows.select(*PAIR, S.report_vat(F.when(F.col("seq") % 2 == 0, F.col("competitor_vat")), F.col("default_vat")).alias("vat"), S.rounded(F.col("our_price") * 1.2).alias("our_price_inc_vat"))
+    said = F.when(F.col("seq") % 2 == 0, F.col("competitor_vat"))
+    return report_prices(latest(m).withColumn("competitor_vat", said), shops)
+
+
+@query(ORACLE_SQL["cmp1b_enrich_legacy"].replace("FROM prepared", """FROM (
+  SELECT * REPLACE (CASE vat WHEN 'inc' THEN round_even(raw_price / 1.2 * 100, 0) / 100 ELSE raw_price END AS their_ex)
+  FROM (SELECT *, CASE seq % 4 WHEN 0 THEN 'inc' WHEN 1 THEN 'ex' ELSE competitor_vat END AS vat FROM prepared))"""))
+def cmp1b_page_vat(m):
+    """The page says inc or ex, unknown, or nothing; a VAT basis that it says wins."""
+    said = F.when(F.col("seq") % 4 == 0, "inc").when(F.col("seq") % 4 == 1, "ex").when(F.col("seq") % 4 == 2, "unknown")
+    return enrich_snapshots(m.observation.withColumn("page_vat", said), m.sku, m.competitor, "legacy").select("run_id", "seq", *PAIR, "competitor_price", "diff_pct", "diff_pct_normalised")
+
+
+@query("""
+SELECT run_id, seq, CASE WHEN ours <> 0 AND theirs <> 0 AND greatest(ours, theirs) / least(ours, theirs) >= 1.5
+       THEN concat('raw price gap ', printf('%.1f', greatest(ours, theirs) / least(ours, theirs)), '× with no pack signal — verify pack sizes') END AS remark
+FROM (SELECT run_id, seq, our_price AS ours, round_even(raw_price * (seq + 1) * 100, 0) / 100 AS theirs FROM prepared)
+""")
+def sc13_pack_remark(m):
+    """One to eight times the price that was seen, as if of one quantity."""
+    o = m.observation.join(m.sku.select("sku_id", "price_ex_vat"), "sku_id").join(m.competitor.select("competitor_id"), "competitor_id")
+    theirs = S.rounded(F.col("raw_price") * (F.col("seq") + 1))
+    return o.select("run_id", "seq", S.pack_flag(F.col("price_ex_vat"), theirs, F.lit(1), F.lit(1)).alias("remark"))
+
+
+_VARIANT_URLS = """, named AS (
+  SELECT sku_id, competitor_id, k % 4 AS kind, concat('https://shop.example/p/', k, CASE k % 4 WHEN 0 THEN '' WHEN 1 THEN concat('?super_attribute[9]=', k, '#top') WHEN 2 THEN concat('?a=1&variation_id=', k)
+         ELSE concat('?variant=', k, '&b=2') END) AS url, concat('https://shop.example/p/', k) AS parent, k
+  FROM (SELECT sku_id, competitor_id, confidence AS k FROM match))
+"""
+
+
+@query(_VARIANT_URLS + """
+SELECT sku_id, competitor_id, parent, kind = 1 AS configurable, kind = 2 AS variation, kind = 3 AS storefront, CASE WHEN kind = 2 THEN CAST(k AS VARCHAR) END AS variation_id, CASE WHEN kind = 3 THEN CAST(k AS VARCHAR) END AS variant,
+       CASE WHEN kind = 2 THEN concat(parent, '?variation_id=', k, '&attribute_dimension=A3+%28L%29') WHEN kind = 3 THEN concat(parent, '?variant=', k) ELSE concat(parent, '?super_attribute[1]=x&super_attribute[9]=', k) END AS rebuilt
+FROM named
+""")
+def sc25_variant_urls(m):
+    k = F.col("confidence")
+    s = k.cast("string")
+    base = F.concat(F.lit("https://shop.example/p/"), s)
+    url = F.when(k % 4 == 0, base).when(k % 4 == 1, F.concat(base, F.lit("?super_attribute[9]="), s, F.lit("#top"))).when(k % 4 == 2, F.concat(base, F.lit("?a=1&variation_id="), s)).otherwise(F.concat(base, F.lit("?variant="), s, F.lit("&b=2")))
+    rows = m.match.select(*PAIR, k, url.alias("url"))
+    u = F.col("url")
+    built = lambda site, labels: T.variant_url(u, site, s, labels)
+    rebuilt = F.when(k % 4 == 2, built("variation", F.create_map(F.lit("d"), F.lit("A3 (L)")))).when(k % 4 == 3, built("storefront", None)).otherwise(built("configurable", F.create_map(F.lit("9"), s, F.lit("1"), F.lit("x"))))
+    return rows.select(*PAIR, T.parent_url(u).alias("parent"), *(T.has_variant(u, site).alias(site) for site in ("configurable", "variation", "storefront")), T.url_param(u, "variation_id").alias("variation_id"), T.url_param(u, "variant").alias("variant"), rebuilt.alias("rebuilt"))
 
 
 # ── page and URL rules ──
@@ -238,6 +284,49 @@ def ex8_shopify_js_price(m):
 
 # ── variants ──
 
+_OPTION_SIZES = r"list_distinct(list_transform(regexp_extract_all({0}, '" + V.SIZE + r"'), lambda z: replace(lower(z), ' ', '')))"
+_COLOURS_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({{0}}, '{'|'.join(w)}') THEN '{name}' END" for name, w in V.COLOURS.items()) + "], lambda x: x IS NOT NULL)"
+_LONG_WORDS = r"list_distinct(regexp_extract_all(lower({0}), '\b[a-z]{{3,}}\b'))"
+
+
+@query(f"""
+, offer AS (
+  SELECT sku_id, v, concat(short_title, CASE p_partkey % 3 WHEN 0 THEN ' in dark oak' WHEN 1 THEN ' white, wall mounted' ELSE '' END) AS title,
+         CASE v WHEN 3 THEN 'none' ELSE concat('A', (p_size + v) % 8) END AS z, ['Dark Oak', 'White wash', 'Slate', 'plain'][1 + v] AS c, ['wall mounted', 'free standing', 'wall', 'mounted in dark'][1 + v] AS f FROM sku, (SELECT unnest([0, 1, 2, 3]) AS v)),
+told AS (
+  SELECT *, {_OPTION_SIZES.format("title")} AS tz, {_OPTION_SIZES.format("z")} AS oz, {_COLOURS_SQL.format("lower(title)")} AS tc, {_COLOURS_SQL.format("lower(c)")} AS oc, {_LONG_WORDS.format("title")} AS tw, {_LONG_WORDS.format("f")} AS fw FROM offer)
+SELECT sku_id, v AS variant_no, CAST(greatest(0, least(100,
+       CASE WHEN len(tz) > 0 AND len(oz) > 0 THEN CASE WHEN len(list_intersect(tz, oz)) > 0 THEN 50 ELSE -20 END WHEN len(tz) = 0 THEN 5 ELSE -5 END
+       + CASE WHEN len(tc) > 0 AND len(oc) > 0 THEN CASE WHEN len(list_intersect(tc, oc)) > 0 THEN 30 ELSE -10 END WHEN len(tc) = 0 THEN 3 ELSE 0 END
+       + least(15, 5 * len(list_intersect(tw, fw))))) AS INT) AS score
+FROM told
+""")
+def ex12_configurable_scores(m):
+    """Children with a size, a colour and a mount, which fit more or less; SKU titles say more or less of theirs."""
+    k, v = F.col("p_partkey"), F.col("variant_no")
+    of = lambda *x: F.element_at(F.array(*map(F.lit, x)), v + 1)
+    title = F.concat("short_title", F.when(k % 3 == 0, " in dark oak").when(k % 3 == 1, " white, wall mounted").otherwise(""))
+    size = F.when(v == 3, "none").otherwise(F.concat(F.lit("A"), ((F.col("p_size") + v) % 8).cast("string")))
+    labels = F.create_map(F.lit("Paper Size"), size, F.lit("Frame Colour"), of("Dark Oak", "White wash", "Slate", "plain"), F.lit("Mount"), of("wall mounted", "free standing", "wall", "mounted in dark"))
+    pairs = m.part.withColumn("variant_no", F.explode(F.array(*map(F.lit, range(4))))).select("sku_id", "variant_no", title.alias("short_title"), labels.alias("labels"))
+    return V.score_variants(pairs, "configurable").select("sku_id", "variant_no", "score")
+
+
+#: The variant of the highest score, in stock first; if it is not in stock, the first that is, within ten points.
+_BEST = """, ranked AS (
+  SELECT *, row_number() OVER w AS n, first_value(score) OVER w AS top, first_value(in_stock) OVER w AS top_stock FROM scored
+  WINDOW w AS (PARTITION BY sku_id ORDER BY score DESC, in_stock DESC, variant_id))
+SELECT {0} FROM ranked WHERE n = 1 OR (NOT top_stock AND in_stock AND top - score <= 10) QUALIFY row_number() OVER (PARTITION BY sku_id ORDER BY in_stock DESC, n) = 1
+"""
+
+
+@query(", scored AS (SELECT sku_id, concat('v', v) AS variant_id, CAST((p_partkey * 7 + v * 13) % 40 AS INT) AS score, (p_partkey + v) % 3 = 0 AS in_stock FROM sku, (SELECT unnest([0, 1, 2, 3, 4]) AS v))" + _BEST.format("sku_id, variant_id, score, in_stock"))
+def win5_stock_swap(m):
+    k, v = F.col("p_partkey"), F.col("v")
+    scored = m.part.withColumn("v", F.explode(F.array(*map(F.lit, range(5))))).select("sku_id", F.concat(F.lit("v"), v.cast("string")).alias("variant_id"), ((k * 7 + v * 13) % 40).cast("int").alias("score"), ((k + v) % 3 == 0).alias("in_stock"))
+    return W.best_variant(scored, ["sku_id"])
+
+
 @query("""
 SELECT sku_id, variant_id, CAST(greatest(0, least(100, CASE WHEN z = p_size % 8 THEN 60 ELSE -30 END + CASE WHEN z = p_size % 8 THEN 20 ELSE CASE WHEN contains(regexp_replace(lower(short_title), '[- ]', '', 'g'), concat('a', z)) THEN 20 ELSE 0 END END)) AS INT) AS score
 FROM (SELECT *, (p_size + k) % 8 AS z, concat(p_partkey, '-', k) AS variant_id FROM sku, (SELECT unnest([0, 1, 3]) AS k))
@@ -320,6 +409,42 @@ def ex13_resolve_variant(m):
     return V.resolve_variant(matches, X.woo_variations(woo_pages(m)), m.sku, "variation").select(*PAIR, "variant_id")
 
 
+@query(f"""
+, child AS (SELECT *, concat(replace(cat_l4, '#', '-'), '/', p_partkey // {FAMILY}) AS page, CAST(p_partkey AS VARCHAR) AS variant_id, p_partkey % 3 <> 0 AS in_stock, p_size % 8 AS z FROM sku),
+wanted AS (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN (p_size + 1) % 8 END AS named FROM child),
+scored AS (
+  SELECT w.sku_id, w.p_partkey, c.variant_id, c.in_stock, CASE WHEN c.z = w.named THEN 1000 WHEN c.z = w.z THEN 50 ELSE 0 END AS score
+  FROM wanted w JOIN child c ON c.page = w.page)
+SELECT sku_id, p_partkey % 97 AS competitor_id, variant_id FROM scored
+QUALIFY row_number() OVER (PARTITION BY sku_id ORDER BY score DESC, in_stock DESC, variant_id) = 1 AND score >= 50
+""")
+def ex13_by_attributes(m):
+    """Half of the URLs name a size by its attribute, if not their own; where the page has no such child, and for the other
+    half, scores decide."""
+    k = F.col("p_partkey")
+    url = F.concat(_page_url("/"), F.when(k % 2 == 0, F.concat(F.lit("?super_attribute[9]="), ((F.col("p_size") + 1) % 8).cast("string"))).otherwise(""))
+    matches = m.part.select("sku_id", (k % 97).alias("competitor_id"), url.alias("competitor_url"))
+    return V.resolve_variant(matches, X.configurable_variants(configured_pages(m)), m.sku, "configurable").select(*PAIR, "variant_id")
+
+
+@query(f"""
+, child AS (SELECT sku_id, p_partkey, p_partkey // {FAMILY} AS page, CAST(p_partkey AS VARCHAR) AS variant_id, p_partkey % 3 <> 0 AS in_stock, concat('t', p_partkey) AS text FROM sku),
+wanted AS (SELECT *, lower(split_part(upper(sku_id), '-', -1)) AS suffix, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey + 1 AS VARCHAR) END AS named FROM child),
+pairs AS (
+  SELECT w.sku_id, w.p_partkey, c.variant_id, c.in_stock, c.variant_id = w.named AS by_url, CAST(greatest(0, least(100,
+         CASE WHEN regexp_matches(suffix, '^[0-9]+$') THEN CASE WHEN contains(c.text, suffix) THEN 70 ELSE -20 END ELSE CASE WHEN contains(c.text, suffix) THEN 50 ELSE 0 END END + CASE WHEN c.in_stock THEN 5 ELSE 0 END)) AS INT) AS points
+  FROM wanted w JOIN child c ON c.page = w.page),
+found AS (SELECT sku_id FROM pairs WHERE by_url),
+scored AS (SELECT sku_id, p_partkey, variant_id, in_stock, points AS score FROM pairs WHERE sku_id NOT IN (SELECT sku_id FROM found) UNION ALL SELECT sku_id, p_partkey, variant_id, true, 1000 FROM pairs WHERE by_url)
+""" + _BEST.format("sku_id, p_partkey % 97 AS competitor_id, variant_id"))
+def ex13_by_variant_id(m):
+    """A third of the URLs name the next variant by its id (the last of a family names one that its page lacks)."""
+    k = F.col("p_partkey")
+    url = F.concat(F.lit("https://store.example/p/"), F.floor(k / FAMILY).cast("string"), F.when(k % 3 == 0, F.concat(F.lit("?variant="), (k + 1).cast("string"))).otherwise(""))
+    matches = m.part.select("sku_id", (k % 97).alias("competitor_id"), url.alias("competitor_url"))
+    return V.resolve_variant(matches, X.shopify_variants(store_pages(m)), m.sku, "storefront").select(*PAIR, "variant_id")
+
+
 # ── merges ──
 
 @query("""
