@@ -1,11 +1,15 @@
-"""Fetched pages to facts: prices, profiles, variants, links. html is read once and dropped before any shuffle."""
+"""Fetched pages to facts: prices, profiles, variants, links. html is read once and dropped before any shuffle.
+
+JSON of unknown shape is parsed once a script or document into a VARIANT, and paths are read from that; JSON of a known
+shape is parsed once by its schema. What does not parse gives nothing.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.functions.scalars import coalesce_falsy, rounded, upper_median
+from shelfwise.functions.scalars import coalesce_falsy, once, rounded, upper_median
 from shelfwise.functions.text import detect_oos, detect_vat, fuzzy_confidence, is_category_url, parent_url, parse_price
 
 LD_SCRIPT = r"(?is)<script[^>]*application/ld.json[^>]*>(.*?)</script>"
@@ -18,9 +22,14 @@ def _text(json: Column, path: str) -> Column:
     return F.get_json_object(json, path)
 
 
-def _list(json: Column) -> Column:
-    """A JSON array as an array of JSON texts; null unless it is one."""
-    return F.when(F.trim(json).startswith("["), F.from_json(json, "array<string>"))
+def _at(v: Column, path: str, kind: str = "string") -> Column:
+    """What stands at a path of a VARIANT; null if nothing does, or nothing of the kind."""
+    return F.try_variant_get(v, path, kind)
+
+
+def _each(v: Column, path: str = "$") -> Column:
+    """The elements of an array at a path; null unless there is one."""
+    return _at(v, path, "array<variant>")
 
 
 def _first(pattern: str, text: Column, group: int = 1) -> Column:
@@ -28,19 +37,20 @@ def _first(pattern: str, text: Column, group: int = 1) -> Column:
 
 
 def jsonld_items(html: Column) -> Column:
-    """All JSON-LD objects of a page: lists and @graph opened, broken scripts left out."""
+    """All JSON-LD objects of a page as VARIANTs: lists and @graph opened, broken scripts left out."""
     scripts = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(LD_SCRIPT), 1)
-    items = F.flatten(F.transform(scripts, lambda s: F.coalesce(_list(s), F.array(s))))
-    return F.filter(F.flatten(F.transform(items, lambda i: F.coalesce(_list(_text(i, "$['@graph']")), F.array(i)))), lambda i: _text(i, "$['@type']").isNotNull())
+    parsed = F.transform(scripts, lambda s: F.try_parse_json(s))
+    items = F.flatten(F.transform(parsed, lambda p: F.coalesce(_each(p), F.array(p))))
+    opened = F.flatten(F.transform(items, lambda i: F.coalesce(_each(i, '$["@graph"]'), F.array(i))))
+    return F.filter(opened, lambda i: _at(i, '$["@type"]').isNotNull())
 
 
 def _offer_price(item: Column) -> Column:
-    offers = _text(item, "$.offers")
-    offer = F.coalesce(F.get(_list(offers), 0), offers)
+    offer = F.coalesce(_at(item, "$.offers[0]", "variant"), _at(item, "$.offers", "variant"))
     number = lambda c: F.replace(c, F.lit(","), F.lit("")).try_cast("double")
-    of_product = coalesce_falsy(number(_text(offer, "$.price")), number(_text(offer, "$.lowPrice")))
-    kind = _text(item, "$['@type']")
-    return F.when(kind == "Product", of_product).when(kind == "Offer", coalesce_falsy(number(_text(item, "$.price"))))
+    of_product = coalesce_falsy(number(_at(offer, "$.price")), number(_at(offer, "$.lowPrice")))
+    kind = _at(item, '$["@type"]')
+    return F.when(kind == "Product", of_product).when(kind == "Offer", coalesce_falsy(number(_at(item, "$.price"))))
 
 
 def jsonld_price(items: Column) -> Column:
@@ -50,7 +60,7 @@ def jsonld_price(items: Column) -> Column:
 def jsonld_offers(pages: DataFrame) -> DataFrame:
     """One row a priced JSON-LD object: competitor_id, url, item_no, kind, price."""
     at = pages.select("competitor_id", "url", F.posexplode(jsonld_items(F.col("html"))).alias("item_no", "item"))
-    return at.select("competitor_id", "url", "item_no", _text(F.col("item"), "$['@type']").alias("kind"), _offer_price(F.col("item")).alias("price")).where("price is not null")
+    return at.select("competitor_id", "url", "item_no", _at(F.col("item"), '$["@type"]').alias("kind"), _offer_price(F.col("item")).alias("price")).where("price is not null")
 
 
 def _meta_price(html: Column) -> Column:
@@ -94,9 +104,10 @@ def page_facts(pages: DataFrame) -> DataFrame:
 def product_profiles(pages: DataFrame) -> DataFrame:
     """competitor_id, url, title, description, price, sku_codes (at most five), profile."""
     html = F.coalesce("html", F.lit(""))
-    df = pages.select("competitor_id", "url", html.alias("html"), jsonld_items(html).alias("items"))
-    products = F.filter("items", lambda i: _text(i, "$['@type']") == "Product")
-    pick = lambda path: F.get(F.filter(F.transform(products, lambda i: _text(i, path)), lambda t: F.coalesce(t, F.lit("")) != ""), 0)
+    found = F.filter(jsonld_items(html), lambda i: _at(i, '$["@type"]') == "Product")
+    df = once(pages.select("competitor_id", "url", html.alias("html")), items=found)
+    products = F.col("items")
+    pick = lambda path: F.get(F.filter(F.transform(products, lambda i: _at(i, path)), lambda t: F.coalesce(t, F.lit("")) != ""), 0)
     raw = F.col("html")
     plain = F.trim(F.regexp_replace(page_title(raw), r"\s*[\|\-–]\s*.{3,60}$", ""))
     meta = F.coalesce(
@@ -202,20 +213,21 @@ def woo_variations(pages: DataFrame) -> DataFrame:
 
 def shopify_variants(pages: DataFrame) -> DataFrame:
     """pages (url, json): a product's JSON, wrapped, bare or as storefront page data, to VARIANT_COLUMNS."""
-    j = F.col("json")
-    store = F.coalesce(_text(j, "$.result.data.shopifyProduct"), _text(j, "$.result.pageContext.product"))
-    product = F.coalesce(store, _text(j, "$.product"), j)
-    df = pages.select(parent_url(F.col("url")).alias("parent_url"), store.isNotNull().alias("is_store"), F.explode(_list(_text(product, "$.variants"))).alias("v"))
+    j = F.col("j")
+    parsed = once(pages.select(parent_url(F.col("url")).alias("parent_url"), "json"), j=F.try_parse_json("json"))
+    store = F.coalesce(_at(j, "$.result.data.shopifyProduct", "variant"), _at(j, "$.result.pageContext.product", "variant"))
+    variants = F.coalesce(_each(store, "$.variants"), F.when(store.isNull(), F.coalesce(_each(j, "$.product.variants"), _each(j, "$.variants"))))
+    df = parsed.select("parent_url", store.isNotNull().alias("is_store"), F.explode(variants).alias("v"))
     v = F.col("v")
-    gid = F.coalesce(_text(v, "$.storefrontId"), _text(v, "$.shopifyId"), _text(v, "$.id"))
-    number = lambda path: coalesce_falsy(_text(v, path).try_cast("double"))
+    gid = F.coalesce(_at(v, "$.storefrontId"), _at(v, "$.shopifyId"), _at(v, "$.id"))
+    number = lambda path: coalesce_falsy(_at(v, path).try_cast("double"))
     price = F.when(F.col("is_store"), F.coalesce(number("$.priceV2.amount"), number("$.price"))).otherwise(F.coalesce(number("$.price"), number("$.compare_at_price")))
-    chosen = F.array_join(F.transform(_list(_text(v, "$.selectedOptions")), lambda o: F.coalesce(_text(o, "$.value"), F.lit(""))), " / ")
-    title = F.coalesce(F.nullif(chosen, F.lit("")), _text(v, "$.title"), F.lit(""))
-    stock = F.coalesce(_text(v, "$.availableForSale"), _text(v, "$.available"), F.lit("true")) == "true"
+    chosen = F.array_join(F.transform(_each(v, "$.selectedOptions"), lambda o: F.coalesce(_at(o, "$.value"), F.lit(""))), " / ")
+    title = F.coalesce(F.nullif(chosen, F.lit("")), _at(v, "$.title"), F.lit(""))
+    stock = F.coalesce(_at(v, "$.availableForSale"), _at(v, "$.available"), F.lit("true")) == "true"
     variant_id = F.element_at(F.split(gid, "/"), -1)
     return df.select(
-        "parent_url", variant_id.alias("variant_id"), F.create_map(F.lit("title"), title).alias("labels"), title.alias("variant_title"), F.coalesce(_text(v, "$.sku"), F.lit("")).alias("variant_sku"),
+        "parent_url", variant_id.alias("variant_id"), F.create_map(F.lit("title"), title).alias("labels"), title.alias("variant_title"), F.coalesce(_at(v, "$.sku"), F.lit("")).alias("variant_sku"),
         F.coalesce(price, F.lit(0.0)).alias("price_ex_vat"), F.lit(None).cast("double").alias("price_inc_vat"), stock.alias("in_stock"),
         F.array().cast(_NO_TIERS).alias("tier_prices"), F.lit(None).cast("string").alias("lead_time"), F.create_map().cast("map<string,string>").alias("options"),
     ).where("coalesce(variant_id, '') <> ''")

@@ -66,9 +66,12 @@ def enrich_snapshots(observations: DataFrame, skus: DataFrame, competitors: Data
 
 
 def latest_per_pair(snapshots: DataFrame, keys: list[str] = PAIR, ts: str = "scraped_at", tie: tuple[str, ...] = ("run_id", "seq")) -> DataFrame:
-    """The newest row of each key. An aggregate rather than a window: each task keeps one row a key before the shuffle."""
-    newest = F.max_by(F.struct(*snapshots.columns), F.struct(ts, *tie))
-    return snapshots.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(newest.alias("r")).select("r.*")
+    """The newest row of each key. An aggregate rather than a window: each task keeps one row a key before the shuffle. Keys
+    come from the grouping, so a join by them needs no other shuffle."""
+    rest = [c for c in snapshots.columns if c not in keys]
+    newest = F.max_by(F.struct(*rest), F.struct(ts, *tie))
+    found = snapshots.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(newest.alias("r"))
+    return found.select(*(F.col(f"_{c}").alias(c) if c in keys else F.col(f"r.{c}").alias(c) for c in snapshots.columns))
 
 
 def latest_enriched(observations: DataFrame, skus: DataFrame, competitors: DataFrame, rule: str = "current") -> DataFrame:

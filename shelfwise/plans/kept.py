@@ -5,6 +5,8 @@ Feeds, sitemaps and pages are written from the given tables into the shared fold
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ from shelfwise.operators import ranks as R
 from shelfwise.operators.snapshots import PAIR, latest_per_pair, price_alerts
 from shelfwise.plans.catalogue import ALERTS, DIFF, enriched, latest, query, whole
 from shelfwise.sources import io
-from shelfwise.sources.staging import new_path, staged
+from shelfwise.sources.buckets import write_bucketed
+from shelfwise.sources.staging import new_path, shared_dir, staged
 from shelfwise.sources.store import Store
 from shelfwise.streaming import changes as H
 from shelfwise.streaming import counters as C
@@ -190,6 +193,30 @@ def agg_counters_kept(m):
     return C.read_counters(m.spark, root)
 
 
+@query("""
+SELECT m.sku_id, m.competitor_id, s.short_title, c.name AS competitor_name, m.match_status, l.raw_price AS last_price, l.run_id AS last_run
+FROM match m JOIN sku s USING (sku_id) JOIN competitor c USING (competitor_id)
+LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY sku_id, competitor_id ORDER BY scraped_at DESC, run_id DESC, seq DESC) AS rn FROM observation) l
+  ON l.rn = 1 AND l.sku_id = m.sku_id AND l.competitor_id = m.competitor_id
+""")
+def jn2_by_buckets(m):
+    """History, in two appends, and matches lie in the same buckets."""
+    id = uuid.uuid4().hex
+    history, matches = (f"{name}_{id}" for name in ("history", "matches"))
+    rows = m.observation.select("run_id", "seq", *PAIR, "scraped_at", "raw_price")
+    try:
+        for half, mode in (("run_id % 2 = 0", "errorifexists"), ("run_id % 2 = 1", "append")):
+            write_bucketed(rows.where(half), history, f"{shared_dir(m.spark)}/{history}", 8, mode=mode)
+        write_bucketed(m.match, matches, f"{shared_dir(m.spark)}/{matches}", 8)
+        newest = latest_per_pair(m.spark.table(history)).select(*PAIR, F.col("raw_price").alias("last_price"), F.col("run_id").alias("last_run"))
+        queue = m.spark.table(matches).join(newest, PAIR, "left")
+        queue = queue.join(m.sku.select("sku_id", "short_title"), "sku_id").join(m.competitor.select("competitor_id", F.col("name").alias("competitor_name")), "competitor_id")
+        return staged(queue.select(*PAIR, "short_title", "competitor_name", "match_status", "last_price", "last_run"), "queue")
+    finally:
+        for name in (history, matches):
+            m.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 @query("""
 SELECT sku_id, competitor_id, diff_pct_normalised, row_number() OVER (ORDER BY diff_pct_normalised NULLS LAST, sku_id, competitor_id) AS rank FROM latest WHERE raw_price IS NOT NULL
 """)

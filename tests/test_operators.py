@@ -17,6 +17,7 @@ from shelfwise.operators.snapshots import enrich_snapshots, latest_enriched, lat
 from shelfwise.plans import catalogue
 from shelfwise.plans.catalogue import titled
 from shelfwise.sources import io
+from shelfwise.sources.buckets import known, write_bucketed
 from shelfwise.sources.mapped import Mapped
 from shelfwise.streaming import streams
 
@@ -273,6 +274,38 @@ def test_plans_read_no_more_than_they_need(spark):
     assert r.competitor_price == 6.0
 
 
+def test_pairs_in_buckets_are_not_shuffled(spark, tmp_path):
+    m = Mapped(spark, SF)
+    spark.sql("DROP TABLE IF EXISTS hist_b"), spark.sql("DROP TABLE IF EXISTS match_b")
+    rows = m.observation.select("run_id", "seq", "sku_id", "competitor_id", "scraped_at", "raw_price")
+    for half, mode in (("run_id % 2 = 0", "overwrite"), ("run_id % 2 = 1", "append")):
+        write_bucketed(rows.where(half), "hist_b", str(tmp_path / "h"), 4, mode=mode)
+    matches = write_bucketed(m.match, "match_b", str(tmp_path / "m"), 4)
+    history = known(spark, "hist_again", str(tmp_path / "h"), ", ".join(f"{n} {t}" for n, t in rows.dtypes), 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        newest = latest_per_pair(history).select("sku_id", "competitor_id", F.col("raw_price").alias("last"))
+        joined = matches.join(newest, ["sku_id", "competitor_id"], "left")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+        want = m.match.join(latest_per_pair(rows).select("sku_id", "competitor_id", F.col("raw_price").alias("last")), ["sku_id", "competitor_id"], "left")
+        assert Counter(map(tuple, joined.collect())) == Counter(map(tuple, want.select(*joined.columns).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for t in ("hist_b", "match_b", "hist_again"):
+            spark.sql(f"DROP TABLE IF EXISTS {t}")
+
+
+def test_json_is_parsed_once_a_script(spark):
+    pages = spark.createDataFrame([], "competitor_id int, url string, html string")
+    for f in (X.page_prices, X.product_profiles, X.jsonld_offers):
+        assert f(pages)._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") + f(pages)._jdf.queryExecution().optimizedPlan().toString().lower().count("parse_json") == 1
+    html = '<script type="application/ld+json">[{"@graph":[{"@type":"Product","name":"A","offers":[{"lowPrice":"1,250.00"}]},{"@type":"Offer","price":7}]}]</script><script type="application/ld+json">{broken</script>'
+    (r,) = X.product_profiles(spark.createDataFrame([(1, "u", html)], pages.schema)).collect()
+    assert (r.title, r.price) == ("A", 1250.0)
+    assert [(r.kind, r.price) for r in X.jsonld_offers(spark.createDataFrame([(1, "u", html)], pages.schema)).collect()] == [("Product", 1250.0), ("Offer", 7.0)]
+
+
 def test_keyset_pages_follow_each_other(spark):
     df = spark.range(10).withColumnRenamed("id", "k")
     first = W.page_of(df, 1, [F.asc("k")], 4)
