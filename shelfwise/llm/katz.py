@@ -44,6 +44,8 @@ from shelfwise.llm.common import hashes, lower_words, partitions_for, read, scra
 ORDER = 3
 K = 5
 GROUP_BYTES = 5 << 20
+#: Bytes of text whose states one bucket of the table of states holds about.
+STATE_BYTES = 256 << 20
 #: Parts of the hash range that go through one after the other, so that less lies on disk at a time.
 PASSES = 2
 END = np.uint64(0x5B1D9F3A7C6E2481)
@@ -363,11 +365,19 @@ def scored(docs: DataFrame, order: int = ORDER, tables: str | None = None) -> Da
     spark = docs.sparkSession
     size = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = 1 << (size // GROUP_BYTES).bit_length()
-    # Bucketed by group, so that states stay where they are and only answers move to them
+    # Bucketed by group, so that states stay where they are and only answers move to them; moved to its bucket before the
+    # write, a group is in one file of as many as there are buckets
     name = f"states_{uuid.uuid4().hex}"
-    slim.mapInArrow(_deal(GROUP_BYTES), _STATE).write.bucketBy(partitions_for(spark), "g").option("path", scratch(spark, name)).option("compression", "zstd").saveAsTable(name)
-    state = spark.table(name)
+    n = partitions_for(spark, size // STATE_BYTES)
+    dealt = slim.mapInArrow(_deal(GROUP_BYTES), _STATE).repartition(n, "g")
+    dealt.write.bucketBy(n, "g").option("path", scratch(spark, name)).option("compression", "zstd").saveAsTable(name)
+    try:
+        return _scored(spark.table(name), buckets, order, tables)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
 
+
+def _scored(state: DataFrame, buckets: int, order: int, tables: str | None) -> DataFrame:
     def in_turns(step):
         """The staged results of all turns."""
         parts = [step(turn) for turn in range(min(PASSES, buckets))]
@@ -402,9 +412,7 @@ def scored(docs: DataFrame, order: int = ORDER, tables: str | None = None) -> Da
     scores = by_g.cogroup(both.groupBy("g")).applyInArrow(
         _score(totals, unknown), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
-    scores = staged(scores, "op7-scores")
-    spark.sql(f"DROP TABLE {name}")
-    return scores
+    return staged(scores, "op7-scores")
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,8 @@ from shelfwise.llm.common import partitions_for, read, scratch, settle, staged,
 UNIT, TAIL = 64, 64
 BITS, SHORTEST, LONGEST = 12, 512, 16_384
 LEVEL = 9
+#: Payloads that one copy of a chunk serves, and bytes of payload that a task gets about.
+HOT, PER_TASK = 20_000, 256 << 20
 _GEAR = (stir(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -140,20 +142,19 @@ def _rebuild(batches):
         yield pack([whole()])
 
 
-def store_chunks(docs: DataFrame) -> tuple[DataFrame, str]:
+def store_chunks(docs: DataFrame, buckets: int) -> tuple[DataFrame, str]:
     """Writes the table of distinct chunks (digest, data), bucketed by digest; the table and its name in the catalogue,
     which it keeps until it is dropped (its files stay in the shared folder)."""
     spark = docs.sparkSession
     name = f"chunks_{uuid.uuid4().hex}"
-    n = partitions_for(spark)
     once = docs.select("text").mapInArrow(_store, "digest binary, data binary").groupBy("digest").agg(F.first("data").alias("data"))
-    once.write.bucketBy(n, "digest").sortBy("digest").option("path", scratch(spark, name)).option("compression", "uncompressed").saveAsTable(name)
+    once.write.bucketBy(buckets, "digest").sortBy("digest").option("path", scratch(spark, name)).option("compression", "uncompressed").saveAsTable(name)
     return spark.table(name), name
 
 
-def read_media(lists: DataFrame, chunks: DataFrame) -> DataFrame:
-    """payload, payload_bytes, tail_crc32, media_bytes, media_sha256, feature; one row a distinct payload."""
-    n = partitions_for(lists.sparkSession)
+def read_media(lists: DataFrame, chunks: DataFrame, buckets: int, hot: int = HOT) -> DataFrame:
+    """payload, payload_bytes, tail_crc32, media_bytes, media_sha256, feature; one row a distinct payload. A chunk that more
+    than ``hot`` payloads name is copied, once for each so many, and the copies are dealt out among them."""
     distinct = lists.groupBy("payload").agg(F.first("digests").alias("digests"), F.first("sizes").alias("sizes"))
     entries = distinct.select("payload", F.size("sizes").alias("parts"), F.posexplode(F.arrays_zip("digests", "sizes")).alias("no", "entry")).select(
         "payload", "parts", "no", F.col("entry.digests").alias("digest"), F.col("entry.sizes").alias("size")
@@ -161,19 +162,29 @@ def read_media(lists: DataFrame, chunks: DataFrame) -> DataFrame:
     schema = "payload binary, payload_bytes long, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     # A chunk that is missing must fail, not vanish: left joins. A payload of one chunk is whole where it is joined; only
     # those of several move once more, to bring their chunks together
-    alone = entries.where("parts = 1").join(chunks, "digest", "left")
-    several = entries.where("parts > 1").join(chunks, "digest", "left").repartition(n, "payload").sortWithinPartitions("payload", "no")
-    columns = ["payload", "size", "digest", "data"]
-    return alone.select(*columns).mapInArrow(_rebuild, schema).unionByName(several.select(*columns).mapInArrow(_rebuild, schema))
+    columns = ["payload", "no", "size", "digest", "data"]
+    alone, several = entries.where("parts = 1"), entries.where("parts > 1")
+    often = several.groupBy(F.col("digest").alias("often")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot)
+    often = staged(often.select("often", F.ceil(F.col("n") / hot).cast("int").alias("copies")), "op2-often")
+    known = F.col("digest") == F.col("often")
+    asked = several.join(often, known).withColumn("copy", F.pmod(F.xxhash64("payload", "no"), F.col("copies")).cast("int")).drop("often", "copies")
+    copied = chunks.join(often, known).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("often", "copies")
+    joined = several.join(often, known, "left_anti").join(chunks, "digest", "left").select(*columns).unionByName(asked.join(copied, ["digest", "copy"], "left").select(*columns))
+    joined = joined.repartition(buckets, "payload").sortWithinPartitions("payload", "no")
+    columns.remove("no")
+    return alone.join(chunks, "digest", "left").select(*columns).mapInArrow(_rebuild, schema).unionByName(joined.select(*columns).mapInArrow(_rebuild, schema))
 
 
 def op2_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     settle(spark)
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lists = staged(docs.mapInArrow(_list, "doc_id long, n_bytes long, payload binary, digests array<binary>, sizes array<int>"), "op2-lists")
-    chunks, name = store_chunks(docs)
-    media = staged(read_media(lists.select("payload", "digests", "sizes"), chunks), "op2-media")
-    spark.sql(f"DROP TABLE {name}")
+    n = partitions_for(spark, (lists.agg(F.sum("n_bytes")).first()[0] or 0) // PER_TASK)
+    chunks, name = store_chunks(docs, n)
+    try:
+        media = staged(read_media(lists.select("payload", "digests", "sizes"), chunks, n), "op2-media")
+    finally:
+        spark.sql(f"DROP TABLE {name}")
     return (
         lists.select("doc_id", "n_bytes", F.col("payload").alias("of"))
         .join(media, F.col("of") == F.col("payload"))

@@ -126,6 +126,8 @@ def _slots(ids: np.ndarray) -> np.ndarray:
 def encode(ids: np.ndarray) -> bytes:
     """A run of ids below 65,536 as a segment: header, block table, words of all blocks."""
     total = len(ids)
+    if total and int(ids.max()) > 0xFFFF:
+        raise ValueError("an id is written in 16 bits; this vocabulary has larger ones")
     n = -(-total // BLOCK)
     if not n:
         return struct.pack("<4sIQ", b"CMR1", 0, 0)

@@ -107,3 +107,27 @@ def test_media(spark, tmp_path, some):
     assert sorted(((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.feature) for r in got), key=key) == sorted(want, key=key)
     for _, same in groupby(sorted(got, key=lambda r: r.payload_sha256), key=lambda r: r.payload_sha256):
         assert len({(r.media_bytes, r.media_sha256) for r in same}) == 1
+
+
+def test_larger_ids_are_refused():
+    with pytest.raises(ValueError, match="16 bits"):
+        R.encode(np.array([5, 70_000], np.uint32))
+
+
+def test_chunks_that_many_payloads_name(spark):
+    """A long opening that all texts share is copied, and every payload is still whole; nothing stays in the catalogue."""
+    opening = " ".join(f"w{i % 501} {i}" for i in range(3000))
+    docs = table(spark, [(i, f"{opening} and the end of number {i} " + "x" * i) for i in range(40)] + rows())
+    slim = docs.select("doc_id", "text")
+    lists = slim.mapInArrow(C._list, "doc_id long, n_bytes long, payload binary, digests array<binary>, sizes array<int>")
+    before = {t.name for t in spark.catalog.listTables()}
+    chunks, name = C.store_chunks(slim, 4)
+    got = {r.payload: tuple(r) for hot in (3, 10**6) for r in C.read_media(lists, chunks, 4, hot).collect()}
+    assert {hashlib.sha256(C.payload_of(r.text)).digest() for r in docs.collect()} == {bytes(k) for k in got}
+    a, b = (sorted(tuple(r) for r in C.read_media(lists, chunks, 4, hot).collect()) for hot in (3, 10**6))
+    assert a == b
+    damaged = chunks.where("digest <> (select max(digest) from " + name + ")")
+    with pytest.raises(Exception, match="(?s)NoneType|differs|decompress"):
+        C.read_media(lists, damaged, 4, 3).collect()
+    spark.sql(f"DROP TABLE {name}")
+    assert {t.name for t in spark.catalog.listTables()} == before
