@@ -4,12 +4,15 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.operators.ranks import Ranked, ranked_within
 from shelfwise.operators.snapshots import price_changes
 from shelfwise.sources import io
+from shelfwise.streaming import intake
 from shelfwise.streaming.changes import _events, _pruned, net_changes, stream_price_changes
 
 SNAP = "sku_id string, competitor_id long, scraped_at timestamp, run_id long, seq int, competitor_price double"
@@ -85,3 +88,33 @@ def test_sitemaps_of_any_depth(spark):
     maps = spark.createDataFrame(deep, "competitor_id int, sitemap_url string, xml string, is_root boolean")
     assert sorted(map(tuple, io.sitemap_urls(maps).collect())) == [(1, "u1", 1), (1, "u2", 2)]
     assert [r.url for r in io.sitemap_urls(maps, cap=1).collect()] == ["u1"]
+
+
+def test_no_repeat_is_stored_however_late(spark, tmp_path):
+    root, told = str(tmp_path / "in"), []
+    batch = intake.intake_batches(spark, root, told=told)
+    rows = _history(spark, 3000).dropDuplicates(list(intake.KEYS)).cache()
+    parts = rows.randomSplit([1.0] * 4, 5)
+    for i, part in enumerate(parts):
+        again = [p.limit(40) for p in parts[:i]]  # months later, and twice in a batch
+        df = part
+        for p in again:
+            df = df.unionByName(p).unionByName(p)
+        batch(df, i)
+        if i == 1:
+            batch(df, i)  # the batch again
+            intake.compact(spark, root)
+    got = intake.read_history(spark, root)
+    assert Counter(map(tuple, got.select(*rows.columns).collect())) == Counter(map(tuple, rows.collect()))
+    assert sum(t["repeats"] for t in told) > 100 and all(t["repeats"] <= t["seeming"] for t in told)
+    assert sum(t["seeming"] - t["repeats"] for t in told) <= 0.02 * sum(t["rows"] for t in told)
+
+
+def test_filters_know_what_they_were_told():
+    keys = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 60_000)
+    table = lambda k: pa.table({"day_": pa.array([None] * len(k), pa.date32()), "part_": pa.array([0] * len(k), pa.int32()), "key_": pa.array(k)})
+    built = [intake._build(table(keys[a : a + 10_000])) for a in (0, 10_000, 20_000)]
+    both = intake._merge(pa.concat_tables(built))
+    assert intake._ask(table(keys[:30_000]), both).column("seems_").to_numpy().all()
+    false = intake._ask(table(keys[30_000:]), both).column("seems_").to_numpy().mean()
+    assert 0 < false < 0.02
