@@ -365,11 +365,10 @@ def scored(docs: DataFrame, order: int = ORDER, tables: str | None = None) -> Da
     spark = docs.sparkSession
     size = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = 1 << (size // GROUP_BYTES).bit_length()
-    # Bucketed by group, so that states stay where they are and only answers move to them; moved to its bucket before the
-    # write, a group is in one file of as many as there are buckets
+    # Bucketed by group, so that states stay where they are and only answers move to them
     name = f"states_{uuid.uuid4().hex}"
     n = partitions_for(spark, size // STATE_BYTES)
-    dealt = slim.mapInArrow(_deal(GROUP_BYTES), _STATE).repartition(n, "g")
+    dealt = slim.mapInArrow(_deal(GROUP_BYTES), _STATE)
     dealt.write.bucketBy(n, "g").option("path", scratch(spark, name)).option("compression", "zstd").saveAsTable(name)
     try:
         return _scored(spark.table(name), buckets, order, tables)
