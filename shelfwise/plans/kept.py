@@ -17,6 +17,7 @@ from shelfwise.operators.snapshots import PAIR, latest_per_pair, price_alerts
 from shelfwise.plans.catalogue import ALERTS, DIFF, enriched, latest, query, whole
 from shelfwise.sources import io
 from shelfwise.sources.buckets import write_bucketed
+from shelfwise.sources.history import History
 from shelfwise.sources.staging import new_path, shared_dir, staged
 from shelfwise.sources.store import Store
 from shelfwise.streaming import changes as H
@@ -123,6 +124,33 @@ def src5_appended_snapshots(m):
     return m.spark.read.parquet(path).select("run_id", "seq", *PAIR, "snapshot_date", "raw_price")
 
 
+def clustered(m) -> History:
+    """The observations in eight appends by their run, and then in one part along the curve."""
+    history = History(m.spark, new_path(m.spark, "clustered"), per_file=500_000)
+    history.create(m.observation.schema)
+    rows = staged(m.observation.withColumn("turn", F.pmod(F.xxhash64("run_id"), F.lit(8))), "turns")
+    for turn in range(8):
+        history.append(rows.where(F.col("turn") == turn).drop("turn"))
+    history.compact(fan=8)
+    return history
+
+
+@query("SELECT run_id, seq, sku_id, competitor_id, scraped_at, raw_price, availability FROM observation")
+def src5_clustered_history(m):
+    return clustered(m).read().select("run_id", "seq", *PAIR, "scraped_at", "raw_price", "availability")
+
+
+@query("""
+SELECT run_id, seq, sku_id, competitor_id, scraped_at, raw_price FROM observation
+WHERE sku_id = (SELECT sku_id FROM observation GROUP BY sku_id ORDER BY count(*) DESC, sku_id LIMIT 1)
+""")
+def src5_busiest_sku(m):
+    """The history of the SKU that was looked at most, from the files that its statistics name."""
+    history = clustered(m)
+    busiest = history.read().groupBy("sku_id").count().orderBy(F.desc("count"), F.asc("sku_id")).first()
+    return history.of(busiest.sku_id if busiest else "").select("run_id", "seq", *PAIR, "scraped_at", "raw_price")
+
+
 @query(ALERTS + """
 SELECT run_id * 10 + seq AS id, alert_type, sku_id, short_title, competitor_name, nullif(our_price, 0) AS our_price, nullif(raw_price, 0) AS their_price, nullif(d, 0) AS diff_pct
 FROM alert WHERE alert_type = 'critical'

@@ -48,7 +48,7 @@ class Store:
     def _name(self, number: int) -> str:
         return f"{number:012d}.json"
 
-    def _publish(self, number: int, text: str) -> bool:
+    def publish(self, number: int, text: str) -> bool:
         """Creates the file of a version with all its text at once; False if it is there already."""
         draft, target = self._path("versions", f".draft-{uuid.uuid4().hex}"), self._path("versions", self._name(number))
         out = self.fs.create(draft, False)
@@ -90,13 +90,26 @@ class Store:
         finally:
             stream.close()
 
+    def folders(self, name: str) -> list[tuple[str, float]]:
+        """The folders in a folder of the store, and when they were changed, in seconds."""
+        where = self._path(name)
+        found = self.fs.listStatus(where) if self.fs.exists(where) else []
+        return [(f.getPath().getName(), f.getModificationTime() / 1000) for f in found]
+
+    def remove(self, *parts: str) -> bool:
+        return self.fs.delete(self._path(*parts), True)
+
+    def drop(self, number: int) -> bool:
+        """Takes a version away, not what it names."""
+        return self.remove("versions", self._name(number))
+
     def create(self, marks: dict | None = None, **tables: tuple[DataFrame, list[str], int]) -> int:
         """The first version: each table as (rows, keys, number of buckets)."""
         if self.numbers():
             raise ValueError(f"{self.root} holds a store already")
         found = {name: {"keys": keys, "buckets": n, "schema": rows.schema.json(), "state": self._write(rows, keys, n)} for name, (rows, keys, n) in tables.items()}
         text = json.dumps({"number": 0, "tables": found, "touched": {name: list(t["state"]) for name, t in found.items()}, "marks": marks or {}})
-        if not self._publish(0, text):
+        if not self.publish(0, text):
             raise Conflict(f"another writer has created {self.root}")
         return 0
 
@@ -215,7 +228,7 @@ class Change:
                 tables[name] = t | {"state": state}
             number = base["number"] + 1
             touched = {name: sorted(b) for name, b in self.made.items()}
-            if self.store._publish(number, json.dumps({"number": number, "tables": tables, "touched": touched, "marks": base["marks"] | (marks or {})})):
+            if self.store.publish(number, json.dumps({"number": number, "tables": tables, "touched": touched, "marks": base["marks"] | (marks or {})})):
                 return number
             newest = self.store.version()
             for n in range(number, newest["number"] + 1):
