@@ -15,6 +15,7 @@ from shelfwise.operators import merge as G
 from shelfwise.operators import ranks as R
 from shelfwise.operators.snapshots import PAIR, latest_per_pair, price_alerts
 from shelfwise.plans.catalogue import ALERTS, DIFF, enriched, latest, query, whole
+from shelfwise.sources import elements as E
 from shelfwise.sources import io
 from shelfwise.sources.buckets import write_bucketed
 from shelfwise.sources.history import History
@@ -33,14 +34,16 @@ def _xml(c: Column) -> Column:
     return c
 
 
-@query("""
+FEED = """
 SELECT sku_id, short_title, concat('frame-', p_partkey) AS slug, CASE WHEN p_partkey % 8 <> 1 THEN round_even(price_ex_vat * 100, 0) / 100 ELSE 0.0 END AS price_ex_vat,
        TRY_CAST(nullif(regexp_extract(concat('The ', short_title), '(?i)(?:x\\s*|pack\\s+of\\s+)(\\d+)', 1), '') AS INT) AS unit_qty,
        CASE WHEN p_partkey % 5 = 0 THEN 'in stock' ELSE 'out of stock' END AS availability, p_partkey % 8 <> 1 AS usable
 FROM (SELECT *, CASE WHEN p_partkey % 3 = 0 THEN substring(concat('The ', short_title), 1, 80) ELSE short_title END AS shown FROM sku)
-""".replace("SELECT sku_id, short_title,", "SELECT sku_id, shown AS short_title,"))
-def src1_feed(m):
-    """The catalogue as feed files of up to 2,000 items, read back."""
+""".replace("SELECT sku_id, short_title,", "SELECT sku_id, shown AS short_title,")
+
+
+def feed_files(m) -> str:
+    """The catalogue as feed files of up to 2,000 items."""
     k, title = F.col("p_partkey"), F.concat(F.lit("The "), F.col("short_title"))
     tag = lambda name, c: F.concat(F.lit(f"<g:{name}>"), _xml(c), F.lit(f"</g:{name}>"))
     price = F.when(k % 8 != 1, F.concat(F.format_string("%.2f", "price_ex_vat"), F.lit(" GBP"))).otherwise("0.00 GBP")
@@ -53,11 +56,45 @@ def src1_feed(m):
     files = m.part.select(F.floor(k / 2000).alias("file"), item.alias("item")).groupBy("file").agg(F.array_join(F.collect_list("item"), "\n").alias("items"))
     head, foot = F.lit('<rss xmlns:g="http://base.google.com/ns/1.0"><channel>\n'), F.lit("\n</channel></rss>")
     files.select("file", F.concat(head, "items", foot)).write.partitionBy("file").text(path)
-    good, bad = io.split_valid_feed(io.read_feed(m.spark, path))
+    return path
+
+
+def sorted_out(feed: DataFrame) -> DataFrame:
+    good, bad = io.split_valid_feed(feed)
     columns = ["sku_id", "short_title", "slug", "price_ex_vat", F.col("unit_qty").cast("int").alias("unit_qty"), "availability"]
     return good.select(*columns, F.lit(True).alias("usable")).unionByName(bad.select(*columns, F.lit(False).alias("usable")))
 
 
+@query(FEED)
+def src1_feed(m):
+    return sorted_out(io.read_feed(m.spark, feed_files(m)))
+
+
+@query(FEED)
+def src1_feed_elements(m):
+    """The feed files in splits of bytes, many a file, from the data source."""
+    elements = E.registered(m.spark).read.format("elements").option("splitBytes", 100_000).load(feed_files(m))
+    return sorted_out(E.feed_elements(elements))
+
+
+@query(FEED)
+def src1_feed_stream(m):
+    """The feed files as they come, from the same data source as a stream."""
+    stream = E.registered(m.spark).readStream.format("elements").option("splitBytes", 100_000).load(feed_files(m))
+    return sorted_out(told(m, E.feed_elements(stream)))
+
+
+@query("SELECT concat('https://shop.example/p?id=', p_partkey, '&v=1') AS url, p_partkey % 97 AS competitor_id FROM sku")
+def src3_sitemap_elements(m):
+    """A sitemap file a shop, with a prefix, line breaks and escapes; its URLs from the data source."""
+    loc = F.concat(F.lit("\n<sm:url><sm:loc>\n"), _xml(F.concat(F.lit("https://shop.example/p?id="), F.col("p_partkey").cast("string"), F.lit("&v=1"))), F.lit("</sm:loc></sm:url>"))
+    files = m.part.select((F.col("p_partkey") % 97).alias("shop"), loc.alias("loc")).groupBy("shop").agg(F.array_join(F.collect_list("loc"), "").alias("urls"))
+    path = new_path(m.spark, "sitemap-files")
+    files.select("shop", F.concat(F.lit("<sm:urlset>"), "urls", F.lit("</sm:urlset>"))).write.partitionBy("shop").text(path)
+    urls = E.sitemap_elements(E.registered(m.spark).read.format("elements").option("rowTag", "url").load(path))
+    return urls.select("url", F.regexp_extract("file", "shop=([0-9]+)/", 1).cast("long").alias("competitor_id"))
+
+
 #: A shop's URLs lie in sitemaps that its root leads to over so many index files: 0 to 5.
 _DEPTH = "c % 6"
 
@@ -151,20 +188,39 @@ def src5_busiest_sku(m):
     return history.of(busiest.sku_id if busiest else "").select("run_id", "seq", *PAIR, "scraped_at", "raw_price")
 
 
-@query(ALERTS + """
+CRITICAL = """
 SELECT run_id * 10 + seq AS id, alert_type, sku_id, short_title, competitor_name, nullif(our_price, 0) AS our_price, nullif(raw_price, 0) AS their_price, nullif(d, 0) AS diff_pct
 FROM alert WHERE alert_type = 'critical'
-""")
-def src6_alerts_csv(m):
-    """The file's message column carries an id here, to compare row by row."""
-    alerts = price_alerts(enriched(m), keep=("short_title", "competitor_name")).withColumn("message", (F.col("run_id") * 10 + F.col("seq")).cast("string"))
-    path = new_path(m.spark, "alerts")
-    io.export_alerts_csv(alerts, "crit", path)
+"""
+
+
+def numbered_alerts(m) -> DataFrame:
+    """The message column carries an id here, to compare row by row."""
+    return price_alerts(enriched(m), keep=("short_title", "competitor_name")).withColumn("message", (F.col("run_id") * 10 + F.col("seq")).cast("string"))
+
+
+def from_csv(m, path: str) -> DataFrame:
     back = m.spark.read.option("header", True).option("escape", '"').csv(path)
     number = lambda c: F.nullif(F.col(c), F.lit("")).cast("double").alias(c)
     return back.select(F.col("message").cast("long").alias("id"), "alert_type", "sku_id", "short_title", "competitor_name", number("our_price"), number("their_price"), number("diff_pct"))
 
 
+@query(ALERTS + CRITICAL)
+def src6_alerts_csv(m):
+    path = new_path(m.spark, "alerts")
+    io.export_alerts_csv(numbered_alerts(m), "crit", path)
+    return from_csv(m, path)
+
+
+@query(ALERTS + CRITICAL)
+def src6_alerts_whole(m):
+    """The alert file through the sink that shows all of a job or nothing."""
+    path = new_path(m.spark, "alerts-whole")
+    E.registered(m.spark)
+    io.alert_fields(numbered_alerts(m), "crit").write.format("whole_csv").mode("append").save(path)
+    return from_csv(m, f"{path}/job-*")
+
+
 @query("""
 SELECT sku_id, competitor_id, concat('{"page":"', coalesce(competitor_url, 'none'), '","status":"', match_status, '"}') AS labels, confidence AS score FROM match
 """)

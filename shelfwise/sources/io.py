@@ -19,7 +19,11 @@ FEED_TAGS = ["id", "mpn", "title", "short_title", "link", "price", "availability
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
     """Own product feed (XML items) as SKU rows."""
     schema = ", ".join(f"`g:{t}` string" for t in FEED_TAGS)
-    raw = spark.read.format("xml").option("rowTag", "item").schema(schema).load(path)
+    return feed_rows(spark.read.format("xml").option("rowTag", "item").schema(schema).load(path))
+
+
+def feed_rows(raw: DataFrame) -> DataFrame:
+    """Items, a column of text a tag, as SKU rows."""
     g = lambda t: F.trim(F.coalesce(F.col(f"`g:{t}`"), F.lit("")))
     or_null = lambda t: F.nullif(g(t), F.lit(""))
     return raw.select(
@@ -94,13 +98,18 @@ def append_snapshots(snapshots: DataFrame, path: str, per_file: int = 2_000_000,
     dealt.write.mode("append").option("maxRecordsPerFile", per_file).partitionBy(folder).parquet(path)
 
 
-def export_alerts_csv(alerts: DataFrame, tab: str, path: str) -> None:
-    """Eight quoted columns; null and zero become empty."""
+def alert_fields(alerts: DataFrame, tab: str) -> DataFrame:
+    """The eight columns of the alert file as text; null and zero become empty."""
     blank = lambda c: F.when(F.col(c).isNull() | (F.col(c) == 0), "").otherwise(F.col(c).cast("string")).alias(c)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    rows = alerts_tab(alerts, tab).select(
+    return alerts_tab(alerts, tab).select(
         text("alert_type"), text("sku_id"), text("short_title"), text("competitor_name"), blank("our_price"), blank("their_price"), blank("diff_pct"), text("message")
     )
+
+
+def export_alerts_csv(alerts: DataFrame, tab: str, path: str) -> None:
+    """Eight quoted columns; null and zero become empty."""
+    rows = alert_fields(alerts, tab)
     rows.write.option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
