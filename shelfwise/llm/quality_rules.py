@@ -4,9 +4,14 @@
 isolation forest: each tree splits a small random subsample at random values of random rates, and a document that is
 parted from the others after few splits is unusual. Which rate a split looks at is drawn in proportion to how well the
 rate alone tells labelled junk from labelled good rows (any rate alike where labels of both kinds are missing), so rates
-in which good documents differ widely do not drown the others. ``calibrate`` sets the threshold on labelled rows. A fifth
-of the labelled rows, by a hash of doc_id, takes no part in either; ``Forest.measured`` says what the verdicts are worth
-on them.
+in which good documents differ widely do not drown the others.
+
+``train`` learns from all labelled rows, as Spark jobs: ranks over all of them give the weights of the rates (``telling``
+is the same for rows at hand), all of them are counted into the leaves, whose depths follow from these counts, and the
+threshold is the best among the scores of all (``calibrate`` for rows at hand). Only where a tree splits comes from its
+own subsample, drawn from all of them, as isolation forests are defined: grown on all rows, junk that is many and alike
+hides itself. A fifth of the labelled rows, by a hash of doc_id, takes no part in this; ``Forest.measured`` says what the
+verdicts are worth on them.
 
 Defined cases: null or empty text has no words and fails the base rule; a very long text is counted whole; a null doc_id
 stays null; repeated rows, and rows that tie in all statistics, are scored alike and all returned; of rows that share a
@@ -22,9 +27,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from shelfwise.llm.common import hashes, label_rows, read, settle, spare_name, staged, windows, words
 
@@ -34,6 +39,11 @@ EXTRA = ["n_lines", "n_upper", "n_letters", "n_marks", "n_digits", "n_distinct"]
 COUNT_SCHEMA = StructType([StructField(c, LongType()) for c in COUNTS + EXTRA])
 #: A small sample keeps junk that is many and alike from hiding itself.
 TREES, SAMPLE = 200, 32
+RATES = 10
+#: Share of the clean rows that a threshold may lose.
+LOST = 0.002
+#: Parts of an octave in which values are ranked among themselves.
+CELLS = 256
 #: Labelled rows with this remainder of a hash of doc_id by FOLDS are kept for measuring.
 FOLDS, MEASURED = 5, 0
 
@@ -150,9 +160,8 @@ class Forest:
     threshold: float = math.inf
     measured: dict[str, float] = field(default_factory=dict)
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        """0 to 1; near 1 for rows that few splits isolate."""
-        total = np.zeros(len(x))
+    def leaves(self, x: np.ndarray):
+        """For each tree the leaf of every row."""
         rows = np.arange(len(x))
         for t in range(len(self.column)):
             at = np.zeros(len(x), np.int64)
@@ -163,19 +172,40 @@ class Forest:
                     break
                 right = x[rows, np.maximum(c, 0)] >= self.cut[t][at]
                 at = np.where(inner, self.left[t][at] + right, at)
-            total += self.depth[t][at]
+            yield at
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """0 to 1; near 1 for rows that few splits isolate."""
+        total = np.zeros(len(x))
+        for depth, at in zip(self.depth, self.leaves(x), strict=True):
+            total += depth[at]
         return np.exp2(-total / len(self.column) / max(self.scale, 1e-9)) if len(x) else total
 
+    def recount(self, held: np.ndarray, sample: int = SAMPLE) -> None:
+        """Sets the depth of each leaf from ``held``, the number of all rows in it (tree by node): so many as a sample of
+        ``sample`` would have there on average."""
+        steps = np.arange(sample + 1)
+        usual = np.array([_usual_depth(n) for n in steps])
+        for t, column in enumerate(self.column):
+            level = np.zeros(len(column))
+            for at in np.flatnonzero(column >= 0):  # a node's number is below those of its children
+                level[self.left[t][at] : self.left[t][at] + 2] = level[at] + 1
+            mean = sample * held[t] / max(1, held[t].sum())
+            self.depth[t] = np.where(column < 0, level + np.interp(mean, steps, usual), 0)
+
 
 def fit(x: np.ndarray, weight: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = 7) -> Forest:
-    """Grows the trees, each on ``sample`` rows drawn without replacement; ``weight`` is that of each column."""
+    """Grows the trees, each on ``sample`` rows drawn without replacement, and no row in two trees if there are enough;
+    ``weight`` is that of each column."""
     rng = np.random.default_rng(seed)
     size = min(sample, len(x))
     limit = max(1, math.ceil(math.log2(max(size, 2))))
     room = 2 ** (limit + 1)
     column, cut, left, depth = np.full((trees, room), -1), np.zeros((trees, room)), np.zeros((trees, room), int), np.zeros((trees, room))
+    dealt = rng.permutation(len(x))
     for t in range(trees):
-        todo, free = [(0, x[rng.choice(len(x), size, replace=False)], 0)], 1
+        own = dealt[t * size : (t + 1) * size] if len(x) >= trees * size else rng.choice(len(x), size, replace=False)
+        todo, free = [(0, x[own], 0)], 1
         while todo:
             at, part, level = todo.pop()
             low, high = part.min(axis=0), part.max(axis=0)
@@ -193,7 +223,7 @@ def fit(x: np.ndarray, weight: np.ndarray, trees: int = TREES, sample: int = SAM
     return Forest(column, cut, left, depth, _usual_depth(size))
 
 
-def calibrate(scores: np.ndarray, good: np.ndarray, lost: float = 0.002) -> float:
+def calibrate(scores: np.ndarray, good: np.ndarray, lost: float = LOST) -> float:
     """The threshold with the highest (junk caught - clean lost) among those that lose at most ``lost`` of the clean
     rows; infinity if either kind is missing."""
     if not good.any() or good.all():
@@ -209,9 +239,83 @@ def calibrate(scores: np.ndarray, good: np.ndarray, lost: float = 0.002) -> floa
     return float((found + below.max()) / 2) if len(below) and math.isfinite(found) else found
 
 
-def train(stats: DataFrame, labels: DataFrame, most: int = 20_000) -> Forest | None:
-    """Forest and threshold from at most ``most`` labelled rows that pass the base rule, those with the lowest hash of
-    doc_id; ``stats`` has doc_id and stats."""
+@F.arrow_udf(ArrayType(DoubleType()))
+def rated(stats: pa.Array) -> pa.Array:
+    """The rates of each row of statistics."""
+    x = features({c: stats.field(c).to_numpy(zero_copy_only=False) for c in COUNTS + EXTRA})
+    return pa.ListArray.from_arrays(np.arange(0, x.size + 1, RATES, dtype=np.int32), x.ravel())
+
+
+def _matrix(rates: pa.Array) -> np.ndarray:
+    return rates.flatten().to_numpy(zero_copy_only=False).reshape(-1, RATES)
+
+
+def ranked(rows: DataFrame) -> DataFrame:
+    """From rows (part, value, good) one row for each distinct value of a part: part, value, n_good, n_junk, good_below and
+    junk_below, the numbers of that value and below it. Values from 0 on are ranked within cells, and the cells of a part,
+    whose number is bounded, among each other."""
+    one = F.col("good").cast("long")
+    each = rows.groupBy("part", "value").agg(F.sum(one).alias("n_good"), F.sum(1 - one).alias("n_junk"))
+    each = each.withColumn("cell", F.floor(F.log2(F.greatest("value", F.lit(2.0**-20))) * CELLS))
+
+    def below(kind: str, window) -> F.Column:
+        return F.coalesce(F.sum(f"n_{kind}").over(window), F.lit(0))
+
+    among = Window.partitionBy("of_part").orderBy("of_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = each.groupBy(F.col("part").alias("of_part"), F.col("cell").alias("of_cell")).agg(F.sum("n_good").alias("n_good"), F.sum("n_junk").alias("n_junk"))
+    cells = cells.select("of_part", "of_cell", below("good", among).alias("good_cells"), below("junk", among).alias("junk_cells"))
+    within = Window.partitionBy("part", "cell").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumns({"good_in": below("good", within), "junk_in": below("junk", within)})
+    return each.join(cells, (F.col("part") == F.col("of_part")) & (F.col("cell") == F.col("of_cell"))).select(
+        "part", "value", "n_good", "n_junk", (F.col("good_in") + F.col("good_cells")).alias("good_below"), (F.col("junk_in") + F.col("junk_cells")).alias("junk_below")
+    )
+
+
+def _weights(own: DataFrame, clean: int, junk: int) -> np.ndarray:
+    """``telling`` over all rows (rates, good)."""
+    if not clean or not junk:
+        return np.ones(RATES)
+    wins = F.sum(F.col("n_junk") * (F.col("good_below") + F.col("n_good") / 2))
+    found = ranked(own.select(F.posexplode("rates").alias("part", "value"), "good")).groupBy("part").agg(wins.alias("wins")).collect()
+    out = np.zeros(RATES)
+    for r in found:
+        out[r.part] = (2 * r.wins / clean / junk - 1) ** 4
+    return out if out.max() > 0 else np.ones(RATES)
+
+
+def _leaf_rows(own: DataFrame, forest: Forest) -> np.ndarray:
+    """How many of all rows (rates) lie in each leaf: tree by node."""
+    shape = forest.column.shape
+
+    def count(batches):
+        held = np.zeros(shape, np.int64)
+        for b in batches:
+            for t, at in enumerate(forest.leaves(_matrix(b.column("rates")))):
+                held[t] += np.bincount(at, minlength=shape[1])
+        there = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(held.ravel()[there], pa.int64())], names=["leaf", "n"])
+
+    out = np.zeros(shape, np.int64)
+    for r in own.select("rates").mapInArrow(count, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect():
+        out.ravel()[r.leaf] = r.n
+    return out
+
+
+def _threshold(scores: DataFrame, clean: int, junk: int, lost: float = LOST) -> float:
+    """``calibrate`` over all rows (score, good)."""
+    if not clean or not junk:
+        return math.inf
+    away, caught = 1 - F.col("good_below") / clean, 1 - F.col("junk_below") / junk
+    some = ranked(scores.select(F.lit(0).alias("part"), F.col("score").alias("value"), "good"))
+    best = some.select("value", away.alias("away"), (caught - away).alias("gain")).where((F.col("away") <= lost) & (F.col("gain") > 0)).orderBy(F.desc("gain"), "value").first()
+    if best is None:
+        return math.inf
+    below = scores.where(F.col("score") < best.value).agg(F.max("score")).first()[0]
+    return best.value if below is None else (best.value + below) / 2
+
+
+def train(stats: DataFrame, labels: DataFrame) -> Forest | None:
+    """Forest and threshold from all labelled rows that pass the base rule; ``stats`` has doc_id and stats."""
     known = (
         stats.where("stats.n_words >= 50 and 100 * stats.n_repeat_words <= 50 * stats.n_words")
         .join(label_rows(labels, "quality"), F.col("doc_id") == F.col("label_id"))
@@ -219,17 +323,24 @@ def train(stats: DataFrame, labels: DataFrame, most: int = 20_000) -> Forest | N
         .agg(F.min("stats").alias("stats"), F.max("label").alias("label"))
     )
     fold = (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)) == MEASURED).alias("apart")
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("stats.*", "label", fold).toArrow()
-    x = features({c: sample.column(c).to_numpy() for c in COUNTS + EXTRA})
-    good, apart = sample.column("label").to_numpy() > 0, sample.column("apart").to_numpy()
-    if not (~apart).any():
+    rows = staged(known.select("doc_id", rated("stats").alias("rates"), (F.col("label") > 0).alias("good"), fold), "op8-rates")
+    own = rows.where("not apart")
+    clean, junk = own.agg(F.count_if("good"), F.count_if(~F.col("good"))).first()
+    if not clean + junk:
         return None
-    own = good[~apart]
-    forest = fit(x[~apart], telling(x[~apart], own))
-    forest.threshold = calibrate(forest.score(x[~apart]), own)
-    out = forest.score(x[apart]) >= forest.threshold
-    clean = good[apart]
-    forest.measured = {"junk": int((~clean).sum()), "junk_caught": int((out & ~clean).sum()), "clean": int(clean.sum()), "clean_lost": int((out & clean).sum())}
+    drawn = _matrix(own.orderBy(F.xxhash64("doc_id", F.lit("tree")), "doc_id").limit(TREES * SAMPLE).select("rates").toArrow().column("rates").combine_chunks())
+    forest = fit(drawn, _weights(own, clean, junk))
+    forest.recount(_leaf_rows(own, forest), min(SAMPLE, len(drawn)))
+
+    @F.arrow_udf(DoubleType())
+    def score(rates: pa.Array) -> pa.Array:
+        return pa.array(forest.score(_matrix(rates)))
+
+    scores = staged(rows.select("good", "apart", score("rates").alias("score")), "op8-scores")
+    forest.threshold = _threshold(scores.where("not apart"), clean, junk)
+    good, out = F.col("good"), F.col("score") >= forest.threshold
+    measured = {"junk": ~good, "junk_caught": out & ~good, "clean": good, "clean_lost": out & good}
+    forest.measured = scores.where("apart").agg(*(F.count_if(c).alias(k) for k, c in measured.items())).first().asDict()
     return forest
 
 

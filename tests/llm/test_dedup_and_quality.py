@@ -3,6 +3,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shelfwise.llm import near_dedup as D
 from shelfwise.llm import quality_rules as Q
@@ -135,6 +136,30 @@ def test_threshold_is_measured_on_rows_apart(spark):
     assert telling.tolist() == [1, 0]
 
 
+def test_training_takes_every_labelled_row(spark):
+    rng = np.random.default_rng(3)
+    n = 26_000
+    ids = np.array([r.h for r in spark.range(n).select(F.xxhash64("id").alias("h")).collect()])
+    late = np.argsort(np.argsort(ids)) >= 21_000  # junk lies behind the 20,000 lowest hashes of doc_id only
+    made = []
+    for i in range(n):
+        junk = bool(late[i] and i % 4 == 0)
+        row = dict.fromkeys(Q.COUNTS + Q.EXTRA, 0) | {"n_words": 100 + int(rng.integers(0, 9)), "word_chars": 500 + int(rng.integers(0, 90)), "n_lines": 1, "n_letters": 450, "n_distinct": 80}
+        made.append((i, *(row | {"n_symbols": int(rng.integers(60, 90)) if junk else int(rng.integers(0, 4))}).values(), 0 if junk else 1))
+    frame = spark.createDataFrame(made, ["doc_id", *Q.COUNTS, *Q.EXTRA, "quality"])
+    stats = frame.select("doc_id", F.struct(*Q.COUNTS, *Q.EXTRA).alias("stats"))
+    forest = Q.train(stats, frame.select("doc_id", "quality"))
+    data = np.array([r[1:-1] for r in made])
+    x, good = Q.features({c: data[:, i] for i, c in enumerate(Q.COUNTS + Q.EXTRA)}), np.array([r[-1] == 1 for r in made])
+    own = np.array([not r.a for r in spark.range(n).select((F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(Q.FOLDS)) == Q.MEASURED).alias("a")).collect()])
+    assert forest.threshold == pytest.approx(Q.calibrate(forest.score(x[own]), good[own])) and forest.threshold < 1
+    assert forest.measured == {"junk": int((~good & ~own).sum()), "junk_caught": int((~good & ~own).sum()), "clean": int((good & ~own).sum()), "clean_lost": 0}
+    rows = frame.select(Q.rated(F.struct(*Q.COUNTS, *Q.EXTRA)).alias("rates"), (F.col("quality") == 1).alias("good"))
+    assert np.allclose(Q._weights(rows, int(good.sum()), int((~good).sum())), Q.telling(x, good))
+    held = Q._leaf_rows(rows, forest)
+    assert (held.sum(axis=1) == n).all() and all((np.bincount(at, minlength=held.shape[1]) == h).all() for at, h in zip(forest.leaves(x), held, strict=True))
+
+
 def labelled(n=300):
     rng = np.random.default_rng(5)
     out = []
