@@ -93,7 +93,7 @@ def _deal(group_bytes: int):
 
         def flush():
             runs = [np.append(hashes(lower_words(t)), END) for _, t, _ in texts]
-            words, stream = np.unique(np.concatenate(runs), return_inverse=True)
+            words, _, stream = _distinct(np.concatenate(runs))
             row = [part << 32 | no, [d for d, *_ in texts], [h for *_, h in texts], [len(r) for r in runs], _pack_keys(words), _planes(stream.astype(np.uint32))]
             types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=["g", "docs", "held", "sizes", "words", "stream"])
@@ -111,6 +111,23 @@ def _deal(group_bytes: int):
     return run
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct hashes, a place where each stands (any one), and the number of each place's hash: ``np.unique`` with
+    index and inverse. Sorting numbers is far cheaper than sorting places by number, so the upper bits of a hash and its
+    place are sorted as one number; where hashes differ in lower bits alone, places are sorted after all."""
+    low = np.uint64((1 << len(keys).bit_length()) - 1)
+    order = (np.sort((keys & ~low) | np.arange(len(keys), dtype=np.uint64)) & low).astype(np.int64)
+    ranked = keys[order]
+    if (ranked[1:] < ranked[:-1]).any():
+        order = np.argsort(keys)
+        ranked = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return ranked[new], order[new], back
+
+
 class Group:
     """A group's tokens and, for each order, its sorted distinct n-grams: ``keys``, training ``counts``, the number of each
     token's n-gram (``at``), of its history one order below (``history``; -1: end marks alone) and of what is left of it
@@ -125,13 +142,15 @@ class Group:
         stream = words[word]
         self.keys, self.at, self.history, self.lower = [words], [word], [None], [None]
         gram, pad = stream, pads(order)
+        begins = np.zeros(len(stream), bool)
+        begins[self.starts] = True
         for k in range(1, order):
             before = np.concatenate([pad[k - 1], gram[:-1]])
             before[self.starts] = pad[k - 1]
             gram = _mix(before, stream)
-            keys, first, at = np.unique(gram, return_index=True, return_inverse=True)
-            history = np.where(np.isin(first, self.starts), -1, self.at[-1][first - 1])
-            self.lower.append(self.at[-1][first])
+            keys, some, at = _distinct(gram)  # an n-gram has the same history wherever it stands
+            history = np.where(begins[some], -1, self.at[-1][some - 1])
+            self.lower.append(self.at[-1][some])
             self.keys.append(keys), self.at.append(at), self.history.append(history)
         self.counts = [np.bincount(at[train], minlength=len(keys)).astype(np.uint32) for at, keys in zip(self.at, self.keys, strict=True)]
 
@@ -175,10 +194,10 @@ def _counted(table: pa.Table, keep: bool) -> pa.Table:
     kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
     rows = sorted(zip(*(table.column(c).to_pylist() for c in ("g", "keys", "counts")), strict=True))
     keys = [_unpack_keys(k) for _, k, _ in rows]
-    every, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    every, some, back = _distinct(np.concatenate(keys))
     total = np.bincount(back, np.concatenate([_from_planes(c, np.uint32) for *_, c in rows]), len(every)).astype(np.uint32)
     speaks = np.zeros(len(back), bool)
-    speaks[first] = True
+    speaks[some] = True
     seen = total[total > 0]
     stats = [int(seen.sum(dtype=np.int64)), len(seen), *(int((seen == c).sum()) for c in range(1, K + 2))]
     out, at = [[kind, bucket, None, _pack_keys(every[total > 0]) if keep else None, _planes(seen) if keep else None, None, *stats]], 0
@@ -247,7 +266,7 @@ class Model:
 
 
 def _by_key(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    order = np.argsort(keys)
+    order = np.argsort(keys, kind="stable")  # quick, as keys of histories in the order of their numbers are nearly sorted
     return tuple(x[order] for x in (keys, *values))
 
 
@@ -265,10 +284,11 @@ def _sum_histories(totals: list[dict], unknown: float, buckets: int, turn: int):
         out = []
         for k in range(1, len(totals)):
             mine = np.flatnonzero(m.speaks[k] & (m.total[k] > 0))
-            history, back = np.unique(m.group.history[k][mine], return_inverse=True)
-            mass = np.bincount(back, m.seen[k][mine], len(history))
-            below = np.bincount(back, m.seen[k - 1][m.group.lower[k][mine]], len(history))
-            keys, mass, below = _by_key(m.history_keys(k, history), mass, below)
+            of = m.group.history[k][mine] + 1
+            there = np.flatnonzero(np.bincount(of))
+            mass = np.bincount(of, m.seen[k][mine])[there]
+            below = np.bincount(of, m.seen[k - 1][m.group.lower[k][mine]])[there]
+            keys, mass, below = _by_key(m.history_keys(k, there - 1), mass, below)
             asked = np.sort(m.history_keys(k, np.unique(m.group.history[k][m.backed_off(k)])))
             out += [(2 * k, b, m.group.g, _pack_keys(keys[s]), _planes(mass[s]) + _planes(below[s])) for b, s in _slices(keys, buckets, turn)]
             out += [(2 * k + 1, b, m.group.g, _pack_keys(asked[s]), b"") for b, s in _slices(asked, buckets, turn)]
@@ -282,7 +302,7 @@ def _answer_histories(table: pa.Table) -> pa.Table:
     order, bucket = table.column("kind")[0].as_py() // 2, table.column("bucket")[0].as_py()
     rows = sorted(zip(*(table.column(c).to_pylist() for c in ("kind", "g", "keys", "counts")), strict=True))
     told = [(_unpack_keys(k), c) for kind, _, k, c in rows if kind % 2 == 0]
-    every, back = np.unique(np.concatenate([k for k, _ in told] or [np.empty(0, np.uint64)]), return_inverse=True)
+    every, _, back = _distinct(np.concatenate([k for k, _ in told] or [np.empty(0, np.uint64)]))
     sums = [np.zeros(len(every))] * 2
     if told:
         sums = [np.bincount(back, np.concatenate([_from_planes(c[i * len(c) // 2 : (i + 1) * len(c) // 2], np.float64) for _, c in told]), len(every)) for i in (0, 1)]
@@ -307,12 +327,14 @@ def _score(totals: list[dict], unknown: float):
             off = m.backed_off(k)
             numbers = np.unique(m.group.history[k][off])
             # Answers come in the order of keys
-            order = np.argsort(m.history_keys(k, numbers))
+            order = np.argsort(m.history_keys(k, numbers), kind="stable")
             found = np.concatenate([_from_planes(w, np.float64) for _, w in sorted(r[1:] for r in rows if r[0] == k and r[2] is not None)] or [np.empty(0)])
             weight = np.empty(len(numbers))
             weight[order] = found
             of = np.ones(len(off))
-            of[off] = weight[np.searchsorted(numbers, m.group.history[k][off])]
+            place = np.zeros(len(m.group.keys[k - 1]) + 1, np.int64)
+            place[numbers + 1] = np.arange(len(numbers))
+            of[off] = weight[place[m.group.history[k][off] + 1]]
             p = np.where(m.total[k] > 0, m.seen[k], of * p[m.group.lower[k]])
         group = m.group
         add = lambda x: np.add.reduceat(x, group.starts)

@@ -72,6 +72,18 @@ def test_katz_equals_brute_force_and_sums_to_one(spark, monkeypatch, order, grou
     assert got == want and np.allclose(total, 1)
 
 
+def test_distinct_hashes_are_those_of_unique():
+    rng = np.random.default_rng(4)
+    wide = rng.integers(0, 2**64, 3000, np.uint64)[rng.integers(0, 3000, 9000)]
+    alike = rng.permutation(np.arange(500, dtype=np.uint64).repeat(3))  # no upper bits at all
+    for keys in (wide, alike, np.sort(alike), wide[:1], wide[:0]):
+        every, some, back = L._distinct(keys)
+        want, at = np.unique(keys, return_inverse=True)
+        assert (every == want).all() and (back == at).all() and (keys[some] == every).all()
+    top = np.sort(wide)
+    assert all((a == b).all() for a, b in zip(L._by_key(np.append(top[1:], top[0]), np.append(top[1:], top[0])), (top, top), strict=True))
+
+
 def test_count_tables_can_be_looked_up(spark, tmp_path):
     one, two = [i for i in range(50) if zlib.crc32(str(i).encode()) % 7 != 2][:2]
     docs = table(spark, [(one, "a b a b c"), (two, "a b"), (None, "B a")])
