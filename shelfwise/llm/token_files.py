@@ -1,8 +1,8 @@
 """Token-ID output: sharded files of range-coded segments, in ascending doc_id order, and their reader.
 
 Documents are range-partitioned and sorted by doc_id; each partition is a shard. A segment holds whole documents of about
-``SEGMENT`` ids in all, coded by ``range_coder`` in blocks that are reset and checksummed one by one, so any block can be
-read alone and a damaged one is noticed. A segment is one record of a Parquet file, whose footer is the index: shard,
+``SEGMENT`` ids in all, coded by ``range_coder``: one model a segment, and blocks that need only the model and are checksummed
+one by one, so any block can be read without the others and a damaged one is noticed. A segment is one record of a Parquet file, whose footer is the index: shard,
 segment, documents and ids of each.
 
 Defined cases: null or empty text is the end id alone; a very long text is a segment of its own; null doc_ids come first;
@@ -26,7 +26,7 @@ from shelfwise.llm.range_coder import decode, encode
 from shelfwise.llm.tokens import text_ids
 
 END = 1
-SEGMENT = 1 << 20
+SEGMENT = 1 << 21
 
 
 def pack_segment(docs: list[int | None], runs: list[bytes]) -> bytes:

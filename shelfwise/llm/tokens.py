@@ -57,6 +57,11 @@ def _gather(pool: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.
     return pool[np.repeat(starts[codes] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)], n
 
 
+def _strings(words: pa.Array) -> list[str]:
+    """``to_pylist`` without an Arrow scalar for each."""
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
 def _lay(parts: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
     return _gather(np.frombuffer(b"".join(parts), np.uint32), sizes, codes)
@@ -71,12 +76,14 @@ class Known:
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def put(self, word: str, ids: bytes) -> None:
-        if len(word) <= LONG:
-            self.held += 200 + len(word) + len(ids)
-            if self.held > self.most:
+    def put(self, words: list[str], parts: list[bytes], run: int = 5000) -> None:
+        for at in range(0, len(words), run):
+            some = {w: ids for w, ids in zip(words[at : at + run], parts[at : at + run], strict=True) if len(w) <= LONG}
+            size = 200 * len(some) + sum(map(len, some)) + sum(map(len, some.values()))
+            if self.held and self.held + size > self.most:
                 self.new, self.old, self.held = {}, self.new, 0
-            self.new[word] = ids
+            self.held += size
+            self.new |= some
 
 
 class TextIds:
@@ -118,9 +125,13 @@ class TextIds:
     def _piece(self, text: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(_spell(text))]).tobytes()
 
+    def _stems(self, stems: list[str], spaced: bool) -> list[bytes]:
+        if self.lead:
+            return [self._stem(x, spaced) for x in stems]
+        cut = self.model.tokenize
+        return [array("I", [t.id for t in cut(x if x.isascii() else _spell(x))]).tobytes() for x in stems]
+
     def _stem(self, stem: str, spaced: bool) -> bytes:
-        if not self.lead:
-            return self._piece(stem.lower())
         if stem[0] == "\n":  # a single line end is a piece of its own, and no space leads the word after it
             return self.line_end + self._piece(stem[1:])
         return self._piece(" " + stem if spaced else stem)
@@ -131,29 +142,29 @@ class TextIds:
         cut = pc.extract_regex(words, _SIMPLE)
         simple = cut.is_valid().to_numpy(zero_copy_only=False)
         cut = cut.filter(pa.array(simple))
-        stems, tails = (cut.field(i).dictionary_encode() for i in (0, 1))
+        # Where white space is dropped, so is case: that of Latin-1 letters is the same in Arrow
+        stems, tails = cut.field(0) if self.lead else pc.utf8_lower(cut.field(0)), cut.field(1)
+        stems, tails = stems.dictionary_encode(), tails.dictionary_encode()
         parts = [b""]
 
         def codes(of: list[str], make) -> int:
             """Places of the ids of ``of`` begin at this number."""
             first = len(parts)
             found = list(map(known.new.get, of))
-            new = []
-            for i, ids in enumerate(found):
-                if ids is None:
-                    ids = found[i] = known.old.get(of[i])
-                    if ids is None:
-                        new.append(i)
-                    else:
-                        known.put(of[i], ids)
-            for i, ids in zip(new, make([of[i] for i in new]), strict=True):
-                known.put(of[i], ids)
-                found[i] = ids
+            missed = [i for i, ids in enumerate(found) if ids is None]
+            words = [of[i] for i in missed]
+            ids = list(map(known.old.get, words))
+            new = [k for k, x in enumerate(ids) if x is None]
+            for k, x in zip(new, make([words[k] for k in new]), strict=True):
+                ids[k] = x
+            for i, x in zip(missed, ids, strict=True):
+                found[i] = x
+            known.put(words, ids)
             parts.extend(found)
             return first
 
         two = np.zeros((len(words), 2), np.int64)
-        at = codes(stems.dictionary.to_pylist(), lambda new: [self._stem(x, spaced) for x in new])
+        at = codes(_strings(stems.dictionary), lambda new: self._stems(new, spaced))
         two[simple, 0] = at + stems.indices.to_numpy()
         two[simple, 1] = len(parts) + tails.indices.to_numpy()
         for tail in tails.dictionary.to_pylist():
@@ -162,7 +173,7 @@ class TextIds:
                     self.tails = {"": b""}
                 self.tails[tail] = self._piece(tail)
             parts.append(self.tails[tail])
-        odd = words.filter(pa.array(~simple)).to_pylist()
+        odd = _strings(words.filter(pa.array(~simple)))
         lead = " " if spaced and self.lead else ""
         at = codes(odd, lambda new: self._words([x if x[:1] == "\n" else lead + x for x in new]))
         two[~simple, 0] = at + np.arange(len(odd))
@@ -182,11 +193,12 @@ class TextIds:
         lists = pc.split_pattern(plain, " ")
         at = lists.offsets.to_numpy().astype(np.int64)
         at -= at[0]
-        coded = lists.flatten().dictionary_encode()
+        words = lists.flatten()
+        coded = words.dictionary_encode()
         codes = coded.indices.to_numpy().astype(np.int64)
         pools, sizes = ([x] for x in self._ids_of(coded.dictionary, True))
         if self.lead:  # what stands first has no space before it
-            first = lists.flatten().take(pa.array(at[:-1])).dictionary_encode()
+            first = words.take(pa.array(at[:-1])).dictionary_encode()
             codes[at[:-1]] = len(sizes[0]) + first.indices.to_numpy()
             for kept, x in zip((pools, sizes), self._ids_of(first.dictionary, False), strict=True):
                 kept.append(x)

@@ -40,6 +40,30 @@ def test_coder_on_regular_runs_is_small_and_damage_is_noticed():
         R.decode(bytes(bad))
 
 
+def test_coder_learns_a_segment_once_for_all_of_its_blocks():
+    rng = np.random.default_rng(7)
+    n, chance = 64 * R.BLOCK, 1 / np.arange(3, 2003)
+    ids = rng.choice(2000, n, p=chance / chance.sum()).astype(np.uint32) * 20
+    ids[1::3] = (ids[::3] * 7 + 1)[: len(ids[1::3])] % 40_000  # what follows is known
+    p = np.bincount(ids[ids % 20 == 0]) / n
+    bound = -(p[p > 0] * np.log2(p[p > 0])).sum()
+    data = R.encode(ids)
+    # Blocks that each begin from nothing take 2.0 times the bound
+    assert (R.decode(data) == ids).all() and 8 * len(data) / n < 1.3 * bound
+
+
+def test_coder_gives_back_blocks_of_many_lanes(monkeypatch):
+    monkeypatch.setattr(R, "LANES", 3)
+    rng = np.random.default_rng(8)
+    for n in (1, 2, R.BLOCK, R.BLOCK + 1, 7 * R.BLOCK - 5, 40 * R.BLOCK):
+        for ids in (rng.integers(0, 65536, n), rng.integers(0, 3, n), np.full(n, 65535), np.arange(n)):
+            assert (R.decode(R.encode(ids.astype(np.uint32))) == ids).all()
+    bad = bytearray(R.encode(np.arange(5000, dtype=np.uint32) % 50))
+    bad[24] ^= 1  # in the model
+    with pytest.raises(ValueError, match="checksum"):
+        R.decode(bytes(bad))
+
+
 @pytest.mark.parametrize("path, lead", [(WORD, False), (BYTE, True)])
 def test_cached_ids_are_the_tokenizer_s(path, lead):
     texts = ["a  b", " a", "a ", "x<|endoftext|>y <|endoftext|>", "a\n\nb  c\t d", "don't 123 4", "ΑΣ. İstanbul é́", "a\x1cb \x1c", "日本語 テ", "", None, "tab\tx\r\nz", "a \0b", "\0a \0", "x\ny|\n>", "\n a\nb\n\nc", "x" * 300_000, "y " * 100_000]
