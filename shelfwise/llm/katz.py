@@ -35,11 +35,12 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import hashes, lower_words, partitions_for, read, scratch, settle, staged, stir
+from shelfwise.llm.common import hashes, partitions_for, read, scratch, settle, staged, stir
 
 ORDER = 3
 K = 5
@@ -85,35 +86,53 @@ def pads(order: int) -> list[np.ndarray]:
     return out
 
 
+def _words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct word hashes of the texts, the end mark's among them, the tokens as numbers of these, and the number of
+    each text's tokens. Arrow's ASCII white space is that of ``common.words``, and its ``ascii_lower`` touches A-Z alone."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string()).fill_null("")))
+    flat, ends = lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy())
+    there = pc.greater(pc.binary_length(flat), 0)
+    n = np.diff(np.append(0, np.cumsum(there.to_numpy(zero_copy_only=False)))[ends], prepend=0)  # white space at either end gives empty words
+    coded = flat.filter(there).dictionary_encode()
+    distinct = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+    words, _, number = _distinct(np.append(hashes(distinct), END))
+    stream = np.full(int(n.sum()) + len(n), number[-1])
+    stream[np.arange(int(n.sum())) + np.repeat(np.arange(len(n)), n)] = number[coded.indices.to_numpy()]
+    return words, stream, n + 1
+
+
 def _deal(group_bytes: int):
     """Rows (doc_id, text, held_out) to the states of groups."""
 
     def run(batches):
-        part, no, held, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
+        part, no, parts, size = TaskContext.get().partitionId(), 0, [], 0
 
         def flush():
-            runs = [np.append(hashes(lower_words(t)), END) for _, t, _ in texts]
-            words, _, stream = _distinct(np.concatenate(runs))
-            row = [part << 32 | no, [d for d, *_ in texts], [h for *_, h in texts], [len(r) for r in runs], _pack_keys(words), _planes(stream.astype(np.uint32))]
+            t = pa.Table.from_batches(parts)
+            words, stream, sizes = _words_of(pa.concat_arrays([c.cast(pa.large_string()) for c in t.column("text").chunks]))
+            row = [part << 32 | no, t.column("doc_id").to_pylist(), t.column("held_out").to_pylist(), sizes.tolist(), _pack_keys(words), _planes(stream.astype(np.uint32))]
             types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=["g", "docs", "held", "sizes", "words", "stream"])
 
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "held_out")), strict=True):
-                texts.append(row)
-                size += len(row[1] or "") + 1
-                if size >= group_bytes:
-                    yield flush()
-                    no, texts, size = no + 1, [], 0
-        if texts:
+            ends = np.cumsum(pc.fill_null(pc.utf8_length(b.column("text")), 0).to_numpy().astype(np.int64) + 1)
+            a = before = 0
+            while a < len(b):
+                z = int(np.searchsorted(ends, before + group_bytes - size)) + 1  # the row that fills the group
+                parts.append(b.slice(a, z - a))
+                if z > len(b):
+                    size += int(ends[-1]) - before
+                    break
+                yield flush()
+                no, parts, size, a, before = no + 1, [], 0, z, int(ends[z - 1])
+        if parts:
             yield flush()
 
     return run
 
 
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct hashes, a place where each stands (any one), and the number of each place's hash: ``np.unique`` with
-    index and inverse. Sorting numbers is far cheaper than sorting places by number, so the upper bits of a hash and its
+def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of hashes in ascending order, the hashes in that order, and where a new one begins. Sorting numbers is far cheaper than sorting places by number, so the upper bits of a hash and its
     place are sorted as one number; where hashes differ in lower bits alone, places are sorted after all."""
     low = np.uint64((1 << len(keys).bit_length()) - 1)
     order = (np.sort((keys & ~low) | np.arange(len(keys), dtype=np.uint64)) & low).astype(np.int64)
@@ -123,36 +142,76 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ranked = keys[order]
     new = np.ones(len(keys), bool)
     np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    return order, ranked, new
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct hashes, a place where each stands (any one), and the number of each place's hash: ``np.unique`` with
+    index and inverse."""
+    order, ranked, new = _ranked(keys)
     back = np.empty(len(keys), np.int64)
     back[order] = np.cumsum(new) - 1
     return ranked[new], order[new], back
 
 
+def _begin(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A state's distinct words, its tokens as numbers of these, and where its documents begin and their sizes."""
+    sizes = np.array(row["sizes"], np.int64)
+    return _unpack_keys(row["words"]), _from_planes(row["stream"], np.uint32).astype(np.int64), np.cumsum(sizes) - sizes, sizes
+
+
+def _grams(stream: np.ndarray, starts: np.ndarray, order: int):
+    """Keys of the n-grams that end in each token, from two words on."""
+    gram, pad = stream, pads(order)
+    for k in range(1, order):
+        before = np.concatenate([pad[k - 1], gram[:-1]])
+        before[starts] = pad[k - 1]
+        gram = _mix(before, stream)
+        yield k, gram
+
+
 class Group:
-    """A group's tokens and, for each order, its sorted distinct n-grams: ``keys``, training ``counts``, the number of each
-    token's n-gram (``at``), of its history one order below (``history``; -1: end marks alone) and of what is left of it
+    """A group's tokens and, for each order, its sorted distinct n-grams: ``keys``, the number of each token's n-gram (``at``;
+    that of the longest only where ``whole``), of its history one order below (``history``; -1: end marks alone) and of what is left of it
     without the first word (``lower``)."""
 
-    def __init__(self, row: dict, order: int):
+    def __init__(self, row: dict, order: int, whole: bool = True):
         self.g, self.docs, self.held = row["g"], row["docs"], np.array(row["held"], bool)
-        self.sizes = np.array(row["sizes"], np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        words, word = _unpack_keys(row["words"]), _from_planes(row["stream"], np.uint32).astype(np.int64)
-        train = np.repeat(~self.held, self.sizes)
+        words, word, self.starts, self.sizes = _begin(row)
         stream = words[word]
         self.keys, self.at, self.history, self.lower = [words], [word], [None], [None]
-        gram, pad = stream, pads(order)
         begins = np.zeros(len(stream), bool)
         begins[self.starts] = True
-        for k in range(1, order):
-            before = np.concatenate([pad[k - 1], gram[:-1]])
-            before[self.starts] = pad[k - 1]
-            gram = _mix(before, stream)
-            keys, some, at = _distinct(gram)  # an n-gram has the same history wherever it stands
-            history = np.where(begins[some], -1, self.at[-1][some - 1])
+        for k, gram in _grams(stream, self.starts, order):
+            if whole or k < order - 1:
+                keys, some, at = _distinct(gram)
+            else:
+                places, ranked, new = _ranked(gram)
+                keys, some, at = ranked[new], places[new], None
+            history = np.where(begins[some], -1, self.at[-1][some - 1])  # an n-gram has the same history wherever it stands
             self.lower.append(self.at[-1][some])
             self.keys.append(keys), self.at.append(at), self.history.append(history)
-        self.counts = [np.bincount(at[train], minlength=len(keys)).astype(np.uint32) for at, keys in zip(self.at, self.keys, strict=True)]
+
+
+def _of_turn(keys: np.ndarray, buckets: int, turn: int) -> np.ndarray:
+    """Which keys lie in the buckets of this turn."""
+    if buckets == 1:
+        return np.full(len(keys), turn == 0)
+    at = keys >> np.uint64(64 - (buckets.bit_length() - 1))
+    first, end = (-(-t * buckets // PASSES) for t in (turn, turn + 1))
+    return (at >= first) & (at < end)
+
+
+def _own_counts(row: dict, order: int, buckets: int, turn: int):
+    """For each order the group's sorted distinct n-grams of this turn, and how often each stands in training documents."""
+    words, word, starts, sizes = _begin(row)
+    train = np.repeat(~np.array(row["held"], bool), sizes)
+    yield 0, words, np.bincount(word[train], minlength=len(words)).astype(np.uint32)
+    for k, gram in _grams(words[word], starts, order):
+        mine = _of_turn(gram, buckets, turn)
+        places, ranked, new = _ranked(gram[mine])
+        counts = np.add.reduceat(train[mine][places], np.flatnonzero(new), dtype=np.int64) if len(places) else np.empty(0, np.int64)
+        yield k, ranked[new], counts.astype(np.uint32)
 
 
 def _slices(keys: np.ndarray, buckets: int, turn: int):
@@ -175,8 +234,7 @@ def _send(buckets: int, order: int, turn: int):
     def run(batches):
         for b in batches:
             for row in b.to_pylist():
-                group = Group(row, order)
-                yield _blocks([(k, at, group.g, _pack_keys(group.keys[k][s]), _planes(group.counts[k][s])) for k in range(order) for at, s in _slices(group.keys[k], buckets, turn)])
+                yield _blocks([(k, at, row["g"], _pack_keys(keys[s]), _planes(counts[s])) for k, keys, counts in _own_counts(row, order, buckets, turn) for at, s in _slices(keys, buckets, turn)])
 
     return run
 
@@ -270,9 +328,14 @@ def _by_key(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(x[order] for x in (keys, *values))
 
 
-def _model(state: pa.Table, answers: pa.Table, totals: list[dict], unknown: float) -> Model:
+def _numbers(history: np.ndarray) -> np.ndarray:
+    """Distinct numbers of histories, from -1 on."""
+    return np.flatnonzero(np.bincount(history + 1)) - 1
+
+
+def _model(state: pa.Table, answers: pa.Table, totals: list[dict], unknown: float, whole: bool) -> Model:
     rows = list(zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "counts", "speaks")), strict=True))
-    return Model(Group(state.to_pylist()[0], len(totals)), [r for r in rows if r[2] is not None], totals, unknown)
+    return Model(Group(state.to_pylist()[0], len(totals), whole), [r for r in rows if r[2] is not None], totals, unknown)
 
 
 def _sum_histories(totals: list[dict], unknown: float, buckets: int, turn: int):
@@ -280,16 +343,17 @@ def _sum_histories(totals: list[dict], unknown: float, buckets: int, turn: int):
     where the weights of histories are asked for."""
 
     def run(state: pa.Table, answers: pa.Table) -> pa.Table:
-        m = _model(state, answers, totals, unknown)
+        m = _model(state, answers, totals, unknown, False)
         out = []
         for k in range(1, len(totals)):
-            mine = np.flatnonzero(m.speaks[k] & (m.total[k] > 0))
+            turns = _of_turn(m.history_keys(k, np.arange(-1, len(m.group.keys[k - 1]))), buckets, turn)[m.group.history[k] + 1]
+            mine = np.flatnonzero(m.speaks[k] & (m.total[k] > 0) & turns)
             of = m.group.history[k][mine] + 1
             there = np.flatnonzero(np.bincount(of))
             mass = np.bincount(of, m.seen[k][mine])[there]
             below = np.bincount(of, m.seen[k - 1][m.group.lower[k][mine]])[there]
             keys, mass, below = _by_key(m.history_keys(k, there - 1), mass, below)
-            asked = np.sort(m.history_keys(k, np.unique(m.group.history[k][m.backed_off(k)])))
+            asked = np.sort(m.history_keys(k, _numbers(m.group.history[k][m.backed_off(k) & turns])))
             out += [(2 * k, b, m.group.g, _pack_keys(keys[s]), _planes(mass[s]) + _planes(below[s])) for b, s in _slices(keys, buckets, turn)]
             out += [(2 * k + 1, b, m.group.g, _pack_keys(asked[s]), b"") for b, s in _slices(asked, buckets, turn)]
         return pa.Table.from_batches([_blocks(out)])
@@ -320,12 +384,12 @@ def _score(totals: list[dict], unknown: float):
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(state: pa.Table, answers: pa.Table) -> pa.Table:
-        m = _model(state, answers, totals, unknown)
+        m = _model(state, answers, totals, unknown, True)
         rows = list(zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "weights")), strict=True))
         p = m.seen[0]
         for k in range(1, len(totals)):
             off = m.backed_off(k)
-            numbers = np.unique(m.group.history[k][off])
+            numbers = _numbers(m.group.history[k][off])
             # Answers come in the order of keys
             order = np.argsort(m.history_keys(k, numbers), kind="stable")
             found = np.concatenate([_from_planes(w, np.float64) for _, w in sorted(r[1:] for r in rows if r[0] == k and r[2] is not None)] or [np.empty(0)])

@@ -7,11 +7,13 @@ from collections import Counter, defaultdict
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from shelfwise.llm import katz as L
 from shelfwise.llm import secret_scan as S
 from shelfwise.llm import toxicity as X
+from shelfwise.llm.common import hashes
 from tests.llm.helpers import empty, rows, table, words_of
 
 
@@ -72,6 +74,33 @@ def test_katz_equals_brute_force_and_sums_to_one(spark, monkeypatch, order, grou
     assert got == want and np.allclose(total, 1)
 
 
+def test_states_hold_the_words_of_texts():
+    texts = [None, "", " \t\n", " A\x0bb\x0c\r a ", "\x00É\x1c\x85\u3000x \u2028 z", "one", "B a\n\nb"] + [t for _, t in rows()]
+    words, stream, sizes = L._words_of(pa.array(texts))
+    want = [np.append(hashes(words_of(t)), L.END) for t in texts]
+    assert (words[stream] == np.concatenate(want)).all() and sizes.tolist() == list(map(len, want))
+    assert (np.diff(words.astype(object)) > 0).all()
+
+
+@pytest.mark.parametrize("buckets", [1, 2, 8])
+def test_a_turn_counts_its_own_n_grams_alone(monkeypatch, buckets):
+    words, stream, sizes = L._words_of(pa.array([t for _, t in rows(40)]))
+    row = {"g": 1, "docs": [0] * len(sizes), "held": [i % 3 == 0 for i in range(len(sizes))], "sizes": sizes.tolist(), "words": L._pack_keys(words), "stream": L._planes(stream.astype(np.uint32))}
+    group, train, sorted_keys = L.Group(row, 3), np.repeat(~np.array(row["held"]), sizes), []
+    sort = L._ranked
+    monkeypatch.setattr(L, "_ranked", lambda keys: (sorted_keys.append(len(keys)), sort(keys))[1])
+    got = [{}, {}, {}]
+    for turn in range(min(L.PASSES, buckets)):
+        for k, keys, counts in L._own_counts(row, 3, buckets, turn):
+            for _, s in L._slices(keys, buckets, turn):
+                got[k] |= dict(zip(keys[s].tolist(), counts[s].tolist(), strict=True))
+    for k in range(3):
+        assert got[k] == dict(zip(group.keys[k].tolist(), np.bincount(group.at[k][train], minlength=len(group.keys[k])).tolist(), strict=True))
+    assert sum(sorted_keys) == 2 * len(stream)  # each n-gram in its own turn only
+    short = L.Group(row, 3, whole=False)
+    assert short.at[-1] is None and all((a == b).all() for x, y in zip((short.keys, short.history[1:], short.lower[1:]), (group.keys, group.history[1:], group.lower[1:])) for a, b in zip(x, y))
+
+
 def test_distinct_hashes_are_those_of_unique():
     rng = np.random.default_rng(4)
     wide = rng.integers(0, 2**64, 3000, np.uint64)[rng.integers(0, 3000, 9000)]
