@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from shelfwise.operators.ranks import Ranked, ranked_within
 from shelfwise.operators.snapshots import price_changes
 from shelfwise.sources import io
-from shelfwise.streaming import intake
+from shelfwise.streaming import changes, intake
 from shelfwise.streaming.changes import _events, _pruned, net_changes, stream_price_changes
 
 SNAP = "sku_id string, competitor_id long, scraped_at timestamp, run_id long, seq int, competitor_price double"
@@ -60,6 +61,37 @@ def test_old_observations_are_let_go(spark, tmp_path):
     assert _pruned(seen, 4) == seen[4:] and _pruned(seen, -1) == seen and _pruned(seen, 99) == seen[-1:] and len(_events(seen)) == 9
 
 
+def test_pairs_of_a_slot_are_worked_out_together(spark, tmp_path):
+    """What a slot says and keeps is what its pairs say and keep one by one, whatever comes late, twice or without a price."""
+    rng = random.Random(9)
+    state, seen = None, {}
+    for watermark in (-1, 20, 35, 60):
+        rows = [(f"S{rng.randint(0, 9)}", rng.choice([None, 1, 2**53 + 1]), rng.randint(max(0, watermark + 1), 90), rng.randint(0, 10**6), rng.randint(1, 3), rng.choice([np.nan, 1.0, 1.0, 2.5, 3.0])) for _ in range(300)]
+        frame = pd.DataFrame(rows + rows[:40], columns=["sku_id", "competitor_id", "at", "run_id", "seq", "competitor_price"])
+        frame["competitor_id"] = pd.Series([r[1] for r in rows + rows[:40]], dtype=object)
+        log, left, _ = changes._slot(state, [frame[:100], frame[100:]], watermark)
+        want = Counter()
+        for pair in {r[:2] for r in rows} | set(seen):
+            before = seen.get(pair, [])
+            after = sorted(set(before) | {r[2:] for r in rows if r[:2] == pair and r[5] == r[5]})
+            said, now = _events(before), _events(after)
+            want.update((-1, *at, *pair, *e) for at, e in said.items() if now.get(at) != e)
+            want.update((1, *at, *pair, *e) for at, e in now.items() if said.get(at) != e)
+            seen[pair] = _pruned(after, watermark)
+        assert Counter(log.itertuples(index=False, name=None)) == want
+        assert Counter(left.itertuples(index=False, name=None)) == Counter((*pair, *x) for pair, kept in seen.items() for x in kept)
+        state = changes._packed(left)
+    # Many pairs are a bounded number of states
+    prices = spark.range(20_000).select(F.concat(F.lit("S"), "id").alias("sku_id"), F.lit(7).cast("long").alias("competitor_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("n"), "id")
+    history = prices.select(*changes.PAIR, F.timestamp_seconds(F.col("n") * 100).alias("scraped_at"), F.col("id").alias("run_id"), F.col("n").cast("int").alias("seq"), F.col("n").cast("double").alias("competitor_price"))
+    history.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(history.schema).parquet(str(tmp_path / "in"))
+    q = stream_price_changes(stream, "3650 days").writeStream.format("parquet").option("path", str(tmp_path / "log")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    assert q.recentProgress[0]["stateOperators"][0]["numRowsTotal"] <= changes.SLOTS
+    assert net_changes(spark.read.parquet(str(tmp_path / "log"))).where("price_before = 1 and competitor_price = 2").count() == 20_000
+
+
 def test_pages_read_their_range(spark, tmp_path):
     rng = random.Random(2)
     df = spark.createDataFrame([(i, rng.randint(0, 40) or None) for i in range(2000)], "id long, v int")
