@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.operators.snapshots import PAIR, enrich_snapshots, latest_per_pair, price_alerts
+from shelfwise.streaming.state import on_disk
 
 
 def stream_alerts(stream: DataFrame, skus: DataFrame, competitors: DataFrame) -> DataFrame:
@@ -100,7 +101,7 @@ def stream_run_stats(stream: DataFrame, delay: str = "10 minutes", width: str =
     """Counters of each run in tumbling windows; late rows within ``delay`` still count."""
     a = F.col("availability")
     return (
-        _timed(stream).withWatermark("scraped_at", delay)
+        on_disk(_timed(stream)).withWatermark("scraped_at", delay)
         .groupBy(F.window("scraped_at", width), "run_id")
         .agg(F.count(F.lit(1)).alias("attempted"), F.count_if(a != "error").alias("succeeded"), F.count("raw_price").alias("prices_found"))
         .select(F.col("window.start").alias("window_start"), "run_id", "attempted", "succeeded", "prices_found")
@@ -109,4 +110,4 @@ def stream_run_stats(stream: DataFrame, delay: str = "10 minutes", width: str =
 
 def dedupe_stream(stream: DataFrame, delay: str = "10 minutes", keys: tuple[str, ...] = ("sku_id", "competitor_id", "scraped_at")) -> DataFrame:
     """Each observation once, however often it is delivered within ``delay``."""
-    return _timed(stream).withWatermark("scraped_at", delay).dropDuplicatesWithinWatermark(list(keys))
+    return on_disk(_timed(stream)).withWatermark("scraped_at", delay).dropDuplicatesWithinWatermark(list(keys))

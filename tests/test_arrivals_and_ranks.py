@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 
 from shelfwise.operators.ranks import Ranked, ranked_within
 from shelfwise.operators.snapshots import price_changes
+from shelfwise.plans import kept
 from shelfwise.sources import io
-from shelfwise.streaming import changes, intake
+from shelfwise.streaming import changes, intake, streams
 from shelfwise.streaming.changes import _events, _pruned, net_changes, stream_price_changes
 
 SNAP = "sku_id string, competitor_id long, scraped_at timestamp, run_id long, seq int, competitor_price double"
@@ -150,3 +152,35 @@ def test_filters_know_what_they_were_told():
     assert intake._ask(table(keys[:30_000]), both).column("seems_").to_numpy().all()
     false = intake._ask(table(keys[30_000:]), both).column("seems_").to_numpy().mean()
     assert 0 < false < 0.02
+
+
+def _run(spark, stream, tmp_path, mode="append"):
+    """The query, ended, and the rows of each batch."""
+    batches = []
+    keep = lambda df, i: batches.append(df.collect())
+    q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    assert q.exception() is None
+    return q, batches
+
+
+def test_state_of_streams_lies_on_disk(spark, tmp_path):
+    rows = spark.range(500).select(F.col("id").alias("run_id"), F.timestamp_seconds(F.col("id") + 1_000_000).alias("scraped_at"), F.lit("in_stock").alias("availability"), F.lit(1.0).alias("raw_price"), *(F.col("id").cast("string").alias(c) for c in changes.PAIR))
+    rows.write.parquet(str(tmp_path / "in"))
+    read = lambda: spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    for name, stream, mode in (("stats", streams.stream_run_stats(read()), "update"), ("once", streams.dedupe_stream(read()), "append")):
+        q, batches = _run(spark, stream, tmp_path / name, mode)
+        assert sum(map(len, batches)) == 500
+        assert any(k.startswith("rocksdb") for k in q.recentProgress[0]["stateOperators"][0]["customMetrics"])
+
+
+def test_all_tasks_write_what_arrives(spark, tmp_path):
+    rows = spark.range(4000).select(F.col("id").alias("run_id")).repartition(4)
+    half = {i: set(r.run_id for r in rows.where(F.pmod(F.xxhash64("run_id"), F.lit(2)) == i).collect()) for i in range(2)}
+    for twice in (False, True):
+        stream = kept.arrivals(SimpleNamespace(spark=spark), rows, twice)
+        files = stream.select(F.input_file_name().alias("f"), "run_id")
+        _, batches = _run(spark, files, tmp_path / str(twice))
+        assert len({r.f for r in batches[0]}) >= 4
+        assert Counter(r.run_id for r in batches[0]) == {k: 1 + twice for k in half[0]}
+        assert Counter(r.run_id for b in batches[1:] for r in b) == {k: 1 + twice for k in half[1]}
