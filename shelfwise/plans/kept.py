@@ -313,13 +313,16 @@ def srt2_ranks(m):
 
 
 def arrivals(m, rows: DataFrame, twice: bool = False) -> DataFrame:
-    """The rows as a stream of two batches, dealt by a hash of the run, not by time."""
-    path = new_path(m.spark, "arrivals")
+    """The rows as a stream of two batches, dealt by a hash of the run, not by time. All tasks write; the first batch takes as
+    many files, the oldest, as there are of the first half, and so does each that follows, of what is left."""
+    path, read = new_path(m.spark, "arrivals"), m.spark.read.schema(rows.schema)
     late = F.pmod(F.xxhash64("run_id"), F.lit(2))
     for i in range(2):
-        for _ in range(2 if twice else 1):
-            rows.where(late == i).coalesce(1).write.mode("append").parquet(path)
-    return m.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2 if twice else 1).parquet(path)
+        rows.where(late == i).write.parquet(f"{path}/{i}-once")
+        if twice:
+            read.parquet(f"{path}/{i}-once").write.parquet(f"{path}/{i}-again")
+    files = len(read.parquet(f"{path}/0-*").inputFiles())
+    return m.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, files)).parquet(f"{path}/*")
 
 
 def told(m, stream: DataFrame) -> DataFrame:
