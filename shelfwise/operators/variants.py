@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.functions.scalars import once
 from shelfwise.functions.text import has_variant, parent_url, url_param, variant_url
-from shelfwise.operators.windows import best_variant
+from shelfwise.operators.windows import best_variant, contenders
 
 # A colour and the words for it.
 COLOURS = {
@@ -123,8 +124,11 @@ def _pointing(matches: DataFrame, site: str, force: bool) -> DataFrame:
 
 
 def variants_for_matches(matches: DataFrame, variants: DataFrame, skus: DataFrame, site: str, force: bool = False) -> DataFrame:
-    """Every variant of the page that a match points to. Variants are parsed once a page and joined by its URL."""
-    return _pointing(matches, site, force).join(variants, "parent_url").join(skus.select("sku_id", "short_title"), "sku_id")
+    """Every variant of the page that a match points to. Variants are parsed once a page and joined by its URL. All sides grow
+    with the catalogue, and a scan that is read in part is estimated far below its rows' size, so none is left to be broadcast.
+    Titles come before variants, while a match is still one row."""
+    titled = _pointing(matches, site, force).join(skus.select("sku_id", "short_title").hint("merge"), "sku_id")
+    return titled.join(variants.hint("merge"), "parent_url")
 
 
 def best_for_matches(matches: DataFrame, variants: DataFrame, skus: DataFrame, site: str, force: bool = False) -> DataFrame:
@@ -151,11 +155,11 @@ def resolve_variant(matches: DataFrame, variants: DataFrame, skus: DataFrame, si
         .when((label != "") & F.contains(text, label), 800)
         .otherwise(0)
     )
-    scored = score_variants(pairs, site).withColumn("named_", named)
-    by_url = scored.where("named_ > 0").withColumn("score", F.col("named_"))
-    done = best_variant(by_url, ["sku_id", "competitor_id"], margin=-1)
-    rest = scored.join(done.select("sku_id", "competitor_id"), ["sku_id", "competitor_id"], "left_anti")
-    return done.drop("named_").unionByName(best_variant(rest, ["sku_id", "competitor_id"]).drop("named_"))
+    # Any that the URL names come before all others, whose scores reach 100 at most, and stock doesn't count against them
+    scored = once(score_variants(pairs, site), named_=named).withColumn("score", F.when(F.col("named_") > 0, F.col("named_")).otherwise(F.col("score")))
+    margin = F.when(F.col("best_score_") > 100, -1).otherwise(10)
+    few = contenders(scored.drop("named_"), ["parent_url", "sku_id", "competitor_id"])
+    return best_variant(few, ["sku_id", "competitor_id"], margin=margin)
 
 
 def repair_variants(matches: DataFrame, variants: DataFrame, skus: DataFrame, site: str, min_score: int = 1, force: bool = False) -> DataFrame:

@@ -311,3 +311,22 @@ def test_keyset_pages_follow_each_other(spark):
     first = W.page_of(df, 1, [F.asc("k")], 4)
     last = first.collect()[-1].k
     assert list(itertools.chain(r.k for r in W.after(df, (last,), ["k"], 4).collect())) == [4, 5, 6, 7]
+
+
+def test_named_variants_are_found_in_one_pass(spark):
+    """Variants are scored once, moved as the two that may be chosen, and no side is broadcast by the estimated size of a scan."""
+    matches = spark.createDataFrame([(f"S-{i}", c, f"https://s.example/p/{i % 4}" + (f"?variant=v{i}" if i % 3 == 0 else "")) for i in range(40) for c in (1, 2)] + [("S-1", 1, "https://s.example/p/2?variant=v39")], "sku_id string, competitor_id long, competitor_url string")
+    variants = spark.createDataFrame([(f"https://s.example/p/{i % 4}", f"v{i}", f"item {i}", f"S{i}", i % 5 != 0) for i in range(40)], "parent_url string, variant_id string, variant_title string, variant_sku string, in_stock boolean").withColumn("options", F.create_map().cast("map<string,string>"))
+    skus = spark.createDataFrame([(f"S-{i}", f"item {i}") for i in range(40)], "sku_id string, short_title string")
+    got = V.resolve_variant(matches, variants, skus, "storefront")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan and plan.count("Exchange") == 5
+    scored = V.score_variants(V.variants_for_matches(matches, variants, skus, "storefront", force=True), "storefront").collect()
+    for (sku, shop), row in {(r.sku_id, r.competitor_id): r for r in got.collect()}.items():
+        mine = [r for r in scored if (r.sku_id, r.competitor_id) == (sku, shop)]
+        named = [r for r in mine if r.competitor_url.endswith(f"?variant={r.variant_id}")]
+        order = sorted(named or mine, key=lambda r: (0 if named else -r.score, not r.in_stock, r.variant_id))
+        near = [r for r in order if r.in_stock and order[0].score - r.score <= 10]
+        want = order[0] if named or order[0].in_stock or not near else near[0]
+        assert (row.variant_id, row.score) == (want.variant_id, 1000 if named else want.score)
+    assert got.count() == 80
