@@ -25,7 +25,8 @@ def merge_by_key(
     included; rows of base for which ``protect`` holds stay as they are; unknown keys are added if ``insert``. Of several
     changes to a key the one with the highest ``order`` wins, and among equals the one with the highest values."""
     columns = columns or [c for c in changes.columns if c in base.columns and c not in keys]
-    change = changes.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(*(order or []), *columns)).alias("row"))
+    ranked = [*dict.fromkeys([*(order or []), *columns])]  # one struct says both what wins and what it holds
+    change = changes.groupBy(*keys).agg(F.max(F.struct(*ranked)).alias("row"))
     change = change.withColumn("changed", F.lit(True))
     locked = F.coalesce(protect, F.lit(False)) if protect is not None else F.lit(False)
     kept = base.withColumn("locked", locked).withColumn("there", F.lit(True))

@@ -256,7 +256,9 @@ def mrg_versions(m):
     store.create(match=(m.match, PAIR, 16))
     found = m.match.where("confidence % 3 = 0").withColumn("confidence", F.col("confidence") + 5)
     store.merge("match", found, G.merge_scrape_matches)
+    store.tidy(keep=1, seconds=0)  # no one else writes to this store
     store.merge("match", whole(m)[1], G.merge_sitemap_matches)
+    store.tidy(keep=1, seconds=0)
     return store.read("match").select(*PAIR, "confidence", "match_status")
 
 

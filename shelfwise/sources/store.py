@@ -28,6 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from shelfwise.sources.staging import drop_shuffles
+
+#: Bytes of files that a merge works on at once.
+TOGETHER = 256 << 20
 Apply = Callable[[DataFrame, DataFrame], DataFrame]
 
 
@@ -38,6 +42,7 @@ class Conflict(Exception):
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        drop_shuffles(spark)
         path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
         self.fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
         self.local = self.fs.getUri().getScheme() == "file"
@@ -117,9 +122,10 @@ class Store:
         return rows.withColumn("bucket_", F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int"))
 
     def _write(self, rows: DataFrame, keys: list[str], n: int) -> dict[str, str]:
-        """Writes rows to a new folder; the folder of each bucket that has any."""
+        """Writes rows to a new folder; the folder of each bucket that has any. A task writes its rows where they are, a file a
+        bucket: they are not dealt out once more."""
         part = f"data/{uuid.uuid4().hex}"
-        self._bucketed(rows, keys, n).repartition("bucket_").write.partitionBy("bucket_").parquet(f"{self.root}/{part}")
+        self._bucketed(rows, keys, n).write.option("compression", "zstd").partitionBy("bucket_").parquet(f"{self.root}/{part}")
         names = [f.getPath().getName() for f in self.fs.listStatus(self._path(part))]
         return {b.split("=")[1]: f"{part}/{b}" for b in names if b.startswith("bucket_=")}
 
@@ -204,9 +210,30 @@ class Change:
     def merge(self, table: str, changes: DataFrame, apply: Apply) -> None:
         """``apply(rows, changes)`` gives the new rows of the touched buckets; it may change, add and drop rows whose keys
         ``changes`` has, and passes the others on."""
+        t = self.base["tables"][table]
         buckets, rows = self.touched(table, changes)
-        if buckets:
+        groups = self._groups(table, buckets)
+        if len(groups) == 1:
             self.put(table, buckets, apply(rows, changes))
+        elif groups:
+            # What a group of buckets moves is gone before the next begins, so disk holds one group at a time
+            schema, dealt = changes.schema, self.store._write(changes, t["keys"], t["buckets"])
+            for group in groups:
+                own = [f"{self.store.root}/{dealt[b]}" for b in group]
+                self.put(table, group, apply(self.store.rows(self._state(table), table, group), self.store.spark.read.schema(schema).parquet(*own)))
+            self.store.remove(dealt[buckets[0]].rpartition("/")[0])
+
+    def _groups(self, table: str, buckets: list[str]) -> list[list[str]]:
+        """The buckets in groups whose files have up to ``TOGETHER`` bytes, or one bucket each."""
+        state = self._state(table)["tables"][table]["state"]
+        groups, held = [], 0
+        for b in sorted(buckets):
+            size = self.store.fs.getContentSummary(self.store._path(state[b])).getLength() if b in state else 0
+            if not groups or held + size > TOGETHER:
+                groups, held = [*groups, []], 0
+            groups[-1].append(b)
+            held += size
+        return groups
 
     def put(self, table: str, buckets: list[str], rows: DataFrame) -> None:
         """``rows`` are all that the buckets hold from now on."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfwise.operators import aggregates as A
 from shelfwise.operators import merge as G
 from shelfwise.operators.snapshots import latest_per_pair
+from shelfwise.sources import store as store_module
 from shelfwise.sources.store import Conflict, Store
 from shelfwise.streaming import counters as C
 
@@ -133,3 +134,22 @@ def test_counters_equal_a_recount(spark, tmp_path):
         ):
             assert got.columns == want.columns and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
     assert sorted(map(str, map(tuple, Store(spark, root).read("latest").collect()))) == sorted(map(str, map(tuple, whole.collect())))
+
+
+def test_merge_in_groups_of_buckets(spark, tmp_path, monkeypatch):
+    """A merge that works on a bucket at a time gives what a merge at once gives, and leaves nothing beside the versions."""
+    base = _matches(spark)
+    found = base.where("confidence % 3 = 0").withColumn("confidence", F.col("confidence") + 5)
+    tables = {}
+    for name, together in (("whole", store_module.TOGETHER), ("groups", 1)):
+        monkeypatch.setattr(store_module, "TOGETHER", together)
+        store = Store(spark, str(tmp_path / name))
+        store.create(match=(base, ["sku_id", "competitor_id"], 4))
+        change = store.begin()
+        assert len(change._groups("match", ["0", "1", "2", "3"])) == (1 if name == "whole" else 4)
+        store.merge("match", found, G.merge_scrape_matches)
+        tables[name] = sorted(map(str, store.read("match").collect()))
+        assert len(store.folders("data")) == (2 if name == "whole" else 5)  # of the first version, and of each group
+    assert tables["whole"] == tables["groups"] and len(tables["whole"]) == 300
+    merged = G.merge_scrape_matches(base, found)
+    assert merged._jdf.queryExecution().executedPlan().toString().count("max_by") == 0
