@@ -207,9 +207,13 @@ class Change:
         self.seen.setdefault(table, set()).update(buckets)
         return buckets, self.store.rows(self._state(table), table, buckets)
 
-    def merge(self, table: str, changes: DataFrame, apply: Apply) -> None:
-        """``apply(rows, changes)`` gives the new rows of the touched buckets; it may change, add and drop rows whose keys
-        ``changes`` has, and passes the others on."""
+    def rows(self, table: str, buckets: list[str]) -> DataFrame:
+        """Rows of buckets as this change has made them, so far."""
+        return self.store.rows(self._state(table), table, buckets)
+
+    def merge(self, table: str, changes: DataFrame, apply: Apply) -> list[str]:
+        """``apply(rows, changes)`` gives the new rows of the touched buckets, whose names are returned; it may change, add and
+        drop rows whose keys ``changes`` has, and passes the others on."""
         t = self.base["tables"][table]
         buckets, rows = self.touched(table, changes)
         groups = self._groups(table, buckets)
@@ -220,8 +224,9 @@ class Change:
             schema, dealt = changes.schema, self.store._write(changes, t["keys"], t["buckets"])
             for group in groups:
                 own = [f"{self.store.root}/{dealt[b]}" for b in group]
-                self.put(table, group, apply(self.store.rows(self._state(table), table, group), self.store.spark.read.schema(schema).parquet(*own)))
+                self.put(table, group, apply(self.rows(table, group), self.store.spark.read.schema(schema).parquet(*own)))
             self.store.remove(dealt[buckets[0]].rpartition("/")[0])
+        return buckets
 
     def _groups(self, table: str, buckets: list[str]) -> list[list[str]]:
         """The buckets in groups whose files have up to ``TOGETHER`` bytes, or one bucket each."""

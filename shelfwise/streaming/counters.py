@@ -1,8 +1,8 @@
 """Counters kept up to date: of each pair whose latest row changes, the old row is counted out and the new one in.
 
 A store (``shelfwise.sources.store``) holds two tables: ``latest``, the newest enriched snapshot of each pair, and
-``counters``, one row a competitor. A batch is joined with the buckets of ``latest`` that it touches; where a row of the batch
-is newer, minus what the old row counts and plus what the new one counts, summed by competitor, is added to the counters.
+``counters``, one row a competitor. A batch is merged with the buckets of ``latest`` that it touches; what those count for
+afterwards, less what they counted for before, summed by competitor, is added to the counters.
 Both tables change in one version, which also keeps the number of the batch: a batch that runs again, or half a batch whose
 driver died, changes nothing. The work of a batch follows the buckets that it touches, never the number of all pairs.
 """
@@ -15,11 +15,9 @@ from pyspark.sql import functions as F
 from shelfwise.functions.scalars import tier
 from shelfwise.operators.aggregates import shown_diff
 from shelfwise.operators.snapshots import PAIR, latest_per_pair
-from shelfwise.sources.staging import staged
 from shelfwise.sources.store import Conflict, Store
 
 BUCKETS = 64
-ORDER = ["scraped_at", "run_id", "seq"]
 
 
 def counted(red: float = 10, amb: float = 5, par: float = 2) -> dict[str, Column]:
@@ -61,18 +59,10 @@ def counted_batches(spark: SparkSession, root: str, buckets: int = BUCKETS, atte
         change = store.begin()
         if change.marks["batch"] >= batch_id:
             return
-        newest = staged(latest_per_pair(rows), "counted-batch")
-        touched, old = change.touched("latest", newest)
-        if touched:
-            kept, came = F.struct(*(F.col(f"o.{c}") for c in ORDER)), F.struct(*(F.col(f"n.{c}") for c in ORDER))
-            same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in PAIR]
-            there = F.col("o.scraped_at").isNotNull()
-            won = newest.alias("n").join(old.alias("o"), same, "left").where(~there | (came > kept))
-            won = staged(won.select(F.struct("n.*").alias("new"), F.when(there, F.struct("o.*")).alias("old")), "counted-won")
-            new, before = won.select("new.*"), won.where("old is not null").select("old.*")
-            rest = old.join(new.select(*PAIR), [old[k].eqNullSafe(new[k]) for k in PAIR], "left_anti")
-            change.put("latest", touched, rest.unionByName(new))
-            delta = count_rows(new.withColumn("sign_", F.lit(1)).unionByName(before.withColumn("sign_", F.lit(-1))), F.col("sign_"))
+        if touched := change.merge("latest", rows, _newest):
+            # What the touched buckets count for now, less what they counted for before
+            now, before = change.rows("latest", touched), store.rows(change.base, "latest", touched)
+            delta = count_rows(now.withColumn("sign_", F.lit(1)).unionByName(before.withColumn("sign_", F.lit(-1))), F.col("sign_"))
             change.merge("counters", delta, _added)
         change.commit({"batch": batch_id})
 
@@ -89,6 +79,12 @@ def counted_batches(spark: SparkSession, root: str, buckets: int = BUCKETS, atte
     return batch
 
 
+def _newest(kept: DataFrame, came: DataFrame) -> DataFrame:
+    """The newest row of each pair; one that is kept stays when another of its time comes."""
+    both = kept.withColumn("kept_", F.lit(1)).unionByName(came.select(*kept.columns).withColumn("kept_", F.lit(0)))
+    return latest_per_pair(both, tie=("run_id", "seq", "kept_")).drop("kept_")
+
+
 def _added(rows: DataFrame, delta: DataFrame) -> DataFrame:
     both = rows.unionByName(delta)
     return both.groupBy("competitor_id").agg(*(F.sum(c).alias(c) for c in counted()))

@@ -153,3 +153,20 @@ def test_merge_in_groups_of_buckets(spark, tmp_path, monkeypatch):
     assert tables["whole"] == tables["groups"] and len(tables["whole"]) == 300
     merged = G.merge_scrape_matches(base, found)
     assert merged._jdf.queryExecution().executedPlan().toString().count("max_by") == 0
+
+
+def test_a_batch_of_counters_leaves_nothing_beside_its_version(spark, tmp_path, monkeypatch):
+    """What a batch counts in and out comes from the buckets before and after it: no table is written on the way."""
+    from shelfwise.sources import staging
+
+    written = []
+    monkeypatch.setattr(staging, "new_path", lambda spark, name: written.append(name) or str(tmp_path / f"staged-{len(written)}"))
+    monkeypatch.setattr(store_module, "TOGETHER", 1)
+    row = lambda sku, shop, at, run, d: (sku, shop, at, run, 1, "in_stock", d, d)
+    rows = lambda *r: spark.createDataFrame(list(r), "sku_id string, competitor_id long, scraped_at string, run_id long, seq int, availability string, diff_pct double, diff_pct_normalised double")
+    batch = C.counted_batches(spark, str(tmp_path / "s"), 4)
+    batch(rows(row("a", 1, "2024-01-02", 1, -20.0), row("b", 1, "2024-01-02", 1, 3.0), row("b", 2, "2024-01-02", 1, 0.0)), 0)
+    batch(rows(row("a", 1, "2024-01-01", 2, 9.0), row("b", 1, "2024-01-03", 2, -20.0), row("b", 2, "2024-01-02", 1, -20.0)), 1)
+    got = {r.competitor_id: (r.matched, r.dash_critical, r.dash_cheapest) for r in C.read_counters(spark, str(tmp_path / "s")).collect()}
+    assert got == {1: (2, 2, 0), 2: (1, 0, 0)} and not written
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
