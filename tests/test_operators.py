@@ -330,3 +330,19 @@ def test_named_variants_are_found_in_one_pass(spark):
         want = order[0] if named or order[0].in_stock or not near else near[0]
         assert (row.variant_id, row.score) == (want.variant_id, 1000 if named else want.score)
     assert got.count() == 80
+
+
+def test_lists_of_candidates_are_joined_last(spark):
+    """A product is dealt out without its list, which comes with the last join."""
+    m = Mapped(spark, "/root/testdata/sf0.001")
+    seen = []
+    staged = M.staged
+    M.staged = lambda df, name: seen.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or staged(df, name)
+    try:
+        pages, skus = titled(m)
+        M.match_candidates(pages, skus, m.match)
+    finally:
+        M.staged = staged
+    plan = dict(seen)["match-left"]
+    joins = [line for line in plan.splitlines() if "Join LeftOuter" in line]
+    assert "p_of" in joins[0] and "competitor_id" not in joins[0] and "competitor_id" in joins[1]
