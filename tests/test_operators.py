@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -346,3 +347,10 @@ def test_lists_of_candidates_are_joined_last(spark):
     plan = dict(seen)["match-left"]
     joins = [line for line in plan.splitlines() if "Join LeftOuter" in line]
     assert "p_of" in joins[0] and "competitor_id" not in joins[0] and "competitor_id" in joins[1]
+
+
+def test_board_moves_prices_once_by_sku(spark):
+    plan = catalogue.QUERIES["jn3_sku_board"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_sku_id" not in plan and "comp_title" not in plan
+    assert len([line for line in plan.splitlines() if re.search(r"Exchange hashpartitioning\(sku_id#\d+, \d+\), REPARTITION", line)]) == 1
+    assert not re.search(r"hashpartitioning\([^)]*sku_id#\d+, _?competitor_id", plan)
